@@ -63,7 +63,7 @@ def _verdict(content: Column, suffix: Column) -> Column:
     """The first failed check of a file's bytes, or ok."""
     head = F.substring(content, 1, HEAD_BYTES)
     csv_head = F.substring(content, 1, CSV_HEAD_BYTES)
-    latin = F.decode(content, F.lit("ISO-8859-1"))
+    latin = F.decode(content, "ISO-8859-1")
     workbook = F.lit(True)
     for part in WORKBOOK_PARTS:
         workbook = workbook & (F.instr(latin, part) > 0)
