@@ -8,28 +8,26 @@ from pivotlake.functions.names import is_date
 
 GRAINS = ("year", "quarter", "month", "week", "day")
 
-_ISO_DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
-_SLASH_DATE = r"^\s*\d{1,2}/\d{1,2}/\d{4}"
+_ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}"
+_SLASH_DATE = r"^(\d{1,2})/(\d{1,2})/(\d{4})"
 
 
 def parse_timestamp(col: Column) -> Column:
     """Text to a zone-free timestamp, null where it is not a date.
 
-    ISO dates and month/day/year dates are read. The pattern tests keep plain
-    numbers from being taken for years.
+    ISO dates and month/day/year dates are read. The pattern keeps plain numbers
+    from being taken for years.
     """
     text = F.trim(col.cast("string"))
-    slash_day = F.regexp_extract(text, r"^(\d{1,2}/\d{1,2}/\d{4})", 1)
-    slash_time = F.regexp_extract(text, r"^\d{1,2}/\d{1,2}/\d{4} (\d{1,2}:\d{2}(?::\d{2})?)$", 1)
-    slash = F.when(
-        text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}( \d{1,2}:\d{2}(:\d{2})?)?$"),
-        F.concat(
-            F.date_format(F.try_to_date(slash_day, "M/d/yyyy"), "yyyy-MM-dd"),
-            F.when(slash_time != "", F.concat(F.lit(" "), slash_time)).otherwise(F.lit("")),
-        ),
-    )
-    iso = F.when(text.rlike(_ISO_DATE), text).when(text.rlike(_SLASH_DATE), slash)
-    return iso.try_cast("timestamp_ntz")
+    iso = F.when(F.instr(text, "/") > 0, F.regexp_replace(text, _SLASH_DATE, "$3-$1-$2")).otherwise(text)
+    return F.when(iso.rlike(_ISO_DATE), iso).try_cast("timestamp_ntz")
+
+
+def timestamp_sql(operand: str) -> str:
+    """:func:`parse_timestamp` as SQL text over a quoted column name."""
+    text = f"trim({operand})"
+    iso = f"CASE WHEN instr({text}, '/') > 0 THEN regexp_replace({text}, r'{_SLASH_DATE}', '$3-$1-$2') ELSE {text} END"
+    return f"try_cast(CASE WHEN ({iso}) RLIKE r'{_ISO_DATE}' THEN ({iso}) END AS TIMESTAMP_NTZ)"
 
 
 def as_timestamp(col: Column, dtype: T.DataType) -> Column:

@@ -10,7 +10,8 @@ from pivotlake.functions.names import is_numeric, is_text
 # Fixed value: what a missing cell shows.
 MISSING = "—"
 
-_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# Text that is a plain number.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 # The pattern behind each date format name.
 _DATE_PATTERNS = {
@@ -26,7 +27,7 @@ def as_number(col: Column, dtype: T.DataType) -> Column:
     """A finite double, or null; text is read as a number where it is one."""
     if is_text(dtype):
         text = F.trim(col)
-        return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+        return F.when(text.rlike(NUMBER), text.try_cast("double"))
     if isinstance(dtype, T.BooleanType):
         return col.cast("int").cast("double")
     if not is_numeric(dtype):

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pivotlake.functions.formats import as_number
 from pivotlake.functions.names import q
+from pivotlake.session import materialise
 from pivotlake.spec import Rule
 
-_BUCKETS = 256
+# Rank selection: pieces per narrowing step, and distinct values that are sorted at last.
+_PIECES = 256
+_VALUES_SORTED = 50_000
 _SALTS = 16
 
 
@@ -25,42 +29,44 @@ def compare_flag(df: DataFrame, rule: Rule) -> Column:
     return F.coalesce(number > value if rule.type == "gt" else number < value, F.lit(False))
 
 
-def nth_value(values: DataFrame, column: str, share: float, top: bool) -> DataFrame:
-    """One row, ``threshold``: the n-th best value, n being the given share of all
-    values rounded up and at least one.
+def nth_value(values: DataFrame, column: str, share: float, top: bool) -> float | None:
+    """The n-th best value, n being the given share of all values rounded up and at
+    least one; None without values.
 
-    Exact at any size without one task seeing all values: equal values are counted
-    together, the distinct values are cut into buckets at approximate percentiles,
-    and ranks are running sums inside the buckets plus the total of the buckets
-    before. Only the bucket totals meet in one window.
+    Exact at any size: equal values are counted together, and as long as too many
+    distinct values are left they are cut at approximate percentiles and only the
+    piece that holds rank n is kept. The driver sees a bounded number of piece totals
+    and, at the end, a bounded number of values.
     """
-    counted = values.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    steps = F.array(*[F.lit(i / _BUCKETS) for i in range(1, _BUCKETS)])
-    bounds = counted.agg(F.percentile_approx("v", steps, F.lit(10_000)).alias("b")).scalar()
-    bucketed = counted.withColumn("bounds", bounds).select(
-        "v", "c", F.size(F.filter("bounds", lambda b: b < F.col("v"))).alias("bucket")
-    )
-    totals = bucketed.groupBy("bucket").agg(F.sum("c").alias("bc"))
-    best_first = F.desc if top else F.asc
-    before = Window.orderBy(best_first("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    # At most _BUCKETS rows: the window and the broadcast are bounded.
-    offsets = totals.select("bucket", F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("bucket").orderBy(best_first("v")).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = bucketed.join(F.broadcast(offsets), "bucket").select(
-        "v", (F.col("offset") + F.coalesce(F.sum("c").over(inside), F.lit(0))).alias("better")
-    )
-    n = counted.agg(F.greatest(F.lit(1), F.ceil(F.sum("c") * F.lit(share))).alias("n")).scalar()
-    edge = F.min("v") if top else F.max("v")
-    return ranked.where(F.col("better") < n).agg(edge.alias("threshold"))
+    left = materialise(values.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    distinct, total = left.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    if not distinct:
+        return None
+    rank = max(1, math.ceil(total * share))
+    while distinct > _VALUES_SORTED:
+        steps = F.array(*[F.lit(i / _PIECES) for i in range(1, _PIECES)])
+        cuts = sorted(set(left.agg(F.percentile_approx("v", steps, F.lit(10_000))).first()[0]))
+        piece = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda cut: cut < F.col("v")))
+        pieces = left.groupBy(piece.alias("piece")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()
+        for p in sorted(pieces, key=lambda r: r["piece"], reverse=top):
+            if rank <= p["c"]:
+                break
+            rank -= p["c"]
+        left, distinct = left.where(piece == p["piece"]), p["n"]
+    for row in left.orderBy(F.desc("v") if top else F.asc("v")).collect():
+        if rank <= row["c"]:
+            return row["v"]
+        rank -= row["c"]
 
 
 def extreme_flag(df: DataFrame, field: str, name: str, *, top: bool, share: float = 0.1) -> DataFrame:
     """Flag the top or bottom share of a column, ties at the edge included."""
     number = as_number(q(field), df.schema[field].dataType)
     values = df.select(number.alias("n")).where(F.col("n").isNotNull())
-    threshold = nth_value(values, "n", share, top).scalar()
-    inside = number >= threshold if top else number <= threshold
-    return df.withColumn(name, F.coalesce(inside, F.lit(False)))
+    edge = nth_value(values, "n", share, top)
+    if edge is None:
+        return df.withColumn(name, F.lit(False))
+    return df.withColumn(name, F.coalesce(number >= edge if top else number <= edge, F.lit(False)))
 
 
 def duplicate_flag(df: DataFrame, field: str, name: str) -> DataFrame:

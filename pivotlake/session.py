@@ -25,6 +25,8 @@ def build_session(app: str = "pivotlake", master: str | None = None, **conf) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.ui.showConsoleProgress": "false",
+        # Call-site capture for error messages costs more than planning itself.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     builder = SparkSession.builder.appName(app)

@@ -7,64 +7,52 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from pivotlake.plans.checks import DATE_WORDS, NUMERIC_WORDS
-from pivotlake.sources.profile import profile, sheet_metadata
+from pivotlake.session import can_materialise, materialise
+from pivotlake.sources.profile import profile_with_rows
 from pivotlake.sources.sheets import CSV_SHEET
 
 # The catalog's words for text.
 TEXT_WORDS = ("string", "text")
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 def register(
     sheets: Mapping[str, Mapping[str, DataFrame]], first_id: int = 1
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(datasets, sheets, columns) for ``{filename: {sheet name: frame}}``.
 
-    Each frame is scanned once for its profile and once for its row count; the
-    first sheet's counts stand for the dataset.
+    Every frame is scanned once; the facts, one row per column, are kept and the
+    three tables are read off them. The first sheet's counts stand for the dataset.
     """
-    datasets, sheet_rows, column_rows = [], [], []
+    facts = None
     sheet_id = 0
     for dataset_id, (filename, parts) in enumerate(sheets.items(), first_id):
         for n, (name, df) in enumerate(parts.items()):
             sheet_id += 1
-            meta = sheet_metadata(df)
-            if n == 0:
-                datasets.append(
-                    meta.select(
-                        F.lit(dataset_id).cast("bigint").alias("id"),
-                        F.lit(filename).alias("filename"),
-                        F.lit(filename).alias("stored_filename"),
-                        F.col("row_count").alias("total_rows"),
-                        F.col("column_count").alias("total_columns"),
-                    )
-                )
-            sheet_rows.append(
-                meta.select(
-                    F.lit(sheet_id).cast("bigint").alias("id"),
-                    F.lit(dataset_id).cast("bigint").alias("dataset_id"),
-                    F.lit(name).alias("sheet_name"),
-                    "row_count",
-                )
-            )
-            column_rows.append(
-                profile(df).select(
-                    F.lit(sheet_id).cast("bigint").alias("sheet_id"),
-                    F.lit(dataset_id).cast("bigint").alias("dataset_id"),
-                    F.lit(name).alias("sheet_name"),
-                    "position",
-                    "column_name",
-                    "data_type",
-                    "is_nullable",
-                )
+            one = profile_with_rows(df).select(
+                F.lit(sheet_id).cast("bigint").alias("sheet_id"),
+                F.lit(dataset_id).cast("bigint").alias("dataset_id"),
+                F.lit(filename).alias("filename"),
+                F.lit(name).alias("sheet_name"),
+                F.lit(n == 0).alias("first_sheet"),
+                F.lit(len(df.columns)).alias("total_columns"),
+                "*",
             )
-    return _union(datasets), _union(sheet_rows), _union(column_rows)
+            facts = one if facts is None else facts.unionByName(one)
+    if can_materialise(facts.sparkSession):
+        facts = materialise(facts)
+    once = facts.where(F.col("position") == 0)
+    datasets = once.where("first_sheet").select(
+        F.col("dataset_id").alias("id"),
+        "filename",
+        F.col("filename").alias("stored_filename"),
+        F.col("row_count").alias("total_rows"),
+        "total_columns",
+    )
+    sheet_rows = once.select(F.col("sheet_id").alias("id"), "dataset_id", "sheet_name", "row_count")
+    columns = facts.select(
+        "sheet_id", "dataset_id", "sheet_name", "position", "column_name", "data_type", "is_nullable"
+    )
+    return datasets, sheet_rows, columns
 
 
 def register_tables(tables: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,68 +2,104 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from pivotlake.functions.dates import parse_timestamp
-from pivotlake.functions.formats import as_number
-from pivotlake.functions.names import catalog_type, is_text, q
+from pivotlake.functions.dates import timestamp_sql
+from pivotlake.functions.formats import NUMBER
+from pivotlake.functions.names import catalog_type, is_text, quoted
 
 # The words of a text column that is really boolean.
 BOOLEAN_WORDS = ("true", "false", "yes", "no", "1", "0")
 
 
-def _never(condition: Column) -> Column:
-    return F.count_if(condition) == 0
-
-
-def _data_type(col: Column, dtype: T.DataType) -> Column:
-    """The catalog type of a column as an aggregate.
+# Bits of what a text cell is not.
+_NOT_DATE, _NOT_BOOLEAN, _NOT_INTEGER, _NOT_NUMBER = 1, 2, 4, 8
+_ALL = _NOT_DATE | _NOT_BOOLEAN | _NOT_INTEGER | _NOT_NUMBER
+
+# The kinds a text cell ``v`` does not fit, as bits. The cases exclude each other, and
+# the first characters settle most cells before any pattern is tried. It is SQL text
+# because building the tree call by call takes longer than running it.
+_TEXT_MISSES = f"""
+CASE WHEN v IS NULL THEN NULL
+     WHEN trim(v) IN ('0', '1') THEN {_NOT_DATE}
+     WHEN substring(trim(v), 1, 1) BETWEEN '+' AND '9' THEN
+       CASE WHEN substring(trim(v), 5, 1) = '-' AND {timestamp_sql("v")} IS NOT NULL
+              THEN {_NOT_BOOLEAN | _NOT_INTEGER | _NOT_NUMBER}
+            WHEN trim(v) RLIKE r'^[+-]?\\d+$' AND try_cast(trim(v) AS BIGINT) IS NOT NULL
+              THEN {_NOT_DATE | _NOT_BOOLEAN}
+            WHEN trim(v) RLIKE r'{NUMBER}' THEN {_NOT_DATE | _NOT_BOOLEAN | _NOT_INTEGER}
+            WHEN {timestamp_sql("v")} IS NOT NULL THEN {_NOT_BOOLEAN | _NOT_INTEGER | _NOT_NUMBER}
+            ELSE {_ALL} END
+     WHEN length(v) <= 20 AND lower(trim(v)) IN ({", ".join(f"'{w}'" for w in BOOLEAN_WORDS)})
+       THEN {_NOT_DATE | _NOT_INTEGER | _NOT_NUMBER}
+     ELSE {_ALL} END
+"""
+
+
+def _cell(i: int, name: str, dtype: T.DataType) -> str:
+    """(column number, text value, is null, bits already known) of one cell."""
+    c = quoted(name)
+    text, null, bits = "string(NULL)", f"{c} IS NULL", "int(NULL)"
+    if is_text(dtype):
+        text = c
+    elif isinstance(dtype, T.FractionalType):
+        if not isinstance(dtype, T.DecimalType):
+            null = f"({c} IS NULL OR isnan({c}))"
+        bits = f"CASE WHEN NOT {null} AND {c} NOT IN (0, 1) THEN {_NOT_BOOLEAN} WHEN NOT {null} THEN 0 END"
+    return f"{i}, {text}, {null}, {bits}"
+
+
+def profile_with_rows(df: DataFrame) -> DataFrame:
+    """The column profile with the row count of the sheet next to every column.
+
+    The cells of a row are stacked, judged by one expression and folded per column
+    number before the exchange, so a sheet of any size is one scan and each task
+    sends one row per column. One small expression for all columns also stays within
+    what the JVM compiles, where one expression per column would not.
 
     Text is tried as date, boolean, integer and float in that order; a float column
     of zeros and ones only is boolean; a column without values is text.
     """
-    some = F.count_if(~_is_null(col, dtype)) > 0
-    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
-        other = ~_is_null(col, dtype) & ~col.isin(0, 1)
-        kind = F.when(_never(other), F.lit("boolean")).otherwise(F.lit("float"))
-    elif is_text(dtype):
-        number = as_number(col, dtype)
-        present = col.isNotNull()
-        kind = (
-            F.when(_never(present & parse_timestamp(col).isNull()), F.lit("datetime"))
-            .when(_never(present & ~F.lower(F.trim(col)).isin(*BOOLEAN_WORDS)), F.lit("boolean"))
-            .when(_never(present & F.trim(col).try_cast("bigint").isNull()), F.lit("integer"))
-            .when(_never(present & number.isNull()), F.lit("float"))
-            .otherwise(F.lit("string"))
+    fields = [(i, f.name, f.dataType) for i, f in enumerate(df.schema.fields)]
+    cells = ", ".join(_cell(*f) for f in fields)
+    evidence = (
+        df.selectExpr(f"stack({len(fields)}, {cells}) AS (position, v, is_null, bits)")
+        # Judged in a projection: inside the aggregate the tree is generated three times.
+        .selectExpr("position", "is_null", f"coalesce(bits, {_TEXT_MISSES}) AS misses")
+        .groupBy("position")
+        .agg(
+            F.count(F.lit(1)).alias("row_count"),
+            F.bool_or("is_null").alias("nulls"),
+            F.bool_or(~F.col("is_null")).alias("some"),
+            F.bit_or("misses").alias("misses"),
         )
-    else:
-        kind = F.lit(catalog_type(dtype))
-    return F.when(some, kind).otherwise(F.lit("string"))
-
-
-def _is_null(col: Column, dtype: T.DataType) -> Column:
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return col.isNull() | F.isnan(col)
-    return col.isNull()
+    )
+    known = [
+        (i, name, "text" if is_text(t) else "float" if isinstance(t, T.FractionalType) else catalog_type(t))
+        for i, name, t in fields
+    ]
+    names = df.sparkSession.createDataFrame(known, "position int, column_name string, declared string")
+    data_type = f"""
+        CASE WHEN NOT coalesce(some, false) THEN 'string'
+             WHEN declared = 'float' THEN if(misses & {_NOT_BOOLEAN} = 0, 'boolean', 'float')
+             WHEN declared <> 'text' THEN declared
+             WHEN misses & {_NOT_DATE} = 0 THEN 'datetime'
+             WHEN misses & {_NOT_BOOLEAN} = 0 THEN 'boolean'
+             WHEN misses & {_NOT_INTEGER} = 0 THEN 'integer'
+             WHEN misses & {_NOT_NUMBER} = 0 THEN 'float'
+             ELSE 'string' END"""
+    return names.join(evidence, "position", "left").selectExpr(
+        "position",
+        "column_name",
+        f"{data_type} AS data_type",
+        "coalesce(nulls, false) AS is_nullable",
+        "coalesce(row_count, 0L) AS row_count",
+    )
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """One row per column: position, name, inferred type, and whether nulls occur.
-
-    All columns are judged by one aggregate over one scan, without a shuffle of rows.
-    """
-    whole = df.agg(
-        *[
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(f.name).alias("column_name"),
-                _data_type(q(f.name), f.dataType).alias("data_type"),
-                (F.count_if(_is_null(q(f.name), f.dataType)) > 0).alias("is_nullable"),
-            ).alias(f"c{i}")
-            for i, f in enumerate(df.schema.fields)
-        ]
-    )
-    return whole.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(df.columns))])))
+    """One row per column: position, name, inferred type, and whether nulls occur."""
+    return profile_with_rows(df).drop("row_count")
 
 
 def sheet_metadata(df: DataFrame) -> DataFrame:

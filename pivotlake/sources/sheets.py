@@ -79,10 +79,10 @@ def cast_text(col: Column, dtype: T.DataType) -> Column:
         return F.when(word.isin(*_TRUE), F.lit(True)).when(word.isin(*_FALSE), F.lit(False))
     if is_date(dtype):
         return parse_timestamp(col).cast(dtype)
-    if isinstance(dtype, T.IntegralType):
-        return F.trim(col).try_cast(dtype)
-    if isinstance(dtype, T.DecimalType):
-        return F.trim(col).try_cast(dtype)
+    if isinstance(dtype, (T.IntegralType, T.DecimalType)):
+        # Casting text that is no number is slow; the pattern keeps it out.
+        text = F.trim(col)
+        return F.when(text.rlike(r"^[+-]?\d*\.?\d+$"), text.try_cast(dtype))
     if isinstance(dtype, T.NumericType):
         return as_number(col, T.StringType()).cast(dtype)
     return col

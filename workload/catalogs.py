@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pivotlake.plans.checks import check_definitions
 from pivotlake.session import new_folder
 from pivotlake.sources.catalog import catalog_nested, column_kind_counts, newest_first, register_tables
-from pivotlake.sources.files import audit_files, file_name, inventory, listing, orphans, suffix_of
-from pivotlake.sources.profile import profile
+from pivotlake.sources.files import audit_files, inventory, listing, orphans, suffix_of
+from pivotlake.sources.profile import profile, sheet_metadata
 from pivotlake.sources.sheets import preview, read_csv
 from workload.registry import query
 from workload.tables import plain, table
@@ -171,8 +171,12 @@ def orphaned(spark, sf_dir):
         "region nation customer supplier part orders lineitem events documents embeddings benchmark conversations"
     ).split()
     files = listing(spark, sf_dir, "*.parquet")
-    datasets, _, _ = catalog(spark, sf_dir, named)
-    stored = datasets.select(F.concat("stored_filename", F.lit(".parquet")).alias("stored_filename"))
+    stored = None
+    for name in named:
+        one = sheet_metadata(table(spark, sf_dir, name)).select(
+            F.lit(f"{name}.parquet").alias("stored_filename"), "row_count"
+        )
+        stored = one if stored is None else stored.unionByName(one)
     return orphans(files, stored).select("name")
 
 

@@ -21,7 +21,7 @@ from pivotlake.operators.tombstones import (
     soft_delete,
 )
 from pivotlake.operators.view import collapse, export_frame, having, quick_search, selected_groups, tab_separated
-from pivotlake.session import new_folder
+from pivotlake.session import materialise, new_folder
 from pivotlake.sources.sinks import extract_frame
 from workload.catalogs import catalog
 from workload.registry import query
@@ -131,7 +131,8 @@ def _no_tombstones(spark):
 
 
 def _as_tombstones(rows):
-    return rows.withColumns({"dataset_id": F.lit(1).cast("bigint"), "sheet_name": F.lit("Sheet1")})
+    """A stored tombstone table: computed once, then read."""
+    return materialise(rows.withColumns({"dataset_id": F.lit(1).cast("bigint"), "sheet_name": F.lit("Sheet1")}))
 
 
 @query(
@@ -225,7 +226,7 @@ def purge(spark, sf_dir):
     """Purging one of four datasets keeps the rows of the others."""
     datasets, sheets, columns = catalog(spark, sf_dir, ("orders", "customer", "lineitem", "events"))
     df = salesn(spark, sf_dir)
-    dead = plan_delete(df, _SPEC, _SELECTIONS, _no_tombstones(spark), 1, "Sheet1").rows
+    dead = materialise(plan_delete(df, _SPEC, _SELECTIONS, _no_tombstones(spark), 1, "Sheet1").rows)
     of = lambda i: dead.withColumn("dataset_id", F.lit(i).cast("bigint"))
     left = purge_dataset(
         {
@@ -361,7 +362,7 @@ def _days(spark, sf_dir):
         values=["Amount", {"field": "OrderID", "aggregation": "count"}],
         date_grouping={"OrderDate": "day"},
     )
-    return plain(pivot(sales(spark, sf_dir), spec, ordered=False).rows)
+    return plain(pivot(sales(spark, sf_dir), spec, ordered=False, reuse=True).rows)
 
 
 def _extreme(name, field, top):
@@ -370,7 +371,7 @@ def _extreme(name, field, top):
     @query(
         name,
         f"""{_BY_DAY}, edge AS (SELECT "{field}" AS v FROM leaf ORDER BY 1 {order}
-              LIMIT 1 OFFSET (SELECT greatest(1, CAST(ceil(count(*) * 0.1) AS BIGINT)) - 1 FROM leaf))
+              LIMIT 1 OFFSET (SELECT greatest(1, CAST(ceil(count(*) * CAST(0.1 AS DOUBLE)) AS BIGINT)) - 1 FROM leaf))
             SELECT *, "{field}" {op} (SELECT v FROM edge) AS flagged FROM leaf""",
     )
     def run(spark, sf_dir):
