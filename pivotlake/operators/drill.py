@@ -26,7 +26,7 @@ MOST_ROWS = 5000
 # Selections up to this count are broadcast; each is a handful of group values.
 BROADCAST_SELECTIONS = 100_000
 _SALTS = 16
-_HITS = "__hits"
+_HITS, _COPIES, _SALT = "__hits", "__copies", "__salt"
 
 
 @dataclass
@@ -140,35 +140,39 @@ def _joined(base: DataFrame, fields: Sequence[str], keys: DataFrame, spec: Pivot
     sel = [f"__sel{i}" for i in range(len(fields))]
     if small:
         return base.join(F.broadcast(keys), on, "left").drop(*sel)
-    # Many selections: a shuffle join. One group may hold a third of the rows, so the
-    # raw side is dealt over salts by scan position and the keys are repeated.
-    salted = base.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)))
-    repeated = keys.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("bigint"))
-    return salted.join(repeated, on & (F.col("__salt") == F.col("__s")), "left").drop(*sel, "__salt", "__s")
+    repeated = keys.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return base.join(repeated, on & (F.col(_SALT) == F.col("__s")), "left").drop(*sel, "__s")
 
 
 def matched_hits(
     df: DataFrame, spec: PivotSpec, selections: DataFrame | Sequence[Mapping[str, Any]], hits: str = _HITS
 ) -> DataFrame:
-    """The filtered rows some selection matches, with the number of selections."""
+    """The filtered rows some selection matches, with the number of matches.
+
+    Few selections are broadcast and the table is not shuffled. Many are joined by a
+    shuffle, where one group may hold a third of the rows: copies of a row are counted
+    together first, and the rows are dealt over salts by their content, which a
+    repeated task computes the same again.
+    """
     base = apply_filters(df, spec.filters)
     frames = _as_frames(base, selections, spec)
     if not frames:
         return base.where(F.lit(False)).withColumn(hits, F.lit(0).cast("bigint"))
-    out, names = base, []
+    if isinstance(selections, DataFrame):
+        small = frames[0][1].limit(BROADCAST_SELECTIONS + 1).count() <= BROADCAST_SELECTIONS
+    else:
+        small = len(selections) <= BROADCAST_SELECTIONS
+    columns = [q(c) for c in base.columns]
+    out, weight = base, F.lit(1)
+    if not small:
+        out = base.groupBy(*columns).agg(F.count(F.lit(1)).alias(_COPIES))
+        out = out.withColumn(_SALT, F.pmod(F.xxhash64(*columns), F.lit(_SALTS)).cast("int"))
+        weight = F.col(_COPIES)
+    total = F.lit(0)
     for n, (fields, keys) in enumerate(frames):
-        small = (
-            keys.limit(BROADCAST_SELECTIONS + 1).count() <= BROADCAST_SELECTIONS
-            if isinstance(selections, DataFrame)
-            else len(selections) <= BROADCAST_SELECTIONS
-        )
-        name = f"{hits}{n}"
-        out = _joined(out, fields, keys, spec, small, name)
-        names.append(name)
-    total = F.coalesce(F.col(names[0]), F.lit(0))
-    for name in names[1:]:
-        total = total + F.coalesce(F.col(name), F.lit(0))
-    return out.withColumn(hits, total).where(F.col(hits) > 0).drop(*names)
+        out = _joined(out, fields, keys, spec, small, f"{hits}{n}")
+        total = total + F.coalesce(F.col(f"{hits}{n}"), F.lit(0))
+    return out.select(*columns, (total * weight).alias(hits)).where(F.col(hits) > 0)
 
 
 def drilldown_many(

@@ -29,7 +29,6 @@ AUDIT_SCHEMA = (
 
 # Keys up to this count are broadcast: 64 characters each, about 100 MB on an executor.
 BROADCAST_KEYS = 500_000
-_SALTS = 16
 
 # Above these counts a delete is tagged.
 LARGE, HUGE = 500, 2000
@@ -54,15 +53,16 @@ def exclude_deleted(
 def anti_join_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """``df`` without the rows whose ``key`` is in ``keys`` (distinct).
 
-    Few keys are broadcast, so the table is not shuffled. Many keys are repeated
-    over salts and the table is dealt over the salts by scan position, because
-    copies of one row share one key and may be a third of the table.
+    Few keys are broadcast, so the table is not shuffled. For many keys, copies of a
+    row are first counted together, because they share one key and may be a third of
+    the table; after the join every row comes back as often as it was there.
     """
     if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         return df.join(F.broadcast(keys), key, "left_anti")
-    repeated = keys.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("bigint"))
-    salted = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)))
-    return salted.join(repeated, [key, "__salt"], "left_anti").drop("__salt")
+    columns = [q(c) for c in df.columns]
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__copies"))
+    kept = counted.join(keys, key, "left_anti")
+    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))).select(*columns)
 
 
 @dataclass

@@ -28,7 +28,10 @@ PRINTABLE_SHARE = 0.85
 
 
 def listing(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
-    """Files below ``path`` without their contents: path, modificationTime, length."""
+    """Files below ``path`` without their contents: path, modificationTime, length.
+
+    Spark's listing leaves out hidden files and files of zero bytes.
+    """
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
