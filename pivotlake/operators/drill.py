@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pivotlake.errors import PivotError
 from pivotlake.functions.names import is_text, q
 from pivotlake.operators.filters import (
+    any_selection,
     apply_filters,
     group_column,
     resolve_field,
@@ -25,6 +26,8 @@ MOST_ROWS = 5000
 
 # Selections up to this count are broadcast; each is a handful of group values.
 BROADCAST_SELECTIONS = 100_000
+# Up to this count they also become a predicate that can skip row groups of the scan.
+PUSHED_SELECTIONS = 32
 _SALTS = 16
 _HITS, _COPIES, _SALT = "__hits", "__copies", "__salt"
 
@@ -158,6 +161,8 @@ def matched_hits(
     frames = _as_frames(base, selections, spec)
     if not frames:
         return base.where(F.lit(False)).withColumn(hits, F.lit(0).cast("bigint"))
+    if not isinstance(selections, DataFrame) and len(selections) <= PUSHED_SELECTIONS:
+        base = base.where(any_selection(base, selections, spec.date_grouping))
     if isinstance(selections, DataFrame):
         small = frames[0][1].limit(BROADCAST_SELECTIONS + 1).count() <= BROADCAST_SELECTIONS
     else:

@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pivotlake.errors import PivotError
 from pivotlake.functions.names import q
-from pivotlake.functions.rowkeys import ROW_KEY, content, row_key
+from pivotlake.functions.rowkeys import ROW_HASH, ROW_KEY, content, row_hash, row_key
 from pivotlake.operators.drill import matched_hits
 from pivotlake.plans.checks import to_json
 from pivotlake.session import materialise
 from pivotlake.spec import PivotSpec
 
 TOMBSTONE_SCHEMA = (
-    "dataset_id bigint, sheet_name string, source_key string, row_payload string, "
+    "dataset_id bigint, sheet_name string, source_key string, row_hash bigint, row_payload string, "
     "pivot_request string, deleted_at timestamp_ntz, deleted_by string, delete_audit_id string"
 )
 AUDIT_SCHEMA = (
@@ -34,6 +34,11 @@ BROADCAST_KEYS = 500_000
 LARGE, HUGE = 500, 2000
 
 
+def key_columns_of(df: DataFrame, columns: Sequence[str] | None = None) -> list[Column]:
+    """The two columns by which a tombstone finds its rows."""
+    return [row_key(df, columns).alias(ROW_KEY), row_hash(df, columns).alias(ROW_HASH)]
+
+
 def exclude_deleted(
     df: DataFrame,
     tombstones: DataFrame,
@@ -41,13 +46,23 @@ def exclude_deleted(
     sheet_name: str,
     key_columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The rows of a sheet without its deleted ones; all identical copies go together."""
+    """The rows of a sheet without its deleted ones; all identical copies go together.
+
+    Every read of a sheet passes here, so the cheap hash is the join key and the
+    SHA-256 key is only computed for rows whose hash is among the tombstones.
+    """
     keys = (
         tombstones.where((F.col("dataset_id") == dataset_id) & (F.col("sheet_name") == sheet_name))
-        .select(F.col("source_key").alias(ROW_KEY))
+        .select(F.col(ROW_KEY).alias("__dead_key"), F.col(ROW_HASH).alias("__dead_hash"))
         .distinct()
     )
-    return anti_join_keys(df.withColumn(ROW_KEY, row_key(df, key_columns)), keys, ROW_KEY).drop(ROW_KEY)
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        # Both keys have 64 characters, so containing means equal; unlike an equality
+        # it stays a condition behind the hash look-up.
+        same = (row_hash(df, key_columns) == F.col("__dead_hash")) & F.col("__dead_key").contains(row_key(df, key_columns))
+        return df.join(F.broadcast(keys), same, "left_anti")
+    keyed = df.withColumn(ROW_KEY, row_key(df, key_columns))
+    return anti_join_keys(keyed, keys.select(F.col("__dead_key").alias(ROW_KEY)), ROW_KEY).drop(ROW_KEY)
 
 
 def anti_join_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -96,8 +111,8 @@ def plan_delete(
         .distinct()
     )
     new = (
-        hit.select(row_key(df, key_columns).alias(ROW_KEY), content(df).alias("row_payload"))
-        .groupBy(ROW_KEY)
+        hit.select(*key_columns_of(df, key_columns), content(df).alias("row_payload"))
+        .groupBy(ROW_KEY, ROW_HASH)
         .agg(F.min("row_payload").alias("row_payload"))
     )
     return DeletePlan(

@@ -45,17 +45,33 @@ FILE_ORDER = "__file_order"
 _TRUE, _FALSE = ("true", "yes", "1"), ("false", "no", "0")
 
 
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some quoted cell holds a line break: a line then has an open quote."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_csv_text(
-    spark: SparkSession, path: str, *, keep_order: bool = False, null_words: Sequence[str] = NULL_WORDS
+    spark: SparkSession,
+    path: str,
+    *,
+    keep_order: bool = False,
+    null_words: Sequence[str] = NULL_WORDS,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Every column as text, missing-value words as null.
 
+    Files are split over tasks unless cells hold line breaks, which a scan of the
+    lines finds out; ``multi_line`` says so beforehand.
+
     With ``keep_order`` the column ``__file_order`` sorts rows as they stand in the
     files: by file, by block, by place in the block.
     """
+    if multi_line is None:
+        multi_line = spans_lines(spark, path)
     raw = (
         spark.read.option("header", True)
-        .option("multiLine", False)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("emptyValue", "")
         .option("mode", "PERMISSIVE")
@@ -135,8 +151,12 @@ def read_sheet(
     return exclude_deleted(df, tombstones, dataset_id, sheet_name)
 
 
-def preview(df: DataFrame, order_by: Sequence[str], rows: int = PREVIEW_ROWS) -> DataFrame:
-    """The first rows along ``order_by``, dates as text, non-finite numbers as null."""
+def preview(df: DataFrame, order_by: Sequence[str] = (), rows: int = PREVIEW_ROWS) -> DataFrame:
+    """The first rows along ``order_by``, dates as text, non-finite numbers as null.
+
+    Without an order the first rows of the first part are taken, and no more of the
+    table is read than they need.
+    """
     out = []
     for f in df.schema.fields:
         col = q(f.name)
@@ -145,4 +165,5 @@ def preview(df: DataFrame, order_by: Sequence[str], rows: int = PREVIEW_ROWS) ->
         elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             col = as_number(col, f.dataType)
         out.append(col.alias(f.name))
-    return df.orderBy(*[sort_key(q(c)) for c in order_by]).limit(rows).select(*out)
+    first = df.orderBy(*[sort_key(q(c)) for c in order_by]) if order_by else df
+    return first.limit(rows).select(*out)

@@ -3,7 +3,7 @@ import pytest
 import pivotlake.operators.drill as drill_module
 import pivotlake.operators.tombstones as tombstone_module
 from pivotlake import PivotError, PivotSpec, pivot
-from pivotlake.functions.rowkeys import row_key
+from pivotlake.functions.rowkeys import row_hash, row_key
 from pivotlake.operators.drill import drilldown, drilldown_many, selections_of
 from pivotlake.operators.tombstones import (
     TOMBSTONE_SCHEMA,
@@ -47,6 +47,7 @@ def test_drilldown_counts_before_the_cap(sheet):
 def either_join(request, monkeypatch):
     if request.param == "shuffle":
         monkeypatch.setattr(drill_module, "BROADCAST_SELECTIONS", 0)
+        monkeypatch.setattr(drill_module, "PUSHED_SELECTIONS", 0)
         monkeypatch.setattr(tombstone_module, "BROADCAST_KEYS", 0)
     return request.param
 
@@ -81,6 +82,13 @@ def test_row_key_treats_null_and_empty_alike(spark):
     assert rows(swapped.select(row_key(swapped))) == rows(df.select(row_key(df)))
 
 
+def test_row_hash_follows_the_key(spark):
+    narrow = spark.createDataFrame([(1, "", 1.5), (2, "x", None)], "a int, b string, c double")
+    wide = narrow.selectExpr("CAST(a AS BIGINT) AS a", "nullif(b, '') AS b", "c")
+    for fn in (row_key, row_hash):
+        assert rows(narrow.select(fn(narrow))) == rows(wide.select(fn(wide)))
+
+
 def test_delete_removes_all_copies_and_is_repeatable(spark, sheet, tmp_path, either_join):
     where = {
         "dataset_id": 7,

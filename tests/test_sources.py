@@ -86,6 +86,11 @@ def test_csv_with_missing_words_and_types(spark, tmp_path):
     assert [str(v) for v in rows(typed.select("id", "score", "when"))[0]] == ["1", "1.50", "2024-01-02"]
 
 
+def test_csv_cells_may_hold_line_breaks(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    assert rows(read_csv(spark, str(tmp_path / "m.csv"))) == [(1, "x\ny"), (2, "z")]
+
+
 def test_csv_without_rows_is_an_error(spark, tmp_path):
     (tmp_path / "e.csv").write_text("a,b\n")
     with pytest.raises(PivotError):
@@ -98,6 +103,7 @@ def test_preview_is_ordered_and_text_dated(spark):
     df = spark.range(50).select("id", F.lit("2024-01-01").cast("timestamp_ntz").alias("d"), F.lit(float("inf")).alias("x"))
     shown = rows(preview(df.orderBy(F.desc("id")), ["id"]))
     assert len(shown) == 20 and shown[0] == (0, "2024-01-01 00:00:00", None)
+    assert preview(df).count() == 20
 
 
 def test_directory_first_address_wins_in_file_order(spark, tmp_path):

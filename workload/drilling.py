@@ -16,6 +16,7 @@ from pivotlake.operators.tombstones import (
     audit_search,
     delete_preview,
     exclude_deleted,
+    key_columns_of,
     plan_delete,
     purge_dataset,
     soft_delete,
@@ -175,7 +176,7 @@ def delete_copies(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     narrow = ("l_quantity", "l_linenumber", "l_returnflag", "l_linestatus")
     doomed = lines.where((F.col("l_returnflag") == "R") & (F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz")))
-    keys = _as_tombstones(doomed.select(row_key(lines, narrow).alias("source_key")).distinct())
+    keys = _as_tombstones(doomed.select(*key_columns_of(lines, narrow)).distinct())
     left = exclude_deleted(lines.select(*narrow), keys, 1, "Sheet1", narrow)
     return left.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
 

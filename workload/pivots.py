@@ -500,7 +500,7 @@ def hierarchy_compact(spark, sf_dir):
 )
 def pivot_counts(spark, sf_dir):
     spec = PivotSpec(rows=["Nation", "Segment"], values=["Amount"], filters={"Status": "O"})
-    return pivot(sales(spark, sf_dir), spec).counts
+    return pivot(sales(spark, sf_dir), spec, reuse=True).counts
 
 
 @query(
@@ -538,7 +538,7 @@ def sort_measure_topk(spark, sf_dir):
         FROM n ORDER BY "Nation", "Segment" LIMIT 40""",
 )
 def result_cap(spark, sf_dir):
-    result = pivot(sales(spark, sf_dir), PivotSpec(rows=["Nation", "Segment"], values=["Amount"]), ordered=False)
+    result = pivot(sales(spark, sf_dir), PivotSpec(rows=["Nation", "Segment"], values=["Amount"]), ordered=False, reuse=True)
     rows = plain(result.rows)
     return capped(rows, ordered(rows, {}, ["Nation", "Segment"]), 40)
 
