@@ -119,7 +119,8 @@ def _as_frames(df: DataFrame, selections, spec: PivotSpec) -> list[tuple[list[st
         made = spark.createDataFrame(texts, schema)
         for ok in valid:
             made = made.where(ok)
-        made = made.select(*casts)
+        # One partition, so counting repeated selections needs no exchange.
+        made = made.select(*casts).coalesce(1)
         frames.append((list(fields), made.groupBy(*made.columns).agg(F.count(F.lit(1)).alias(_HITS))))
     return frames
 

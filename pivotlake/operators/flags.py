@@ -15,7 +15,11 @@ from pivotlake.spec import Rule
 # Rank selection: pieces per narrowing step, and distinct values that are sorted at last.
 _PIECES = 256
 _VALUES_SORTED = 50_000
-_SALTS = 16
+# Duplicates: values with more rows than this are hot, the most frequent ones first. Any
+# other value has fewer rows, or less than one in _HOT_VALUES of all.
+_HOT_ROWS = 1_000_000
+_HOT_VALUES = 1000
+_DEAL = 1024
 
 
 def compare_flag(df: DataFrame, rule: Rule) -> Column:
@@ -72,25 +76,35 @@ def extreme_flag(df: DataFrame, field: str, name: str, *, top: bool, share: floa
 def duplicate_flag(df: DataFrame, field: str, name: str) -> DataFrame:
     """Flag cells whose text form occurs more than once; nulls never count.
 
-    Values are counted with partial aggregation and only repeated ones are joined
-    back, with salts so that one value held by a third of the rows is spread.
+    Values are counted with partial aggregation and the repeated ones are joined
+    back. The most frequent values are looked up in a broadcast of bounded size and
+    their rows are dealt over partitions by content, so no value makes a hot task.
     """
     text = q(field).cast("string")
-    repeated = (
-        df.where(q(field).isNotNull())
+    columns = [q(c) for c in df.columns]
+    repeated = materialise(
+        df.where(text.isNotNull())
         .groupBy(text.alias("__text"))
         .agg(F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") > 1)
-        .select("__text", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("__salt"), F.lit(True).alias("__hit"))
     )
-    salted = df.withColumns(
-        {"__text": text, "__salt": F.pmod(F.xxhash64(*[q(c) for c in df.columns]), F.lit(_SALTS)).cast("int")}
+    hot = (
+        repeated.where(F.col("__n") > _HOT_ROWS)
+        .orderBy(F.desc("__n"))
+        .limit(_HOT_VALUES)
+        .select("__text", F.lit(True).alias("__hot"))
     )
-    return (
-        salted.join(repeated, ["__text", "__salt"], "left")
-        .withColumn(name, F.coalesce(F.col("__hit"), F.lit(False)))
-        .select(*[q(c) for c in df.columns], q(name))
+    cold = repeated.select(F.col("__text").alias("__key"), F.lit(0).alias("__deal"), F.lit(True).alias("__hit"))
+    looked_up = df.withColumn("__text", text).join(F.broadcast(hot), "__text", "left")
+    is_hot = F.col("__hot").isNotNull()
+    dealt = looked_up.withColumns(
+        {
+            "__key": F.when(~is_hot, F.col("__text")),
+            "__deal": F.when(is_hot | F.col("__text").isNull(), F.pmod(F.xxhash64(*columns), F.lit(_DEAL)).cast("int")).otherwise(0),
+        }
     )
+    flag = F.coalesce("__hot", "__hit", F.lit(False)).alias(name)
+    return dealt.join(cold, ["__key", "__deal"], "left").select(*columns, flag)
 
 
 def apply_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:

@@ -29,6 +29,8 @@ AUDIT_SCHEMA = (
 
 # Keys up to this count are broadcast: 64 characters each, about 100 MB on an executor.
 BROADCAST_KEYS = 500_000
+# Hashes up to this count are broadcast: 8 bytes each, about 200 MB on an executor.
+BROADCAST_HASHES = 8_000_000
 
 # Above these counts a delete is tagged.
 LARGE, HUGE = 500, 2000
@@ -48,21 +50,31 @@ def exclude_deleted(
 ) -> DataFrame:
     """The rows of a sheet without its deleted ones; all identical copies go together.
 
-    Every read of a sheet passes here, so the cheap hash is the join key and the
-    SHA-256 key is only computed for rows whose hash is among the tombstones.
+    Every read of a sheet passes here, so the table should not be shuffled. Few
+    tombstones are broadcast whole; their cheap hash is the join key and the SHA-256
+    key is only computed for rows whose hash is among them. Of more tombstones only
+    the hashes are broadcast: they split off the suspect rows, about as many as were
+    deleted, and only those are joined by key. Beyond that everything is joined by key.
     """
     keys = (
         tombstones.where((F.col("dataset_id") == dataset_id) & (F.col("sheet_name") == sheet_name))
         .select(F.col(ROW_KEY).alias("__dead_key"), F.col(ROW_HASH).alias("__dead_hash"))
         .distinct()
     )
-    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+    n = keys.limit(BROADCAST_HASHES + 1).count()
+    if n <= BROADCAST_KEYS:
         # Both keys have 64 characters, so containing means equal; unlike an equality
         # it stays a condition behind the hash look-up.
         same = (row_hash(df, key_columns) == F.col("__dead_hash")) & F.col("__dead_key").contains(row_key(df, key_columns))
         return df.join(F.broadcast(keys), same, "left_anti")
-    keyed = df.withColumn(ROW_KEY, row_key(df, key_columns))
-    return anti_join_keys(keyed, keys.select(F.col("__dead_key").alias(ROW_KEY)), ROW_KEY).drop(ROW_KEY)
+    dead = keys.select(F.col("__dead_key").alias(ROW_KEY)).distinct()
+    suspects = df
+    if n <= BROADCAST_HASHES:
+        hashes = F.broadcast(keys.select("__dead_hash").distinct())
+        suspects = df.join(hashes, row_hash(df, key_columns) == F.col("__dead_hash"), "left_semi")
+        clear = df.join(hashes, row_hash(df, key_columns) == F.col("__dead_hash"), "left_anti")
+    kept = anti_join_keys(suspects.withColumn(ROW_KEY, row_key(df, key_columns)), dead, ROW_KEY).drop(ROW_KEY)
+    return clear.unionByName(kept) if n <= BROADCAST_HASHES else kept
 
 
 def anti_join_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:

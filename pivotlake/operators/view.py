@@ -36,10 +36,17 @@ def having(df: DataFrame, conditions: Mapping[str, Any]) -> DataFrame:
     return apply_filters(df, conditions)
 
 
-def collapse(df: DataFrame, collapsed: Iterable[str], kind: str = "row_kind", parent: str = "parent_key") -> DataFrame:
-    """Hide the leaf rows of collapsed groups; totals stay."""
+def collapse(
+    df: DataFrame, collapsed: Iterable[str] | DataFrame, kind: str = "row_kind", parent: str = "parent_key"
+) -> DataFrame:
+    """Hide the leaf rows of collapsed groups; totals stay. The groups are a list of
+    parent keys, or a table with the parent key as its only column."""
+    is_leaf = F.col(kind) == "leaf"
+    if isinstance(collapsed, DataFrame):
+        keys = collapsed.select(q(collapsed.columns[0]).alias("__parent")).distinct()
+        return df.join(keys, is_leaf & (F.col(parent) == F.col("__parent")), "left_anti")
     keys = list(collapsed)
-    hidden = (F.col(kind) == "leaf") & F.coalesce(F.col(parent).isin(keys), F.lit(False))
+    hidden = is_leaf & F.coalesce(F.col(parent).isin(keys), F.lit(False))
     return df.where(~hidden) if keys else df
 
 

@@ -126,6 +126,19 @@ class PivotResult:
         )
 
 
+    @cached_property
+    def statistics(self) -> DataFrame:
+        """One row: the counts with the settings they were computed under."""
+        grouped = ", ".join(f"{f}: {g}" for f, g in self.spec.date_grouping.items())
+        used = ", ".join(f"{m.aggregation}({m.field})" for m in self.measures)
+        return self.counts.select(
+            "*",
+            F.lit(self.spec.layout).alias("layout"),
+            F.lit(grouped).alias("date_grouping"),
+            F.lit(used).alias("aggregations"),
+        )
+
+
 def pivot(
     df: DataFrame,
     spec: PivotSpec,

@@ -43,12 +43,14 @@ def test_drilldown_counts_before_the_cap(sheet):
     assert drill_module.clamp(0) == 1 and drill_module.clamp(9999) == 5000
 
 
-@pytest.fixture(params=["broadcast", "shuffle"])
+@pytest.fixture(params=["broadcast", "hashes", "shuffle"])
 def either_join(request, monkeypatch):
-    if request.param == "shuffle":
+    if request.param != "broadcast":
         monkeypatch.setattr(drill_module, "BROADCAST_SELECTIONS", 0)
         monkeypatch.setattr(drill_module, "PUSHED_SELECTIONS", 0)
         monkeypatch.setattr(tombstone_module, "BROADCAST_KEYS", 0)
+    if request.param == "shuffle":
+        monkeypatch.setattr(tombstone_module, "BROADCAST_HASHES", 0)
     return request.param
 
 

@@ -64,6 +64,7 @@ def test_grand_total_is_a_true_average_over_filtered_rows(nulls5):
 def test_counts_before_and_after_filters(nulls5):
     spec = PivotSpec(rows=["Region"], columns=["Status"], values=["Q"], filters={"Region": {"notIn": ["N"]}})
     assert rows(pivot(nulls5, spec).counts) == [(5, 3, 2)]
+    assert rows(pivot(nulls5, spec).statistics) == [(5, 3, 2, "tabular", "", "sum(Q)")]
 
 
 def test_global_pivot_and_its_empty_form(nulls5):

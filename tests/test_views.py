@@ -112,6 +112,15 @@ def test_duplicates_and_comparisons(spark):
     assert out.count() == 5
 
 
+def test_hot_duplicates_are_found_by_look_up(spark, monkeypatch):
+    monkeypatch.setattr(flags, "_HOT_ROWS", 3)
+    monkeypatch.setattr(flags, "_HOT_VALUES", 1)
+    values = ["h"] * 9 + ["g"] * 5 + ["x", "x", "y", None, None]
+    df = spark.createDataFrame(list(enumerate(values)), "k int, t string")
+    out = flags.duplicate_flag(df, "t", "f")
+    assert out.count() == 19 and flagged(out) == list(range(16))
+
+
 def test_search_filter_page_and_cap(spark):
     df = spark.createDataFrame([(i, f"Item {i % 3}", i * 10) for i in range(7)], "k int, name string, v int")
     assert [r[0] for r in rows(quick_search(df, "item  1 4"))] == [4]
@@ -131,6 +140,7 @@ def test_collapsing_keeps_totals(spark):
     assert [r[0] for r in rows(collapse(df, ["a"]))] == ["a", "b1", "t", "r"]
     assert [r[0] for r in rows(collapse_all(df))] == ["a", "t", "r"]
     assert collapse(df, []).count() == 5
+    assert sorted(r[0] for r in rows(collapse(df, df.where("k = 'b1'").select("parent_key")))) == ["a", "a1", "r", "t"]
 
 
 def test_export_ends_with_the_grand_total(spark):

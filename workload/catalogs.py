@@ -186,7 +186,7 @@ def landed_files(spark, sf_dir):
     path = new_folder(spark, "landed")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     customers.write.option("header", True).csv(f"{path}/good")
-    customers.withColumn("c_name", F.concat("c_name", F.lit("\x00"))).write.option("header", True).csv(f"{path}/nul")
+    customers.withColumn("c_name", F.concat(F.lit("c\x00"), "c_name")).write.option("header", True).csv(f"{path}/nul")
     customers.select("c_name").write.text(f"{path}/plain")
     audited = audit_files(spark, path)
     return audited.groupBy("suffix", "verdict").agg(
