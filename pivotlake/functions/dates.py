@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from datetime import date, timedelta
+
 from pyspark.sql import Column, functions as F, types as T
 
 from pivotlake.functions.names import is_date
@@ -34,27 +37,84 @@ def as_timestamp(col: Column, dtype: T.DataType) -> Column:
     return col if is_date(dtype) else parse_timestamp(col)
 
 
-def bucket(col: Column, dtype: T.DataType, grain: str) -> Column:
-    """The label of ``grain`` for each value; null where there is no date."""
-    ts = as_timestamp(col, dtype)
+def code(ts: Column, grain: str) -> Column:
+    """The bucket of a date as a small number, or a date for days: cheap to compute per
+    row, to group by and to shuffle. :func:`label` makes it text afterwards."""
+    day = ts.cast("date")
     if grain == "year":
-        return F.date_format(ts, "yyyy")
+        return F.year(day)
     if grain == "quarter":
-        return F.concat(F.date_format(ts, "yyyy"), F.lit("-Q"), F.quarter(ts).cast("string"))
+        return F.year(day) * 4 + F.quarter(day) - 1
     if grain == "month":
-        return F.date_format(ts, "yyyy-MM")
+        return F.year(day) * 12 + F.month(day) - 1
     if grain == "week":
-        iso_year = F.date_part(F.lit("YEAROFWEEK"), ts)
-        return F.concat(
-            F.lpad(iso_year.cast("string"), 4, "0"),
-            F.lit("-W"),
-            F.lpad(F.weekofyear(ts).cast("string"), 2, "0"),
-        )
+        return F.date_part(F.lit("YEAROFWEEK"), day) * 100 + F.weekofyear(day)
     if grain == "day":
-        return F.date_format(ts, "yyyy-MM-dd")
+        return day
     raise ValueError(f"unknown date grain: {grain}")
 
 
+def label(bucket_code: Column, grain: str) -> Column:
+    """The text of a bucket code; null stays null."""
+
+    def digits(number: Column, width: int) -> Column:
+        text = number.cast("int").cast("string")
+        return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
+
+    if grain == "year":
+        return digits(bucket_code, 4)
+    if grain == "quarter":
+        return F.concat(digits(F.floor(bucket_code / 4), 4), F.lit("-Q"), digits(bucket_code % 4 + 1, 1))
+    if grain == "month":
+        return F.concat(digits(F.floor(bucket_code / 12), 4), F.lit("-"), digits(bucket_code % 12 + 1, 2))
+    if grain == "week":
+        return F.concat(digits(F.floor(bucket_code / 100), 4), F.lit("-W"), digits(bucket_code % 100, 2))
+    return F.date_format(bucket_code, "yyyy-MM-dd")
+
+
+# The buckets a single date pattern writes.
+_PATTERNS = {"year": "yyyy", "month": "yyyy-MM", "day": "yyyy-MM-dd"}
+
+
+def bucket(col: Column, dtype: T.DataType, grain: str) -> Column:
+    """The label of ``grain`` for each value; null where there is no date."""
+    ts = as_timestamp(col, dtype)
+    if grain in _PATTERNS:
+        return F.date_format(ts, _PATTERNS[grain])
+    return label(code(ts, grain), grain)
+
+
+_LABELS = {
+    "year": r"(\d{4})",
+    "quarter": r"(\d{4})-Q([1-4])",
+    "month": r"(\d{4})-(0[1-9]|1[0-2])",
+    "week": r"(\d{4})-W(\d{2})",
+    "day": r"(\d{4})-(\d{2})-(\d{2})",
+}
+
+
+def label_range(text: str, grain: str) -> tuple[date, date] | None:
+    """The first day of a bucket and the first day after it; None for text that is no
+    label. A range is what a scan can skip row groups by."""
+    found = re.fullmatch(_LABELS[grain], text)
+    if not found:
+        return None
+    parts = [int(g) for g in found.groups()]
+    try:
+        if grain == "week":
+            start = date.fromisocalendar(*parts, 1)
+            return start, start + timedelta(days=7)
+        if grain == "day":
+            start = date(*parts)
+            return start, start + timedelta(days=1)
+        months = {"year": 12, "quarter": 3, "month": 1}[grain]
+        first = (parts[1] - 1) * months if len(parts) > 1 else 0
+        after = parts[0] * 12 + first + months
+        return date(parts[0], first + 1, 1), date(after // 12, after % 12 + 1, 1)
+    except (ValueError, OverflowError):
+        return None
+
+
 def display_name(field: str, grain: str) -> str:
     return f"{field}_{grain}"
 

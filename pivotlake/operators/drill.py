@@ -135,13 +135,19 @@ def _text(value: Any) -> str:
 
 def _joined(base: DataFrame, fields: Sequence[str], keys: DataFrame, spec: PivotSpec, small: bool, hits: str) -> DataFrame:
     """Left join of the raw rows with the selections of one field set."""
-    on = None
+    # The keys are projected first; inside a null-safe join condition each would be
+    # computed twice per row.
+    given = {}
     for i, field in enumerate(fields):
         col, dtype = group_column(base, field, spec.date_grouping)
-        same = _null_safe_key(col, dtype).eqNullSafe(F.col(f"__sel{i}"))
+        given[f"__key{i}"] = col if field in spec.date_grouping else _null_safe_key(col, dtype)
+    base = base.withColumns(given)
+    on = None
+    for i in range(len(fields)):
+        same = F.col(f"__key{i}").eqNullSafe(F.col(f"__sel{i}"))
         on = same if on is None else on & same
     keys = keys.withColumnRenamed(_HITS, hits)
-    sel = [f"__sel{i}" for i in range(len(fields))]
+    sel = [*given, *(f"__sel{i}" for i in range(len(fields)))]
     if small:
         return base.join(F.broadcast(keys), on, "left").drop(*sel)
     repeated = keys.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))

@@ -14,8 +14,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pivotlake.errors import PivotError
-from pivotlake.functions.dates import bucket, display_name
-from pivotlake.functions.names import all_of, any_of, is_text, q
+from pivotlake.functions.dates import bucket, display_name, label_range
+from pivotlake.functions.names import all_of, any_of, is_date, is_text, q
 from pivotlake.spec import BLANK
 
 
@@ -124,6 +124,10 @@ def selection_condition(
         field = resolve_field(df, name, date_grouping)
         if field is None:
             continue
+        raw_type = df.schema[field].dataType
+        if field in date_grouping and is_date(raw_type) and expected not in (None, BLANK):
+            parts.append(_inside_bucket(q(field), raw_type, str(expected), date_grouping[field]))
+            continue
         col, dtype = group_column(df, field, date_grouping)
         if expected is None:
             parts.append(col.isNull())
@@ -136,6 +140,15 @@ def selection_condition(
     return all_of(parts)
 
 
+def _inside_bucket(col: Column, dtype: T.DataType, text: str, grain: str) -> Column:
+    """The dates of one bucket as a range, which reaches the scan."""
+    days = label_range(text, grain)
+    if days is None:
+        return F.lit(False)
+    first, after = (typed(d, dtype) for d in days)
+    return (col >= first) & (col < after)
+
+
 def any_selection(
     df: DataFrame, selections: Sequence[Mapping[str, Any]], date_grouping: Mapping[str, str]
 ) -> Column:

@@ -16,9 +16,10 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pivotlake.errors import PivotError
+from pivotlake.functions.dates import as_timestamp, code, label
 from pivotlake.functions.names import all_of, any_of, is_numeric, is_text, q
 from pivotlake.operators import measures as ms
-from pivotlake.operators.filters import apply_filters, group_column
+from pivotlake.operators.filters import apply_filters
 from pivotlake.operators.ordering import POSITION, forward_fill, sort_key, with_position
 from pivotlake.plans.checks import require_valid
 from pivotlake.session import can_materialise, materialise
@@ -160,12 +161,14 @@ def pivot(
     types = {m.field: df.schema[m.field].dataType for m in measures}
     base = apply_filters(df, spec.filters)
 
-    row_keys, row_types = _group_keys(base, spec, spec.rows, "__row")
-    col_keys, _ = _group_keys(base, spec, spec.columns, "__col")
-    long = base.groupBy(*row_keys, *col_keys).agg(
+    row_keys, row_labels, row_types = _group_keys(base, spec, spec.rows, "__row")
+    col_keys, col_labels, _ = _group_keys(base, spec, spec.columns, "__col")
+    grouped = base.groupBy(*row_keys, *col_keys).agg(
         F.count(F.lit(1)).alias(_ROWS_SEEN),
         *[c for i, m in enumerate(measures) for c in ms.partial(i, m, types[m.field])],
-    ).where(F.col(_ROWS_SEEN) > 0)
+    )
+    states = grouped.columns[len(row_keys) + len(col_keys):]
+    long = grouped.where(F.col(_ROWS_SEEN) > 0).select(*row_labels, *col_labels, *states)
 
     if reuse is None:
         reuse = bool(spec.columns) and can_materialise(df.sparkSession)
@@ -207,19 +210,32 @@ def pivot_cells(result: PivotResult) -> DataFrame:
 # Grouping -----------------------------------------------------------------------
 
 
-def _group_keys(df, spec, fields, prefix) -> tuple[list[Column], list[T.DataType]]:
-    """Group expressions; null text becomes the blank label, other keys stay null
-    unless the definition asks for text."""
-    keys, types = [], []
+def _group_keys(df, spec, fields, prefix) -> tuple[list[Column], list[Column], list[T.DataType]]:
+    """Group expressions over raw rows, the labels made of them afterwards, and types.
+
+    Date buckets are grouped as numbers and become text once per group. Null text
+    becomes the blank label; other keys stay null unless the definition asks for text.
+    """
+    keys, labels, types = [], [], []
     for i, name in enumerate(fields):
-        col, dtype = group_column(df, name, spec.date_grouping)
-        if spec.blank_as_text and not is_text(dtype):
-            col, dtype = col.cast("string"), T.StringType()
+        key = f"{prefix}{i}"
+        dtype = df.schema[name].dataType
+        grain = spec.date_grouping.get(name)
+        if grain:
+            keys.append(code(as_timestamp(q(name), dtype), grain).alias(key))
+            labels.append(F.coalesce(label(F.col(key), grain), F.lit(BLANK)).alias(key))
+            types.append(T.StringType())
+            continue
+        as_text = is_text(dtype) or spec.blank_as_text
         if is_text(dtype):
-            col = F.coalesce(col, F.lit(BLANK))
-        keys.append(col.alias(f"{prefix}{i}"))
-        types.append(dtype)
-    return keys, types
+            # Before grouping: a null and the literal label are one group.
+            keys.append(F.coalesce(q(name), F.lit(BLANK)).alias(key))
+            labels.append(F.col(key))
+        else:
+            keys.append(q(name).alias(key))
+            labels.append(F.coalesce(F.col(key).cast("string"), F.lit(BLANK)).alias(key) if as_text else F.col(key))
+        types.append(T.StringType() if as_text else dtype)
+    return keys, labels, types
 
 
 def _drop_empty_groups(long: DataFrame, measures: list[Measure]) -> DataFrame:

@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 
 from pivotlake import PivotError
+from pivotlake.functions.dates import bucket, code, label, label_range
 from pivotlake.operators.filters import apply_filters, distinct_values, selection_condition
 from tests.conftest import rows
 
@@ -85,3 +86,31 @@ def test_decimal_literals_are_not_rounded(spark):
     df = spark.sql("SELECT CAST(1.12 AS DECIMAL(10,2)) AS v")
     assert rows(apply_filters(df, {"v": {"from": 1.125}})) == []
     assert len(rows(apply_filters(df, {"v": 1.12}))) == 1
+
+
+@pytest.mark.parametrize("grain", ["year", "quarter", "month", "week", "day"])
+def test_bucket_ranges_agree_with_labels(spark, grain):
+    """Selecting a bucket by its range finds the rows that carry its label."""
+    days = spark.range(0, 1500).selectExpr("dateadd(DATE'2019-11-20', int(id)) AS d").selectExpr(
+        "CAST(d AS TIMESTAMP_NTZ) + INTERVAL '23:59:59.999999' HOUR TO SECOND AS d"
+    )
+    text = bucket(days["d"], days.schema["d"].dataType, grain)
+    by_label = {r[0]: r[1] for r in days.groupBy(text.alias("l")).count().collect()}
+    assert days.where(text != label(code(days["d"], grain), grain)).isEmpty()
+    for text in sorted(by_label)[:: max(1, len(by_label) // 12)]:
+        first, after = label_range(text, grain)
+        found = days.where(selection_condition(days, {f"d_{grain}": text}, {"d": grain}))
+        assert found.count() == by_label[text], text
+        assert first < after
+
+
+def test_text_that_is_no_label_selects_nothing(df):
+    assert label_range("2024-13", "month") is None and label_range("2023-W54", "week") is None
+    assert keys(df.where(selection_condition(df, {"d_month": "soon"}, {"d": "month"}))) == []
+
+
+def test_bucket_selection_reaches_the_scan(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    picked = orders.where(selection_condition(orders, {"o_orderdate": "1996-Q2"}, {"o_orderdate": "quarter"}))
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate,1996-04-01" in plan
