@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pivotlake.llm import chat, decontaminate, mixing
+from pivotlake.llm import chat, decontaminate, language, licenses, mixing, near_duplicates, neighbours, substrings, token_ids, toxicity
 from pivotlake.llm.tables import table
 
 QUERIES = {}
@@ -59,6 +60,54 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents).select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    return toxicity.scored(documents, model).select("row.doc_id", toxicity.held_out("row.doc_id").alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scanned(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("found").cast("bigint").alias("n_licenses"),
+        F.array_join("found.license", ",").alias("licenses"),
+        F.array_max("found.containment").alias("containment"),
+        F.array_min("found.word").alias("first_word"),
+    )
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = language.identified(documents, language.fit(documents))
+    return found.select("row.doc_id", language.held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_ids.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_ids.read_documents(shards)
+
+
+@query
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 ORACLES["op6_chat_formatting"] = r"""
 WITH given AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
