@@ -17,6 +17,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -135,9 +136,7 @@ def identified(documents: DataFrame, profiles: dict[str, dict[str, int]], profil
     """
 
     @F.pandas_udf("lang string, score double")
-    def predict(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         classifier = Classifier(profiles, profile)
         for texts in batches:
             yield pd.DataFrame([classifier.predict(t) for t in texts], columns=["lang", "score"])

@@ -96,7 +96,7 @@ class Library:
                 starts = np.arange(0, len(part), step)
                 least = np.minimum.reduceat(part[None] * _MULTIPLIERS[:, None], starts, axis=1)
                 window = least.copy()
-                for shift in range(1, reach):
+                for shift in range(1, min(reach, window.shape[1])):
                     window[:, : window.shape[1] - shift] = np.minimum(window[:, : window.shape[1] - shift], least[:, shift:])
                 met = set()
                 for band, row in zip(bands, window, strict=True):

@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -168,9 +169,7 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
     """
 
     @F.pandas_udf("double")
-    def score(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = Terms()
         for texts in batches:
             yield pd.Series(model.score([model.known(known.of(t)) for t in texts]))
