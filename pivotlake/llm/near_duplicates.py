@@ -42,6 +42,8 @@ SHORT, SHORT_SAMPLE, SHORT_BANDS = 16, 2, 24
 # So many ids are sent to all tasks at most; beyond, texts are shuffled.
 FEW_IDS = 500_000
 CELLS = 1 << 20
+# Ids from here on are made for rows that have none.
+NO_ID = 1 << 62
 
 
 def shingles(text: bytes, known: WordCodes) -> np.ndarray:
@@ -111,12 +113,17 @@ def similarity(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> fl
     return aligned / (total - aligned) if aligned >= need else 0.0
 
 
+def _id():
+    """The doc_id; a null one becomes a large number made from the text."""
+    made = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(1)), 2) + F.lit(NO_ID)
+    return F.coalesce(F.col("doc_id").cast("bigint"), made)
+
+
 def _rows(documents: DataFrame) -> DataFrame:
-    """id, two codes of the text, and the text. A null id becomes a large id made from the text."""
+    """id, two codes of the text, and the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    made = F.shiftrightunsigned(F.xxhash64(text, F.lit(1)), 2) + F.lit(1 << 62)
     return documents.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), made).alias("id"), F.col("doc_id").isNull().alias("made"), F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"), utf8().alias("text")
+        _id().alias("id"), F.col("doc_id").isNull().alias("made"), F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"), utf8().alias("text")
     )
 
 
@@ -168,17 +175,8 @@ def _pair(x: str, nx: str, y: str, ny: str, rows: DataFrame) -> DataFrame:
     return rows.where((F.col(x) != F.col(y)) & fits).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """One row per row of ``documents`` (doc_id, text): doc_id, class_id, text_id, n_links.
-
-    Texts are linked if they are equal or their similarity is 0.8 or more; classes are
-    the connected components of links. class_id is the least doc_id of the class, text_id
-    the least doc_id of the rows with the very same text, n_links the number of verified
-    links of that text to different texts. Rows that share an id count as one document.
-    Rows without an id take part; their class_id is null if no row of the class has an
-    id. Texts without words, and nulls, are equal to nothing: their class_id is their
-    own doc_id. Other columns are ignored.
-    """
+def _classes(documents: DataFrame) -> DataFrame:
+    """Per row: id, made, class_of (the least id of the class), text_id and n_links."""
     rows = _rows(documents)
     sketched = stored(rows.mapInArrow(_sketch_rows, "id bigint, made boolean, h1 bigint, h2 int, n int, keys array<bigint>"), "sketches")
     worded = sketched.where("n > 0")
@@ -209,25 +207,38 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     classes = labels.join(degree, "node").withColumnRenamed("node", "text_node")
-    real = lambda c: F.when(F.col(c) < (1 << 62), F.col(c))
-    doc_id = F.when(~F.col("made"), F.col("id")).alias("doc_id")
     grouped = own.join(classes, F.col("node") == F.col("text_node"), "left").select(
-        doc_id, real("label").alias("label"), F.col("label").isNull().alias("alone"), real("node").alias("text_id"), "n_links"
+        "id", "made", F.coalesce("label", "node").alias("class_of"), F.col("node").alias("text_id"), "n_links"
+    )
+    empty = sketched.where("n = 0").select("id", "made", F.col("id").alias("class_of"), F.col("id").alias("text_id"), F.lit(0).alias("n_links"))
+    return grouped.union(empty)
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """One row per row of ``documents`` (doc_id, text): doc_id, class_id, text_id, n_links.
+
+    Texts are linked if they are equal or their similarity is 0.8 or more; classes are
+    the connected components of links. class_id is the least doc_id of the class, text_id
+    the least doc_id of the rows with the very same text, n_links the number of verified
+    links of that text to different texts. Rows that share an id count as one document.
+    Rows without an id take part; their class_id is null if no row of the class has an
+    id. Texts without words, and nulls, are equal to nothing: their class_id is their
+    own doc_id. Other columns are ignored.
+    """
+    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
+    found = _classes(documents).withColumnRenamed("class_of", "class_id")
+    return found.select(
+        F.when(~F.col("made"), F.col("id")).alias("doc_id"), real("class_id"), real("text_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")
     )
-    grouped = grouped.select("doc_id", F.when(F.col("alone"), F.col("text_id")).otherwise(F.col("label")).alias("class_id"), "text_id", "n_links")
-    empty = sketched.where("n = 0").select(doc_id).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("text_id"), F.lit(0).alias("n_links"))
-    return grouped.union(empty).withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("bigint"))
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """``documents`` with one row of each class, the one with the least doc_id, all columns kept.
 
-    Rows of one id are one document: the row of the least text stays, nulls last. Rows
-    without an id stay only if they are in no class with an id; of equal ones all stay.
+    Rows of one id are one document: the row of the least code of its text stays. Rows
+    without an id are known by their texts, and come after all ids.
     """
-    leads = near_duplicates(documents).where("doc_id <=> class_id").select(F.col("doc_id").alias("lead")).distinct()
-    rows = documents.select("doc_id", F.xxhash64("text").alias("code"), F.struct("*").alias("row"))
-    kept = rows.join(leads, F.col("doc_id").eqNullSafe(F.col("lead"))).drop("lead")
-    # One row an id: the least code of its text and the rest of the row.
-    best = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by("row", F.struct("code", F.xxhash64("row"))).alias("row"))
-    return best.select("row.*").unionByName(kept.where("doc_id IS NULL").select("row.*"))
+    leads = _classes(documents).where("id = class_of").select(F.col("id").alias("lead")).distinct()
+    rows = documents.select(_id().alias("id"), F.xxhash64("text").alias("code"), F.struct("*").alias("row"))
+    kept = rows.join(leads, F.col("id") == F.col("lead"))
+    return kept.groupBy("id").agg(F.min_by("row", F.struct("code", F.xxhash64("row"))).alias("row")).select("row.*")

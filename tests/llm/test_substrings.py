@@ -63,7 +63,7 @@ def test_batches_cut_anywhere():
     import pyarrow as pa
 
     rng = np.random.default_rng(0)
-    rows = sorted({tuple(int(x) for x in r) for r in np.stack([rng.integers(0, 6, 300), rng.integers(0, 3, 300), rng.integers(0, 20, 300), rng.integers(0, 9, 300) << 28]).T})
+    rows = sorted({tuple(int(x) for x in r) for r in np.stack([rng.integers(0, 6, 300), rng.integers(0, 3, 300), rng.permutation(300), rng.integers(0, 9, 300) << 28]).T})
     columns = list(zip(*rows))
     for size in (1, 2, 7, 300):
         batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in columns], schema=substrings._RUNS) for i in range(0, len(rows), size)]
