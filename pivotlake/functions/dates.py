@@ -12,25 +12,40 @@ from pivotlake.functions.names import is_date
 GRAINS = ("year", "quarter", "month", "week", "day")
 
 _ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}"
-_SLASH_DATE = r"^(\d{1,2})/(\d{1,2})/(\d{4})"
+# Numbers only: year first or compact, or month, day and year, as the parts of an ISO date.
+_NUMBERED = (
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})(?!\d)", "$1-$2-$3"),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})(?!\d)", "$3-$1-$2"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+)
+# With a month name: the pattern, and its groups of year, month, day and time.
+_NAMED = (
+    (r"^(\d{1,2})[- ]([A-Za-z]{3,9})\.?[-, ]+(\d{4})(?!\d)(.*)$", (3, 2, 1, 4)),
+    (r"^([A-Za-z]{3,9})\.? (\d{1,2}),? (\d{4})(?!\d)(.*)$", (3, 1, 2, 4)),
+)
+_MONTHS = "january february march april may june july august september october november december".split()
+_HALF_DAY = r"(?i)(\d) ?([ap]m)$"
+_HALF_DAY_FORMATS = ("yyyy-M-d h:mm a", "yyyy-M-d h:mm:ss a")
 
 
 def parse_timestamp(col: Column) -> Column:
     """Text to a zone-free timestamp, null where it is not a date.
 
-    ISO dates and month/day/year dates are read. The pattern keeps plain numbers
-    from being taken for years.
+    Read are ISO dates, year/month/day, month/day/year, eight digits, and dates with an
+    English month name before or after the day; a time may follow, also of 12 hours.
     """
     text = F.trim(col.cast("string"))
-    iso = F.when(F.instr(text, "/") > 0, F.regexp_replace(text, _SLASH_DATE, "$3-$1-$2")).otherwise(text)
-    return F.when(iso.rlike(_ISO_DATE), iso).try_cast("timestamp_ntz")
-
-
-def timestamp_sql(operand: str) -> str:
-    """:func:`parse_timestamp` as SQL text over a quoted column name."""
-    text = f"trim({operand})"
-    iso = f"CASE WHEN instr({text}, '/') > 0 THEN regexp_replace({text}, r'{_SLASH_DATE}', '$3-$1-$2') ELSE {text} END"
-    return f"try_cast(CASE WHEN ({iso}) RLIKE r'{_ISO_DATE}' THEN ({iso}) END AS TIMESTAMP_NTZ)"
+    iso = F.when(text.rlike(_ISO_DATE), text)
+    for pattern, parts in _NUMBERED:
+        iso = iso.when(text.rlike(pattern), F.regexp_replace(text, pattern, parts))
+    months = F.create_map(*[F.lit(x) for i, m in enumerate(_MONTHS, 1) for name in {m, m[:3], "sept" if i == 9 else m} for x in (name, i)])
+    for pattern, (year, month, day, time) in _NAMED:
+        part = lambda group: F.regexp_extract(text, pattern, group)  # noqa: B023, E731
+        number = F.try_element_at(months, F.lower(part(month))).cast("string")
+        iso = iso.when(text.rlike(pattern), F.concat(part(year), F.lit("-"), number, F.lit("-"), part(day), part(time)))
+    spaced = F.regexp_replace(iso, _HALF_DAY, "$1 $2")
+    half = F.coalesce(*[F.try_to_timestamp(spaced, F.lit(f)) for f in _HALF_DAY_FORMATS]).cast("timestamp_ntz")
+    return F.when(iso.rlike(_HALF_DAY), half).otherwise(iso.try_cast("timestamp_ntz"))
 
 
 def as_timestamp(col: Column, dtype: T.DataType) -> Column:

@@ -43,6 +43,20 @@ def is_text(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.StringType, T.CharType, T.VarcharType))
 
 
+def is_float(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.FloatType, T.DoubleType))
+
+
+def missing(col: Column, dtype: T.DataType) -> Column:
+    """Whether a value is missing: null, or not a number."""
+    return col.isNull() | F.isnan(col) if is_float(dtype) else col.isNull()
+
+
+def present(col: Column, dtype: T.DataType) -> Column:
+    """The value, null where it is missing."""
+    return F.when(~F.isnan(col), col) if is_float(dtype) else col
+
+
 def catalog_type(dtype: T.DataType) -> str:
     """The catalog's word for a Spark type."""
     if isinstance(dtype, T.BooleanType):

@@ -36,8 +36,15 @@ def invalid_addresses(items: Column) -> Column:
 
 
 def json_list(col: Column) -> Column:
-    """A JSON array as texts; nulls and empty items dropped, anything else is empty."""
-    items = F.filter(F.from_json(col, "array<string>"), lambda x: x.isNotNull() & ~x.isin("", "0", "false", "[]", "{}"))
+    """A JSON array as texts; nulls, empty items, zeros and false dropped, texts kept as
+    they are. Anything but an array is empty."""
+    typed = F.try_variant_get(F.try_parse_json(col), "$", "array<variant>")
+    # A text "0" differs from the number 0 in its type only.
+    is_word = F.transform(typed, lambda x: F.schema_of_variant(x) == "STRING")
+    items = F.filter(
+        F.from_json(col, "array<string>"),
+        lambda x, i: x.isNotNull() & (x != "") & (is_word[i] | ~x.isin("0", "0.0", "false", "[]", "{}")),
+    )
     return F.when(F.ltrim(col).startswith("["), F.coalesce(items, F.array().cast("array<string>"))).otherwise(
         F.array().cast("array<string>")
     )

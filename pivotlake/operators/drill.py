@@ -9,15 +9,18 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pivotlake.errors import PivotError
-from pivotlake.functions.names import is_text, q
+from pivotlake.functions.names import is_text, present, q
 from pivotlake.operators.filters import (
     any_selection,
     apply_filters,
+    given_as,
     group_column,
     resolve_field,
+    selected_text,
     selection_condition,
 )
 from pivotlake.operators.ordering import sort_key
+from pivotlake.session import materialise
 from pivotlake.spec import BLANK, HEADER_JOIN, PivotSpec
 
 # Rows of one drill-down window.
@@ -28,8 +31,7 @@ MOST_ROWS = 5000
 BROADCAST_SELECTIONS = 100_000
 # Up to this count they also become a predicate that can skip row groups of the scan.
 PUSHED_SELECTIONS = 32
-_SALTS = 16
-_HITS, _COPIES, _SALT = "__hits", "__copies", "__salt"
+_HITS = "__hits"
 
 
 @dataclass
@@ -38,10 +40,12 @@ class Drilldown:
 
     rows: DataFrame
     matched: DataFrame
+    limit: int | None = None
 
-
-def clamp(limit: int) -> int:
-    return max(1, min(limit, MOST_ROWS))
+    @property
+    def truncated(self) -> DataFrame:
+        """One row: whether rows were left out by the cap."""
+        return self.matched.select((F.lit(False) if self.limit is None else F.col("matched_rows") > self.limit).alias("truncated"))
 
 
 def drilldown(
@@ -50,13 +54,20 @@ def drilldown(
     selection: Mapping[str, Any],
     order_by: Sequence[str],
     limit: int = DEFAULT_ROWS,
+    ceiling: int | None = MOST_ROWS,
 ) -> Drilldown:
-    """The raw rows behind one pivot row, the first ``limit`` along ``order_by``."""
+    """The raw rows behind one pivot row, the first ``limit`` along ``order_by``.
+
+    No more than ``ceiling`` rows are given, None being no ceiling; ``truncated`` tells
+    whether any were left out.
+    """
+    limit = max(1, limit if ceiling is None else min(limit, ceiling))
     found = apply_filters(df, spec.filters)
     found = found.where(selection_condition(found, selection, spec.date_grouping))
     return Drilldown(
-        found.orderBy(*[sort_key(q(c)) for c in order_by]).limit(clamp(limit)),
+        found.orderBy(*[sort_key(q(c)) for c in order_by]).limit(limit),
         found.agg(F.count(F.lit(1)).alias("matched_rows")),
+        limit,
     )
 
 
@@ -73,7 +84,7 @@ def selections_of(rows: DataFrame, spec: PivotSpec, headers: Sequence[str] = ())
 
 def _null_safe_key(col: Column, dtype: T.DataType) -> Column:
     """Group keys as compared: blank text and null are the same group."""
-    return F.nullif(col, F.lit(BLANK)) if is_text(dtype) else col
+    return F.nullif(col, F.lit(BLANK)) if is_text(dtype) else present(col, dtype)
 
 
 def _as_frames(df: DataFrame, selections, spec: PivotSpec) -> list[tuple[list[str], DataFrame]]:
@@ -87,7 +98,7 @@ def _as_frames(df: DataFrame, selections, spec: PivotSpec) -> list[tuple[list[st
         keys = []
         for i, (field, name) in enumerate(named.items()):
             _, dtype = group_column(df, field, spec.date_grouping)
-            given = q(name).try_cast(dtype)
+            given = given_as(q(name), selections.schema[name].dataType, dtype)
             keys.append(_null_safe_key(given, dtype).alias(f"__sel{i}"))
         frame = selections.select(*keys)
         return [(list(named), frame.groupBy(*frame.columns).agg(F.count(F.lit(1)).alias(_HITS)))]
@@ -98,7 +109,7 @@ def _as_frames(df: DataFrame, selections, spec: PivotSpec) -> list[tuple[list[st
         for name, value in selection.items():
             field = resolve_field(df, name, spec.date_grouping)
             if field is not None:
-                entry[field] = None if value is None or value == BLANK else value
+                entry[field] = None if value is None or value == BLANK or value != value else value
         if selection and not entry:
             continue
         fields = tuple(sorted(entry))
@@ -109,12 +120,14 @@ def _as_frames(df: DataFrame, selections, spec: PivotSpec) -> list[tuple[list[st
             raise PivotError("an empty selection would match every row")
         # The list is a request by a person; its rows travel as text and are cast once.
         schema = T.StructType([T.StructField(f"t{i}", T.StringType()) for i in range(len(fields))])
-        texts = [tuple(None if v is None else _text(v) for v in e) for e in entries]
+        types = [group_column(df, f, spec.date_grouping)[1] for f in fields]
+        # A value that is none of the column's type must match nothing, not nulls.
+        entries = [e for e in entries if all(v is None or selected_text(v, t) is not None for v, t in zip(e, types))]
+        texts = [tuple(None if v is None else selected_text(v, t) for v, t in zip(e, types)) for e in entries]
         casts = [
-            F.col(f"t{i}").try_cast(group_column(df, f, spec.date_grouping)[1]).alias(f"__sel{i}")
-            for i, f in enumerate(fields)
+            F.col(f"t{i}").try_cast(t).alias(f"__sel{i}")
+            for i, t in enumerate(types)
         ]
-        # Text that is no value of the column's type must match nothing, not nulls.
         valid = [F.col(f"t{i}").isNull() | c.isNotNull() for i, c in enumerate(casts)]
         made = spark.createDataFrame(texts, schema)
         for ok in valid:
@@ -125,14 +138,6 @@ def _as_frames(df: DataFrame, selections, spec: PivotSpec) -> list[tuple[list[st
     return frames
 
 
-def _text(value: Any) -> str:
-    if isinstance(value, bool):
-        return str(value).lower()
-    if isinstance(value, float) and value.is_integer():
-        return str(int(value))
-    return value.isoformat() if hasattr(value, "isoformat") else str(value)
-
-
 def _joined(base: DataFrame, fields: Sequence[str], keys: DataFrame, spec: PivotSpec, small: bool, hits: str) -> DataFrame:
     """Left join of the raw rows with the selections of one field set."""
     # The keys are projected first; inside a null-safe join condition each would be
@@ -148,10 +153,7 @@ def _joined(base: DataFrame, fields: Sequence[str], keys: DataFrame, spec: Pivot
         on = same if on is None else on & same
     keys = keys.withColumnRenamed(_HITS, hits)
     sel = [*given, *(f"__sel{i}" for i in range(len(fields)))]
-    if small:
-        return base.join(F.broadcast(keys), on, "left").drop(*sel)
-    repeated = keys.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    return base.join(repeated, on & (F.col(_SALT) == F.col("__s")), "left").drop(*sel, "__s")
+    return base.join(F.broadcast(keys) if small else keys, on, "left").drop(*sel)
 
 
 def matched_hits(
@@ -160,9 +162,8 @@ def matched_hits(
     """The filtered rows some selection matches, with the number of matches.
 
     Few selections are broadcast and the table is not shuffled. Many are joined by a
-    shuffle, where one group may hold a third of the rows: copies of a row are counted
-    together first, and the rows are dealt over salts by their content, which a
-    repeated task computes the same again.
+    shuffle; they are distinct, so the rows of a group that holds a third of the table
+    can be split over tasks.
     """
     base = apply_filters(df, spec.filters)
     frames = _as_frames(base, selections, spec)
@@ -171,20 +172,16 @@ def matched_hits(
     if not isinstance(selections, DataFrame) and len(selections) <= PUSHED_SELECTIONS:
         base = base.where(any_selection(base, selections, spec.date_grouping))
     if isinstance(selections, DataFrame):
-        small = frames[0][1].limit(BROADCAST_SELECTIONS + 1).count() <= BROADCAST_SELECTIONS
+        frames = [(fields, materialise(keys)) for fields, keys in frames]
+        small = frames[0][1].count() <= BROADCAST_SELECTIONS
     else:
         small = len(selections) <= BROADCAST_SELECTIONS
     columns = [q(c) for c in base.columns]
-    out, weight = base, F.lit(1)
-    if not small:
-        out = base.groupBy(*columns).agg(F.count(F.lit(1)).alias(_COPIES))
-        out = out.withColumn(_SALT, F.pmod(F.xxhash64(*columns), F.lit(_SALTS)).cast("int"))
-        weight = F.col(_COPIES)
-    total = F.lit(0)
+    out, total = base, F.lit(0)
     for n, (fields, keys) in enumerate(frames):
         out = _joined(out, fields, keys, spec, small, f"{hits}{n}")
         total = total + F.coalesce(F.col(f"{hits}{n}"), F.lit(0))
-    return out.select(*columns, (total * weight).alias(hits)).where(F.col(hits) > 0)
+    return out.select(*columns, total.alias(hits)).where(F.col(hits) > 0)
 
 
 def drilldown_many(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pivotlake.errors import PivotError
 from pivotlake.functions.dates import bucket, display_name, label_range
-from pivotlake.functions.names import all_of, any_of, is_date, is_text, q
+from pivotlake.functions.names import all_of, any_of, is_date, is_float, is_text, missing, present, q
 from pivotlake.spec import BLANK
 
 
@@ -47,15 +47,19 @@ def typed(value: Any, dtype: T.DataType) -> Column:
 
 def _member(col: Column, dtype: T.DataType, values: Sequence[Any]) -> Column:
     """Two-valued membership: never null; a null in the list matches null rows."""
-    known = [typed(v, dtype) for v in values if v is not None]
-    has_null = any(v is None for v in values)
+    known = [typed(v, dtype) for v in values if not _is_missing(v)]
+    has_null = any(_is_missing(v) for v in values)
     if not known:
-        return col.isNull() if has_null else F.lit(False)
+        return missing(col, dtype) if has_null else F.lit(False)
     if has_null:
-        return col.isNull() | F.coalesce(col.isin(*known), F.lit(False))
+        return missing(col, dtype) | F.coalesce(col.isin(*known), F.lit(False))
     return col.isin(*known)
 
 
+def _is_missing(value: Any) -> bool:
+    return value is None or (isinstance(value, float) and value != value)
+
+
 def _structured(col: Column, dtype: T.DataType, rule: Mapping[str, Any]) -> Column:
     if "in" in rule:
         return _member(col, dtype, rule["in"])
@@ -64,10 +68,13 @@ def _structured(col: Column, dtype: T.DataType, rule: Mapping[str, Any]) -> Colu
     if "equals" in rule:
         return col == typed(rule["equals"], dtype)
     if "contains" in rule:
-        return col.cast("string").rlike(f"(?i){rule['contains']}")
+        return present(col, dtype).cast("string").rlike(f"(?iu){rule['contains']}")
     bounds = []
     if "from" in rule:
         bounds.append(col >= typed(rule["from"], dtype))
+        if is_float(dtype):
+            # NaN sorts above every number; the bound itself still reaches the scan.
+            bounds.append(~F.isnan(col))
     if "to" in rule:
         bounds.append(col <= typed(rule["to"], dtype))
     return all_of(bounds)
@@ -82,8 +89,8 @@ def condition(df: DataFrame, field: str, expected: Any) -> Column:
         return _structured(col, dtype, expected)
     if isinstance(expected, (list, tuple, set, frozenset)):
         return _member(col, dtype, list(expected))
-    if expected is None:
-        return col.isNull()
+    if _is_missing(expected):
+        return missing(col, dtype)
     return col == typed(expected, dtype)
 
 
@@ -129,17 +136,48 @@ def selection_condition(
             parts.append(_inside_bucket(q(field), raw_type, str(expected), date_grouping[field]))
             continue
         col, dtype = group_column(df, field, date_grouping)
-        if expected is None:
-            parts.append(col.isNull())
-        elif expected == BLANK:
-            parts.append(col.isNull() | (col == F.lit(BLANK)) if is_text(dtype) else col.isNull())
+        if _is_missing(expected) or expected == BLANK:
+            parts.append(missing(col, dtype) | (col == F.lit(BLANK)) if is_text(dtype) else missing(col, dtype))
         else:
-            parts.append(col == typed(expected, dtype))
+            parts.append(col == F.lit(selected_text(expected, dtype)).try_cast(dtype))
     if selection and not parts:
         return F.lit(False)
     return all_of(parts)
 
 
+def selected_text(value: Any, dtype: T.DataType) -> str | None:
+    """A selected value in the one text form that is cast to ``dtype``; None if it is no
+    value of that type. Every way of applying selections goes through it."""
+    if hasattr(value, "isoformat"):
+        return value.isoformat()
+    if isinstance(dtype, (T.IntegralType, T.DecimalType)):
+        try:
+            exact = Decimal(int(value) if isinstance(value, bool) else str(value).strip())
+        except InvalidOperation:
+            return None
+        scale = dtype.scale if isinstance(dtype, T.DecimalType) else 0
+        if not exact.is_finite() or exact != round(exact, scale):
+            return None
+        return f"{round(exact, scale):f}"
+    if isinstance(value, bool):
+        return str(value).lower() if is_text(dtype) or isinstance(dtype, T.BooleanType) else str(int(value))
+    if isinstance(value, float) and value.is_integer():
+        return str(int(value))
+    return str(value)
+
+
+def given_as(col: Column, given: T.DataType, dtype: T.DataType) -> Column:
+    """A column of selected values as ``dtype``, by the rules of :func:`selected_text`."""
+    if isinstance(dtype, (T.IntegralType, T.DecimalType)) and not isinstance(given, T.BooleanType):
+        wide = col.try_cast("decimal(38,10)")
+        cast = wide.try_cast(dtype)
+        return F.when(wide == cast, cast)
+    if is_text(dtype) and is_float(given):
+        whole = col.try_cast("decimal(38,0)")
+        return F.when(whole == col, whole.cast("string")).otherwise(present(col, given).cast("string"))
+    return present(col, given).try_cast(dtype)
+
+
 def _inside_bucket(col: Column, dtype: T.DataType, text: str, grain: str) -> Column:
     """The dates of one bucket as a range, which reaches the scan."""
     days = label_range(text, grain)
@@ -158,7 +196,7 @@ def any_selection(
 def distinct_values(df: DataFrame, field: str) -> DataFrame:
     """Sorted distinct non-blank values of a field over the whole table."""
     col = q(field)
-    kept = col.isNotNull()
+    kept = ~missing(col, df.schema[field].dataType)
     if is_text(df.schema[field].dataType):
         kept = kept & (col != "")
     return df.where(kept).select(col).distinct().orderBy(col)

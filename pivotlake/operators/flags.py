@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pivotlake.functions.formats import as_number
-from pivotlake.functions.names import q
+from pivotlake.functions.names import is_numeric, q
 from pivotlake.session import materialise
 from pivotlake.spec import Rule
 
@@ -23,8 +23,11 @@ _DEAL = 1024
 
 
 def compare_flag(df: DataFrame, rule: Rule) -> Column:
-    """``gt`` and ``lt`` compare numbers, ``eq`` compares text forms."""
+    """``gt`` and ``lt`` compare numbers; ``eq`` does where both sides are numbers, and
+    compares text forms otherwise."""
     col, dtype = q(rule.field), df.schema[rule.field].dataType
+    if rule.type == "eq" and is_numeric(dtype) and _number(rule.value) is not None:
+        return F.coalesce(as_number(col, dtype) == _number(rule.value), F.lit(False))
     if rule.type == "eq":
         flag = col.cast("string") == F.lit(str(rule.value))
         return F.coalesce(flag & (col.cast("string") != ""), F.lit(False))
@@ -33,6 +36,19 @@ def compare_flag(df: DataFrame, rule: Rule) -> Column:
     return F.coalesce(number > value if rule.type == "gt" else number < value, F.lit(False))
 
 
+def _number(value) -> float | None:
+    try:
+        number = float(value)
+    except (TypeError, ValueError):
+        return None
+    return number if math.isfinite(number) else None
+
+
+def _leaf(df: DataFrame) -> Column:
+    """Whether a row is a leaf row; subtotals and totals have no rank and no duplicates."""
+    return F.col("row_kind") == "leaf" if "row_kind" in df.columns else F.lit(True)
+
+
 def nth_value(values: DataFrame, column: str, share: float, top: bool) -> float | None:
     """The n-th best value, n being the given share of all values rounded up and at
     least one; None without values.
@@ -66,21 +82,22 @@ def nth_value(values: DataFrame, column: str, share: float, top: bool) -> float
 def extreme_flag(df: DataFrame, field: str, name: str, *, top: bool, share: float = 0.1) -> DataFrame:
     """Flag the top or bottom share of a column, ties at the edge included."""
     number = as_number(q(field), df.schema[field].dataType)
-    values = df.select(number.alias("n")).where(F.col("n").isNotNull())
+    values = df.where(_leaf(df)).select(number.alias("n")).where(F.col("n").isNotNull())
     edge = nth_value(values, "n", share, top)
     if edge is None:
         return df.withColumn(name, F.lit(False))
-    return df.withColumn(name, F.coalesce(number >= edge if top else number <= edge, F.lit(False)))
+    return df.withColumn(name, F.coalesce(_leaf(df) & (number >= edge if top else number <= edge), F.lit(False)))
 
 
 def duplicate_flag(df: DataFrame, field: str, name: str) -> DataFrame:
-    """Flag cells whose text form occurs more than once; nulls never count.
+    """Flag cells whose text form occurs more than once among the leaf rows; nulls and
+    empty texts never count.
 
     Values are counted with partial aggregation and the repeated ones are joined
     back. The most frequent values are looked up in a broadcast of bounded size and
     their rows are dealt over partitions by content, so no value makes a hot task.
     """
-    text = q(field).cast("string")
+    text = F.when(_leaf(df), F.nullif(q(field).cast("string"), F.lit("")))
     columns = [q(c) for c in df.columns]
     repeated = materialise(
         df.where(text.isNotNull())

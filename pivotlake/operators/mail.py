@@ -7,9 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pivotlake.functions.text import distinct_ignoring_case, invalid_addresses, json_list, split_addresses
 from pivotlake.functions.zones import iso_text
 
-# Rows of the history list, of its search, and of the recipient list.
+# Rows of the history list and of the recipient list.
 HISTORY_ROWS = 100
-SEARCHED_ROWS = 200
 RECIPIENT_ROWS = 50
 
 
@@ -18,15 +17,18 @@ def mail_history(
 ) -> DataFrame:
     """The newest mails with their addresses as arrays and whether the attachment
     still exists in the listing ``files`` (column ``path``)."""
-    newest = history.orderBy(F.desc("sent_at"), F.desc("id")).limit(limit)
+    return _listed(history.orderBy(F.desc("sent_at"), F.desc("id")).limit(limit), files, zone)
+
+
+def _listed(mails: DataFrame, files: DataFrame | None = None, zone: str | None = None) -> DataFrame:
     if files is None:
-        newest = newest.withColumn("has_attachment", F.lit(False))
+        mails = mails.withColumn("has_attachment", F.lit(False))
     else:
         present = files.select(F.col("path").alias("attachment_path"), F.lit(True).alias("present")).distinct()
-        newest = newest.join(present, "attachment_path", "left").withColumn(
+        mails = mails.join(present, "attachment_path", "left").withColumn(
             "has_attachment", F.col("present").isNotNull() & (F.col("attachment_path") != "")
         )
-    return newest.select(
+    return mails.select(
         "id",
         "sent_at",
         iso_text(F.col("sent_at"), zone).alias("sent_at_local"),
@@ -46,10 +48,10 @@ def mail_history(
     )
 
 
-def search_mail(history: DataFrame, text: str = "", status: str = "", newest: int = SEARCHED_ROWS) -> DataFrame:
-    """Among the newest mails, those of a status whose subject, recipients, dataset
-    or sheet contain the text."""
-    rows = mail_history(history, limit=newest)
+def search_mail(history: DataFrame, text: str = "", status: str = "", limit: int | None = None) -> DataFrame:
+    """The mails of a status whose subject, recipients, dataset or sheet contain the
+    text, newest first; ``limit`` of them if given."""
+    rows = _listed(history)
     if status:
         rows = rows.where(F.col("status") == status)
     if text:
@@ -65,7 +67,8 @@ def search_mail(history: DataFrame, text: str = "", status: str = "", newest: in
             )
         )
         rows = rows.where(F.instr(hay, text.lower()) > 0)
-    return rows
+    rows = rows.orderBy(F.desc("sent_at"), F.desc("id"))
+    return rows if limit is None else rows.limit(limit)
 
 
 def recipient_usage(history: DataFrame, old: DataFrame | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F, types as T
 
 from pivotlake.errors import PivotError
 from pivotlake.functions.dates import from_micros, micros
-from pivotlake.functions.names import is_date, is_numeric, q
+from pivotlake.functions.names import is_date, is_numeric, present, q
 from pivotlake.spec import AGGREGATIONS, Measure
 
 
@@ -33,14 +33,15 @@ def check_measure(m: Measure, dtype: T.DataType) -> None:
 
 
 def partial(i: int, m: Measure, dtype: T.DataType) -> list[Column]:
-    """Aggregates over raw rows."""
-    col = q(m.field)
+    """Aggregates over raw rows. Missing values, NaN among them, take no part; whole
+    numbers are summed for an average as decimals, which do not overflow."""
+    col = present(q(m.field), dtype)
     if m.aggregation == "count":
         return [F.count(col).alias(state(i))]
     if m.aggregation == "sum":
         return [F.sum(col).alias(state(i))]
     if m.aggregation == "average":
-        summed = micros(col) if is_date(dtype) else col
+        summed = micros(col) if is_date(dtype) else col.cast("decimal(20,0)") if isinstance(dtype, T.IntegralType) else col
         return [F.sum(summed).alias(state(i)), F.count(col).alias(seen(i))]
     fold = F.min if m.aggregation == "min" else F.max
     return [fold(col).alias(state(i))]

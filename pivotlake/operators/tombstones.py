@@ -47,49 +47,59 @@ def exclude_deleted(
     dataset_id: int,
     sheet_name: str,
     key_columns: Sequence[str] | None = None,
+    broadcast_keys: int | None = None,
+    broadcast_hashes: int | None = None,
 ) -> DataFrame:
     """The rows of a sheet without its deleted ones; all identical copies go together.
 
+    A row is deleted if a tombstone has its key, and its hash too where the tombstone
+    has one; that is the same test for any number of tombstones.
+
     Every read of a sheet passes here, so the table should not be shuffled. Few
     tombstones are broadcast whole; their cheap hash is the join key and the SHA-256
     key is only computed for rows whose hash is among them. Of more tombstones only
     the hashes are broadcast: they split off the suspect rows, about as many as were
-    deleted, and only those are joined by key. Beyond that everything is joined by key.
+    deleted, and only those are joined by key. Beyond that everything is joined by key;
+    the keys are distinct, so that a key with very many rows can be split. Tombstones
+    without a hash are joined by key in any case.
     """
     keys = (
         tombstones.where((F.col("dataset_id") == dataset_id) & (F.col("sheet_name") == sheet_name))
         .select(F.col(ROW_KEY).alias("__dead_key"), F.col(ROW_HASH).alias("__dead_hash"))
         .distinct()
     )
-    n = keys.limit(BROADCAST_HASHES + 1).count()
-    if n <= BROADCAST_KEYS:
+    broadcast_keys = BROADCAST_KEYS if broadcast_keys is None else broadcast_keys
+    broadcast_hashes = BROADCAST_HASHES if broadcast_hashes is None else broadcast_hashes
+    keys = materialise(keys)
+    hashed, bare = keys.where("__dead_hash IS NOT NULL"), keys.where("__dead_hash IS NULL").select("__dead_key")
+    n, n_bare = keys.agg(F.count("__dead_hash"), F.count_if(F.col("__dead_hash").isNull())).first()
+    own_key, own_hash = row_key(df, key_columns), row_hash(df, key_columns)
+    if n_bare:
+        dead = F.broadcast(bare) if n_bare <= broadcast_keys else bare
+        df = df.join(dead, own_key == F.col("__dead_key"), "left_anti")
+    if not n:
+        return df
+    if n <= broadcast_keys:
         # Both keys have 64 characters, so containing means equal; unlike an equality
         # it stays a condition behind the hash look-up.
-        same = (row_hash(df, key_columns) == F.col("__dead_hash")) & F.col("__dead_key").contains(row_key(df, key_columns))
-        return df.join(F.broadcast(keys), same, "left_anti")
-    dead = keys.select(F.col("__dead_key").alias(ROW_KEY)).distinct()
-    suspects = df
-    if n <= BROADCAST_HASHES:
-        hashes = F.broadcast(keys.select("__dead_hash").distinct())
-        suspects = df.join(hashes, row_hash(df, key_columns) == F.col("__dead_hash"), "left_semi")
-        clear = df.join(hashes, row_hash(df, key_columns) == F.col("__dead_hash"), "left_anti")
-    kept = anti_join_keys(suspects.withColumn(ROW_KEY, row_key(df, key_columns)), dead, ROW_KEY).drop(ROW_KEY)
-    return clear.unionByName(kept) if n <= BROADCAST_HASHES else kept
+        same = (own_hash == F.col("__dead_hash")) & F.col("__dead_key").contains(own_key)
+        return df.join(F.broadcast(hashed), same, "left_anti")
+    both = (own_key == F.col("__dead_key")) & (own_hash == F.col("__dead_hash"))
+    if n > broadcast_hashes:
+        return df.join(hashed, both, "left_anti")
+    hashes = F.broadcast(hashed.select(F.col("__dead_hash").alias("__hash")).distinct())
+    suspects = df.join(hashes, own_hash == F.col("__hash"), "left_semi").join(hashed, both, "left_anti")
+    return df.join(hashes, own_hash == F.col("__hash"), "left_anti").unionByName(suspects)
 
 
 def anti_join_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """``df`` without the rows whose ``key`` is in ``keys`` (distinct).
 
-    Few keys are broadcast, so the table is not shuffled. For many keys, copies of a
-    row are first counted together, because they share one key and may be a third of
-    the table; after the join every row comes back as often as it was there.
+    Few keys are broadcast. Many are joined by a shuffle, in which the rows of a key
+    that has very many can be split, because the other side has one.
     """
-    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        return df.join(F.broadcast(keys), key, "left_anti")
-    columns = [q(c) for c in df.columns]
-    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__copies"))
-    kept = counted.join(keys, key, "left_anti")
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))).select(*columns)
+    keys = materialise(keys)
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key, "left_anti")
 
 
 @dataclass
@@ -201,7 +211,7 @@ def soft_delete(
         )
         _as_schema(spark, rows, TOMBSTONE_SCHEMA).write.mode("append").parquet(tombstone_path)
     except Exception as exc:
-        record("failed", 0, 0, str(exc)[:4000])
+        record("failed", 0, 0, str(exc))
         raise
     record("success", matched, deleted)
     return {"audit_id": audit_id, "matched": matched, "deleted": deleted, "selections": n_selections}

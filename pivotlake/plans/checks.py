@@ -340,6 +340,7 @@ def to_json(spec: PivotSpec) -> str:
             "dateGrouping": dict(spec.date_grouping),
             "sorting": dict(spec.sorting),
             "layout": spec.layout,
+            "blankAsText": spec.blank_as_text,
             "totals": {
                 "showGrandTotals": t.grand,
                 "showRowTotals": t.row,

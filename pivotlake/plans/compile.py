@@ -13,11 +13,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from pivotlake.errors import PivotError
 from pivotlake.functions.dates import as_timestamp, code, label
-from pivotlake.functions.names import all_of, any_of, is_numeric, is_text, q
+from pivotlake.functions.names import all_of, any_of, is_numeric, is_text, present, q, quoted
 from pivotlake.operators import measures as ms
 from pivotlake.operators.filters import apply_filters
 from pivotlake.operators.ordering import POSITION, forward_fill, sort_key, with_position
@@ -35,8 +35,9 @@ from pivotlake.spec import (
     PivotSpec,
 )
 
-# A wide frame needs one column per key; beyond this a pivot is refused, not cut.
-MAX_PIVOT_COLUMNS = 10_000
+# A wide frame needs one column per key; beyond this a pivot is refused, not cut. It is
+# the default of a parameter.
+MAX_PIVOT_COLUMNS = 2_000
 
 LEAF, SUBTOTAL, TOTAL = "leaf", "subtotal", "column_total"
 ROW_KIND, LEVEL, PARENT = "row_kind", "level", "parent_key"
@@ -45,7 +46,7 @@ ROW_KIND, LEVEL, PARENT = "row_kind", "level", "parent_key"
 _FUNCTION_ORDER = ("count", "max", "average", "min", "sum")
 
 _ROWS_SEEN = "__rows_seen"
-_KEY = "__key"
+_NUMBER = "__number"
 
 
 @dataclass(frozen=True)
@@ -118,14 +119,22 @@ class PivotResult:
     @cached_property
     def counts(self) -> DataFrame:
         """One row: rows before filters, rows after filters, leaf rows of the result."""
-        return self.long.agg(
-            F.coalesce(F.sum(_ROWS_SEEN), F.lit(0)).alias("filtered_rows")
-        ).select(
-            self.source.agg(F.count(F.lit(1)).alias("n")).scalar().alias("source_rows"),
-            "filtered_rows",
-            self.frame.where(F.col(ROW_KIND) == LEAF).agg(F.count(F.lit(1)).alias("n")).scalar().alias("result_rows"),
-        )
-
+        # One pass over the grouped states; without filters it counts the source as well.
+        groups = [F.col(f"__row{i}") for i in range(len(self.spec.rows))]
+        kept = F.bool_or(_some_value(self.measures))
+        seen = self.long.groupBy(*groups).agg(F.sum(_ROWS_SEEN).alias("n"), kept.alias("kept"))
+        filtered = F.coalesce(F.sum("n"), F.lit(0))
+        if self.spec.rows:
+            shown = F.count_if("kept")
+        elif self.spec.columns:
+            shown = F.when(F.coalesce(F.bool_or("kept"), F.lit(False)), len(self.measures)).otherwise(0).cast("bigint")
+        else:
+            shown = F.lit(1).cast("bigint")
+        counted = seen.agg(filtered.alias("filtered_rows"), shown.alias("result_rows"))
+        source = F.col("filtered_rows")
+        if self.spec.filters:
+            source = self.source.agg(F.count(F.lit(1)).alias("n")).scalar()
+        return counted.select(source.alias("source_rows"), "filtered_rows", "result_rows")
 
     @cached_property
     def statistics(self) -> DataFrame:
@@ -148,13 +157,15 @@ def pivot(
     markers: bool = False,
     reuse: bool | None = None,
     max_cells: int | None = None,
+    max_columns: int = MAX_PIVOT_COLUMNS,
 ) -> PivotResult:
     """Compile ``spec`` over ``df``.
 
     ``reuse`` checkpoints the grouped states so that the raw rows are scanned once
     for all results; by default that is done when the column keys have to be read
-    first. ``max_cells`` refuses pivots with more estimated cells. ``markers`` adds
-    the row kind, level and parent key to the rows.
+    first. ``max_cells`` refuses pivots with more estimated cells, ``max_columns`` those
+    with more column groups. ``markers`` adds the row kind, level and parent key to the
+    rows.
     """
     require_valid(df, spec)
     measures = spec.measures(df.columns[0])
@@ -191,13 +202,12 @@ def pivot(
     )
     if not spec.columns:
         leaf, cells = _narrow(values, spec, ordered_measures)
+        frame = _with_totals(leaf, spec, cells)
     elif spec.rows:
-        leaf, cells = _widen(values, spec, ordered_measures)
+        frame, cells = _widen(values, spec, ordered_measures, max_columns)
     else:
-        leaf, cells = _widen_measures(values, spec, ordered_measures)
-
-    frame = _with_totals(leaf, spec, cells)
-    frame = _with_row_total(frame, spec, measures, cells)
+        leaf, cells = _widen_measures(values, spec, ordered_measures, max_columns)
+        frame = _with_row_total(leaf.withColumn(ROW_KIND, F.lit(LEAF)), spec, measures, cells)
     return PivotResult(spec, df, long, measures, types, cells, row_types, frame, ordered, markers)
 
 
@@ -232,7 +242,7 @@ def _group_keys(df, spec, fields, prefix) -> tuple[list[Column], list[Column], l
             keys.append(F.coalesce(q(name), F.lit(BLANK)).alias(key))
             labels.append(F.col(key))
         else:
-            keys.append(q(name).alias(key))
+            keys.append(present(q(name), dtype).alias(key))
             labels.append(F.coalesce(F.col(key).cast("string"), F.lit(BLANK)).alias(key) if as_text else F.col(key))
         types.append(T.StringType() if as_text else dtype)
     return keys, labels, types
@@ -240,13 +250,15 @@ def _group_keys(df, spec, fields, prefix) -> tuple[list[Column], list[Column], l
 
 def _drop_empty_groups(long: DataFrame, measures: list[Measure]) -> DataFrame:
     """Groups in which every measure is null do not appear."""
+    return long.where(_some_value(measures))
+
+
+def _some_value(measures: list[Measure]) -> Column:
     if not all(ms.can_be_null(m) for m in measures):
-        return long
-    return long.where(
-        any_of(
-            F.col(ms.seen(i)) > 0 if m.aggregation == "average" else F.col(ms.state(i)).isNotNull()
-            for i, m in enumerate(measures)
-        )
+        return F.lit(True)
+    return any_of(
+        F.col(ms.seen(i)) > 0 if m.aggregation == "average" else F.col(ms.state(i)).isNotNull()
+        for i, m in enumerate(measures)
     )
 
 
@@ -291,31 +303,30 @@ def _narrow(values, spec, measures) -> tuple[DataFrame, list[Cell]]:
     return leaf, cells
 
 
-def _column_keys(values: DataFrame, spec: PivotSpec) -> list[tuple[str, str]]:
-    """(key, header) of each present column group, ascending by the typed values."""
-    cols = [f"__col{i}" for i in range(len(spec.columns))]
-    found = (
-        values.select(*cols)
-        .distinct()
-        .select(
-            F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias(_KEY),
-            F.concat_ws(
-                HEADER_JOIN, *[F.coalesce(F.col(c).cast("string"), F.lit(BLANK)) for c in cols]
-            ).alias("header"),
-            *cols,
-        )
-        .orderBy(*[sort_key(F.col(c)) for c in cols])
-        .limit(MAX_PIVOT_COLUMNS + 1)
-        .collect()
-    )
-    if len(found) > MAX_PIVOT_COLUMNS:
-        raise PivotError(f"more than {MAX_PIVOT_COLUMNS:,} column groups; filter or bucket the column fields")
-    return [(r[_KEY], r["header"]) for r in found]
-
+def _numbered(values: DataFrame, spec: PivotSpec, most: int) -> tuple[DataFrame, list[str]]:
+    """``values`` with the number of their column group, and the groups' headers.
 
-def _keyed(values: DataFrame, spec: PivotSpec) -> DataFrame:
+    Groups are numbered ascending by their typed values and found again by value, so
+    two timestamps a microsecond apart stay two groups.
+    """
     cols = [f"__col{i}" for i in range(len(spec.columns))]
-    return values.withColumn(_KEY, F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}))
+    order = [sort_key(F.col(c)) for c in cols]
+    header = F.concat_ws(HEADER_JOIN, *[F.coalesce(F.col(c).cast("string"), F.lit(BLANK)) for c in cols])
+    keys = values.select(*cols).distinct().orderBy(*order).limit(most + 1)
+    # At most one row more than the bound, so numbering them in one task is small.
+    keys = keys.select(
+        (F.row_number().over(Window.orderBy(*order)) - 1).alias(_NUMBER),
+        header.alias("header"),
+        *[F.col(c).alias(f"__of{i}") for i, c in enumerate(cols)],
+    )
+    if can_materialise(values.sparkSession):
+        keys = materialise(keys)
+    found = sorted((r[_NUMBER], r["header"]) for r in keys.select(_NUMBER, "header").collect())
+    if len(found) > most:
+        raise PivotError(f"more than {most:,} column groups; filter or bucket the column fields")
+    same = all_of(F.col(c).eqNullSafe(F.col(f"__of{i}")) for i, c in enumerate(cols))
+    numbered = values.join(F.broadcast(keys.drop("header")), same).drop(*cols, *[f"__of{i}" for i in range(len(cols))])
+    return numbered, [h for _, h in found]
 
 
 def _unique(headers: list[str]) -> list[str]:
@@ -328,35 +339,75 @@ def _unique(headers: list[str]) -> list[str]:
     return out
 
 
-def _widen(values, spec, measures) -> tuple[DataFrame, list[Cell]]:
-    keys = _column_keys(values, spec)
+def _widen(values, spec, measures, most) -> tuple[DataFrame, list[Cell]]:
+    """Row groups against column groups, with totals.
+
+    Totals are computed on the long frame, one row per cell, and everything is widened
+    once at the end, so a total costs the same for any number of columns.
+    """
+    numbered, found = _numbered(values, spec, most)
+    n = len(found)
     several = len({m.field for m in measures}) < len(measures)
-    plan = [(j, m, key, header) for j, m in enumerate(measures) for key, header in keys]
-    headers = _unique([f"{m.name if several else m.field}{HEADER_JOIN}{h}" for _, m, _, h in plan])
+    plan = [(j, m, k) for j, m in enumerate(measures) for k in range(n)]
+    headers = _unique([f"{m.name if several else m.field}{HEADER_JOIN}{found[k]}" for _, m, k in plan])
+    names = [f"__value{j}" for j in range(len(measures))]
+    types = [values.schema[v].dataType for v in names]
+    cells = [Cell(f"__cell{i}", headers[i], m, types[j]) for i, (j, m, _) in enumerate(plan)]
     rows = [f"__row{i}" for i in range(len(spec.rows))]
-    wide = (
-        _keyed(values, spec)
-        .groupBy(*rows)
-        .pivot(_KEY, [k for k, _ in keys])
-        .agg(*[F.first(f"__value{j}").alias(f"__value{j}") for j in range(len(measures))])
-    )
+
+    row_total = _has_row_total(spec, measures, cells)
+    long = numbered.withColumn(ROW_KIND, F.lit(LEAF))
+    if row_total or spec.totals.column or (spec.totals.subtotals and len(rows) >= 2):
+        long = _long_totals(_dense(numbered, rows, names, types, n), spec, measures, names, types)
+    if row_total:
+        summed = long.groupBy(*rows, ROW_KIND).agg(F.sum(names[0]).alias(names[0]))
+        wide_type = summed.schema[names[0]].dataType
+        long = long.withColumn(names[0], F.col(names[0]).cast(wide_type)).unionByName(summed.withColumn(_NUMBER, F.lit(n)))
+    wide = long.groupBy(*rows, ROW_KIND).pivot(_NUMBER, list(range(n + row_total))).agg(*[F.first(v).alias(v) for v in names])
     # Spark names the cells key by key; address them by position.
-    made = wide.columns[len(rows):]
-    at = {(k, j): made[i * len(measures) + j] for i, (k, _) in enumerate(keys) for j in range(len(measures))}
-    cells = [
-        Cell(f"__cell{n}", headers[n], m, values.schema[f"__value{j}"].dataType)
-        for n, (j, m, _, _) in enumerate(plan)
-    ]
-    leaf = wide.select(
-        *rows,
-        *[_zero_filled(q(at[key, j]), c.dtype).alias(c.name) for c, (j, _, key, _) in zip(cells, plan)],
+    made = wide.columns[len(rows) + 1 :]
+    shown = []
+    for cell, (j, _, k) in zip(cells, plan):
+        value = f"CAST({quoted(made[k * len(names) + j])} AS {cell.dtype.simpleString()})"
+        shown.append(f"coalesce({value}, CAST(0 AS {cell.dtype.simpleString()})) AS {cell.name}" if is_numeric(cell.dtype) else f"{value} AS {cell.name}")
+    if row_total:
+        shown.append(f"{quoted(made[-1])} AS {ROW_TOTAL}")
+    return wide.selectExpr(*rows, *shown, ROW_KIND), cells
+
+
+def _dense(numbered, rows, names, types, n) -> DataFrame:
+    """One row per row group and column group; cells without rows are filled like shown ones."""
+    empty = numbered.select(*rows).distinct().select(
+        *rows, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(_NUMBER), *[F.lit(None).cast(t).alias(v) for v, t in zip(names, types)]
     )
-    return leaf, cells
+    both = numbered.select(*rows, _NUMBER, *names).unionByName(empty)
+    one = both.groupBy(*rows, _NUMBER).agg(*[F.max(v).alias(v) for v in names])
+    return one.select(*rows, _NUMBER, *[_zero_filled(F.col(v), t).alias(v) for v, t in zip(names, types)])
+
+
+def _long_totals(dense, spec, measures, names, types) -> DataFrame:
+    """Subtotals and the column total of every column group, by one pass of grouping sets."""
+    rows = [f"__row{i}" for i in range(len(spec.rows))]
+    sets = [[*rows, _NUMBER]]
+    if spec.totals.subtotals and len(rows) >= 2:
+        sets.append([*rows[:-1], _NUMBER])
+    if spec.totals.column:
+        sets.append([_NUMBER])
+    if len(sets) == 1:
+        return dense.withColumn(ROW_KIND, F.lit(LEAF))
+    by = [*rows, _NUMBER]
+    grouped = dense.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in by]).agg(
+        F.grouping_id().alias("__grouping"),
+        *[ms.recombined(m, v, t).cast(t).alias(v) for m, v, t in zip(measures, names, types)],
+    )
+    # The number is in every set, so its bit, the lowest, is never set.
+    kind = F.when(F.col("__grouping") == 0, LEAF).when(F.col("__grouping") == 2 ** len(by) - 2, TOTAL).otherwise(SUBTOTAL)
+    return grouped.select(*by, *names, kind.alias(ROW_KIND))
 
 
-def _widen_measures(values, spec, measures) -> tuple[DataFrame, list[Cell]]:
+def _widen_measures(values, spec, measures, most) -> tuple[DataFrame, list[Cell]]:
     """Column groups without row groups: one result row per measure."""
-    keys = _column_keys(values, spec)
+    values, found_headers = _numbered(values, spec, most)
     found = [values.schema[f"__value{j}"].dataType for j in range(len(measures))]
     if all(t == found[0] for t in found):
         common = found[0]
@@ -375,16 +426,15 @@ def _widen_measures(values, spec, measures) -> tuple[DataFrame, list[Cell]]:
         ]
     )
     wide = (
-        _keyed(values, spec)
-        .select(_KEY, F.inline(entries))
+        values.select(_NUMBER, F.inline(entries))
         .groupBy("__row0", "__measure")
-        .pivot(_KEY, [k for k, _ in keys])
+        .pivot(_NUMBER, list(range(len(found_headers))))
         .agg(F.first("v"))
     )
-    headers = _unique([h for _, h in keys])
+    headers = _unique(found_headers)
     cells = [Cell(f"__cell{n}", h, measures[0], common) for n, h in enumerate(headers)]
     leaf = wide.select(
-        "__row0", "__measure", *[_zero_filled(q(k), common).alias(c.name) for c, (k, _) in zip(cells, keys)]
+        "__row0", "__measure", *[_zero_filled(q(str(k)), common).alias(c.name) for k, c in enumerate(cells)]
     )
     return leaf, cells
 
@@ -433,10 +483,12 @@ def _with_row_total(frame, spec, measures, cells) -> DataFrame:
     """The plain sum of a row's cells, whatever the aggregation."""
     if not _has_row_total(spec, measures, cells):
         return frame
-    total = F.col(cells[0].name)
-    for c in cells[1:]:
-        total = total + F.col(c.name)
-    return frame.withColumn(ROW_TOTAL, total)
+    dtype = cells[0].dtype
+    if isinstance(dtype, T.DecimalType):
+        dtype = T.DecimalType(38, dtype.scale)
+    # One expression over an array: a chain of additions would nest as deep as it is wide.
+    folded = f"aggregate(array({', '.join(c.name for c in cells)}), CAST(0 AS {dtype.simpleString()}), (a, x) -> CAST(a + x AS {dtype.simpleString()}))"
+    return frame.withColumn(ROW_TOTAL, F.expr(folded))
 
 
 # Presentation ---------------------------------------------------------------------
@@ -536,12 +588,12 @@ def _repeat_labels(staged: DataFrame, fields: list[str], text_fields: list[str],
     last = fields[-1]
     names = {f: f"__fill{i}" for i, f in enumerate(fields)}
     renamed = staged.withColumnsRenamed(names)
-    fills = {names[f]: F.nullif(F.col(names[f]), F.lit("")) if f in text_fields else F.col(names[f]) for f in fields}
-    filled = forward_fill(renamed, fills, skip=F.col("__kind") == TOTAL)
-    if len(fields) > 1:
-        blank = F.lit("") if last in text_fields else F.lit(None)
+    # Only empty text is filled; a null number or date is the label of a group of its own.
+    fills = {names[f]: F.nullif(F.col(names[f]), F.lit("")) for f in text_fields}
+    filled = forward_fill(renamed, fills, skip=F.col("__kind") == TOTAL) if fills else renamed
+    if len(fields) > 1 and last in text_fields:
         filled = filled.withColumn(
-            names[last], F.when(F.col("__kind") == SUBTOTAL, blank).otherwise(F.col(names[last]))
+            names[last], F.when(F.col("__kind") == SUBTOTAL, F.lit("")).otherwise(F.col(names[last]))
         )
     if ordered:
         filled = filled.orderBy(POSITION)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from pivotlake.functions.dates import timestamp_sql
+from pivotlake.functions.dates import parse_timestamp
 from pivotlake.functions.formats import NUMBER
 from pivotlake.functions.names import catalog_type, is_text, quoted
 
@@ -16,24 +16,25 @@ BOOLEAN_WORDS = ("true", "false", "yes", "no", "1", "0")
 _NOT_DATE, _NOT_BOOLEAN, _NOT_INTEGER, _NOT_NUMBER = 1, 2, 4, 8
 _ALL = _NOT_DATE | _NOT_BOOLEAN | _NOT_INTEGER | _NOT_NUMBER
 
-# The kinds a text cell ``v`` does not fit, as bits. The cases exclude each other, and
-# the first characters settle most cells before any pattern is tried. It is SQL text
-# because building the tree call by call takes longer than running it.
+# The kinds a text cell ``v`` does not fit, as bits; ``is_date`` tells whether it reads as
+# a date. The first character settles most cells before any pattern is tried. It is SQL
+# text because building the tree call by call takes longer than running it.
 _TEXT_MISSES = f"""
 CASE WHEN v IS NULL THEN NULL
      WHEN trim(v) IN ('0', '1') THEN {_NOT_DATE}
      WHEN substring(trim(v), 1, 1) BETWEEN '+' AND '9' THEN
-       CASE WHEN substring(trim(v), 5, 1) = '-' AND {timestamp_sql("v")} IS NOT NULL
-              THEN {_NOT_BOOLEAN | _NOT_INTEGER | _NOT_NUMBER}
-            WHEN trim(v) RLIKE r'^[+-]?\\d+$' AND try_cast(trim(v) AS BIGINT) IS NOT NULL
-              THEN {_NOT_DATE | _NOT_BOOLEAN}
+       CASE WHEN trim(v) RLIKE r'^[+-]?\\d+$' AND try_cast(trim(v) AS BIGINT) IS NOT NULL
+              THEN CASE WHEN is_date THEN {_NOT_BOOLEAN} ELSE {_NOT_DATE | _NOT_BOOLEAN} END
             WHEN trim(v) RLIKE r'{NUMBER}' THEN {_NOT_DATE | _NOT_BOOLEAN | _NOT_INTEGER}
-            WHEN {timestamp_sql("v")} IS NOT NULL THEN {_NOT_BOOLEAN | _NOT_INTEGER | _NOT_NUMBER}
+            WHEN is_date THEN {_NOT_BOOLEAN | _NOT_INTEGER | _NOT_NUMBER}
             ELSE {_ALL} END
-     WHEN length(v) <= 20 AND lower(trim(v)) IN ({", ".join(f"'{w}'" for w in BOOLEAN_WORDS)})
+     WHEN lower(trim(v)) IN ({", ".join(f"'{w}'" for w in BOOLEAN_WORDS)})
        THEN {_NOT_DATE | _NOT_INTEGER | _NOT_NUMBER}
+     WHEN is_date THEN {_NOT_BOOLEAN | _NOT_INTEGER | _NOT_NUMBER}
      ELSE {_ALL} END
 """
+# What a text has to look like to be tried as a date at all.
+_DATE_SHAPE = r"^\s*(\d{4}[-/]\d|\d{1,2}/\d|\d{8}\s*$|\d{1,2}[- ][A-Za-z]{3}|[A-Za-z]{3,9}\.? \d)"
 
 
 def _cell(i: int, name: str, dtype: T.DataType) -> str:
@@ -64,6 +65,7 @@ def profile_with_rows(df: DataFrame) -> DataFrame:
     cells = ", ".join(_cell(*f) for f in fields)
     evidence = (
         df.selectExpr(f"stack({len(fields)}, {cells}) AS (position, v, is_null, bits)")
+        .withColumn("is_date", F.when(F.col("v").rlike(_DATE_SHAPE), parse_timestamp(F.col("v")).isNotNull()).otherwise(False))
         # Judged in a projection: inside the aggregate the tree is generated three times.
         .selectExpr("position", "is_null", f"coalesce(bits, {_TEXT_MISSES}) AS misses")
         .groupBy("position")

@@ -151,6 +151,31 @@ def read_sheet(
     return exclude_deleted(df, tombstones, dataset_id, sheet_name)
 
 
+def open_sheet(
+    spark: SparkSession,
+    datasets: DataFrame,
+    sheets: DataFrame,
+    dataset_id: int,
+    folder: str,
+    *,
+    sheet_name: str | None = None,
+    tombstones: DataFrame | None = None,
+) -> DataFrame:
+    """A sheet by its catalog entry: the file that the dataset names below ``folder``,
+    without its deleted rows. Without ``sheet_name`` the dataset's first sheet is opened."""
+    entry = datasets.where(F.col("id") == dataset_id).select("stored_filename").first()
+    if entry is None or not entry.stored_filename:
+        raise PivotError(f"no stored file for dataset {dataset_id}")
+    known = sheets.where(F.col("dataset_id") == dataset_id)
+    if sheet_name is not None:
+        known = known.where(F.col("sheet_name") == sheet_name)
+    sheet = known.orderBy("id").select("sheet_name").first()
+    if sheet is None:
+        raise PivotError(f"no such sheet in dataset {dataset_id}: {sheet_name}")
+    path = f"{folder.rstrip('/')}/{entry.stored_filename}"
+    return read_sheet(spark, path, dataset_id=dataset_id, sheet_name=sheet.sheet_name, tombstones=tombstones)
+
+
 def preview(df: DataFrame, order_by: Sequence[str] = (), rows: int = PREVIEW_ROWS) -> DataFrame:
     """The first rows along ``order_by``, dates as text, non-finite numbers as null.
 

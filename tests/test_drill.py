@@ -40,7 +40,10 @@ def ids(df):
 def test_drilldown_counts_before_the_cap(sheet):
     found = drilldown(sheet, PivotSpec(filters={"h": "x"}), {"g": "b"}, order_by=["k"], limit=1)
     assert ids(found.rows) == [4] and rows(found.matched) == [(2,)]
-    assert drill_module.clamp(0) == 1 and drill_module.clamp(9999) == 5000
+    assert rows(found.truncated) == [(True,)]
+    found = drilldown(sheet, PivotSpec(), {}, order_by=["k"], limit=0, ceiling=None)
+    assert found.limit == 1 and found.rows.count() == 1
+    assert drilldown(sheet, PivotSpec(), {}, order_by=["k"], limit=9999).limit == drill_module.MOST_ROWS
 
 
 @pytest.fixture(params=["broadcast", "hashes", "shuffle"])

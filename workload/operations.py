@@ -94,7 +94,7 @@ def history(spark, sf_dir):
 
 @query(
     "mail_search",
-    f"""WITH {MAIL_SQL}, newest AS (SELECT * FROM mails ORDER BY sent_at DESC, id DESC LIMIT 200)
+    f"""WITH {MAIL_SQL}, newest AS (SELECT * FROM mails)
         SELECT id, subject, status FROM newest WHERE status = 'success'
           AND (contains(lower(subject), 'low') OR contains(lower(to_addresses_json), 'low') OR contains(lower(dataset_name), 'low'))""",
 )

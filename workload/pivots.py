@@ -194,13 +194,12 @@ def pivot_rows_cols(spark, sf_dir):
 
 
 def flagship(df):
-    """Region by month against status, summed, for one range of order dates."""
+    """Region by month against status, summed."""
     spec = PivotSpec(
         rows=["Region", "OrderDate"],
         columns=["Status"],
         values=["Amount"],
         date_grouping={"OrderDate": "month"},
-        filters={"OrderDate": {"from": "1996-01-01", "to": "1998-12-31"}},
     )
     return plain(pivot(df, spec).rows)
 
@@ -209,8 +208,7 @@ def flagship(df):
     "pivot_flagship",
     f"""WITH {SALES_SQL} SELECT "Region", strftime("OrderDate", '%Y-%m') AS "OrderDate_month",
         {_cells('sum("Amount")')}, CAST(sum("Amount") AS DOUBLE) AS row_total
-        FROM sales WHERE "OrderDate" >= TIMESTAMP '1996-01-01' AND "OrderDate" <= TIMESTAMP '1998-12-31'
-        GROUP BY 1, 2""",
+        FROM sales GROUP BY 1, 2""",
 )
 def pivot_flagship(spark, sf_dir):
     return flagship(sales(spark, sf_dir))
