@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pivotlake.errors import PivotError
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_TEMPORARY: list[tempfile.TemporaryDirectory] = []
+_OWN_FOLDERS: set[str] = set()
 
 
 def build_session(app: str = "pivotlake", master: str | None = None, **conf) -> SparkSession:
@@ -25,6 +28,8 @@ def build_session(app: str = "pivotlake", master: str | None = None, **conf) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.ui.showConsoleProgress": "false",
+        # Checkpoints go when the frame that made them does.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Call-site capture for error messages costs more than planning itself.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
@@ -46,8 +51,10 @@ def shared_folder(spark: SparkSession) -> str | None:
     folder = spark.conf.get(CHECKPOINT_CONF, None) or None
     if folder is None:
         folder = _current_checkpoint_dir(spark)
-    if folder is None and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="pivotlake-")
+    if folder is None and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        # Removed when this process ends.
+        _TEMPORARY.append(tempfile.TemporaryDirectory(prefix="pivotlake-", ignore_cleanup_errors=True))
+        folder = _TEMPORARY[-1].name
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -58,11 +65,21 @@ def _current_checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder for one written table."""
+    """A fresh path under the shared folder for one written table.
+
+    Tables of an application lie in one folder, which is removed when it ends.
+    """
     root = shared_folder(spark)
     if root is None:
         raise PivotError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    return f"{root.rstrip('/')}/pivotlake/{name}-{uuid.uuid4().hex}"
+    own = f"{root.rstrip('/')}/pivotlake/{spark.sparkContext.applicationId}"
+    if own not in _OWN_FOLDERS:
+        _OWN_FOLDERS.add(own)
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -30,15 +30,33 @@ PRINTABLE_SHARE = 0.85
 def listing(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
     """Files below ``path`` without their contents: path, modificationTime, length.
 
-    Spark's listing leaves out hidden files and files of zero bytes.
+    Hidden files are left out.
     """
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", suffix)
-        .load(path)
-        .select("path", "modificationTime", "length")
-    )
+    files = _binary_files(spark, path, suffix)
+    return files.select("path", "modificationTime", "length").unionByName(_empty_files(spark, files))
+
+
+def _binary_files(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffix).load(path)
+
+
+def _empty_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """The files of zero bytes, for which Spark's scan makes no row.
+
+    Spark holds the listing of a scan on the driver; here only the statuses of the files
+    that gave no row are asked for besides.
+    """
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "uri string")
+    # "file:///a" in one listing is "file:/a" in the other; blanks are escaped in URIs.
+    listed = listed.select("uri", F.regexp_replace(F.try_url_decode(F.replace("uri", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/").alias("path"))
+    seen = files.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
+    rows = []
+    for r in listed.join(seen, "path", "left_anti").collect():
+        place = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(r.uri))
+        status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+        rows.append((r.path, status.getModificationTime(), 0))
+    made = spark.createDataFrame(rows, "path string, millis bigint, length bigint")
+    return made.select("path", F.timestamp_millis("millis").alias("modificationTime"), "length")
 
 
 def suffix_of(path: Column) -> Column:
@@ -93,10 +111,9 @@ def audit_files(
     ``declared`` (path, content_type) may name the type given by the sender. The
     length filter reaches the source, so the bytes of refused files are never read.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        .withColumn("suffix", suffix_of(F.col("path")))
-    )
+    found = _binary_files(spark, path)
+    empty = _empty_files(spark, found).withColumn("content", F.lit("").cast("binary"))
+    files = found.unionByName(empty).withColumn("suffix", suffix_of(F.col("path")))
     accepted = F.col("suffix").isin(*SUFFIXES)
     readable = files.where((F.col("length") <= max_bytes) & accepted).select(
         "path", "length", "suffix", _verdict(F.col("content"), F.col("suffix")).alias("found")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import functions as F
 
 from pivotlake.plans.checks import check_definitions
 from pivotlake.session import new_folder
 from pivotlake.sources.catalog import catalog_nested, column_kind_counts, newest_first, register_tables
-from pivotlake.sources.files import audit_files, inventory, listing, orphans, suffix_of
-from pivotlake.sources.profile import profile, sheet_metadata
+from pivotlake.sources.files import audit_files, inventory, listing, orphans, stale
+from pivotlake.sources.profile import profile
 from pivotlake.sources.sheets import preview, read_csv
 from workload.registry import query
 from workload.tables import plain, table
@@ -31,6 +33,22 @@ _COLUMNS = {
         "c_mktsegment": "string",
     },
     "nation": {"n_nationkey": "integer", "n_name": "string", "n_regionkey": "integer"},
+    "region": {"r_regionkey": "integer", "r_name": "string"},
+    "supplier": {"s_suppkey": "integer", "s_name": "string", "s_nationkey": "integer", "s_acctbal": "float"},
+    "part": {
+        "p_partkey": "integer",
+        "p_name": "string",
+        "p_brand": "string",
+        "p_type": "string",
+        "p_size": "integer",
+        "p_retailprice": "float",
+    },
+    "documents": {"doc_id": "integer", "text": "string", "lang": "string", "source": "string", "n_chars": "integer"},
+    "embeddings": {"vec_id": "integer", "embedding": "string", "label": "integer"},
+    "pages": {"page_id": "integer", "url": "string", "html": "string"},
+    "benchmark": {"item_id": "integer", "text": "string"},
+    "labels": {"doc_id": "integer", "quality": "integer", "toxic": "integer"},
+    "conversations": {"conv_id": "integer", "turn": "integer", "role": "string", "text": "string"},
     "events": {
         "event_id": "integer",
         "ts": "datetime",
@@ -159,39 +177,59 @@ def csv_scan(spark, sf_dir):
 # Files ---------------------------------------------------------------------------------------
 
 
-@query("storage_inventory")
+def _stored(spark, sf_dir, path):
+    """Suppliers landed as one file per region, and one file without any."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("region"))
+    suppliers = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    landed = suppliers.select("region", "s_suppkey", "s_name").repartition(1)
+    landed.write.partitionBy("region").option("header", True).csv(path)
+    suppliers.where(F.lit(False)).select("s_name").coalesce(1).write.text(f"{path}/region=none")
+    return F.regexp_extract("path", "region=([^/]+)/", 1)
+
+
+_STORED_SQL = """stored AS (
+  SELECT DISTINCT CAST(n_regionkey AS VARCHAR) AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'none')"""
+
+
+@query("storage_inventory", f"WITH {_STORED_SQL} SELECT region AS category, count(*) AS file_count, region = 'none' AS empty FROM stored GROUP BY 1")
 def storage(spark, sf_dir):
-    return inventory(listing(spark, sf_dir), suffix_of(F.col("path")))
+    """What a clean-up of files older than five days would find ten days from now."""
+    path = new_folder(spark, "stored")
+    region = _stored(spark, sf_dir, path)
+    later = (datetime.now(timezone.utc) + timedelta(days=10)).replace(tzinfo=None)
+    found = inventory(stale(listing(spark, path), later, 5), region)
+    return found.select("category", "file_count", (F.col("total_bytes") == 0).alias("empty"))
 
 
-@query("orphans", "SELECT unnest(['labels.parquet', 'pages.parquet']) AS name")
+@query("orphans", f"WITH {_STORED_SQL} SELECT region FROM stored WHERE region IN ('0', '2', 'none')")
 def orphaned(spark, sf_dir):
-    """Files next to the tables that the catalog does not name."""
-    named = (
-        "region nation customer supplier part orders lineitem events documents embeddings benchmark conversations"
-    ).split()
-    files = listing(spark, sf_dir, "*.parquet")
-    stored = None
-    for name in named:
-        one = sheet_metadata(table(spark, sf_dir, name)).select(
-            F.lit(f"{name}.parquet").alias("stored_filename"), "row_count"
-        )
-        stored = one if stored is None else stored.unionByName(one)
-    return orphans(files, stored).select("name")
-
-
-@query("file_audit")
+    """Files of regions that no dataset names."""
+    path = new_folder(spark, "stored")
+    region = _stored(spark, sf_dir, path)
+    # Files of one write share their names, so each is known by region and name.
+    files = listing(spark, path).select(F.concat(region, F.lit("-"), F.element_at(F.split("path", "/"), -1)).alias("path"))
+    named = table(spark, sf_dir, "region").where(~F.col("r_regionkey").isin(0, 2)).select(F.col("r_regionkey").cast("string").alias("named"))
+    of = F.substring_index("path", "-", 1)
+    datasets = files.join(named, of == F.col("named")).select(F.col("path").alias("stored_filename"))
+    return orphans(files, datasets).select(of.alias("region"))
+
+
+@query(
+    "file_audit",
+    """SELECT * FROM (VALUES ('good', '.csv', 'ok'), ('nul', '.csv', 'null_bytes'), ('plain', '.txt', 'suffix'), ('void', '.csv', 'not_text'))
+         AS t(kind, suffix, verdict) WHERE EXISTS (SELECT 1 FROM customer)""",
+)
 def landed_files(spark, sf_dir):
-    """Customers landed as good CSV, as CSV with NUL bytes, and as plain text."""
+    """Customers landed as good CSV, as CSV with NUL bytes, as plain text and as nothing."""
     path = new_folder(spark, "landed")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").repartition(2)
     customers.write.option("header", True).csv(f"{path}/good")
-    customers.withColumn("c_name", F.concat(F.lit("c\x00"), "c_name")).write.option("header", True).csv(f"{path}/nul")
+    long = F.rpad("c_name", 40, " ")
+    customers.select(long.alias("c_name"), F.lit("a\x00b").alias("b")).write.option("header", True).csv(f"{path}/nul")
     customers.select("c_name").write.text(f"{path}/plain")
+    customers.where(F.lit(False)).coalesce(1).write.csv(f"{path}/void")
     audited = audit_files(spark, path)
-    return audited.groupBy("suffix", "verdict").agg(
-        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")
-    )
+    return audited.select(F.regexp_extract("path", "/([a-z]+)/[^/]*$", 1).alias("kind"), "suffix", "verdict").distinct()
 
 
 # Saved definitions -----------------------------------------------------------------------------
