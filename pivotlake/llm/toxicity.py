@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pivotlake.llm.tables import remainder, utf8
+from pivotlake.llm.tables import remainder, stored, utf8
 
 SAMPLE_ROWS = 20_000
 FOLDS = 5
@@ -85,43 +85,24 @@ class Model:
         return at[self.terms[at] == hashes]
 
 
-def _g_statistic(ones: np.ndarray, rows: np.ndarray, all_ones: int, all_rows: int) -> np.ndarray:
-    """How surprising the label counts among the rows that hold a term are."""
-    total = np.zeros(len(ones))
-    for have, of, share in ((ones, rows, all_ones), (rows - ones, rows, all_rows - all_ones)):
-        for seen, size in ((have, of), (share - have, all_rows - of)):
-            expected = size * share / all_rows
-            total += np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
-    return 2 * total
-
-
-def train(hashes: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Model:
-    """A model of the given sample; without both labels it is the share of label 1."""
+def train(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Model:
+    """A model of ``terms`` from rows of positions in them; without both labels, or without
+    terms, it is the share of label 1."""
     ones, n = int(labels.sum()), len(labels)
     bias = float(np.log((ones + 0.5) / (n - ones + 0.5))) if n else -5.0
-    none = Model(np.empty(0, np.uint64), bias, np.empty(0), np.empty((0, FACTORS)))
-    if not 0 < ones < n:
-        return none
-    terms, inverse, rows = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), [len(h) for h in hashes])
-    with_one = np.bincount(inverse, labels[owner], len(terms))
-    g = np.where(rows >= MIN_ROWS, _g_statistic(with_one, rows, ones, n), 0)
-    chosen = np.sort(np.argsort(-g, kind="stable")[:MAX_TERMS])
-    chosen = chosen[g[chosen] >= MIN_G]
-    if not len(chosen):
-        return none
-    model = Model(terms[chosen], bias, np.zeros(len(chosen)), np.random.default_rng(seed).normal(0, 0.01, (len(chosen), FACTORS)))
-    known = [model.known(h) for h in hashes]
+    model = Model(terms, bias, np.zeros(len(terms)), np.random.default_rng(seed).normal(0, 0.01, (len(terms), FACTORS)))
+    if not 0 < ones < n or not len(terms):
+        return Model(np.empty(0, np.uint64), bias, np.empty(0), np.empty((0, FACTORS)))
     random = np.random.default_rng(seed)
     # Adagrad on the log loss, in batches of rows as dense 0/1 matrices.
-    sums = [np.full(1, 1e-8), np.full(len(chosen), 1e-8), np.full((len(chosen), FACTORS), 1e-8)]
+    sums = [np.full(1, 1e-8), np.full(len(terms), 1e-8), np.full((len(terms), FACTORS), 1e-8)]
     for _ in range(EPOCHS):
         order = random.permutation(n)
         for i in range(0, n, BATCH):
             batch = order[i : i + BATCH]
-            x = np.zeros((len(batch), len(chosen)))
+            x = np.zeros((len(batch), len(terms)))
             for k, row in enumerate(batch):
-                x[k, known[row]] = 1
+                x[k, rows[row]] = 1
             inner = x @ model.factors
             pairs = ((inner**2).sum(1) - x @ (model.factors**2).sum(1)) / 2
             error = 1 / (1 + np.exp(-np.clip(model.bias + x @ model.weights + pairs, -30, 30))) - labels[batch]
@@ -143,23 +124,48 @@ def held_out(doc_id: str = "doc_id"):
 def _hash_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = Terms()
     for batch in batches:
-        found = [known.of(text).tobytes() for text in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["label", "terms"])
+        found = [known.of(text).view(np.int64) for text in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["label", "terms"])
+
+
+def _telling(sample: DataFrame, all_rows: int, all_ones: int) -> DataFrame:
+    """The terms that are frequent enough and tell the labels apart, at most ``MAX_TERMS``."""
+    terms = sample.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("rows"), F.sum("label").alias("ones"))
+    g = F.lit(0.0)
+    for of, share in (("ones", all_ones), ("zeros", all_rows - all_ones)):
+        for seen, size in ((F.col(of), F.col("rows")), (share - F.col(of), all_rows - F.col("rows"))):
+            g = g + F.when(seen > 0, 2 * seen * F.ln(seen * float(all_rows) / (size * float(share)))).otherwise(0.0)
+    terms = terms.where(F.col("rows") >= MIN_ROWS).withColumn("zeros", F.col("rows") - F.col("ones")).withColumn("g", g)
+    return terms.where(F.col("g") >= MIN_G).orderBy(F.desc("g"), "term").limit(MAX_TERMS).select("term")
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from the rows of ``labels`` (doc_id, toxic) that are not held out.
 
     Label rows with a null id or label are left out; an id with several labels has the
-    greatest. Documents of one id are all examples of its label.
+    greatest, and of several documents of an id the least text is the example. Terms are
+    counted and chosen by Spark; the driver gets at most ``MAX_TERMS`` terms and, of each
+    of at most ``sample_rows`` examples, which of them it holds.
     """
     mine = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     mine = mine.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).withColumnRenamed("doc_id", "label_id")
     # At most sample_rows rows on the broadcast side.
-    rows = documents.join(F.broadcast(mine), F.col("doc_id") == F.col("label_id")).select("label_id", "label", utf8().alias("text"))
-    rows = rows.orderBy(F.xxhash64("label_id"), "label_id", "text").limit(sample_rows).select("label", "text")
-    sample = rows.mapInArrow(_hash_rows, "label int, terms binary").collect()
-    return train([np.frombuffer(r.terms, np.uint64) for r in sample], np.array([r.label for r in sample], np.float64))
+    rows = documents.select("doc_id", "text").join(F.broadcast(mine), F.col("doc_id") == F.col("label_id")).select("label_id", "label", "text")
+    rows = rows.groupBy("label_id", "label").agg(F.min("text").alias("text")).select("label", utf8().alias("text"))
+    sample = stored(rows.mapInArrow(_hash_rows, "label int, terms array<bigint>"), "examples")
+    all_rows, all_ones = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    chosen = [r.term for r in _telling(sample, all_rows, all_ones).collect()] if 0 < all_ones < all_rows else []
+    terms = np.sort(np.array(chosen, np.int64).view(np.uint64))
+    index = Model(terms, 0.0, np.empty(0), np.empty(0))
+
+    def positions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [index.known(np.array(t, np.int64).view(np.uint64)).astype(np.int32) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["label", "positions"])
+
+    # Ordered, so that training repeats exactly.
+    known = sample.mapInArrow(positions, "label int, positions array<int>").orderBy("label", "positions").collect()
+    return train(terms, [np.array(r.positions, np.int64) for r in known], np.array([r.label for r in known], np.float64))
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:

@@ -22,17 +22,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(p == y for p, y in tested) >= 0.97 * len(tested)
 
 
-def test_a_pair_of_terms_counts_for_more():
+def test_a_pair_of_terms_counts_for_more(spark, documents):
     rng = np.random.default_rng(0)
     names = np.array([f"t{i}" for i in range(60)])
-    known = toxicity.Terms()
     rows, labels = [], []
-    for _ in range(3000):
+    for i in range(3000):
         insult, group = rng.random(2) < 0.4
-        words = list(rng.choice(names, 8)) + ["insult"] * insult + ["group"] * group
-        rows.append(known.of(" ".join(words).encode()))
-        labels.append(float(insult and group))
-    model = toxicity.train(rows, np.array(labels))
+        rows.append((i, " ".join([*rng.choice(names, 8), *["insult"] * int(insult), *["group"] * int(group)]), "s"))
+        labels.append((i, int(insult and group)))
+    model = toxicity.fit(documents(rows), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    known = toxicity.Terms()
     p = lambda t: model.score([model.known(known.of(t.encode()))])[0]
     assert p("insult group t1") > 0.5 > max(p("insult t1"), p("group t1"), p("t1"))
     i, g = model.known(known.of(b"insult")), model.known(known.of(b"group"))
