@@ -10,11 +10,12 @@ with 3 in a million. Texts of up to ``SHORT`` shingles take more samples of two
 shingles, because few shingles make few different samples.
 
 Exact copies are counted together first and take part as one text. In each bucket all
-texts are compared with one leader, chosen by hash and so another one in each bucket.
-Texts in a bucket that are linked neither directly nor through other buckets are
-compared with each other if two of their bucket keys agree: at similarity 0.8 two texts
-of 24 samples share fewer than two with probability 6 in 100,000. Groups of copies end
-after the first step, so no group is expanded into all pairs.
+texts are compared with one leader, the first by a hash of the id. Texts in a bucket
+that are linked neither directly nor through other buckets are left over, if two of
+their buckets are so: at similarity 0.8 two texts of 24 samples share fewer than two
+with probability 6 in 100,000. Those left over are joined exactly, by their rarest
+shingles. Groups of copies end after the first step, and texts that share a passage do
+not meet in the second, so no group is expanded into all pairs.
 
 A pair is verified on its whole texts: the two shingle sequences are aligned within the
 band of offsets that a similarity at the threshold leaves open, and the similarity is
@@ -29,7 +30,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pivotlake.llm.components import components
 from pivotlake.llm.tables import stored, utf8
@@ -159,11 +160,15 @@ def _align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=_LINKS)
 
 
+def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and text of the rows with one of ``ids``."""
+    ids = stored(ids.distinct(), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", "left_semi").select("id", "text")
+
+
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar, with their similarity."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
-    texts = rows.join(ids, "id", "left_semi").select("id", "text")
+    texts = _texts(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     with_b = pairs.join(texts, F.col("b") == F.col("id")).select("a", "b", F.col("text").alias("text_b"))
     both = with_b.join(texts, F.col("a") == F.col("id")).select("a", "b", F.col("text").alias("text_a"), "text_b")
     return stored(both.mapInArrow(_align, "a bigint, b bigint, similarity double"), "links")
@@ -175,6 +180,35 @@ def _pair(x: str, nx: str, y: str, ny: str, rows: DataFrame) -> DataFrame:
     return rows.where((F.col(x) != F.col(y)) & fits).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
+def _gram_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = WordCodes()
+    for batch in batches:
+        for node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            grams = shingles(text, known).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), node, np.int64)), pa.array(grams)], names=["node", "gram"])
+
+
+def _by_prefix(left: DataFrame, rows: DataFrame) -> DataFrame:
+    """All pairs of texts in ``left`` (node, n, label) of unequal labels that may be similar.
+
+    At similarity t two texts share one of the n - t n + 1 rarest shingles of either. A
+    shingle of a passage that many texts hold is none of the rarest ones, so texts that
+    only share the passage do not meet.
+    """
+    grams = _texts(rows, left.select(F.col("node").alias("id"))).mapInArrow(_gram_rows, "node bigint, gram bigint")
+    grams = stored(grams.distinct(), "grams")
+    often = grams.groupBy("gram").agg(F.count("*").alias("often")).where("often > 1")
+    in_text = Window.partitionBy("node")
+    met = grams.join(often, "gram").join(left, "node")
+    # Shingles that no other text holds come before all of these.
+    place = F.col("n") - F.count("*").over(in_text) + F.row_number().over(in_text.orderBy("often", "gram"))
+    prefix = F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9) + 1
+    met = met.withColumn("place", place).where(F.col("place") <= prefix)
+    met = stored(met.select("gram", "node", "n", "label"), "prefixes")
+    other = met.select("gram", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
+    return _pair("node", "n", "node2", "n2", met.join(other, "gram").where("label < label2"))
+
+
 def _classes(documents: DataFrame) -> DataFrame:
     """Per row: id, made, class_of (the least id of the class), text_id and n_links."""
     rows = _rows(documents)
@@ -184,7 +218,7 @@ def _classes(documents: DataFrame) -> DataFrame:
     own = stored(worded.select("id", "made", "h1", "h2").join(nodes, ["h1", "h2"]), "texts")
     first = own.where("id = node").select("node", "h1", "h2").distinct()
     buckets = worded.join(first, ["h1", "h2"]).where("id = node").select("node", "n", F.explode(F.array_distinct("keys")).alias("key")).distinct()
-    leader = F.min(F.struct(F.xxhash64("node", "key").alias("turn"), F.col("node").alias("leader"), F.col("n").alias("leader_n"))).alias("lead")
+    leader = F.min(F.struct(F.xxhash64("node").alias("turn"), F.col("node").alias("leader"), F.col("n").alias("leader_n"))).alias("lead")
     leaders = buckets.groupBy("key").agg(leader, F.count("*").alias("size")).where("size > 1").select("key", "lead.leader", "lead.leader_n", "size")
     shared = stored(buckets.join(leaders, "key"), "buckets")
     pairs = stored(_pair("node", "n", "leader", "leader_n", shared), "pairs")
@@ -194,14 +228,8 @@ def _classes(documents: DataFrame) -> DataFrame:
     # Buckets of two are settled; so are those within one component.
     shared = shared.where("size > 2").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
     open_keys = shared.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    left = shared.join(open_keys, "key").groupBy("node", "n", "label").agg(F.array_sort(F.collect_set("key")).alias("keys")).where("size(keys) > 1")
-    two = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
-    left = stored(left.select("node", "n", "label", F.explode(two).alias("two")), "open")
-    mixed_up = left.groupBy("two").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("two")
-    left = left.join(mixed_up, "two")
-    other = left.select("two", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-    met = left.join(other, "two").where("label < label2")
-    more = stored(_pair("node", "n", "node2", "n2", met).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    left = shared.join(open_keys, "key").groupBy("node", "n", "label").agg(F.count("*").alias("keys")).where("keys > 1")
+    more = stored(_by_prefix(stored(left.drop("keys"), "open"), rows).join(pairs, ["a", "b"], "left_anti"), "pairs")
     links = links.union(verified(more, rows)).select("a", "b").distinct()
 
     labels = components(links)
