@@ -5,7 +5,10 @@ from pivotlake.llm import neighbours
 from pivotlake.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.1"
-EVERY = F.col("vec_id") % 20 == 0
+
+
+def every():
+    return F.col("vec_id") % 20 == 0
 
 
 def brute(rows, queries, k=20):
@@ -38,15 +41,15 @@ def test_edges_ties_and_copies(spark):
     rows += [(8, [-1.0, -1.0]), (9, [1.0, 2.0, 3.0]), (40, None), (None, [1.0, 1.0]), (0, [1.0, 0.0]), (60, [0.5, 0.5]), (10, [])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").selectExpr("*", "1 AS h1", "2 AS v", "3 AS bucket")
     got = {}
-    for r in neighbours.nearest(df, EVERY).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(df, every()).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     sound = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (8, [-1.0, -1.0]), (60, [0.5, 0.5])]
     assert got == brute(sound, [0, 20, 60])
     many = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.lit(3.0), F.lit(4.0)).alias("embedding"))
-    found = neighbours.nearest(many, EVERY, k=5).where("query_id IN (0, 20, 2000)").orderBy("query_id", "rank").collect()
+    found = neighbours.nearest(many, every(), k=5).where("query_id IN (0, 20, 2000)").orderBy("query_id", "rank").collect()
     assert [r.vec_id for r in found] == [1, 2, 3, 4, 5, *[0, 1, 2, 3, 4] * 2] and {r.score for r in found} == {25.0}
-    assert neighbours.nearest(df.limit(0), EVERY).count() == 0
-    assert neighbours.nearest(df.where("vec_id = 8"), EVERY).count() == 0
+    assert neighbours.nearest(df.limit(0), every()).count() == 0
+    assert neighbours.nearest(df.where("vec_id = 8"), every()).count() == 0
 
 
 def test_probes_come_in_order():
