@@ -34,7 +34,7 @@ WIDTH = 1.5
 OCCUPANCY = 256
 SAMPLE_POINTS, SAMPLE_QUERIES = 4096, 256
 RECALL = 0.97
-BLOCK = 4096
+BLOCK = 2048
 
 
 @dataclass
@@ -162,11 +162,14 @@ def _best(k: int):
     def match(points: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(points) or not len(asking):
             return pd.DataFrame([], columns=["q1", "q2", "scores", "h1s", "h2s"])
-        scores = np.stack(asking["v"]) @ np.stack(points["v"]).T
-        n = min(k, scores.shape[1])
+        q, p = np.stack(asking["v"]), np.stack(points["v"])
+        scores = q @ p.T
+        n = min(k, len(p))
         top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+        # A product summed the same way for a pair in any block, unlike that of matrices.
+        exact = [np.einsum("d,kd->k", v, p[best]) for v, best in zip(q, top, strict=True)]
         h1, h2 = points["h1"].to_numpy(), points["h2"].to_numpy()
-        return pd.DataFrame({"q1": asking["h1"], "q2": asking["h2"], "scores": list(np.take_along_axis(scores, top, 1)), "h1s": list(h1[top]), "h2s": list(h2[top])})
+        return pd.DataFrame({"q1": asking["h1"], "q2": asking["h2"], "scores": exact, "h1s": list(h1[top]), "h2s": list(h2[top])})
 
     return match
 
@@ -205,12 +208,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     right = probes.join(sizes, ["t", "bucket"]).withColumns({"part": each("parts"), "asker": part("askers")}).select(*key, "h1", "h2", "v")
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_best(k + 1), _BEST)
 
-    # At most tables x probes x parts rows of k + 1 candidates a query.
-    zipped = F.explode(F.arrays_zip("scores", "h1s", "h2s")).alias("c")
-    best = found.select("q1", "q2", zipped).select("q1", "q2", F.col("c.scores").alias("score"), F.col("c.h1s").alias("h1"), F.col("c.h2s").alias("h2"))
-    best = best.groupBy("q1", "q2", "h1", "h2").agg(F.max("score").alias("score"))
+    # A query has at most tables x probes x parts rows of k + 1 candidates, which are put
+    # together in one array; candidates as good as the last of the k + 1 best stay with it.
+    zipped = F.arrays_zip(F.col("scores").alias("score"), F.col("h1s").alias("h1"), F.col("h2s").alias("h2"))
+    best = found.groupBy("q1", "q2").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(zipped))), False).alias("c"))
+    last = F.element_at("c", F.least(F.size("c"), F.lit(k + 1)))["score"]
+    best = best.select("q1", "q2", F.explode(F.filter("c", lambda x: x["score"] >= last)).alias("c")).select("q1", "q2", "c.score", "c.h1", "c.h2")
     by_query = Window.partitionBy("q1", "q2")
-    best = best.withColumn("place", F.rank().over(by_query.orderBy(F.desc("score")))).where(F.col("place") <= k + 1).drop("place")
     ids = best.join(members.select("h1", "h2", "vec_id"), ["h1", "h2"])
     ids = ids.withColumn("place", F.row_number().over(by_query.orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
     asked = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.col("h1").alias("q1"), F.col("h2").alias("q2"))
