@@ -355,24 +355,17 @@ def _widen(values, spec, measures, most) -> tuple[DataFrame, list[Cell]]:
     cells = [Cell(f"__cell{i}", headers[i], m, types[j]) for i, (j, m, _) in enumerate(plan)]
     rows = [f"__row{i}" for i in range(len(spec.rows))]
 
-    row_total = _has_row_total(spec, measures, cells)
     long = numbered.withColumn(ROW_KIND, F.lit(LEAF))
-    if row_total or spec.totals.column or (spec.totals.subtotals and len(rows) >= 2):
+    if spec.totals.column or (spec.totals.subtotals and len(rows) >= 2):
         long = _long_totals(_dense(numbered, rows, names, types, n), spec, measures, names, types)
-    if row_total:
-        summed = long.groupBy(*rows, ROW_KIND).agg(F.sum(names[0]).alias(names[0]))
-        wide_type = summed.schema[names[0]].dataType
-        long = long.withColumn(names[0], F.col(names[0]).cast(wide_type)).unionByName(summed.withColumn(_NUMBER, F.lit(n)))
-    wide = long.groupBy(*rows, ROW_KIND).pivot(_NUMBER, list(range(n + row_total))).agg(*[F.first(v).alias(v) for v in names])
+    wide = long.groupBy(*rows, ROW_KIND).pivot(_NUMBER, list(range(n))).agg(*[F.first(v).alias(v) for v in names])
     # Spark names the cells key by key; address them by position.
     made = wide.columns[len(rows) + 1 :]
     shown = []
     for cell, (j, _, k) in zip(cells, plan):
-        value = f"CAST({quoted(made[k * len(names) + j])} AS {cell.dtype.simpleString()})"
+        value = quoted(made[k * len(names) + j])
         shown.append(f"coalesce({value}, CAST(0 AS {cell.dtype.simpleString()})) AS {cell.name}" if is_numeric(cell.dtype) else f"{value} AS {cell.name}")
-    if row_total:
-        shown.append(f"{quoted(made[-1])} AS {ROW_TOTAL}")
-    return wide.selectExpr(*rows, *shown, ROW_KIND), cells
+    return _with_row_total(wide.selectExpr(*rows, *shown, ROW_KIND), spec, measures, cells), cells
 
 
 def _dense(numbered, rows, names, types, n) -> DataFrame:
