@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -10,14 +11,20 @@ from pivotlake.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session(
-        "tests",
-        "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "6g"},
-    )
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+    with tempfile.TemporaryDirectory(prefix="pivotlake-tests-", ignore_cleanup_errors=True) as shared:
+        session = build_session(
+            "tests",
+            "local[8]",
+            **{
+                "spark.sql.shuffle.partitions": "8",
+                "spark.ui.enabled": "false",
+                "spark.driver.memory": "6g",
+                "spark.checkpoint.dir": shared,
+            },
+        )
+        session.sparkContext.setLogLevel("ERROR")
+        yield session
+        session.stop()
 
 
 @pytest.fixture(scope="session")
