@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pivotlake.llm.components import components
-from pivotlake.llm.tables import stored, utf8
+from pivotlake.llm.tables import rows_of, stored, utf8
 from pivotlake.llm.words import WordCodes, folded_words, gram_codes, mixed
 
 SHINGLE = 5
@@ -135,7 +135,7 @@ def _sketch_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordCodes()
     for batch in batches:
         sizes, keys = [], []
-        for text in batch.column(4).to_pylist():
+        for *_, text in rows_of(batch):
             grams = shingles(text, known)
             sizes.append(len(grams))
             keys.append(sketch(grams))
@@ -151,7 +151,7 @@ def _align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, x = None, None
     for batch in batches:
         out = []
-        for a, b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for a, b, text_a, text_b in rows_of(batch):
             if text_a != last:
                 last, x = text_a, shingles(text_a, known)
             out.append((a, b, similarity(x, shingles(text_b, known))))
@@ -183,7 +183,7 @@ def _pair(x: str, nx: str, y: str, ny: str, rows: DataFrame) -> DataFrame:
 def _gram_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordCodes()
     for batch in batches:
-        for node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for node, text in rows_of(batch):
             grams = shingles(text, known).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), node, np.int64)), pa.array(grams)], names=["node", "gram"])
 

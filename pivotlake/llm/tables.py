@@ -26,3 +26,9 @@ def utf8(text: str = "text"):
 def remainder(doc_id: str, by: int):
     """crc32 of the id as text, modulo ``by``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % by
+
+
+def rows_of(batch, step: int = 256):
+    """The rows of an Arrow batch as tuples, a few at a time: texts are long, batches are not."""
+    for first in range(0, batch.num_rows, step):
+        yield from zip(*(c.to_pylist() for c in batch.slice(first, step).columns), strict=True)

@@ -20,7 +20,7 @@ def folded_words(text: bytes) -> list[bytes]:
 class WordCodes(dict):
     """64-bit codes of words, remembered up to a bound; beyond it they are computed again."""
 
-    LIMIT = 1_000_000
+    LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
         code = xxhash.xxh3_64_intdigest(word)
