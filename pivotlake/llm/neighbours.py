@@ -211,9 +211,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     # A query has at most tables x probes x parts rows of k + 1 candidates, which are put
     # together in one array; candidates as good as the last of the k + 1 best stay with it.
     zipped = F.arrays_zip(F.col("scores").alias("score"), F.col("h1s").alias("h1"), F.col("h2s").alias("h2"))
-    best = found.groupBy("q1", "q2").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(zipped))), False).alias("c"))
-    last = F.element_at("c", F.least(F.size("c"), F.lit(k + 1)))["score"]
-    best = best.select("q1", "q2", F.explode(F.filter("c", lambda x: x["score"] >= last)).alias("c")).select("q1", "q2", "c.score", "c.h1", "c.h2")
+    best = found.groupBy("q1", "q2").agg(F.sort_array(F.flatten(F.collect_list(zipped)), False).alias("c"))
+    # A point is met once a table at most, so this many hold k + 1 different ones.
+    first = F.array_distinct(F.slice("c", 1, TABLES * (k + 1)))
+    last = F.element_at(first, F.least(F.size(first), F.lit(k + 1)))["score"]
+    best = best.select("q1", "q2", F.array_distinct(F.filter("c", lambda x: x["score"] >= last)).alias("c"))
+    best = best.select("q1", "q2", F.explode("c").alias("c")).select("q1", "q2", "c.score", "c.h1", "c.h2")
     by_query = Window.partitionBy("q1", "q2")
     ids = best.join(members.select("h1", "h2", "vec_id"), ["h1", "h2"])
     ids = ids.withColumn("place", F.row_number().over(by_query.orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
