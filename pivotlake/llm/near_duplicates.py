@@ -14,8 +14,9 @@ texts are compared with one leader, the first by a hash of the id. Texts in a bu
 that are linked neither directly nor through other buckets are left over, if two of
 their buckets are so: at similarity 0.8 two texts of 24 samples share fewer than two
 with probability 6 in 100,000. Those left over are joined exactly, by their rarest
-shingles. Groups of copies end after the first step, and texts that share a passage do
-not meet in the second, so no group is expanded into all pairs.
+shingles. Groups of close copies end after the first step, and texts that share a passage
+do not meet in the second. Many texts that lie about the threshold from one another can
+meet there in many pairs.
 
 A pair is verified on its whole texts: the two shingle sequences are aligned within the
 band of offsets that a similarity at the threshold leaves open, and the similarity is
