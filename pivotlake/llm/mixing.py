@@ -124,7 +124,7 @@ def mixed(documents: DataFrame, seed: int = 7, weights=WEIGHTS, total_share=TOTA
     plan = _few(cutoffs(given.drop("row"), wanted, seed))
     at = F.struct("place", "size", F.xxhash64("text").alias("code"))
     once_more = (
-        F.when(F.col("source_size") == 0, False)
+        F.when((F.col("source_size") == 0) | (F.col("rest") <= 0), False)
         .when(F.col("slice").isNull(), F.col("all"))
         .when(F.col("own_slice") != F.col("slice"), F.col("own_slice") < F.col("slice"))
         .otherwise(F.coalesce(at <= F.col("at"), F.lit(False)))
