@@ -1,25 +1,29 @@
 """Nearest neighbours by largest inner product with multiprobe p-stable hashing.
 
-Equal vectors are one point. A point of norm r gets one more coordinate, the root of
-M^2 - r^2 with M the largest norm, and queries get a zero: nearest by distance is then
-largest by inner product. Each of ``TABLES`` tables cuts the space by m random normal
-projections, shifted and divided into cells of width ``WIDTH``; the cell numbers are the
-bucket. A query visits, in every table, its own bucket and those reached by moving some
-projections one cell up or down, in the order of the squared distances to the cell
-borders, which is the order of estimated success. m grows with the logarithm of the
-number of points. How many buckets are visited is fitted on a bounded sample, so that
-the sample's recall reaches ``RECALL``; every point is in the tables.
+Equal vectors are one point. Points are parted by norm, into classes within which norms
+differ by less than a factor of two. In its class a point of norm r gets one more
+coordinate, the root of M^2 - r^2 with M the largest norm there, and queries get a zero:
+nearest by distance is then largest by inner product. Each of ``TABLES`` tables of a class
+cuts the space by m random normal projections, shifted and divided into cells of width
+``WIDTH``; the cell numbers are the bucket. A query visits, in every table of every class,
+the buckets whose cells are near its own place: the sum of the squared distances to the
+cell borders is the order of estimated success. m grows with the logarithm of the number
+of points. Up to which distance buckets are visited is fitted on a bounded sample, so that
+the sample's recall reaches ``RECALL``, however many cells away that is; every point is in
+the tables. A class of at most ``EXACT`` points, or one in which that would
+cost more than comparing all its points, is one bucket that every query visits.
 
 Buckets are joined to their visitors in blocks of bounded size on both sides; a block
 yields the best points of each visitor by exact inner products, and the best of all
-blocks are merged. No task holds a whole bucket.
+blocks are merged. No task holds a whole bucket. Queries that met fewer points than asked
+for are compared with every point, in the same blocks.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -35,6 +39,8 @@ OCCUPANCY = 256
 SAMPLE_POINTS, SAMPLE_QUERIES = 4096, 256
 RECALL = 0.97
 BLOCK = 2048
+EXACT = 1024
+PROBE = 64  # comparisons that cost as much as a visit of a cell
 
 
 @dataclass
@@ -42,7 +48,7 @@ class Hashing:
     directions: np.ndarray  # tables x projections x (dimensions + 1)
     shifts: np.ndarray  # tables x projections
     largest: float
-    probes: int = 1
+    furthest: float | None = 0.0  # of the cells to visit; None: the class is one bucket
 
     @classmethod
     def drawn(cls, dimensions: int, points: int, largest: float, seed: int = 5) -> Hashing:
@@ -60,34 +66,39 @@ class Hashing:
         rest = np.sqrt(np.maximum(0, 1 - (unit**2).sum(axis=1, keepdims=True)))
         return np.floor(self._cells(np.hstack([unit, rest]))).astype(np.int64)
 
+    def place(self, vector: np.ndarray) -> np.ndarray:
+        """Position of a query in cells: tables x projections."""
+        return self._cells(np.append(vector / np.linalg.norm(vector), 0.0)[None])[0]
+
     def probed(self, vector: np.ndarray) -> list[np.ndarray]:
-        """Cells that a query visits: per table, up to ``probes`` rows in order of success."""
-        unit = np.append(vector / np.linalg.norm(vector), 0.0)
-        at = self._cells(unit[None])[0]
-        return [_perturbed(row, self.probes) for row in at]
+        """Cells that a query visits: per table, rows in order of success."""
+        return [_perturbed(row, furthest=self.furthest, reach=None) for row in self.place(vector)]
+
+
+def _distances(at: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Squared distances of ``cells`` from the place ``at``, summed over projections."""
+    below, above = at - cells - 1, cells - at
+    return (np.maximum(np.maximum(below, above), 0) ** 2).sum(axis=-1)
 
 
-def _perturbed(at: np.ndarray, probes: int) -> np.ndarray:
+def _perturbed(at: np.ndarray, probes: int | None = None, furthest: float = np.inf, reach: int | None = 1, most: float = np.inf) -> np.ndarray | None:
+    """Cells at most ``furthest`` from ``at``, the nearest first, at most ``probes`` of them.
+
+    No projection is moved more than ``reach`` cells, or any number if that is None. More
+    than ``most`` cells are not made: the result is None.
+    """
     home = np.floor(at).astype(np.int64)
-    inside = at - home
-    # Moves of one projection: how far its border is, squared; down, then up.
-    moves = sorted([(x**2, i, -1) for i, x in enumerate(inside)] + [((1 - x) ** 2, i, 1) for i, x in enumerate(inside)])
-    cost = [m[0] for m in moves]
-    found = [home]
-    # Sets of moves by total cost: replace the last move by the next, or add the next.
-    heap = [(cost[0], (0,))]
-    while heap and len(found) < probes:
-        total, chosen = heapq.heappop(heap)
-        last = chosen[-1]
-        if len({moves[c][1] for c in chosen}) == len(chosen):
-            cell = home.copy()
-            for c in chosen:
-                cell[moves[c][1]] += moves[c][2]
-            found.append(cell)
-        if last + 1 < len(moves):
-            heapq.heappush(heap, (total + cost[last + 1], (*chosen, last + 1)))
-            heapq.heappush(heap, (total - cost[last] + cost[last + 1], (*chosen[:-1], last + 1)))
-    return np.array(found)
+    reach = int(np.sqrt(furthest)) + 1 if reach is None else reach
+    steps = np.arange(-reach, reach + 1)
+    cells, costs = np.empty((1, 0), np.int64), np.zeros(1)
+    for start, x in zip(home, at, strict=True):
+        step = _distances(np.array(x), (start + steps)[:, None])
+        total = costs[:, None] + step[None]
+        row, column = np.nonzero(total <= furthest)
+        if len(row) > most:
+            return None
+        cells, costs = np.hstack([cells[row], (start + steps[column])[:, None]]), total[row, column]
+    return cells[np.argsort(costs, kind="stable")[:probes]]
 
 
 def _buckets(cells: np.ndarray) -> np.ndarray:
@@ -99,30 +110,42 @@ def _buckets(cells: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def fit(points: DataFrame, count: int, dimensions: int, largest: float, k: int = K) -> Hashing:
-    """Hashing whose number of probes reaches the wanted recall on a sample of ``points``.
+def fit(points: DataFrame, asking: list, count: int, dimensions: int, largest: float, k: int = K) -> Hashing:
+    """Hashing that reaches the wanted recall on a sample of ``points``, those of one class.
 
-    The sample is the first ``SAMPLE_POINTS`` by hash; its first rows serve as queries.
+    The sample is the first ``SAMPLE_POINTS`` by hash; ``asking`` (h1, h2, v) is one of queries.
     """
     hashing = Hashing.drawn(dimensions, count, largest)
-    sample = points.orderBy("h1", "h2").limit(SAMPLE_POINTS).select("v").collect()
-    vectors = np.array([r.v for r in sample], np.float64).reshape(len(sample), dimensions)
-    queries = vectors[:SAMPLE_QUERIES]
-    near = queries @ vectors.T
-    np.fill_diagonal(near, -np.inf)
-    wanted = np.argsort(-near, axis=1)[:, : min(k, len(vectors) - 1)]
-    if not wanted.size:
+    if count <= EXACT or not 0 < largest < np.inf:
+        hashing.furthest = None
         return hashing
-    cells = _buckets(hashing.points(vectors))
-    hashing.probes = most = 3 ** hashing.shifts.shape[1]
-    # The number of the probe at which each wanted point is met, at best over all tables.
-    met = np.full(wanted.shape, most)
-    for q, vector in enumerate(queries):
-        for t, probed in enumerate(hashing.probed(vector)):
-            order = {b: i for i, b in reversed(list(enumerate(_buckets(probed).tolist())))}
-            met[q] = np.minimum(met[q], [order.get(c, most) for c in cells[wanted[q], t].tolist()])
-    ranked = np.sort(met.ravel())
-    hashing.probes = int(min(most, ranked[int(np.ceil(RECALL * len(ranked))) - 1] + 1))
+    sample = points.orderBy("h1", "h2").limit(SAMPLE_POINTS).select("h1", "h2", "v").collect()
+    vectors = np.array([r.v for r in sample], np.float64).reshape(len(sample), dimensions)
+    cells, names = hashing.points(vectors), {(r.h1, r.h2): i for i, r in enumerate(sample)}
+    # The distance at which each wanted point is met, the least over all tables.
+    met, places = [], []
+    for r in asking:
+        vector = np.array(r.v, np.float64)
+        near = vectors @ vector
+        if (r.h1, r.h2) in names:
+            near[names[r.h1, r.h2]] = -np.inf
+        wanted = np.argsort(-near)[: min(k, len(vectors) - 1)]
+        places.append(hashing.place(vector))
+        met.append(_distances(places[-1], cells[wanted]).min(axis=1))
+    ranked = np.sort(np.concatenate([*met, np.zeros(0)]))
+    if len(ranked):
+        # Rounding must not shut out the very cell at this distance.
+        hashing.furthest = float(ranked[int(np.ceil(RECALL * len(ranked))) - 1]) * (1 + 1e-9)
+    work = 0.0
+    for at in places:
+        found = [_perturbed(row, furthest=hashing.furthest, reach=None, most=count) for row in at]
+        if any(f is None for f in found):
+            work = np.inf
+            break
+        work += sum(map(len, found)) * PROBE + (_distances(at, cells) <= hashing.furthest).sum() * count / len(cells)
+    # Where cells cost more than they leave out, every point is compared.
+    if work >= count * max(1, len(places)):
+        hashing.furthest = None
     return hashing
 
 
@@ -137,23 +160,33 @@ _ENTRIES = "t int, bucket bigint, h1 bigint, h2 int, v array<double>"
 _BEST = "q1 bigint, q2 int, scores array<double>, h1s array<bigint>, h2s array<int>"
 
 
-def _entries(hashing: Hashing, probing: bool):
+def _entries(classes: dict[int, Hashing], probing: bool):
     schema = pa.schema([("t", pa.int32()), ("bucket", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("v", pa.list_(pa.float64()))])
 
+    def buckets(part: int, vectors: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Table, bucket and row."""
+        hashing = classes[part]
+        if hashing.furthest is None:
+            yield from ((part * TABLES, 0, i) for i in rows.tolist())
+        elif probing:
+            for i in rows.tolist():
+                for t, cells in enumerate(hashing.probed(vectors[i])):
+                    yield from ((part * TABLES + t, b, i) for b in dict.fromkeys(_buckets(cells).tolist()))
+        elif len(rows):
+            for i, found in zip(rows.tolist(), _buckets(hashing.points(vectors[rows])).tolist(), strict=True):
+                yield from ((part * TABLES + t, b, i) for t, b in enumerate(found))
+
     def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column(2).to_pylist()
-            if not vectors:
+            if not batch.num_rows:
                 continue
-            if probing:
-                found = [[_buckets(p) for p in hashing.probed(np.array(v))] for v in vectors]
-            else:
-                found = _buckets(hashing.points(np.array(vectors)))[..., None]
-            rows = [(t, b, i) for i, tables in enumerate(found) for t, buckets in enumerate(tables) for b in dict.fromkeys(buckets.tolist())]
-            for first in range(0, len(rows), 1 << 14):
-                t, bucket, i = zip(*rows[first : first + (1 << 14)], strict=True)
+            vectors, own = np.array(batch.column(2).to_pylist()), batch.column(3).to_numpy()
+            every = np.arange(len(vectors))
+            rows = chain.from_iterable(buckets(c, vectors, every if probing else np.flatnonzero(own == c)) for c in classes)
+            while some := list(islice(rows, 1 << 14)):
+                t, bucket, i = zip(*some, strict=True)
                 take = pa.array(i)
-                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(bucket), batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(bucket, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take)], schema=schema)
 
     return put
 
@@ -174,31 +207,12 @@ def _best(k: int):
     return match
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
-    """For each row of ``vectors`` (vec_id, embedding) that is a query, its nearest others.
+def _norm() -> Column:
+    return F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
 
-    Columns: query_id, rank (from 1), vec_id, score, the inner product in double
-    precision. The ``k`` nearest found, nearest first, equal scores by smaller vec_id;
-    a query's own vec_id is no candidate. Vectors that are null, zero, or hold null or
-    non-finite components take no part, nor do rows without vec_id or vectors whose
-    length is not the most frequent one (of equally frequent ones the largest). Repeated
-    rows count once. Other columns are ignored.
-    """
-    rows = _valid(vectors, is_query)
-    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("norm"))
-    chosen = lengths.orderBy(F.desc("n"), F.desc("d")).first()
-    if chosen is None:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    rows = stored(rows.where(F.size("v") == chosen.d).dropDuplicates(["vec_id", "h1", "h2"]), "vectors")
-    # Of equal vectors only the k + 1 least ids can ever be among the k nearest of a query.
-    order = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))
-    members = stored(rows.select("vec_id", "h1", "h2", "v").withColumn("place", order).where(F.col("place") <= k + 1), "members")
-    points = members.where("place = 1").select("h1", "h2", "v")
-    hashing = fit(points, points.count(), chosen.d, chosen.norm, k)
-    asking = rows.where("asks").dropDuplicates(["h1", "h2"]).select("h1", "h2", "v")
 
-    entries = points.mapInArrow(_entries(hashing, False), _ENTRIES)
-    probes = asking.mapInArrow(_entries(hashing, True), _ENTRIES)
+def _compared(entries: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+    """The best of every block of each bucket for each of its visitors."""
     blocks = lambda df, name: df.groupBy("t", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     sizes = stored(blocks(entries, "parts").join(blocks(probes, "askers"), ["t", "bucket"]), "sizes")
     part = lambda n: F.pmod(F.xxhash64("h1", "h2", F.lit(3)), F.col(n)).cast("int")
@@ -206,8 +220,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     key = ["t", "bucket", "part", "asker"]
     left = entries.join(sizes, ["t", "bucket"]).withColumns({"part": part("parts"), "asker": each("askers")}).select(*key, "h1", "h2", "v")
     right = probes.join(sizes, ["t", "bucket"]).withColumns({"part": each("parts"), "asker": part("askers")}).select(*key, "h1", "h2", "v")
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_best(k + 1), _BEST)
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_best(k + 1), _BEST)
+
 
+def _best_ids(found: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """The ``k`` + 1 best ids of each query: q1, q2, vec_id, score."""
     # A query has at most tables x probes x parts rows of k + 1 candidates, which are put
     # together in one array; candidates as good as the last of the k + 1 best stay with it.
     zipped = F.arrays_zip(F.col("scores").alias("score"), F.col("h1s").alias("h1"), F.col("h2s").alias("h2"))
@@ -220,6 +237,48 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     by_query = Window.partitionBy("q1", "q2")
     ids = best.join(members.select("h1", "h2", "vec_id"), ["h1", "h2"])
     ids = ids.withColumn("place", F.row_number().over(by_query.orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
+    return ids.select("q1", "q2", "vec_id", "score")
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
+    """For each row of ``vectors`` (vec_id, embedding) that is a query, its nearest others.
+
+    Columns: query_id, rank (from 1), vec_id, score, the inner product in double
+    precision. The ``k`` nearest found, nearest first, equal scores by smaller vec_id;
+    a query's own vec_id is no candidate. Vectors that are null, zero, or hold null or
+    non-finite components take no part, nor do rows without vec_id or vectors whose
+    length is not the most frequent one (of equally frequent ones the largest). Repeated
+    rows count once. Other columns are ignored.
+    """
+    rows = _valid(vectors, is_query)
+    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(_norm()).alias("norm"))
+    chosen = lengths.orderBy(F.desc("n"), F.desc("d")).first()
+    if chosen is None:
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+    rows = stored(rows.where(F.size("v") == chosen.d).dropDuplicates(["vec_id", "h1", "h2"]), "vectors")
+    # Of equal vectors only the k + 1 least ids can ever be among the k nearest of a query.
+    order = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))
+    members = stored(rows.select("vec_id", "h1", "h2", "v").withColumn("place", order).where(F.col("place") <= k + 1), "members")
+    # Norms within a factor of two are one class; a norm beyond the range of doubles is -1.
+    part = F.when((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.floor(F.log2(F.lit(chosen.norm)) - F.log2("norm"))).otherwise(-1)
+    points = members.where("place = 1").select("h1", "h2", "v", _norm().alias("norm"))
+    points = stored(points.select("h1", "h2", "v", "norm", F.greatest(part, F.lit(-1)).cast("int").alias("class")), "points")
+    asking = stored(rows.where("asks").dropDuplicates(["h1", "h2"]).select("h1", "h2", "v", F.lit(0).alias("class")), "asking")
+    some = asking.orderBy("h1", "h2").limit(SAMPLE_QUERIES).collect()
+    # A class for each power of two, so at most about two thousand rows.
+    parts = points.groupBy("class").agg(F.count("*").alias("n"), F.max("norm").alias("norm")).collect()
+    classes = {r["class"]: fit(points.where(F.col("class") == r["class"]), some, r.n, chosen.d, r.norm, k) for r in parts}
+
+    placed = points.select("h1", "h2", "v", "class")
+    found = _compared(placed.mapInArrow(_entries(classes, False), _ENTRIES), asking.mapInArrow(_entries(classes, True), _ENTRIES), k)
+    ids = stored(_best_ids(found, members, k), "found")
+    # Queries that met too few: every query is itself among the points.
+    met = ids.groupBy("q1", "q2").agg(F.count("*").alias("met")).where(F.col("met") >= min(k + 1, members.count()))
+    short = stored(asking.join(met, (F.col("h1") == F.col("q1")) & (F.col("h2") == F.col("q2")), "left_anti"), "short")
+    if not short.isEmpty():
+        every = {0: Hashing(np.empty(0), np.empty(0), chosen.norm, None)}
+        found = _compared(placed.withColumn("class", F.lit(0)).mapInArrow(_entries(every, False), _ENTRIES), short.mapInArrow(_entries(every, True), _ENTRIES), k)
+        ids = ids.join(met.select("q1", "q2"), ["q1", "q2"], "left_semi").unionByName(_best_ids(found, members, k))
     asked = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.col("h1").alias("q1"), F.col("h2").alias("q2"))
     pairs = asked.join(ids.select("q1", "q2", "vec_id", "score"), ["q1", "q2"]).where("vec_id != query_id")
     rank = F.row_number().over(Window.partitionBy("query_id", "q1", "q2").orderBy(F.desc("score"), "vec_id"))

@@ -60,3 +60,43 @@ def test_probes_come_in_order():
     inside = at - np.floor(at)
     costs = [sum(inside[i] ** 2 if d < 0 else (1 - inside[i]) ** 2 if d else 0 for i, d in enumerate(c - cells[0])) for c in cells]
     assert costs == sorted(costs)
+
+
+def found(spark, vectors, asks):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id").isin(asks)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    return got
+
+
+def test_a_long_vector_does_not_hide_the_others(spark):
+    vectors = np.random.default_rng(1).normal(size=(4000, 16))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors[3999] *= 100
+    asks = list(range(0, 4000, 40))
+    got, want = found(spark, vectors, asks), brute(list(enumerate(vectors)), asks)
+    assert all(len(got[q]) == 20 for q in asks)
+    assert sum(len(set(got[q]) & {i for i, _ in want[q]}) for q in asks) >= 0.95 * 20 * len(asks)
+
+
+def test_every_query_gets_all_its_rows(spark):
+    random = np.random.default_rng(2)
+    few = random.normal(size=(21, 64))
+    few /= np.linalg.norm(few, axis=1, keepdims=True)
+    assert {q: len(ids) for q, ids in found(spark, few, list(range(21))).items()} == dict.fromkeys(range(21), 20)
+    # A query that lies apart from the only cluster meets nothing where it is.
+    many = np.array([1.0] + [0.0] * 15) + random.normal(scale=0.02, size=(3000, 16))
+    many[7] = -many[7]
+    asks = [7, *range(100, 400)]
+    got, want = found(spark, many, asks), brute(list(enumerate(many)), asks)
+    assert all(len(got[q]) == 20 for q in asks) and got[7] == [i for i, _ in want[7]]
+
+
+def test_probes_go_on_past_one_cell():
+    cells = neighbours._perturbed(np.array([3.1, -2.6]), furthest=4.0, reach=None)
+    at = np.array([3.1, -2.6])
+    every = np.array([(i, j) for i in range(-3, 10) for j in range(-9, 5)])
+    near = every[neighbours._distances(at, every) <= 4.0]
+    assert {tuple(c) for c in cells.tolist()} == {tuple(c) for c in near.tolist()} and np.abs(cells - [3, -3]).max() > 1
+    assert neighbours._perturbed(at, furthest=4.0, reach=None, most=3) is None
