@@ -1,12 +1,14 @@
 """License scans: MinHash bands over overlapping windows, then exact containment.
 
-Templates are license notices and headers. A text is a row of five-word shingles. For
+Templates are license notices, headers and whole texts, some in several wordings. A text is a row of five-word shingles. For
 every size class of templates (powers of two of shingles) it is cut into windows of
 twice that size, overlapping so that any stretch of the class's size lies whole within
 a window. A window and a template that it holds share a MinHash value with a chance of
 at least 0.8 / 2.2 per band; with ``BANDS`` bands of one value a window misses such a
 template with a chance below 2 in a million. A retrieved template is verified on the
 window's exact shingles: it matches if ``CONTAINED`` of its distinct shingles are there.
+Of matches that rest on the same words the one with most of them is reported, so that
+between near variants the clause in which they differ decides.
 
 Everything happens where a row is read. Templates are a bounded set, checked by size.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ TEMPLATES = {
         "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
         '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
     ),
-    "BSD-3-Clause": (
+    "BSD-opening": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
         "conditions and the following disclaimer."
@@ -59,6 +62,50 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
+# Further wordings: the license is the name up to "#".
+WORDINGS: dict[str, str] = {}
+
+_GNU = (
+    "{it} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as "
+    "published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+)
+_GNU_ONLY = (
+    "{it} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License {version} "
+    "as published by the Free Software Foundation."
+)
+_KINDS = {"GPL-2.0": ("", "2"), "GPL-3.0": ("", "3"), "LGPL-2.1": ("Lesser ", "2.1"), "LGPL-3.0": ("Lesser ", "3"), "AGPL-3.0": ("Affero ", "3")}
+for _name, (_kind, _version) in _KINDS.items():
+    for _it in ("This program", "This library"):
+        for _mark in (":", ";"):
+            WORDINGS[f"{_name}-header#{_it}{_mark}"] = _GNU.format(it=_it, mark=_mark, kind=_kind, version=_version)
+        WORDINGS[f"{_name}-header#{_it} only"] = _GNU_ONLY.format(it=_it, kind=_kind, version=f"version {_version}")
+
+# Short notices: a verb and a name of the license.
+_CALLED = {
+    "Apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License"],
+    "BSD-2-Clause": ["the BSD 2-Clause License", "the 2-Clause BSD License", "the Simplified BSD License"],
+    "BSD-3-Clause": ["the BSD 3-Clause License", "the 3-Clause BSD License", "the New BSD License"],
+    "CC0-1.0": ["CC0 1.0 Universal", "the Creative Commons CC0 1.0 Universal license"],
+    "EPL-2.0": ["the Eclipse Public License 2.0", "the Eclipse Public License, Version 2.0"],
+    "ISC": ["the ISC License"],
+    "MIT": ["the MIT License", "the terms of the MIT License", "an MIT License", "the MIT Open Source License"],
+    "MPL-2.0": ["the Mozilla Public License 2.0", "the Mozilla Public License, v. 2.0", "the Mozilla Public License, version 2.0"],
+    "Unlicense": ["the terms of the Unlicense"],
+}
+for _name, (_kind, _version) in _KINDS.items():
+    _text = f"the GNU {_kind}General Public License"
+    _CALLED[_name] = [f"{_text}{_v}" for _v in (f", version {_version}", f" v{_version}", f" v{_version}.0" if "." not in _version else f" {_version}")]
+for _parts, _long in {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}.items():
+    _CALLED[f"CC-{_parts}-4.0"] = [f"CC {_parts} 4.0", f"a Creative Commons {_long} 4.0 International License", f"the Creative Commons {_long} 4.0 International License"]
+for _name, _all in _CALLED.items():
+    for _called in _all:
+        for _verb in ("Released", "Distributed", "Licensed", "Published", "Available"):
+            WORDINGS[f"{_name}#{_verb} under {_called}"] = f"{_verb} under {_called}"
+
+# Whole texts, without copyright lines.
+for _path in sorted(Path(__file__).with_name("license_texts").glob("*.txt")):
+    TEMPLATES[f"{_path.stem}-full"] = _path.read_text()
+
 _MULTIPLIERS = np.random.default_rng(3).integers(0, 1 << 63, BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
 CELLS = 1 << 21
 
@@ -84,9 +131,9 @@ class Library:
                 for band, least in zip(bands, (codes[None] * _MULTIPLIERS[:, None]).min(axis=1).tolist(), strict=True):
                     band[least].append(i)
 
-    def scan(self, codes: np.ndarray) -> dict[int, tuple[float, int]]:
-        """Template -> (containment, first word of the best window) for one text's shingles."""
-        found: dict[int, tuple[float, int]] = {}
+    def scan(self, codes: np.ndarray) -> dict[str, tuple[float, int]]:
+        """License -> (containment, first word of the best window) for one text's shingles."""
+        found: dict[int, tuple[float, np.ndarray]] = {}
         for size, bands in self.classes.items():
             step = max(1, size // 2)
             reach = -(-2 * size // step)
@@ -106,10 +153,20 @@ class Library:
                     inside = part[at * step : at * step + reach * step]
                     wanted = self.shingles[template]
                     share = float(np.isin(wanted, inside).mean())
-                    if share >= CONTAINED and share > found.get(template, (0.0, 0))[0]:
-                        where = first + at * step + int(np.argmax(np.isin(inside, wanted)))
-                        found[template] = (share, where)
-        return found
+                    if share >= CONTAINED and (template not in found or share > found[template][0]):
+                        found[template] = (share, first + at * step + np.flatnonzero(np.isin(inside, wanted)))
+        return self._best(found)
+
+    def _best(self, found: dict[int, tuple[float, np.ndarray]]) -> dict[str, tuple[float, int]]:
+        """Without those of which half the places belong to a match with more shingles."""
+        kept: list[np.ndarray] = []
+        best: dict[str, tuple[float, int]] = {}
+        for template, (share, places) in sorted(found.items(), key=lambda x: (-x[1][0] * len(self.shingles[x[0]]), -x[1][0], self.names[x[0]])):
+            if all(2 * len(np.intersect1d(places, k)) < len(places) for k in kept):
+                kept.append(places)
+                name = self.names[template].partition("#")[0]
+                best[name] = max(best.get(name, (0.0, 0)), (share, int(places[0])), key=lambda x: x[0])
+        return best
 
 
 _FOUND = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64()), ("word", pa.int64())]))
@@ -120,10 +177,11 @@ def scanned(documents: DataFrame, templates: dict[str, str] | None = None) -> Da
 
     ``found`` has license, containment (the share of the template's distinct shingles in
     the best window) and word (where the match begins, in words of the folded text),
-    by license name. Templates of fewer than five words match nothing; null and empty
+    by license name. Names are those of ``templates`` up to a "#", after which wordings of
+    one license are told apart. Templates of fewer than five words match nothing; null and empty
     texts hold nothing; every row is judged on its own. Other columns are ignored.
     """
-    templates = TEMPLATES if templates is None else templates
+    templates = TEMPLATES | WORDINGS if templates is None else templates
     if sum(map(len, templates.values())) > TEMPLATE_BYTES:
         raise ValueError("too many templates for one scan: scan with parts of them and union the results")
 
@@ -133,7 +191,7 @@ def scanned(documents: DataFrame, templates: dict[str, str] | None = None) -> Da
             out = []
             for text in batch.column(1).to_pylist():
                 hits = library.scan(shingles(text, known))
-                out.append([{"license": library.names[t], "containment": share, "word": word} for t, (share, word) in sorted(hits.items())])
+                out.append([{"license": name, "containment": share, "word": word} for name, (share, word) in sorted(hits.items())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _FOUND)], names=["doc_id", "found"])
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8().alias("text"))

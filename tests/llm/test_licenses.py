@@ -46,3 +46,30 @@ def test_edges(spark, documents):
     assert where[3] == [(1.0, 333)] and 0.8 <= where[None][0][0] < 1
     assert licenses.scanned(docs.limit(0)).count() == 0
     assert licenses.scanned(docs, {}).where("size(found) > 0").count() == 0
+
+
+def test_variants_are_told_apart(spark, documents):
+    bsd2, bsd3 = licenses.TEMPLATES["BSD-2-Clause-full"], licenses.TEMPLATES["BSD-3-Clause-full"]
+    gnu = (
+        "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published "
+        "by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    )
+    rows = [(1, bsd2, "s"), (2, bsd3, "s"), (3, gnu.format("program", "", "2"), "s"), (4, gnu.format("program", "", "3"), "s")]
+    rows += [(5, gnu.format("library", "Lesser ", "3"), "s"), (6, gnu.format("program", "Affero ", "3"), "s"), (7, "Distributed under the MIT License", "s")]
+    rows += [(8, licenses.TEMPLATES["ISC-full"], "s"), (9, licenses.TEMPLATES["GPL-2.0-full"], "s"), (10, f"{bsd2} x {licenses.TEMPLATES['Unlicense-full']}", "s")]
+    rows += [(11, licenses.TEMPLATES["MIT-full"], "s"), (12, licenses.TEMPLATES["GPL-3.0-full"], "s")]
+    got = {r.doc_id: [f.license for f in r.found] for r in licenses.scanned(documents(rows)).collect()}
+    assert got == {
+        1: ["BSD-2-Clause-full"],
+        2: ["BSD-3-Clause-full"],
+        3: ["GPL-2.0-header"],
+        4: ["GPL-3.0-header"],
+        5: ["LGPL-3.0-header"],
+        6: ["AGPL-3.0-header"],
+        7: ["MIT"],
+        8: ["ISC-full"],
+        9: ["GPL-2.0-full"],
+        10: ["BSD-2-Clause-full", "Unlicense-full"],
+        11: ["MIT-full"],
+        12: ["GPL-3.0-full"],
+    }
