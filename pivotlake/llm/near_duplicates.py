@@ -248,8 +248,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     Texts are linked if they are equal or their similarity is 0.8 or more; classes are
     the connected components of links. class_id is the least doc_id of the class, text_id
-    the least doc_id of the rows with the very same text, n_links the number of verified
-    links of that text to different texts. Rows that share an id count as one document.
+    the least doc_id of the rows with the very same text. n_links is the number of verified
+    links found of that text to different texts: to leaders of its buckets, and to left-over
+    texts of other components. Links of two texts that are already in one component are
+    not looked for, so it is no count of all similar texts. Rows that share an id count as one document.
     Rows without an id take part; their class_id is null if no row of the class has an
     id. Texts without words, and nulls, are equal to nothing: their class_id is their
     own doc_id. Other columns are ignored.
