@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pivotlake.llm import chat, decontaminate, language, licenses, mixing, near_duplicates, neighbours, substrings, token_ids, toxicity
-from pivotlake.llm.tables import table
+from pivotlake.llm import chat, decontaminate, infill, language, licenses, mixing, near_duplicates, neighbours, sharding, substrings, token_ids, toxicity
+from pivotlake.llm.tables import table, utf8
 
 QUERIES = {}
 ORACLES = {}
@@ -108,6 +108,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = infill.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = infill.pieces(F.col("output"), F.col("form"))
+    return done.select(
+        "row.doc_id",
+        "n",
+        "form",
+        F.length(cut["prefix"]).cast("bigint").alias("prefix_chars"),
+        F.length(cut["middle"]).cast("bigint").alias("middle_chars"),
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(utf8()).alias("text_crc32"))
+    done = sharding.sharded(given, shards=40, keep=("doc_id", "text_crc32"))
+    return done.select("row.doc_id", "size", "row.text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 ORACLES["op6_chat_formatting"] = r"""
 WITH given AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -148,3 +170,22 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(size * (whole + CASE WHEN source_size > 0 AND upto <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM along
 """
+ORACLES["op12_fill_in_middle"] = r"""
+WITH hashed AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+  FROM documents),
+drawn AS (
+  SELECT *, len(units) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(units) + 1) AS one, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(units) + 1) AS other,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 50 THEN 'plain'
+              WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM hashed),
+cut AS (
+  SELECT *, array_to_string(units[1:least(one, other)], '') AS p, array_to_string(units[least(one, other) + 1:greatest(one, other)], '') AS m,
+         array_to_string(units[greatest(one, other) + 1:], '') AS s
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
+"""
