@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pivotlake.llm import chat, decontaminate, infill, language, licenses, mixing, near_duplicates, neighbours, sharding, substrings, token_ids, toxicity
+from pivotlake.llm import chat, decontaminate, infill, language, licenses, mixing, near_duplicates, neighbours, prefix_trie, sharding, substrings, token_ids, toxicity
 from pivotlake.llm.tables import table, utf8
 
 QUERIES = {}
@@ -108,6 +108,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(prefix_trie.prefixes(table(spark, sf_dir, "conversations"), family=20)).drop("code")
+
+
 @query
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = infill.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -189,3 +194,36 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
        sha256(text) AS restored_sha256
 FROM cut
 """
+ORACLES["op11_prefix_trie"] = """
+WITH given AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+  FROM conversations),
+coded AS (
+  SELECT conv_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS crc
+  FROM (SELECT DISTINCT conv_id FROM conversations)),
+convs AS (SELECT conv_id, xor(crc, 4294967295) % 4 AS h FROM coded),
+rebuilt AS (
+  SELECT c.conv_id, place, role, text FROM convs c JOIN given g ON g.conv_id = c.conv_id - c.conv_id % 20 AND place <= h
+  UNION ALL SELECT conv_id, place, role, text FROM convs JOIN given USING (conv_id) WHERE place > h),
+paths AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(sha256(length(role) || ':' || role || text), '') OVER w AS node,
+         len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY place)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+marked AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS final FROM paths),
+nodes AS (
+  SELECT node, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (final), '')) AS ends_sha256
+  FROM marked GROUP BY node),
+linked AS (
+  SELECT n.*, p.node AS parent, q.conv_id AS parent_conv_id
+  FROM nodes n LEFT JOIN paths p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1 LEFT JOIN nodes q ON q.node = p.node),
+born AS (SELECT parent, count(*) AS n FROM linked WHERE parent IS NOT NULL GROUP BY parent),
+full_nodes AS (SELECT l.*, coalesce(b.n, 0) AS n_children FROM linked l LEFT JOIN born b ON b.parent = l.node),
+sums AS (
+  SELECT p.node, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.words) AS saved_tokens
+  FROM full_nodes f JOIN paths p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY p.node)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM full_nodes JOIN sums USING (node)
+"""
