@@ -9,15 +9,15 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pivotlake.errors import PivotError
-from pivotlake.functions.names import is_text, present, q
+from pivotlake.functions.names import any_of, is_text, present, q
 from pivotlake.operators.filters import (
     any_selection,
     apply_filters,
-    given_as,
     group_column,
     resolve_field,
     selected_text,
     selection_condition,
+    typed_key,
 )
 from pivotlake.operators.ordering import sort_key
 from pivotlake.session import materialise
@@ -95,12 +95,15 @@ def _as_frames(df: DataFrame, selections, spec: PivotSpec) -> list[tuple[list[st
         named.pop(None, None)
         if not named:
             return []
-        keys = []
+        keys, misfits = [], []
         for i, (field, name) in enumerate(named.items()):
             _, dtype = group_column(df, field, spec.date_grouping)
-            given = given_as(q(name), selections.schema[name].dataType, dtype)
-            keys.append(_null_safe_key(given, dtype).alias(f"__sel{i}"))
-        frame = selections.select(*keys)
+            key = typed_key(q(name), selections.schema[name].dataType, dtype)
+            keys.append(_null_safe_key(key.value, dtype).alias(f"__sel{i}"))
+            misfits.append(key.misfit.alias(f"__misfit{i}"))
+        # The join is null-safe, so what fits no value must be gone before it.
+        frame = selections.select(*keys, *misfits)
+        frame = frame.where(~any_of(F.col(m) for m in frame.columns[len(keys):])).select(*frame.columns[: len(keys)])
         return [(list(named), frame.groupBy(*frame.columns).agg(F.count(F.lit(1)).alias(_HITS)))]
 
     by_fields: dict[tuple[str, ...], list[tuple]] = {}

@@ -7,6 +7,7 @@ Every literal is cast to the type of its column, so the comparison stays a plain
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from datetime import date, datetime
 from decimal import Decimal, InvalidOperation
 from typing import Any
@@ -152,13 +153,13 @@ def selected_text(value: Any, dtype: T.DataType) -> str | None:
         return value.isoformat()
     if isinstance(dtype, (T.IntegralType, T.DecimalType)):
         try:
-            exact = Decimal(int(value) if isinstance(value, bool) else str(value).strip())
+            exact = Decimal(int(value) if isinstance(value, bool) else str(value).replace("_", "?").strip())
+            scale = dtype.scale if isinstance(dtype, T.DecimalType) else 0
+            rounded = round(exact, scale) if exact.is_finite() else None
         except InvalidOperation:
+            # Not a number, or one of more digits than any column holds.
             return None
-        scale = dtype.scale if isinstance(dtype, T.DecimalType) else 0
-        if not exact.is_finite() or exact != round(exact, scale):
-            return None
-        return f"{round(exact, scale):f}"
+        return f"{rounded:f}" if rounded is not None and rounded == exact else None
     if isinstance(value, bool):
         return str(value).lower() if is_text(dtype) or isinstance(dtype, T.BooleanType) else str(int(value))
     if isinstance(value, float) and value.is_integer():
@@ -166,16 +167,60 @@ def selected_text(value: Any, dtype: T.DataType) -> str | None:
     return str(value)
 
 
-def given_as(col: Column, given: T.DataType, dtype: T.DataType) -> Column:
-    """A column of selected values as ``dtype``, by the rules of :func:`selected_text`."""
-    if isinstance(dtype, (T.IntegralType, T.DecimalType)) and not isinstance(given, T.BooleanType):
-        wide = col.try_cast("decimal(38,10)")
-        cast = wide.try_cast(dtype)
-        return F.when(wide == cast, cast)
-    if is_text(dtype) and is_float(given):
+def given_text(col: Column, given: T.DataType, dtype: T.DataType) -> Column:
+    """:func:`selected_text` for a column of selected values of type ``given``."""
+    if isinstance(given, T.DateType):
+        return F.date_format(col, "yyyy-MM-dd")
+    if is_date(given):
+        seconds = F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss")
+        micros = F.date_format(col, "SSSSSS")
+        return F.when(micros == "000000", seconds).otherwise(F.concat(seconds, F.lit("."), micros))
+    if isinstance(given, T.BooleanType):
+        in_words = is_text(dtype) or isinstance(dtype, T.BooleanType)
+        return col.cast("string") if in_words else col.cast("int").cast("string")
+    text = present(col, given).cast("string")
+    if isinstance(dtype, (T.IntegralType, T.DecimalType)):
+        return _exact_text(F.regexp_replace(text, r"^\s+|\s+$", ""), dtype.scale if isinstance(dtype, T.DecimalType) else 0)
+    if is_float(given):
         whole = col.try_cast("decimal(38,0)")
-        return F.when(whole == col, whole.cast("string")).otherwise(present(col, given).cast("string"))
-    return present(col, given).try_cast(dtype)
+        return F.when(whole == col, whole.cast("string")).otherwise(text)
+    return text
+
+
+def _exact_text(text: Column, scale: int) -> Column:
+    """``text`` where it is a number of at most ``scale`` decimal places, however written."""
+    mantissa = F.regexp_extract(text, r"^[+-]?([\d.]*)", 1)
+    exponent = F.coalesce(F.regexp_extract(text, r"[eE]([+-]?\d+)$", 1).try_cast("int"), F.lit(0))
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
+    counted = F.rtrim(digits, F.lit("0"))
+    places = F.length(F.regexp_extract(mantissa, r"\.(\d*)$", 1)) - (F.length(digits) - F.length(counted)) - exponent
+    return F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$") & ((counted.rlike("^0*$")) | (places <= scale)), text)
+
+
+@dataclass(frozen=True)
+class TypedKey:
+    """A column of selected values against a field: the value as the field's type, and
+    which rows ask for missing values or for something no row can have."""
+
+    value: Column
+    wants_missing: Column
+    misfit: Column
+
+
+def typed_key(col: Column, given: T.DataType, dtype: T.DataType) -> TypedKey:
+    """A selected value is one of three: missing (null, NaN or the blank label), a value of
+    the field's type, or none. Only the first may meet missing values of the field."""
+    wants = missing(col, given)
+    if is_text(given):
+        wants = wants | (col == BLANK)
+    text = given_text(col, given, dtype)
+    if isinstance(dtype, (T.IntegralType, T.DecimalType)):
+        scale = dtype.scale if isinstance(dtype, T.DecimalType) else 0
+        cast = text.try_cast(T.DecimalType(38, scale)).try_cast(dtype)
+    else:
+        cast = text.try_cast(dtype)
+    value = F.when(~wants, cast)
+    return TypedKey(value, wants, ~wants & value.isNull())
 
 
 def _inside_bucket(col: Column, dtype: T.DataType, text: str, grain: str) -> Column:

@@ -1,10 +1,12 @@
 import pytest
+from pyspark.sql import functions as F
 
 import pivotlake.operators.drill as drill_module
 import pivotlake.operators.tombstones as tombstone_module
 from pivotlake import PivotError, PivotSpec, pivot
 from pivotlake.functions.rowkeys import row_hash, row_key
 from pivotlake.operators.drill import drilldown, drilldown_many, selections_of
+from pivotlake.operators.filters import selection_condition, typed_key
 from pivotlake.operators.tombstones import (
     TOMBSTONE_SCHEMA,
     delete_preview,
@@ -156,3 +158,54 @@ def test_purge_keeps_other_datasets(spark):
     assert rows(left["datasets"].select("id")) == [(2,)]
     assert all(rows(left[t].select("x")) == [("b",)] for t in ("sheets", "columns", "tombstones", "audits"))
     assert rows(left["deleted_datasets"].select("original_id", "deleted_by")) == [(1, "ui")]
+
+
+# Selected values of every kind, as text and typed; each is asked of every column.
+GIVEN = {
+    "string": ["5", "5.5", " 5 ", "5.0", "0.5e1", "50E-1", "55e-1", "abc", "", "(blank)", None, "1e400", "0", "-0", "true", "yes", "2024-01-05", "2024-01-05T00:00:00", "nonsense", ".5", "5.", "1_0", "0.00000000001", "99999999999999999999"],
+    "double": [5.0, 5.5, 0.5, -0.0, float("nan"), None, 1e30, float("inf"), 1e10],
+    "bigint": [5, 0, 1, None, 10],
+    "boolean": [True, False, None],
+    "decimal(30,12)": ["5.000000000000", "5.500000000000", "0.000000000010", None],
+    "date": ["2024-01-05", None],
+    "timestamp_ntz": ["2024-01-05 00:00:00", "2024-01-05 10:00:00.5", None],
+}
+
+
+@pytest.fixture(scope="module")
+def kinds(spark):
+    """Five rows of every type of column, one of them missing in all."""
+    made = spark.createDataFrame(
+        [(1, "5", 5, 5.0, True, "2024-01-05", "5"), (2, "5.5", 1, 5.5, False, "2024-01-06", "5.5"), (3, "true", 0, 0.5, True, "2024-01-05", "0.00000000001"), (4, "2024-01-05T00:00:00", 10, 1e10, None, "2024-01-07", "0"), (5, None, None, None, None, None, None)],
+        "id int, s string, l bigint, x double, b boolean, dt string, dd string",
+    )
+    return made.selectExpr("id", "s", "l", "x", "b", "CAST(dt AS DATE) AS d", "CAST(dt AS TIMESTAMP_NTZ) AS t", "CAST(dd AS DECIMAL(30,15)) AS c")
+
+
+@pytest.mark.parametrize("column", ["s", "l", "x", "b", "d", "t", "c"])
+def test_frame_selects_what_the_list_selects(spark, kinds, column):
+    """Each given value as a list of one against the frame of all, told apart by its number."""
+    dtype = kinds.schema[column].dataType
+    for given, values in GIVEN.items():
+        texts = [(i, None if v is None else str(v)) for i, v in enumerate(values)]
+        frame = spark.createDataFrame(texts, "i int, v string").selectExpr("i", f"try_cast(v AS {given}) AS v")
+        key = typed_key(F.col("v"), frame.schema["v"].dataType, dtype)
+        state = {r.i: r for r in frame.select("i", "v", key.value.alias("value"), key.wants_missing.alias("missing"), key.misfit.alias("misfit")).collect()}
+        asked = [(i, selection_condition(kinds, {column: r.v}, {})) for i, r in state.items()]
+        by_list = kinds.select("id", *[F.coalesce(c, F.lit(False)).alias(f"m{i}") for i, c in asked]).collect()
+        same = frame.select("i", F.when(key.misfit, F.lit(None)).otherwise(key.value).alias("value"), key.wants_missing.alias("missing"), key.misfit.alias("misfit"))
+        both = kinds.select("id", F.col(column).alias("cell")).crossJoin(same.withColumnRenamed("i", "n"))
+        hit = both.where(~F.col("misfit") & (F.col("value").eqNullSafe(F.col("cell")))).select("n", "id").collect()
+        for i, r in state.items():
+            want = sorted(row.id for row in by_list if row[f"m{i}"])
+            assert sorted(x.id for x in hit if x.n == i) == want, (given, r.v)
+
+
+def test_misfits_delete_nothing(spark, kinds, either_join):
+    none = spark.createDataFrame([], TOMBSTONE_SCHEMA)
+    for column, values in (("l", ["5.5", "abc"]), ("d", ["nonsense"]), ("b", ["maybe"]), ("x", ["five"]), ("c", ["0.0000000000000001"])):
+        frame = spark.createDataFrame([(v,) for v in values], f"`{column}` string")
+        assert plan_delete(kinds, PivotSpec(rows=[column]), frame, none, 1, "s").rows.collect() == []
+    # One value that fits none spoils its selection, not the others.
+    pairs = spark.createDataFrame([("5", "nonsense"), ("1", "2024-01-06"), (None, "(blank)")], "l string, d string")
+    assert sorted(r.id for r in drilldown_many(kinds, PivotSpec(rows=["l", "d"]), pairs).rows.collect()) == [2, 5]

@@ -109,6 +109,67 @@ def extract(spark, sf_dir):
     return plain(spark.read.parquet(path))
 
 
+# Every order with a text that was typed for its customer: a number, one with a fraction, a
+# word, a number with an empty fraction, and a number between blanks.
+_TYPED_SQL = """typed AS (
+  SELECT c_custkey, c_mktsegment IN ('AUTOMOBILE', 'HOUSEHOLD', 'MACHINERY') AS fits FROM customer WHERE c_acctbal > 0),
+gaps AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_custkey END AS o_custkey,
+         CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderdate END AS o_orderdate, o_orderstatus FROM orders)"""
+
+
+def _gaps(spark, sf_dir):
+    """Orders with missing customers and dates."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.select(
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 17 != 0, F.col("o_custkey")).alias("o_custkey"),
+        F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderdate")).alias("o_orderdate"),
+        "o_orderstatus",
+    )
+
+
+def _typed(spark, sf_dir):
+    key, segment = F.col("c_custkey").cast("string"), F.col("c_mktsegment")
+    text = (
+        F.when(segment == "BUILDING", F.concat(key, F.lit(".5")))
+        .when(segment == "FURNITURE", F.lit("abc"))
+        .when(segment == "HOUSEHOLD", F.concat(key, F.lit(".0")))
+        .when(segment == "MACHINERY", F.concat(F.lit(" "), key, F.lit(" ")))
+        .otherwise(key)
+    )
+    return table(spark, sf_dir, "customer").where("c_acctbal > 0").select(text.alias("o_custkey"))
+
+
+@query(
+    "drilldown_frame_misfit",
+    f"""WITH {_TYPED_SQL} SELECT o_orderkey, o_custkey, o_orderstatus FROM gaps
+        WHERE o_custkey IN (SELECT c_custkey FROM typed WHERE fits)""",
+)
+def drill_misfit(spark, sf_dir):
+    """Texts that are no customer key select nothing, least of all the missing keys."""
+    df = _gaps(spark, sf_dir).select("o_orderkey", "o_custkey", "o_orderstatus")
+    return drilldown_many(df, PivotSpec(rows=["o_custkey"]), _typed(spark, sf_dir)).rows
+
+
+@query(
+    "soft_delete_frame_misfit",
+    f"""WITH {_TYPED_SQL}, chosen AS (
+          SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') || CASE o_orderstatus WHEN 'O' THEN ' or so' ELSE '' END AS day FROM orders)
+        SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderstatus FROM gaps
+        WHERE o_orderdate IS NULL OR strftime(o_orderdate, '%Y-%m-%d') NOT IN (SELECT day FROM chosen)
+           OR strftime(o_orderdate, '%H:%M:%S') <> '00:00:00'""",
+)
+def delete_misfit(spark, sf_dir):
+    """Rows left after a delete by texts of days, some of which are no days."""
+    df = _gaps(spark, sf_dir).select("o_orderkey", "o_orderdate", "o_orderstatus")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    typed = F.when(F.col("o_orderstatus") == "O", F.concat(day, F.lit(" or so"))).otherwise(day)
+    chosen = table(spark, sf_dir, "orders").select(typed.alias("o_orderdate"))
+    dead = _as_tombstones(plan_delete(df, PivotSpec(rows=["o_orderdate"]), chosen, _no_tombstones(spark), 1, "Sheet1").rows)
+    return plain(exclude_deleted(df, dead, 1, "Sheet1"))
+
+
 # Soft deletion -----------------------------------------------------------------------------
 
 _KEY = ("OrderID", "Region", "Status")
