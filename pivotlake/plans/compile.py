@@ -16,8 +16,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from pivotlake.errors import PivotError
-from pivotlake.functions.dates import as_timestamp, code, label
-from pivotlake.functions.names import all_of, any_of, is_numeric, is_text, present, q, quoted
+from pivotlake.functions.dates import as_timestamp, code, from_micros, label, micros
+from pivotlake.functions.names import all_of, any_of, is_date, is_numeric, is_text, present, q, quoted
 from pivotlake.operators import measures as ms
 from pivotlake.operators.filters import apply_filters
 from pivotlake.operators.ordering import POSITION, forward_fill, sort_key, with_position
@@ -47,11 +47,15 @@ _FUNCTION_ORDER = ("count", "max", "average", "min", "sum")
 
 _ROWS_SEEN = "__rows_seen"
 _NUMBER = "__number"
+# The present cells of a row group, by number; and the number of the marker before them.
+_HELD = "__held"
+_MARKER = -1
 
 
 @dataclass(frozen=True)
 class Cell:
-    """One value column of the result."""
+    """One value column of the result; ``name`` is the column, or place in a column, of
+    the compiled frame that holds its values."""
 
     name: str
     header: str
@@ -342,8 +346,9 @@ def _unique(headers: list[str]) -> list[str]:
 def _widen(values, spec, measures, most) -> tuple[DataFrame, list[Cell]]:
     """Row groups against column groups, with totals.
 
-    Totals are computed on the long frame, one row per cell, and everything is widened
-    once at the end, so a total costs the same for any number of columns.
+    A row group holds its present cells as one array; totals are computed from the present
+    cells, and only the last projection makes one column per cell. Nothing but present
+    cells is shuffled, and the plan hardly grows with the number of columns.
     """
     numbered, found = _numbered(values, spec, most)
     n = len(found)
@@ -352,50 +357,99 @@ def _widen(values, spec, measures, most) -> tuple[DataFrame, list[Cell]]:
     headers = _unique([f"{m.name if several else m.field}{HEADER_JOIN}{found[k]}" for _, m, k in plan])
     names = [f"__value{j}" for j in range(len(measures))]
     types = [values.schema[v].dataType for v in names]
-    cells = [Cell(f"__cell{i}", headers[i], m, types[j]) for i, (j, m, _) in enumerate(plan)]
+    cells = [Cell(f"__dense{j}[{k}]", headers[i], m, types[j]) for i, (j, m, k) in enumerate(plan)]
     rows = [f"__row{i}" for i in range(len(spec.rows))]
 
-    long = numbered.withColumn(ROW_KIND, F.lit(LEAF))
-    if spec.totals.column or (spec.totals.subtotals and len(rows) >= 2):
-        long = _long_totals(_dense(numbered, rows, names, types, n), spec, measures, names, types)
-    wide = long.groupBy(*rows, ROW_KIND).pivot(_NUMBER, list(range(n))).agg(*[F.first(v).alias(v) for v in names])
-    # Spark names the cells key by key; address them by position.
-    made = wide.columns[len(rows) + 1 :]
-    shown = []
-    for cell, (j, _, k) in zip(cells, plan):
-        value = quoted(made[k * len(names) + j])
-        shown.append(f"coalesce({value}, CAST(0 AS {cell.dtype.simpleString()})) AS {cell.name}" if is_numeric(cell.dtype) else f"{value} AS {cell.name}")
-    return _with_row_total(wide.selectExpr(*rows, *shown, ROW_KIND), spec, measures, cells), cells
-
-
-def _dense(numbered, rows, names, types, n) -> DataFrame:
-    """One row per row group and column group; cells without rows are filled like shown ones."""
-    empty = numbered.select(*rows).distinct().select(
-        *rows, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(_NUMBER), *[F.lit(None).cast(t).alias(v) for v, t in zip(names, types)]
+    held = numbered.groupBy(*rows).agg(
+        F.array_sort(F.collect_list(F.struct(_NUMBER, *[_zero_filled(F.col(v), t).alias(v) for v, t in zip(names, types)]))).alias(_HELD)
     )
-    both = numbered.select(*rows, _NUMBER, *names).unionByName(empty)
-    one = both.groupBy(*rows, _NUMBER).agg(*[F.max(v).alias(v) for v in names])
-    return one.select(*rows, _NUMBER, *[_zero_filled(F.col(v), t).alias(v) for v, t in zip(names, types)])
-
-
-def _long_totals(dense, spec, measures, names, types) -> DataFrame:
-    """Subtotals and the column total of every column group, by one pass of grouping sets."""
+    held = held.withColumn(ROW_KIND, F.lit(LEAF))
+    if spec.totals.column or (spec.totals.subtotals and len(rows) >= 2):
+        held = held.unionByName(_held_totals(held, spec, measures, names, types))
+    if _has_row_total(spec, measures, cells):
+        held = held.withColumn(ROW_TOTAL, _row_total(F.col(_HELD), names[0], cells[0].dtype))
+    total = [c for c in held.columns if c == ROW_TOTAL]
+    if can_materialise(held.sparkSession):
+        # Before the wide projection: adaptive execution plans it again after every stage.
+        held = materialise(held)
+    arrays = [_dense(F.col(_HELD), v, t, n).alias(f"__dense{j}") for j, (v, t) in enumerate(zip(names, types))]
+    return held.select(*rows, *arrays, ROW_KIND, *total), cells
+
+
+def _held_totals(leaf, spec, measures, names, types) -> DataFrame:
+    """Subtotals and the column total of every column group, from the present cells alone.
+
+    A cell that is not there counts as zero, so what a total needs besides the present
+    cells is how many row groups it spans. One marker per row group, numbered before all
+    column groups, is counted along in the same pass of grouping sets.
+    """
     rows = [f"__row{i}" for i in range(len(spec.rows))]
-    sets = [[*rows, _NUMBER]]
+    sets = []
     if spec.totals.subtotals and len(rows) >= 2:
         sets.append([*rows[:-1], _NUMBER])
     if spec.totals.column:
         sets.append([_NUMBER])
-    if len(sets) == 1:
-        return dense.withColumn(ROW_KIND, F.lit(LEAF))
+    parts = [(m, v, _part(m, F.col(v), t), t) for m, v, t in zip(measures, names, types)]
+    cells = leaf.select(*rows, F.inline(_HELD)).select(*rows, _NUMBER, *[p.alias(v) for _, v, p, _ in parts])
+    marker = leaf.select(*rows, F.lit(_MARKER).alias(_NUMBER), *[F.lit(None).cast(f.dataType).alias(f.name) for f in cells.schema.fields[len(rows) + 1 :]])
     by = [*rows, _NUMBER]
-    grouped = dense.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in by]).agg(
+    grouped = cells.unionByName(marker).groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in by]).agg(
         F.grouping_id().alias("__grouping"),
-        *[ms.recombined(m, v, t).cast(t).alias(v) for m, v, t in zip(measures, names, types)],
+        F.count(F.lit(1)).alias("__rows"),
+        *[c for m, v, _, _ in parts for c in (_fold(m)(v).alias(v), F.count(v).alias(f"{v}_n"))],
     )
+    states = F.struct(_NUMBER, "__rows", *[c for v in names for c in (v, f"{v}_n")])
+    held = grouped.groupBy(*rows, "__grouping").agg(F.array_sort(F.collect_list(states)).alias(_HELD))
+    groups = F.get(F.col(_HELD), F.lit(0))["__rows"]
+
+    def total(state: Column) -> Column:
+        done = [_total(m, state[v], state[f"{v}_n"], state["__rows"], F.col("__groups"), t).alias(v) for m, v, _, t in parts]
+        return F.struct(state[_NUMBER].alias(_NUMBER), *done)
+
+    held = held.withColumn("__groups", groups)
     # The number is in every set, so its bit, the lowest, is never set.
-    kind = F.when(F.col("__grouping") == 0, LEAF).when(F.col("__grouping") == 2 ** len(by) - 2, TOTAL).otherwise(SUBTOTAL)
-    return grouped.select(*by, *names, kind.alias(ROW_KIND))
+    kind = F.when(F.col("__grouping") == 2 ** len(by) - 2, TOTAL).otherwise(SUBTOTAL)
+    return held.select(*rows, F.transform(F.slice(_HELD, 2, F.size(_HELD)), total).alias(_HELD), kind.alias(ROW_KIND))
+
+
+def _part(m: Measure, cell: Column, dtype: T.DataType) -> Column:
+    """What a cell adds to a total of its column group."""
+    return micros(cell) if m.aggregation == "average" and is_date(dtype) else cell
+
+
+def _fold(m: Measure):
+    return {"min": F.min, "max": F.max}.get(m.aggregation, F.sum)
+
+
+def _total(m: Measure, folded: Column, n: Column, present_rows: Column, groups: Column, dtype: T.DataType) -> Column:
+    """A total over ``groups`` row groups of which ``present_rows`` have a cell, ``n`` a value."""
+    if m.aggregation == "average":
+        return from_micros(folded / F.nullif(n, F.lit(0))) if is_date(dtype) else (folded / groups).cast(dtype)
+    if m.aggregation in ("min", "max") and is_numeric(dtype):
+        with_zero = (F.least if m.aggregation == "min" else F.greatest)(folded, F.lit(0).cast(dtype))
+        return F.when(present_rows < groups, with_zero).otherwise(folded)
+    return folded.cast(dtype)
+
+
+def _dense(held: Column, name: str, dtype: T.DataType, n: int) -> Column:
+    """The cells of a row as one array over all column groups; the gaps between present
+    cells are filled like shown ones, each gap at once."""
+    fill = F.lit(0).cast(dtype) if is_numeric(dtype) else F.lit(None).cast(dtype)
+    number = lambda i: F.get(held, i)[_NUMBER]
+
+    def with_gap(cell: Column, i: Column) -> Column:
+        gap = cell[_NUMBER] - F.coalesce(number(i - 1), F.lit(-1)) - 1
+        return F.concat(F.array_repeat(fill, gap), F.array(cell[name]))
+
+    rest = F.lit(n - 1) - number(F.size(held) - 1)
+    return F.concat(F.flatten(F.transform(held, with_gap)), F.array_repeat(fill, rest))
+
+
+def _row_total(held: Column, name: str, dtype: T.DataType) -> Column:
+    """The plain sum of a row's cells, whatever the aggregation; missing cells are zero."""
+    if isinstance(dtype, T.DecimalType):
+        dtype = T.DecimalType(38, dtype.scale)
+    return F.aggregate(held, F.lit(0).cast(dtype), lambda a, x: (a + x[name]).cast(dtype))
 
 
 def _widen_measures(values, spec, measures, most) -> tuple[DataFrame, list[Cell]]:
@@ -516,11 +570,11 @@ def display_order(result: PivotResult) -> list[Column]:
     rest = list(asked)
     if spec.totals.subtotals and len(rows) >= 2:
         prefix = [c for c in asked if c in rows[:-1]] + [c for c in rows[:-1] if c not in asked]
-        order += [sort_key(F.col(c), asked.get(c, "asc")) for c in prefix]
+        order += [sort_key(F.expr(c), asked.get(c, "asc")) for c in prefix]
         order.append(F.when(F.col(ROW_KIND) == LEAF, 0).otherwise(1).asc())
         rest = [c for c in asked if c not in prefix]
         rows = rows[-1:]
-    order += [sort_key(F.col(c), asked[c]) for c in rest]
+    order += [sort_key(F.expr(c), asked[c]) for c in rest]
     order += [sort_key(F.col(c)) for c in rows if c not in rest]
     return order
 
@@ -565,14 +619,18 @@ def _shown_rows(result: PivotResult) -> DataFrame:
     if result.markers:
         level, parent = _hierarchy(result)
         extra += [level.alias(LEVEL), parent.alias(PARENT)]
-    cells = [F.col(c.name).alias(c.header) for c in result.cells]
-    if result.has_row_total:
-        cells.append(F.col(ROW_TOTAL))
+    if repeat:
+        extra += [F.col(POSITION), F.col(ROW_KIND).alias("__kind")]
+    # The cells are named as text: a thousand columns built call by call take longer than to run.
+    led = [c.alias(f"__shown{i}") for i, c in enumerate([*fields, *extra])]
+    names = frame.select(*fields, *extra).columns
+    shown_as = [f"__shown{i} AS {quoted(name)}" for i, name in enumerate(names)]
+    cells = [f"{c.name} AS {quoted(c.header)}" for c in result.cells] + ([ROW_TOTAL] if result.has_row_total else [])
+    staged = frame.select("*", *led).selectExpr(*shown_as[: len(fields)], *cells, *shown_as[len(fields) :])
     if not repeat:
-        return frame.select(*fields, *cells, *extra)
+        return staged
 
     shown = [spec.shown(f) for f in spec.rows]
-    staged = frame.select(*fields, *cells, *extra, F.col(POSITION), F.col(ROW_KIND).alias("__kind"))
     return _repeat_labels(staged, shown, [f for f, t in zip(shown, result.row_types) if is_text(t)], result.ordered)
 
 

@@ -1,3 +1,6 @@
+import random
+from datetime import datetime, timedelta
+
 import pytest
 
 from pivotlake import DefinitionError, Measure, PivotError, PivotSpec, Totals, pivot
@@ -262,3 +265,49 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = pivot(df, spec).rows._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan and "In(o_orderkey" in plan
     assert "o_orderpriority" not in plan
+
+
+def test_totals_over_sparse_cells(spark):
+    """Every aggregation against totals over cells filled with zeros, in plain Python."""
+    draw = random.Random(4)
+    data = [
+        (draw.choice("ab"), draw.randrange(6), draw.randrange(9), draw.choice([None, *range(-5, 0)]), draw.choice([None, "x", "y"]), datetime(2024, 1, draw.randrange(1, 29)))
+        for _ in range(60)
+    ]
+    df = spark.createDataFrame(data, "g string, h int, k int, v bigint, s string, d timestamp_ntz")
+    measures = [("v", "count"), ("v", "max"), ("v", "average"), ("v", "min"), ("v", "sum"), ("s", "count"), ("d", "max"), ("d", "average")]
+    spec = PivotSpec(rows=["g", "h"], columns=["k"], values=[{"field": f, "aggregation": a} for f, a in measures], totals=Totals(subtotals=True, column=True))
+    result = pivot(df, spec)
+    got = {(r.row_kind, r["g"], r["h"]): r for r in result.rows.collect()}
+
+    def fold(kind, values):
+        values = [x for x in values if x is not None]
+        if kind == "count":
+            return len(values)
+        if kind == "sum":
+            return sum(values)
+        if not values:
+            return None
+        if kind == "average" and isinstance(values[0], datetime):
+            epoch = datetime(1970, 1, 1)
+            return epoch + sum((x - epoch for x in values), timedelta()) // len(values)
+        return {"average": lambda: sum(values) / len(values), "min": lambda: min(values), "max": lambda: max(values)}[kind]()
+
+    place = {"v": 3, "s": 4, "d": 5}
+    leaves = sorted({r[:2] for r in data})
+    keys = sorted({r[2] for r in data})
+    assert len(got) == len(leaves) + 2 + 1
+    for field, kind in measures:
+        for k in keys:
+            cell = {leaf: fold(kind, [r[place[field]] for r in data if r[:2] == leaf and r[2] == k]) for leaf in leaves}
+            if field != "d":
+                cell = {leaf: 0 if x is None else x for leaf, x in cell.items()}
+            header = next(c.header for c in result.cells if c.measure.field == field and c.measure.aggregation == kind and c.header.endswith(f" | {k}"))
+            again = "sum" if kind == "count" else kind
+            for leaf in leaves:
+                assert got["leaf", *leaf][header] == cell[leaf]
+            near = pytest.approx if field != "d" else lambda x: x
+            for g in "ab":
+                assert got["subtotal", g, None][header] == near(fold(again, [x for leaf, x in cell.items() if leaf[0] == g]))
+            assert got["column_total", "Column Total", None][header] == near(fold(again, cell.values()))
+

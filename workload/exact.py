@@ -94,6 +94,40 @@ def pivot_wide(spark, sf_dir):
     )
 
 
+@query(
+    "pivot_wide_sparse",
+    """WITH cells AS (SELECT o_orderpriority AS p, CAST(floor(o_orderkey / 64) AS BIGINT) AS b, o_custkey % 1000 AS k,
+                       max(CAST(floor(o_totalprice) AS BIGINT) - 150000) AS v FROM orders GROUP BY ALL),
+       numbered AS (SELECT *, dense_rank() OVER (ORDER BY k) AS n FROM cells),
+       spans AS (SELECT p, count(DISTINCT b) AS n_groups FROM cells GROUP BY p),
+       totals AS (
+         SELECT p, n, CASE WHEN count(*) < (SELECT n_groups FROM spans WHERE spans.p = numbered.p) THEN greatest(max(v), 0) ELSE max(v) END AS v,
+                'subtotal' AS row_kind FROM numbered GROUP BY p, n
+         UNION ALL
+         SELECT 'Column Total', n, CASE WHEN count(*) < (SELECT sum(n_groups) FROM spans) THEN greatest(max(v), 0) ELSE max(v) END, 'column_total'
+         FROM numbered GROUP BY n)
+       SELECT p AS o_orderpriority, CAST(b AS BIGINT) AS block, 'leaf' AS row_kind, CAST(sum(v) AS BIGINT) AS row_total, CAST(sum(v * n) AS BIGINT) AS weighted
+       FROM numbered GROUP BY p, b
+       UNION ALL SELECT p, NULL, row_kind, CAST(sum(v) AS BIGINT), CAST(sum(v * n) AS BIGINT) FROM totals GROUP BY p, row_kind""",
+)
+def pivot_wide_sparse(spark, sf_dir):
+    """Blocks of order keys against a thousand columns, most cells empty, with all totals; an
+    empty cell counts as zero, which shows in the largest of negative values."""
+    df = table(spark, sf_dir, "orders").select(
+        "o_orderpriority",
+        F.floor(F.col("o_orderkey") / 64).cast("bigint").alias("block"),
+        (F.col("o_custkey") % 1000).alias("k"),
+        (F.floor("o_totalprice").cast("bigint") - 150_000).alias("v"),
+    )
+    spec = PivotSpec(
+        rows=["o_orderpriority", "block"], columns=["k"], values=[{"field": "v", "aggregation": "max"}], totals=Totals(subtotals=True, column=True)
+    )
+    result = pivot(df, spec, ordered=False)
+    array = ", ".join(f"`{c.header}`" for c in result.cells)
+    weighted = f"aggregate(transform(array({array}), (x, i) -> x * (i + 1)), 0L, (a, x) -> a + x)"
+    return result.rows.selectExpr("o_orderpriority", "block", "row_kind", "row_total", f"{weighted} AS weighted")
+
+
 @query(
     "pivot_ts_cols",
     """SELECT o_orderstatus, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS c0, count(*) FILTER (WHERE o_orderkey % 3 = 1) AS c1,
