@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import fnmatch
+import os
+import re
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pivotlake.session import new_folder
+
 # Accepted suffixes, accepted declared content types, the size limit,
 # the first bytes of a workbook, and the part names a workbook must contain.
 SUFFIXES = (".xlsx", ".csv")
@@ -27,31 +33,80 @@ CSV_HEAD_BYTES = 4096
 PRINTABLE_SHARE = 0.85
 
 
+_FOUND = "path string, folder boolean, millis bigint, length bigint"
+
+
 def listing(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
     """Files below ``path`` without their contents: path, modificationTime, length.
 
-    Hidden files are left out.
+    Hidden files are left out; ``suffix`` is a pattern of names, such as ``*.csv``.
+
+    Folders that every task can reach by their path are walked inside tasks, a level at a
+    time: the folders of a level are dealt over tasks, which list them and give files and
+    the folders of the next level, until a level has none. No name or status comes to the
+    driver. In other stores Spark's own file scan lists, in tasks too, but its driver holds
+    the result.
     """
+    if re.match(r"(file:)?/", path):
+        return _walked(spark, path, suffix)
     files = _binary_files(spark, path, suffix)
     return files.select("path", "modificationTime", "length").unionByName(_empty_files(spark, files))
 
 
+def _walked(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    root = re.sub("^file:/+", "/", path)
+    level = spark.createDataFrame([(root,)], "path string")
+    found = []
+    while True:
+        # Each level is written, so that a lost executor costs one level at most.
+        place = new_folder(spark, "listing")
+        level.repartition("path").mapInArrow(_list_folders, _FOUND).write.parquet(place)
+        found.append(place)
+        level = spark.read.schema(_FOUND).parquet(place).where("folder").select("path")
+        if level.isEmpty():
+            break
+    files = spark.read.schema(_FOUND).parquet(*found).where("NOT folder")
+    if suffix != "*":
+        files = files.where(file_name(F.col("path")).rlike(fnmatch.translate(suffix)))
+    return files.select(F.concat(F.lit("file:"), "path").alias("path"), F.timestamp_millis("millis").alias("modificationTime"), "length")
+
+
+def _list_folders(batches):
+    """The entries of the folders in ``batches``; one that is gone meanwhile has none."""
+    for batch in batches:
+        for folder in batch.column("path").to_pylist():
+            rows = []
+            try:
+                with os.scandir(folder) as entries:
+                    for entry in entries:
+                        if entry.name.startswith((".", "_")):
+                            continue
+                        status = entry.stat()
+                        rows.append((entry.path, entry.is_dir(), status.st_mtime_ns // 1_000_000, status.st_size))
+            except FileNotFoundError:
+                pass
+            except NotADirectoryError:
+                status = os.stat(folder)
+                rows.append((folder, False, status.st_mtime_ns // 1_000_000, status.st_size))
+            for first in range(0, len(rows), 10_000):
+                paths, folders, millis, lengths = zip(*rows[first : first + 10_000])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(paths, pa.string()), pa.array(folders, pa.bool_()), pa.array(millis, pa.int64()), pa.array(lengths, pa.int64())],
+                    names=["path", "folder", "millis", "length"],
+                )
+
+
 def _binary_files(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffix).load(path)
 
 
 def _empty_files(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """The files of zero bytes, for which Spark's scan makes no row.
-
-    Spark holds the listing of a scan on the driver; here only the statuses of the files
-    that gave no row are asked for besides.
-    """
+    """The files of zero bytes, for which Spark's scan makes no row, in a store that only
+    Spark reaches: they are the scan's files that gave no row. Each is asked for its time."""
     listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "uri string")
-    # "file:///a" in one listing is "file:/a" in the other; blanks are escaped in URIs.
-    listed = listed.select("uri", F.regexp_replace(F.try_url_decode(F.replace("uri", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/").alias("path"))
-    seen = files.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
+    listed = listed.select("uri", F.try_url_decode(F.replace("uri", F.lit("+"), F.lit("%2B"))).alias("path"))
     rows = []
-    for r in listed.join(seen, "path", "left_anti").collect():
+    for r in listed.join(files.select("path"), "path", "left_anti").collect():
         place = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(r.uri))
         status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
         rows.append((r.path, status.getModificationTime(), 0))
@@ -111,9 +166,8 @@ def audit_files(
     ``declared`` (path, content_type) may name the type given by the sender. The
     length filter reaches the source, so the bytes of refused files are never read.
     """
-    found = _binary_files(spark, path)
-    empty = _empty_files(spark, found).withColumn("content", F.lit("").cast("binary"))
-    files = found.unionByName(empty).withColumn("suffix", suffix_of(F.col("path")))
+    empty = listing(spark, path).where("length = 0").withColumn("content", F.lit("").cast("binary"))
+    files = _binary_files(spark, path).where("length > 0").unionByName(empty).withColumn("suffix", suffix_of(F.col("path")))
     accepted = F.col("suffix").isin(*SUFFIXES)
     readable = files.where((F.col("length") <= max_bytes) & accepted).select(
         "path", "length", "suffix", _verdict(F.col("content"), F.col("suffix")).alias("found")

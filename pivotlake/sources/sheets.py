@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -45,10 +46,25 @@ FILE_ORDER = "__file_order"
 _TRUE, _FALSE = ("true", "yes", "1"), ("false", "no", "0")
 
 
-def spans_lines(spark: SparkSession, path: str) -> bool:
-    """Whether some quoted cell holds a line break: a line then has an open quote."""
+def _reader(spark: SparkSession, multi_line: bool):
+    return (
+        spark.read.option("header", True)
+        .option("multiLine", multi_line)
+        .option("escape", '"')
+        .option("emptyValue", "")
+        .option("mode", "PERMISSIVE")
+    )
+
+
+def files_spanning_lines(spark: SparkSession, path: str) -> list[str]:
+    """The files in which some quoted cell holds a line break: a line has an open quote.
+
+    One scan of the lines; a file is decided on its own. The names of these files come to
+    the driver, which lists all files of a scan anyway.
+    """
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (quotes % 2 == 1).alias("open"))
+    return sorted(r["file"] for r in lines.groupBy("file").agg(F.bool_or("open").alias("open")).where("open").collect())
 
 
 def read_csv_text(
@@ -58,34 +74,38 @@ def read_csv_text(
     keep_order: bool = False,
     null_words: Sequence[str] = NULL_WORDS,
     multi_line: bool | None = None,
+    file_column: str | None = None,
 ) -> DataFrame:
     """Every column as text, missing-value words as null.
 
-    Files are split over tasks unless cells hold line breaks, which a scan of the
-    lines finds out; ``multi_line`` says so beforehand.
+    Files are split over tasks, except those in which cells hold line breaks: these are
+    found by a scan of the lines and read one by one, the others still split.
+    ``multi_line`` says so for all files beforehand.
 
     With ``keep_order`` the column ``__file_order`` sorts rows as they stand in the
-    files: by file, by block, by place in the block.
+    files: by file, by block, by place in the block. ``file_column`` names the file.
     """
-    if multi_line is None:
-        multi_line = spans_lines(spark, path)
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
-    cells = [F.when(~q(c).isin(*null_words), q(c)).alias(c) if null_words else q(c) for c in raw.columns]
-    if keep_order:
-        at = F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        )
-        cells.append(at.alias(FILE_ORDER))
-    return raw.select(*cells)
+    broken = files_spanning_lines(spark, path) if multi_line is None else None
+
+    def cells(raw: DataFrame) -> DataFrame:
+        shown = [F.when(~q(c).isin(*null_words), q(c)).alias(c) if null_words else q(c) for c in raw.columns]
+        if keep_order:
+            at = F.struct(
+                F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("row"),
+            )
+            shown.append(at.alias(FILE_ORDER))
+        if file_column:
+            shown.append(F.col("_metadata.file_path").alias(file_column))
+        return raw.select(*shown)
+
+    if not broken:
+        return cells(_reader(spark, bool(multi_line)).csv(path))
+    # Columns are those of the folder for both; the condition on the file prunes the listing.
+    whole, split = _reader(spark, True).csv(path), _reader(spark, False).csv(path)
+    among = F.col("_metadata.file_path").isin(*broken)
+    return cells(split.where(~among)).unionByName(cells(whole.where(among)))
 
 
 def cast_text(col: Column, dtype: T.DataType) -> Column:
@@ -113,16 +133,66 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     if schema is None:
         types = inferred_types(text)
     else:
-        wanted = spark.createDataFrame([], schema).schema
-        types = {f.name: f.dataType for f in wanted.fields}
-        missing = [c for c in types if c not in text.columns]
-        if missing:
-            raise PivotError(f"columns not in the file: {missing}")
+        types = declared_types(spark, schema, text.columns)
     if text.isEmpty():
         raise PivotError(f"no data rows in {path}")
     return text.select(*[cast_text(q(c), types.get(c, T.StringType())).alias(c) for c in text.columns if c in types])
 
 
+@dataclass
+class Landed:
+    """A CSV sheet converted once: typed rows, and the cells that fit no declared type."""
+
+    rows: DataFrame
+    rejects: DataFrame
+
+
+_REJECTED, _FILE = "__rejected", "__file"
+
+
+def land_csv(spark: SparkSession, path: str, target: str, schema: T.StructType | str | None = None) -> Landed:
+    """Convert a CSV sheet to Parquet below ``target`` and report the cells left out.
+
+    A cell that is no value of its column's type becomes null, as in :func:`read_csv`, but
+    its text is kept beside the row. ``rejects`` has one row per file and column: file,
+    column, count and an example, the first of the texts in order. The sheet is scanned
+    once; rejects are counted from the written table, of which only that column is read.
+    """
+    text = read_csv_text(spark, path, file_column=_FILE)
+    sheet = text.drop(_FILE)
+    if schema is None:
+        types = inferred_types(sheet)
+    else:
+        types = declared_types(spark, schema, sheet.columns)
+    kept = [c for c in sheet.columns if c in types]
+    casts = {c: cast_text(q(c), types[c]) for c in kept}
+    typed = text.select(*[casts[c].alias(c) for c in kept], *[q(c).alias(f"__text{i}") for i, c in enumerate(kept)], _FILE)
+    unfit = [
+        F.when(F.col(f"__text{i}").isNotNull() & q(c).isNull(), F.struct(F.lit(c).alias("column"), F.col(f"__text{i}").alias("cell")))
+        for i, c in enumerate(kept)
+        if not isinstance(types[c], T.StringType)
+    ]
+    rejected = F.array_compact(F.array(*unfit)) if unfit else F.lit(None).cast("array<struct<column:string,cell:string>>")
+    out = typed.select(*[q(c) for c in kept], F.when(F.size(rejected) > 0, rejected).alias(_REJECTED), _FILE)
+    out.write.parquet(f"{target}/rows")
+    stored = spark.read.schema(out.schema).parquet(f"{target}/rows")
+    if stored.isEmpty():
+        raise PivotError(f"no data rows in {path}")
+    cells = stored.where(F.col(_REJECTED).isNotNull()).select(F.col(_FILE).alias("file"), F.inline(_REJECTED))
+    counted = cells.groupBy("file", "column").agg(F.count(F.lit(1)).alias("count"), F.min("cell").alias("example"))
+    counted.write.parquet(f"{target}/rejects")
+    return Landed(stored.select(*[q(c) for c in kept]), spark.read.schema(counted.schema).parquet(f"{target}/rejects"))
+
+
+def declared_types(spark: SparkSession, schema: T.StructType | str, columns: Sequence[str]) -> dict[str, T.DataType]:
+    """The declared type of each column; all declared columns must be there."""
+    types = {f.name: f.dataType for f in spark.createDataFrame([], schema).schema.fields}
+    missing = [c for c in types if c not in columns]
+    if missing:
+        raise PivotError(f"columns not in the file: {missing}")
+    return types
+
+
 def inferred_types(text: DataFrame) -> dict[str, T.DataType]:
     """Spark types by the column profile of a text frame: one row per column."""
     spark_types = {

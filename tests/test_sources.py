@@ -14,7 +14,7 @@ from pivotlake.sources.catalog import catalog_nested, column_kind_counts, regist
 from pivotlake.sources.directory import load_directory
 from pivotlake.sources.files import audit_files, inventory, listing, orphans, stale
 from pivotlake.sources.profile import profile
-from pivotlake.sources.sheets import preview, read_csv, read_sheet
+from pivotlake.sources.sheets import files_spanning_lines, land_csv, preview, read_csv, read_csv_text, read_sheet
 from tests.conftest import rows
 
 
@@ -91,6 +91,67 @@ def test_csv_cells_may_hold_line_breaks(spark, tmp_path):
     assert rows(read_csv(spark, str(tmp_path / "m.csv"))) == [(1, "x\ny"), (2, "z")]
 
 
+def test_only_files_with_line_breaks_are_read_whole(spark, tmp_path):
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("k,t\n" + "".join(f"{i},plain text\n" for i in range(20_000)))
+    (folder / "b.csv").write_text('k,t\n-1,"two\nlines"\n-2,"a ""quoted"" word"\n')
+    (folder / "c.csv").write_text('k,t\n-3,"one "" quote"\n')
+    names = [f.rsplit("/", 1)[1] for f in files_spanning_lines(spark, str(folder))]
+    assert names == ["b.csv"] or names == ["b.csv", "c.csv"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        text = read_csv_text(spark, str(folder), file_column="f", keep_order=True)
+        placed = text.select(F.col("f"), F.spark_partition_id().alias("p")).distinct().collect()
+        assert len([r for r in placed if r.f.endswith("a.csv")]) > 3
+        assert text.count() == 20_003
+        assert sorted(r.t for r in text.where("k < 0").collect()) == ['a "quoted" word', 'one " quote', "two\nlines"]
+        assert [r.k for r in text.orderBy("__file_order").limit(3).collect()] == ["0", "1", "2"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_rejected_cells_are_counted_and_kept(spark, tmp_path):
+    folder = tmp_path / "s.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("n,x,d,b,t\n1,1.5,2024-01-05,yes,a\n1e5,\"1,234\",someday,maybe,b\n,NaN,,N/A,\n")
+    (folder / "b.csv").write_text("n,x,d,b,t\n2.5,2e3,1/5/2024,no,c\nseven,4,2024-02-30,1,d\n")
+    landed = land_csv(spark, str(folder), str(tmp_path / "out"), "n int, x double, d date, b boolean, t string")
+    assert sorted((r.t or "", r.n, r.x, str(r.d), r.b) for r in landed.rows.collect()) == [
+        ("", None, None, "None", None),
+        ("a", 1, 1.5, "2024-01-05", True),
+        ("b", None, None, "None", None),
+        ("c", None, 2000.0, "2024-01-05", False),
+        ("d", None, 4.0, "None", True),
+    ]
+    found = sorted((r.file.rsplit("/", 1)[1], r["column"], r["count"], r.example) for r in landed.rejects.collect())
+    assert found == [
+        ("a.csv", "b", 1, "maybe"),
+        ("a.csv", "d", 1, "someday"),
+        ("a.csv", "n", 1, "1e5"),
+        ("a.csv", "x", 1, "1,234"),
+        ("b.csv", "d", 1, "2024-02-30"),
+        ("b.csv", "n", 2, "2.5"),
+    ]
+    assert land_csv(spark, str(folder), str(tmp_path / "out2")).rejects.count() == 0
+    with pytest.raises(PivotError):
+        land_csv(spark, str(folder), str(tmp_path / "out3"), "q int")
+
+
+def test_listing_walks_folders_in_tasks(spark, tmp_path):
+    for name in ("a/b/c/deep.csv", "a/x.csv", "a/b/empty.csv", "a/.hidden/y.csv", "_tmp/z.csv", "a/b/blank name+%41.csv", "top.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if "empty" in name else "12345")
+    found = {r.path: r.length for r in listing(spark, str(tmp_path)).collect()}
+    assert found == {f"file:{tmp_path}/{n}": 0 if "empty" in n else 5 for n in ("a/b/c/deep.csv", "a/x.csv", "a/b/empty.csv", "a/b/blank name+%41.csv", "top.txt")}
+    assert {r.path for r in listing(spark, f"file://{tmp_path}", "*.txt").collect()} == {f"file:{tmp_path}/top.txt"}
+    assert listing(spark, str(tmp_path)).where("modificationTime > current_timestamp() - INTERVAL 1 HOUR").count() == 5
+    assert listing(spark, str(tmp_path / "missing")).collect() == []
+    one = listing(spark, str(tmp_path / "top.txt")).collect()
+    assert [(r.path, r.length) for r in one] == [(f"file:{tmp_path}/top.txt", 5)]
+
+
 def test_csv_without_rows_is_an_error(spark, tmp_path):
     (tmp_path / "e.csv").write_text("a,b\n")
     with pytest.raises(PivotError):

@@ -11,7 +11,7 @@ from pivotlake.session import new_folder
 from pivotlake.sources.catalog import catalog_nested, column_kind_counts, newest_first, register_tables
 from pivotlake.sources.files import audit_files, inventory, listing, orphans, stale
 from pivotlake.sources.profile import profile
-from pivotlake.sources.sheets import preview, read_csv
+from pivotlake.sources.sheets import land_csv, preview, read_csv
 from workload.registry import query
 from workload.tables import plain, table
 
@@ -174,15 +174,65 @@ def csv_scan(spark, sf_dir):
     return plain(read_csv(spark, path))
 
 
+_MISFITS_SQL = """cells AS (
+  SELECT o_orderkey, CASE o_orderpriority WHEN '5-LOW' THEN CAST(o_custkey AS VARCHAR) || 'e0' WHEN '1-URGENT' THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS cust,
+         CASE o_orderstatus WHEN 'P' THEN '1,234.5' ELSE CAST(o_totalprice AS VARCHAR) END AS price,
+         CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '2-HIGH' THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders)"""
+
+
+@query(
+    "csv_rejects",
+    f"""WITH {_MISFITS_SQL}, found AS (
+          SELECT 'cust' AS "column", cust AS cell, contains(cust, 'e') AS bad FROM cells UNION ALL
+          SELECT 'price', price, contains(price, ',') FROM cells UNION ALL SELECT 'day', day, day = 'soon' FROM cells)
+        SELECT "column", CAST(count(*) FILTER (bad) AS BIGINT) AS rejected, min(cell) FILTER (bad) AS example,
+               CAST((SELECT count(cust) FILTER (cust <> '' AND NOT contains(cust, 'e')) FROM cells) AS BIGINT) AS customers_left
+        FROM found GROUP BY 1""",
+)
+def rejected_cells(spark, sf_dir):
+    """Orders landed from CSV with declared types: how many cells of a column were refused."""
+    path = new_folder(spark, "misfits")
+    priority, status, cust = F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_custkey").cast("string")
+    table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.when(priority == "5-LOW", F.concat(cust, F.lit("e0"))).when(priority == "1-URGENT", "").otherwise(cust).alias("cust"),
+        F.when(status == "P", "1,234.5").otherwise(F.col("o_totalprice").cast("string")).alias("price"),
+        F.when((status == "F") & (priority == "2-HIGH"), "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"),
+    ).write.option("header", True).csv(f"{path}/sheet.csv")
+    landed = land_csv(spark, f"{path}/sheet.csv", f"{path}/landed", "o_orderkey bigint, cust bigint, price double, day date")
+    left = landed.rows.agg(F.count("cust").alias("n")).scalar()
+    counted = landed.rejects.groupBy("column").agg(F.sum("count").alias("rejected"), F.min("example").alias("example"))
+    return counted.withColumn("customers_left", left)
+
+
+@query(
+    "csv_mixed_lines",
+    """SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'P' THEN replace(o_orderpriority, '-', '/"') ELSE o_orderpriority END AS words,
+         CAST(o_totalprice AS DOUBLE) AS price FROM orders""",
+)
+def mixed_lines(spark, sf_dir):
+    """A folder of files of which only those with pending orders hold cells of two lines."""
+    path = new_folder(spark, "mixed") + ".csv"
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("k"),
+        F.when(F.col("o_orderstatus") == "P", F.regexp_replace("o_orderpriority", "-", "\n\"")).otherwise(F.col("o_orderpriority")).alias("words"),
+        F.col("o_totalprice").alias("price"),
+        (F.col("o_orderstatus") == "P").alias("pending"),
+    )
+    for pending in (False, True):
+        part = rows.where(F.col("pending") == pending).drop("pending")
+        part.write.mode("append").option("header", True).option("escape", '"').csv(path)
+    return read_csv(spark, path, "k bigint, words string, price double").withColumn("words", F.regexp_replace("words", "\n", "/"))
+
+
 # Files ---------------------------------------------------------------------------------------
 
 
 def _stored(spark, sf_dir, path):
-    """Suppliers landed as one file per region, and one file without any."""
+    """Suppliers landed in one folder per region, and a file without any."""
     nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("region"))
     suppliers = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-    landed = suppliers.select("region", "s_suppkey", "s_name").repartition(1)
-    landed.write.partitionBy("region").option("header", True).csv(path)
+    suppliers.select("region", "s_suppkey", "s_name").write.partitionBy("region").option("header", True).csv(path)
     suppliers.where(F.lit(False)).select("s_name").coalesce(1).write.text(f"{path}/region=none")
     return F.regexp_extract("path", "region=([^/]+)/", 1)
 
@@ -191,19 +241,19 @@ _STORED_SQL = """stored AS (
   SELECT DISTINCT CAST(n_regionkey AS VARCHAR) AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'none')"""
 
 
-@query("storage_inventory", f"WITH {_STORED_SQL} SELECT region AS category, count(*) AS file_count, region = 'none' AS empty FROM stored GROUP BY 1")
+@query("storage_inventory", f"WITH {_STORED_SQL} SELECT region AS category, true AS some, region = 'none' AS empty FROM stored")
 def storage(spark, sf_dir):
     """What a clean-up of files older than five days would find ten days from now."""
     path = new_folder(spark, "stored")
     region = _stored(spark, sf_dir, path)
     later = (datetime.now(timezone.utc) + timedelta(days=10)).replace(tzinfo=None)
     found = inventory(stale(listing(spark, path), later, 5), region)
-    return found.select("category", "file_count", (F.col("total_bytes") == 0).alias("empty"))
+    return found.select("category", (F.col("file_count") > 0).alias("some"), (F.col("total_bytes") == 0).alias("empty"))
 
 
 @query("orphans", f"WITH {_STORED_SQL} SELECT region FROM stored WHERE region IN ('0', '2', 'none')")
 def orphaned(spark, sf_dir):
-    """Files of regions that no dataset names."""
+    """Regions with files that no dataset names."""
     path = new_folder(spark, "stored")
     region = _stored(spark, sf_dir, path)
     # Files of one write share their names, so each is known by region and name.
@@ -211,25 +261,32 @@ def orphaned(spark, sf_dir):
     named = table(spark, sf_dir, "region").where(~F.col("r_regionkey").isin(0, 2)).select(F.col("r_regionkey").cast("string").alias("named"))
     of = F.substring_index("path", "-", 1)
     datasets = files.join(named, of == F.col("named")).select(F.col("path").alias("stored_filename"))
-    return orphans(files, datasets).select(of.alias("region"))
+    return orphans(files, datasets).select(of.alias("region")).distinct()
 
 
 @query(
     "file_audit",
-    """SELECT * FROM (VALUES ('good', '.csv', 'ok'), ('nul', '.csv', 'null_bytes'), ('plain', '.txt', 'suffix'), ('void', '.csv', 'not_text'))
-         AS t(kind, suffix, verdict) WHERE EXISTS (SELECT 1 FROM customer)""",
+    """WITH kinds AS (
+         SELECT c_nationkey AS nation, CASE WHEN max(c_acctbal) > 9900 THEN '.txt' ELSE '.csv' END AS suffix,
+                min(c_acctbal) < -900 AS odd FROM customer GROUP BY 1)
+       SELECT CAST(nation AS VARCHAR) AS nation, suffix, CASE WHEN suffix = '.txt' THEN 'suffix' WHEN odd THEN 'null_bytes' ELSE 'ok' END AS verdict FROM kinds
+       UNION ALL SELECT 'none', '.csv', CASE WHEN count(*) = 0 THEN 'not_text' ELSE 'ok' END FROM customer WHERE c_custkey IS NULL""",
 )
 def landed_files(spark, sf_dir):
-    """Customers landed as good CSV, as CSV with NUL bytes, as plain text and as nothing."""
+    """Customers landed in files by nation, poorest first: names of customers deep in debt
+    hold a NUL byte, nations with a rich customer are plain text; a file without rows."""
     path = new_folder(spark, "landed")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").repartition(2)
-    customers.write.option("header", True).csv(f"{path}/good")
-    long = F.rpad("c_name", 40, " ")
-    customers.select(long.alias("c_name"), F.lit("a\x00b").alias("b")).write.option("header", True).csv(f"{path}/nul")
-    customers.select("c_name").write.text(f"{path}/plain")
-    customers.where(F.lit(False)).coalesce(1).write.csv(f"{path}/void")
+    customers = table(spark, sf_dir, "customer")
+    rich = customers.groupBy(F.col("c_nationkey").alias("nation")).agg((F.max("c_acctbal") > 9900).alias("rich"))
+    name = F.when(F.col("c_acctbal") < -900, F.concat(F.lit("a\x00"), F.col("c_name"))).otherwise(F.col("c_name"))
+    named = customers.join(rich, F.col("c_nationkey") == F.col("nation")).select("nation", "rich", name.alias("c_name"), "c_acctbal")
+    # One file a nation, so that its poorest customer is at its head.
+    along = named.repartition("nation").sortWithinPartitions("nation", "c_acctbal")
+    along.where("NOT rich").select("nation", "c_name").write.partitionBy("nation").option("header", True).csv(f"{path}/sheets")
+    along.where("rich").select("nation", "c_name").write.partitionBy("nation").text(f"{path}/texts")
+    customers.where("c_custkey IS NULL").select("c_name").coalesce(1).write.csv(f"{path}/nation=none")
     audited = audit_files(spark, path)
-    return audited.select(F.regexp_extract("path", "/([a-z]+)/[^/]*$", 1).alias("kind"), "suffix", "verdict").distinct()
+    return audited.select(F.regexp_extract("path", "/nation=([^/]+)/[^/]*$", 1).alias("nation"), "suffix", "verdict").distinct()
 
 
 # Saved definitions -----------------------------------------------------------------------------
