@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pivotlake.functions.text import distinct_ignoring_case, invalid_addresses, json_list, split_addresses
 from pivotlake.functions.zones import iso_text
+from pivotlake.operators.tombstones import read_or_empty
+from pivotlake.session import materialise
+from pivotlake.sources.stores import folders, remove
 
 # Rows of the history list and of the recipient list.
 HISTORY_ROWS = 100
@@ -106,6 +111,75 @@ def recipient_usage(history: DataFrame, old: DataFrame | None = None) -> DataFra
     )
 
 
+# Buckets of a stored usage table. A merge rewrites the buckets its addresses fall into.
+USAGE_BUCKETS = 64
+_USAGE = "address string, recipient_type string, last_used_at timestamp_ntz, use_count bigint, version bigint, bucket int"
+_LEDGER = "batch_id string, version bigint, bucket int"
+
+
+class UsageStore:
+    """Recipient usage on disk, to which batches of mails are merged once each.
+
+    State lies in buckets by a hash of the address. A merge writes a new version of the
+    buckets its addresses fall into, and then one row per bucket to the ledger, in one
+    file. The ledger is what counts: a version without a ledger row does not exist, so a
+    merge that was broken off leaves nothing behind, and a batch in the ledger is not merged
+    again. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = USAGE_BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _ledger(self) -> DataFrame:
+        return read_or_empty(self.spark, f"{self.path}/ledger", _LEDGER)
+
+    def versions(self) -> dict[int, int]:
+        """The version in force of each bucket that was ever written."""
+        newest = self._ledger().where("bucket IS NOT NULL").groupBy("bucket").agg(F.max("version").alias("version"))
+        return {r["bucket"]: r["version"] for r in newest.collect()}
+
+    def _read(self, places: Mapping[int, int]) -> DataFrame:
+        if not places:
+            return self.spark.createDataFrame([], _USAGE)
+        # At most one path a bucket; no other folder is listed.
+        paths = [f"{self.path}/state/version={version}/bucket={bucket}" for bucket, version in sorted(places.items())]
+        return self.spark.read.schema(_USAGE).option("basePath", f"{self.path}/state").parquet(*paths)
+
+    def usage(self) -> DataFrame:
+        """(address, recipient_type, last_used_at, use_count) over all merged batches."""
+        return self._read(self.versions()).drop("version", "bucket")
+
+    def merge(self, batch_id: str, history: DataFrame) -> bool:
+        """Add the mails of a batch; False if the batch was merged before."""
+        if not self._ledger().where(F.col("batch_id") == batch_id).isEmpty():
+            return False
+        bucket = F.pmod(F.xxhash64("address"), F.lit(self.buckets)).cast("int")
+        new = materialise(recipient_usage(history).withColumn("bucket", bucket))
+        touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())
+        places = self.versions()
+        version = 1 + max((r["version"] for r in self._ledger().agg(F.max("version").alias("version")).collect() if r["version"] is not None), default=0)
+        if touched:
+            old = self._read({b: v for b, v in places.items() if b in touched})
+            both = new.unionByName(old.drop("version"))
+            merged = both.groupBy("address", "recipient_type", "bucket").agg(F.max("last_used_at").alias("last_used_at"), F.sum("use_count").alias("use_count"))
+            # A folder of this version can only be left over from a merge that was broken off.
+            merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/state/version={version}")
+        entries = [(batch_id, version, b) for b in touched] or [(batch_id, version, None)]
+        self.spark.createDataFrame(entries, _LEDGER).coalesce(1).write.mode("append").parquet(f"{self.path}/ledger")
+        return True
+
+    def vacuum(self) -> int:
+        """Remove the folders that are not in force any more; gives their number."""
+        places, gone = self.versions(), 0
+        for version in folders(self.spark, f"{self.path}/state"):
+            for bucket in folders(self.spark, f"{self.path}/state/{version}"):
+                number = lambda name: int(name.split("=")[1])
+                if places.get(number(bucket)) != number(version):
+                    remove(self.spark, f"{self.path}/state/{version}/{bucket}")
+                    gone += 1
+        return gone
+
+
 def _typed_address(kind: str):
     return lambda a: F.struct(a.alias("address"), F.lit(kind).alias("recipient_type"))
 

@@ -15,6 +15,7 @@ from pivotlake.functions.rowkeys import ROW_HASH, ROW_KEY, content, row_hash, ro
 from pivotlake.operators.drill import matched_hits
 from pivotlake.plans.checks import to_json
 from pivotlake.session import materialise
+from pivotlake.sources.stores import exists
 from pivotlake.spec import PivotSpec
 
 TOMBSTONE_SCHEMA = (
@@ -153,8 +154,78 @@ def size_tag(count: Column) -> Column:
     return F.when(count > HUGE, "HUGE").when(count > LARGE, "LARGE").otherwise("")
 
 
-def soft_delete(
-    df: DataFrame,
+# Deletes on disk -----------------------------------------------------------------------------
+#
+# A delete first records its intent, then writes its tombstones, then records how it ended.
+# Tombstones lie by dataset, sheet and delete, and are in force only once their delete has
+# ended well. A delete that was broken off has changed nothing that a reader sees; the same
+# request finds it, writes its tombstones over what may be there, and ends it.
+
+PENDING, SUCCESS, FAILED = "pending", "success", "failed"
+_PLACES = ("dataset_id", "sheet_name", "delete_audit_id")
+
+
+@dataclass(frozen=True)
+class DeleteRequest:
+    """What is to be deleted, and where it is recorded."""
+
+    dataset_id: int
+    dataset_name: str
+    sheet_name: str
+    tombstone_path: str
+    audit_path: str
+    actor: str
+    criteria: str
+    payload: str
+    n_selections: int
+    audit_id: str
+    resumed: bool
+
+
+def read_audits(spark: SparkSession, audit_path: str) -> DataFrame:
+    """One row per delete: how it ended, or its intent as long as it has not."""
+    written = read_or_empty(spark, audit_path, AUDIT_SCHEMA)
+    latest = F.max_by(F.struct(*written.columns), F.struct(F.col("status") != PENDING, "timestamp")).alias("last")
+    return written.groupBy(F.col("id").alias("of")).agg(latest).select("last.*")
+
+
+def read_tombstones(spark: SparkSession, tombstone_path: str, audit_path: str, dataset_id: int | None = None, sheet_name: str | None = None) -> DataFrame:
+    """The tombstones in force; of one dataset and sheet only their folders are read."""
+    written = read_or_empty(spark, tombstone_path, TOMBSTONE_SCHEMA)
+    if dataset_id is not None:
+        written = written.where(F.col("dataset_id") == dataset_id)
+    if sheet_name is not None:
+        written = written.where(F.col("sheet_name") == sheet_name)
+    ended = read_or_empty(spark, audit_path, AUDIT_SCHEMA).where(F.col("status") == SUCCESS)
+    return written.join(ended.select(F.col("id").alias("delete_audit_id")).distinct(), "delete_audit_id", "left_semi").select(*written.columns)
+
+
+def _criteria(selections: DataFrame | Sequence[Mapping[str, Any]]) -> tuple[str, int]:
+    """The text by which a request is known again, and the number of selections. A frame is
+    known by its columns, its count and a hash of its rows in any order."""
+    if not isinstance(selections, DataFrame):
+        return json.dumps(list(selections), default=str), len(selections)
+    columns = [q(c) for c in selections.columns]
+    n, code = selections.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*columns))).first()
+    return json.dumps({"fields": selections.columns, "rows": n, "hash": code}), n
+
+
+def _record(spark: SparkSession, request: DeleteRequest, status: str, found: int = 0, deleted: int = 0, message: str | None = None) -> None:
+    values = (
+        request.audit_id, request.dataset_id, request.dataset_name, request.sheet_name, request.n_selections, found, deleted,
+        request.criteria, status, message, request.actor, request.payload,
+    )
+    audit = spark.createDataFrame(
+        [values],
+        "id string, dataset_id bigint, dataset_name string, sheet_name string, pivot_rows_count bigint, "
+        "source_records_found bigint, source_records_deleted bigint, selection_criteria string, "
+        "status string, error_message string, actor string, pivot_payload_json string",
+    ).withColumn("timestamp", utc_now())
+    _as_schema(spark, audit, AUDIT_SCHEMA).coalesce(1).write.mode("append").parquet(request.audit_path)
+
+
+def begin_delete(
+    spark: SparkSession,
     spec: PivotSpec,
     selections: DataFrame | Sequence[Mapping[str, Any]],
     *,
@@ -164,57 +235,85 @@ def soft_delete(
     tombstone_path: str,
     audit_path: str,
     actor: str = "ui",
+) -> DeleteRequest:
+    """Record the intent of a delete, or find the same one that has not ended."""
+    criteria, n = _criteria(selections)
+    payload = to_json(spec)
+    same = (
+        (F.col("status") == PENDING)
+        & (F.col("dataset_id") == dataset_id)
+        & (F.col("sheet_name") == sheet_name)
+        & (F.col("selection_criteria") == criteria)
+        & (F.col("pivot_payload_json") == payload)
+    )
+    unfinished = read_audits(spark, audit_path).where(same).orderBy("timestamp", "id").select("id").first()
+    audit_id = unfinished.id if unfinished else spark.range(1).select(F.uuid()).first()[0]
+    request = DeleteRequest(
+        dataset_id, dataset_name, sheet_name, tombstone_path, audit_path, actor, criteria, payload, n, audit_id, unfinished is not None
+    )
+    if not unfinished:
+        _record(spark, request, PENDING)
+    return request
+
+
+def write_tombstones(
+    df: DataFrame,
+    spec: PivotSpec,
+    selections: DataFrame | Sequence[Mapping[str, Any]],
+    request: DeleteRequest,
     key_columns: Sequence[str] | None = None,
+) -> tuple[int, int]:
+    """Write the tombstones of a delete to its own folder; what a run that was broken off
+    left there is overwritten. Gives the matches and the keys deleted.
+
+    The plan is checkpointed before it is written, so the counts and the rows agree.
+    """
+    spark = df.sparkSession
+    known = read_tombstones(spark, request.tombstone_path, request.audit_path, request.dataset_id, request.sheet_name)
+    plan = plan_delete(df, spec, selections, known, request.dataset_id, request.sheet_name, key_columns)
+    new = materialise(plan.rows)
+    matched = plan.matched.first()[0]
+    deleted = new.count()
+    rows = new.withColumns(
+        {
+            "dataset_id": F.lit(request.dataset_id).cast("bigint"),
+            "sheet_name": F.lit(request.sheet_name),
+            "pivot_request": F.lit(request.payload),
+            "deleted_at": utc_now(),
+            "deleted_by": F.lit(request.actor),
+            "delete_audit_id": F.lit(request.audit_id),
+        }
+    )
+    out = _as_schema(spark, rows, TOMBSTONE_SCHEMA)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_PLACES).parquet(request.tombstone_path)
+    return matched, deleted
+
+
+def soft_delete(
+    df: DataFrame,
+    spec: PivotSpec,
+    selections: DataFrame | Sequence[Mapping[str, Any]],
+    *,
+    key_columns: Sequence[str] | None = None,
+    **where: Any,
 ) -> dict[str, Any]:
     """Delete the raw rows behind pivot rows and record the operation.
 
-    The plan is checkpointed before it is appended, so the counts and the written
-    rows agree. A failure is recorded and raised again. Running it a second time adds
-    nothing, because keys already there are left out.
+    ``where`` are the names and paths of :func:`begin_delete`. A failure is recorded and
+    raised again. Running it a second time adds nothing, because keys already there are left
+    out; a run that was broken off is completed under its first record.
     """
     if not isinstance(selections, DataFrame) and not selections:
         raise PivotError("no pivot rows selected for deletion")
     spark = df.sparkSession
-    audit_id = spark.range(1).select(F.uuid()).first()[0]
-    criteria = (
-        json.dumps(list(selections), default=str)
-        if not isinstance(selections, DataFrame)
-        else json.dumps({"fields": selections.columns})
-    )
-    request = to_json(spec)
-    n_selections = selections.count() if isinstance(selections, DataFrame) else len(selections)
-
-    def record(status: str, found: int, deleted: int, message: str | None = None) -> None:
-        audit = spark.createDataFrame(
-            [(audit_id, dataset_id, dataset_name, sheet_name, n_selections, found, deleted, criteria, status, message, actor, request)],
-            "id string, dataset_id bigint, dataset_name string, sheet_name string, pivot_rows_count bigint, "
-            "source_records_found bigint, source_records_deleted bigint, selection_criteria string, "
-            "status string, error_message string, actor string, pivot_payload_json string",
-        ).withColumn("timestamp", utc_now())
-        _as_schema(spark, audit, AUDIT_SCHEMA).write.mode("append").parquet(audit_path)
-
+    request = begin_delete(spark, spec, selections, **where)
     try:
-        tombstones = read_or_empty(spark, tombstone_path, TOMBSTONE_SCHEMA)
-        plan = plan_delete(df, spec, selections, tombstones, dataset_id, sheet_name, key_columns)
-        new = materialise(plan.rows)
-        matched = plan.matched.first()[0]
-        deleted = new.count()
-        rows = new.withColumns(
-            {
-                "dataset_id": F.lit(dataset_id).cast("bigint"),
-                "sheet_name": F.lit(sheet_name),
-                "pivot_request": F.lit(request),
-                "deleted_at": utc_now(),
-                "deleted_by": F.lit(actor),
-                "delete_audit_id": F.lit(audit_id),
-            }
-        )
-        _as_schema(spark, rows, TOMBSTONE_SCHEMA).write.mode("append").parquet(tombstone_path)
+        matched, deleted = write_tombstones(df, spec, selections, request, key_columns)
     except Exception as exc:
-        record("failed", 0, 0, str(exc))
+        _record(spark, request, FAILED, message=str(exc))
         raise
-    record("success", matched, deleted)
-    return {"audit_id": audit_id, "matched": matched, "deleted": deleted, "selections": n_selections}
+    _record(spark, request, SUCCESS, matched, deleted)
+    return {"audit_id": request.audit_id, "matched": matched, "deleted": deleted, "selections": request.n_selections, "resumed": request.resumed}
 
 
 def utc_now() -> Column:
@@ -223,9 +322,7 @@ def utc_now() -> Column:
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A written table, or no rows where nothing was written yet."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def _as_schema(spark: SparkSession, df: DataFrame, schema: str) -> DataFrame:

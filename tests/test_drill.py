@@ -9,11 +9,15 @@ from pivotlake.operators.drill import drilldown, drilldown_many, selections_of
 from pivotlake.operators.filters import selection_condition, typed_key
 from pivotlake.operators.tombstones import (
     TOMBSTONE_SCHEMA,
+    begin_delete,
     delete_preview,
     exclude_deleted,
     plan_delete,
     purge_dataset,
+    read_audits,
+    read_tombstones,
     soft_delete,
+    write_tombstones,
 )
 from tests.conftest import rows
 
@@ -111,7 +115,7 @@ def test_delete_removes_all_copies_and_is_repeatable(spark, sheet, tmp_path, eit
     tombs = spark.read.parquet(where["tombstone_path"])
     assert ids(exclude_deleted(sheet, tombs, 7, "s")) == [1, 2, 3]
     assert ids(exclude_deleted(sheet, tombs, 8, "s")) == [1, 2, 3, 4, 4]
-    audits = spark.read.parquet(where["audit_path"]).orderBy("timestamp").select("status", "source_records_deleted")
+    audits = read_audits(spark, where["audit_path"]).orderBy("timestamp").select("status", "source_records_deleted")
     assert rows(audits) == [("success", 1), ("success", 0)]
     after = exclude_deleted(sheet, tombs, 7, "s")
     assert pivot(after, SPEC).rows.count() == pivot(sheet, SPEC).rows.count() - 1
@@ -121,7 +125,7 @@ def test_failed_delete_is_recorded(spark, sheet, tmp_path):
     where = {"tombstone_path": str(tmp_path / "t"), "audit_path": str(tmp_path / "a")}
     with pytest.raises(PivotError):
         soft_delete(sheet, SPEC, [{}], dataset_id=1, dataset_name="x", sheet_name="s", **where)
-    assert rows(spark.read.parquet(where["audit_path"]).select("status")) == [("failed",)]
+    assert rows(read_audits(spark, where["audit_path"]).select("status")) == [("failed",)]
 
 
 def test_deletes_need_a_selection(spark, sheet):
@@ -209,3 +213,41 @@ def test_misfits_delete_nothing(spark, kinds, either_join):
     # One value that fits none spoils its selection, not the others.
     pairs = spark.createDataFrame([("5", "nonsense"), ("1", "2024-01-06"), (None, "(blank)")], "l string, d string")
     assert sorted(r.id for r in drilldown_many(kinds, PivotSpec(rows=["l", "d"]), pairs).rows.collect()) == [2, 5]
+
+
+def test_a_delete_broken_off_is_completed(spark, sheet, tmp_path):
+    paths = {"tombstone_path": str(tmp_path / "t"), "audit_path": str(tmp_path / "a")}
+    where = {"dataset_id": 1, "dataset_name": "x", "sheet_name": "s 1", **paths}
+    other = {**where, "dataset_id": 2}
+    soft_delete(sheet, SPEC, [{"g": "a"}], **other)
+    chosen = spark.createDataFrame([("b",), ("(blank)",)], "g string")
+
+    # Broken off before any tombstone, then after all of them.
+    first = begin_delete(spark, SPEC, chosen, **where)
+    again = begin_delete(spark, SPEC, chosen, **where)
+    assert (first.resumed, again.resumed) == (False, True) and first.audit_id == again.audit_id
+    assert write_tombstones(sheet, SPEC, chosen, again) == (3, 2)
+    dead = lambda: read_tombstones(spark, **paths, dataset_id=1, sheet_name="s 1")
+    assert dead().count() == 0 and spark.read.parquet(paths["tombstone_path"]).count() == 4
+    assert ids(exclude_deleted(sheet, dead(), 1, "s 1")) == [1, 2, 3, 4, 4]
+
+    done = soft_delete(sheet, SPEC, chosen, **where)
+    assert done["resumed"] and done["audit_id"] == first.audit_id and done["deleted"] == 2
+    assert dead().count() == 2 and spark.read.parquet(paths["tombstone_path"]).count() == 4
+    assert ids(exclude_deleted(sheet, dead(), 1, "s 1")) == [1, 2]
+    assert sorted(rows(read_audits(spark, paths["audit_path"]).select("dataset_id", "status"))) == [(1, "success"), (2, "success")]
+    # Another request is another delete.
+    assert not soft_delete(sheet, SPEC, spark.createDataFrame([("b",)], "g string"), **where)["resumed"]
+    plan = dead()._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dataset_id" in plan and "sheet_name" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+
+
+def test_a_failed_delete_leaves_nothing_in_force(spark, sheet, tmp_path):
+    paths = {"tombstone_path": str(tmp_path / "t"), "audit_path": str(tmp_path / "a")}
+    where = {"dataset_id": 1, "dataset_name": "x", "sheet_name": "s", **paths}
+    request = begin_delete(spark, SPEC, [{"g": "b"}], **where)
+    write_tombstones(sheet, SPEC, [{"g": "b"}], request)
+    tombstone_module._record(spark, request, "failed", message="lost")
+    assert read_tombstones(spark, **paths).count() == 0
+    assert soft_delete(sheet, SPEC, [{"g": "b"}], **where)["deleted"] == 1
+    assert read_tombstones(spark, **paths).count() == 1

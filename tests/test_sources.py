@@ -1,3 +1,4 @@
+import shutil
 import zipfile
 from datetime import datetime
 
@@ -6,8 +7,8 @@ from pyspark.sql import functions as F, types as T
 
 from pivotlake import PivotError
 from pivotlake.operators.directory import search_directory, starter_list
-from pivotlake.operators.logs import keep_latest, retained, search_logs
-from pivotlake.operators.mail import mail_history, recent_recipients, recipient_usage
+from pivotlake.operators.logs import boundary_day, keep_latest, purge_logs, read_logs, retained, search_logs, trim_logs, write_logs
+from pivotlake.operators.mail import UsageStore, mail_history, recent_recipients, recipient_usage
 from pivotlake.functions.text import distinct_ignoring_case, json_list, split_addresses
 from pivotlake.functions.zones import iso_text, parse_zone, readable_text
 from pivotlake.sources.catalog import catalog_nested, column_kind_counts, register
@@ -327,3 +328,72 @@ def test_logs(spark):
     assert ids(search_logs(logs, date_from="garbage", date_to="2024-01-01T12:00:00Z")) == [1]
     assert ids(keep_latest(logs, 1)) == [3]
     assert ids(retained(logs, "timestamp", "2024-01-08 00:00:00", 7)) == [2, 3]
+
+
+def test_purge_removes_days_and_rewrites_one(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    logs = spark.range(240).selectExpr("id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT)) AS timestamp", "'x' AS message")
+    logs = logs.unionByName(spark.createDataFrame([(999, None, "undated")], "id bigint, timestamp timestamp_ntz, message string"))
+    write_logs(logs, path)
+    before = {p.name for p in (tmp_path / "logs" / "day=2024-01-09").iterdir()}
+    want = sorted(rows(retained(logs, "timestamp", "2024-01-12 06:30:00", 7)))
+    assert purge_logs(spark, path, "2024-01-12 06:30:00", 7) == {"removed": 5, "rewritten": 1}
+    assert sorted(rows(read_logs(spark, path).select("id", "timestamp", "message"))) == want
+    assert {p.name for p in (tmp_path / "logs" / "day=2024-01-09").iterdir()} == before
+    plan = boundary_day(spark, path, "day=2024-01-05")
+    assert {f.rsplit("/", 2)[1] for f in plan.inputFiles()} == {"day=2024-01-05"}
+    # Nothing more to do, and an appended day stays.
+    assert purge_logs(spark, path, "2024-01-12 06:30:00", 7)["removed"] == 0
+    write_logs(logs.where("id = 0"), path)
+    assert read_logs(spark, path).count() == len(want) + 1
+
+
+def test_purge_broken_off_is_completed(spark, tmp_path):
+    path = tmp_path / "logs"
+    logs = spark.range(48).selectExpr("id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT)) AS timestamp")
+    write_logs(logs, str(path))
+    (path / "_purge").mkdir()
+    # Staged and removed, but not yet put in place.
+    logs.where("id BETWEEN 20 AND 23").write.parquet(str(path / "_purge" / "day=2024-01-01"))
+    shutil.rmtree(path / "day=2024-01-01")
+    # Staged in part only.
+    (path / "_purge" / "day=2024-01-02").mkdir()
+    assert sorted(r.id for r in read_logs(spark, str(path)).collect()) == list(range(20, 48))
+    assert not list((path / "_purge").iterdir())
+
+
+def test_trim_keeps_the_newest(spark, tmp_path):
+    logs = spark.range(100).selectExpr("id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT) DIV 3) AS timestamp")
+    logs = logs.unionByName(spark.createDataFrame([(500, None), (501, None)], "id bigint, timestamp timestamp_ntz"))
+    for limit in (0, 1, 5, 7, 60, 100, 101, 200):
+        path = str(tmp_path / f"l{limit}")
+        write_logs(logs, path)
+        trim_logs(spark, path, limit)
+        left = sorted(rows(read_logs(spark, path)), key=str) if limit else []
+        assert left == sorted(rows(keep_latest(logs, limit)), key=str), limit
+
+
+def test_usage_store_merges_a_batch_once(spark, tmp_path):
+    mails = spark.createDataFrame(
+        [(i, datetime(2024, 1, 1 + i % 20), f'["u{i % 9}@x.org", "V{i % 4}@x.org "]', "[]", None) for i in range(60)],
+        "id int, sent_at timestamp_ntz, to_addresses_json string, cc_addresses_json string, bcc_addresses_json string",
+    )
+    store = UsageStore(spark, str(tmp_path / "u"), buckets=8)
+    assert rows(store.usage()) == []
+    assert store.merge("a", mails.where("id < 30")) and not store.merge("a", mails.where("id < 30"))
+    first = store.versions()
+    lone = mails.where("id = 30").withColumn("to_addresses_json", F.lit('["u0@x.org"]'))
+    assert store.merge("lone", lone) and store.merge("none", mails.where("false")) and not store.merge("none", mails)
+    changed = [b for b, v in store.versions().items() if v != first.get(b)]
+    assert len(changed) == 1
+    # A merge that was broken off: state written, ledger not.
+    broken = UsageStore(spark, str(tmp_path / "u"), buckets=8)
+    kept = broken._ledger().collect()
+    assert store.merge("b", mails.where("id > 30"))
+    shutil.rmtree(tmp_path / "u" / "ledger")
+    spark.createDataFrame(kept, broken._ledger().schema).write.parquet(str(tmp_path / "u" / "ledger"))
+    assert broken.versions() != {} and broken.merge("b", mails.where("id > 30"))
+    want = recipient_usage(mails.where("id <> 30").unionByName(lone))
+    assert sorted(rows(broken.usage())) == sorted(rows(want))
+    assert broken.vacuum() > 0 and broken.vacuum() == 0
+    assert sorted(rows(broken.usage())) == sorted(rows(want))

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F, types as T
 import pivotlake.operators.flags as flags
 from pivotlake import Display, Rule
 from pivotlake.functions.formats import dash_missing, date_text, number_text
+from pivotlake.operators.paging import PageIndex, page_index
 from pivotlake.operators.view import (
     capped,
     collapse,
@@ -171,3 +172,24 @@ def test_written_extract_view_and_text(spark, tmp_path):
     assert rows(spark.read.text(str(tmp_path / "tsv"))) == [("1\tx",)]
     write_view(df.select(F.lit(0).alias("line"), "k"), str(tmp_path / "view"))
     assert rows(spark.read.option("header", True).csv(str(tmp_path / "view"))) == [("1",)]
+
+
+def test_pages_by_index_are_the_pages_of_the_sorted_view(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id % 7 AS g", "id AS `a.b`", "CAST(id % 3 AS string) AS `__x`").repartition(5)
+    order = [F.desc("g"), F.col("`a.b`")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = page_index(df, order, str(tmp_path / "index"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    every = rows(df.orderBy(*order))
+    assert index.total == 1000 and len(index.parts) > 1
+    for number, size in ((0, 10), (3, 33), (99, 10), (0, 2000), (30, 33), (31, 33), (0, 0)):
+        got = index.page(number, size)
+        assert got.columns == df.columns
+        assert rows(got) == every[number * size : number * size + size]
+    again = PageIndex(spark, str(tmp_path / "index"))
+    assert rows(again.slice(995, 50)) == every[995:]
+    plan = again.slice(500, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [__part" in plan or "__part#" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert page_index(df.where("false"), order, str(tmp_path / "none")).page(0, 10).collect() == []

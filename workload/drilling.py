@@ -14,12 +14,16 @@ from pivotlake.operators.tombstones import (
     AUDIT_SCHEMA,
     TOMBSTONE_SCHEMA,
     audit_search,
+    begin_delete,
     delete_preview,
     exclude_deleted,
     key_columns_of,
     plan_delete,
     purge_dataset,
+    read_audits,
+    read_tombstones,
     soft_delete,
+    write_tombstones,
 )
 from pivotlake.operators.view import collapse, export_frame, having, quick_search, selected_groups, tab_separated
 from pivotlake.session import materialise, new_folder
@@ -272,11 +276,40 @@ def audit_of_deletes(spark, sf_dir):
     }
     soft_delete(df, _SPEC, _SELECTIONS, **where)
     soft_delete(df, _SPEC, _SELECTIONS[3:4], **where)
-    return spark.read.parquet(where["audit_path"]).select(
+    return read_audits(spark, where["audit_path"]).select(
         "dataset_name", "pivot_rows_count", "status", "source_records_found", "source_records_deleted"
     )
 
 
+@query(
+    "delete_interrupted",
+    f"""WITH {SALESN_SQL}, {_MATCHES}, n AS (
+          SELECT count(*) AS every, count(*) FILTER (WHERE hits > 0) AS hit, (SELECT count(*) FROM salesn) AS sheet FROM matches)
+        SELECT 'broken off' AS step, sheet AS rows_left, CAST(0 AS BIGINT) AS in_force, hit AS written, 'pending' AS status FROM n UNION ALL
+        SELECT 'second run', sheet - hit, hit, hit, 'success' FROM n UNION ALL
+        SELECT 'third run', sheet - hit, hit, hit, 'success,success' FROM n""",
+)
+def interrupted_delete(spark, sf_dir):
+    """A delete broken off after its tombstones were written, run again and once more."""
+    folder = new_folder(spark, "interrupted")
+    df = salesn(spark, sf_dir)
+    paths = {"tombstone_path": f"{folder}/tombstones", "audit_path": f"{folder}/audits"}
+    where = {"dataset_id": 1, "dataset_name": "sales", "sheet_name": "Sheet1", **paths}
+
+    def seen(step):
+        dead = read_tombstones(spark, **paths, dataset_id=1, sheet_name="Sheet1")
+        left, written = exclude_deleted(df, dead, 1, "Sheet1").count(), spark.read.parquet(paths["tombstone_path"]).count()
+        ended = sorted(r.status for r in read_audits(spark, paths["audit_path"]).select("status").collect())
+        return (step, left, dead.count(), written, ",".join(ended))
+
+    write_tombstones(df, _SPEC, _SELECTIONS, begin_delete(spark, _SPEC, _SELECTIONS, **where))
+    steps = [seen("broken off")]
+    for step in ("second run", "third run"):
+        soft_delete(df, _SPEC, _SELECTIONS, **where)
+        steps.append(seen(step))
+    return spark.createDataFrame(steps, "step string, rows_left bigint, in_force bigint, written bigint, status string")
+
+
 @query(
     "dataset_purge",
     f"""WITH {SALESN_SQL}, {_MATCHES}

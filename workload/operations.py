@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from pivotlake.functions.zones import iso_text, readable_text
 from pivotlake.operators.directory import directory_counts, search_directory, starter_list
-from pivotlake.operators.logs import keep_latest, retained, search_logs
-from pivotlake.operators.mail import clean_addresses, mail_history, recent_recipients, recipient_usage, search_mail
+from pivotlake.operators.logs import keep_latest, purge_logs, read_logs, retained, search_logs, trim_logs, write_logs
+from pivotlake.operators.mail import UsageStore, clean_addresses, mail_history, recent_recipients, recipient_usage, search_mail
 from pivotlake.session import new_folder
 from pivotlake.sources.directory import load_directory
 from pivotlake.sources.files import file_name, listing
@@ -47,6 +47,30 @@ def newest_logs(spark, sf_dir):
     return plain(keep_latest(logs(spark, sf_dir)))
 
 
+@query(
+    "log_purge",
+    f"""WITH {LOGS_SQL} SELECT {_LOG_COLUMNS} FROM logs WHERE "timestamp" > TIMESTAMP '2024-01-05 06:00:00'""",
+)
+def purged(spark, sf_dir):
+    """The table left on disk: days removed whole, one day rewritten."""
+    path = new_folder(spark, "logs")
+    write_logs(logs(spark, sf_dir), path)
+    purge_logs(spark, path, "2024-01-12 06:00:00", 7)
+    return plain(read_logs(spark, path))
+
+
+@query(
+    "log_trim",
+    f"""WITH {LOGS_SQL} SELECT {_LOG_COLUMNS} FROM logs ORDER BY logs."timestamp" DESC, id DESC LIMIT 5000""",
+)
+def trimmed(spark, sf_dir):
+    """The newest rows left on disk."""
+    path = new_folder(spark, "logs")
+    write_logs(logs(spark, sf_dir), path)
+    trim_logs(spark, path)
+    return plain(read_logs(spark, path))
+
+
 @query(
     "tz_format",
     """SELECT event_id,
@@ -109,6 +133,21 @@ _USAGE = f"""{MAIL_SQL}, uses AS (
 usage AS (SELECT address, recipient_type, max(sent_at) AS last_used_at, count(*) AS use_count FROM uses GROUP BY 1, 2)"""
 
 
+@query(
+    "recipient_usage_twice",
+    f"""WITH {_USAGE} SELECT address, recipient_type, strftime(last_used_at, '%Y-%m-%d %H:%M:%S') AS last_used_at,
+        use_count FROM usage""",
+)
+def usage_twice(spark, sf_dir):
+    """Mails merged by status into a store on disk; every batch is sent twice."""
+    store = UsageStore(spark, new_folder(spark, "usage"))
+    all_mails = mails(spark, sf_dir)
+    for _ in range(2):
+        for status in ("success", "failed"):
+            store.merge(status, all_mails.where(F.col("status") == status))
+    return plain(store.usage())
+
+
 @query(
     "recipient_usage",
     f"""WITH {_USAGE} SELECT address, recipient_type, strftime(last_used_at, '%Y-%m-%d %H:%M:%S') AS last_used_at,

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from pivotlake import PivotSpec, Totals, pivot
 from pivotlake.operators.filters import apply_filters, distinct_values
+from pivotlake.operators.paging import page_index
 from pivotlake.operators.view import capped, ordered, page
 from pivotlake.plans.compile import pivot_cells
+from pivotlake.session import new_folder
 from workload.registry import query
 from workload.tables import SALES_COLUMNS_SQL, SALES_SQL, SALESN_SQL, plain, sales, salesn, table
 
@@ -541,6 +543,19 @@ def result_cap(spark, sf_dir):
     return capped(rows, ordered(rows, {}, ["Nation", "Segment"]), 40)
 
 
+@query(
+    "page_deep",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate FROM lineitem
+       ORDER BY l_shipdate DESC, l_extendedprice, l_orderkey, l_linenumber, l_partkey LIMIT 50 OFFSET (SELECT CAST(count(*) * 9 // 10 AS BIGINT) FROM lineitem)""",
+)
+def deep_page(spark, sf_dir):
+    """Fifty lines from nine tenths of the sorted table on, by its page index."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")
+    order = [F.desc("l_shipdate"), *(F.col(c) for c in ("l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey"))]
+    index = page_index(lines, order, new_folder(spark, "pages"))
+    return plain(index.slice(index.total * 9 // 10, 50))
+
+
 @query(
     "page",
     f"""WITH {SALES_SQL}, n AS (SELECT "Nation", "Segment", {_SUM} AS "sum_Amount" FROM sales GROUP BY 1, 2)
