@@ -3,49 +3,118 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pivotlake.functions.names import is_date
+from pivotlake.functions.names import is_date, q
 
 GRAINS = ("year", "quarter", "month", "week", "day")
 
-_ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}"
-# Numbers only: year first or compact, or month, day and year, as the parts of an ISO date.
+_ISO_DATE = r"^\d{4}-\d{1,2}(-\d{1,2}|$)"
+# A day, a month and a year in numbers, in an order that the text does not tell.
+_THREE = r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4}|\d{2})(?!\d)(.*)$"
+# Numbers whose order is plain: year first, or compact; as the parts of an ISO date.
 _NUMBERED = (
-    (r"^(\d{4})/(\d{1,2})/(\d{1,2})(?!\d)", "$1-$2-$3"),
-    (r"^(\d{1,2})/(\d{1,2})/(\d{4})(?!\d)", "$3-$1-$2"),
+    (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})(?!\d)", "$1-$2-$3"),
     (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
 )
-# With a month name: the pattern, and its groups of year, month, day and time.
+# With a month name: the pattern, and its groups of year, month, day and time; 0 where there is none.
 _NAMED = (
-    (r"^(\d{1,2})[- ]([A-Za-z]{3,9})\.?[-, ]+(\d{4})(?!\d)(.*)$", (3, 2, 1, 4)),
+    (r"^(\d{1,2})[- ]([A-Za-z]{3,9})\.?[-, ]+(\d{4}|\d{2})(?!\d)(.*)$", (3, 2, 1, 4)),
     (r"^([A-Za-z]{3,9})\.? (\d{1,2}),? (\d{4})(?!\d)(.*)$", (3, 1, 2, 4)),
+    (r"^([A-Za-z]{3,9})\.?[-, ]+(\d{4})$", (2, 1, 0, 0)),
 )
 _MONTHS = "january february march april may june july august september october november december".split()
+_WEEKDAY = r"^(?i)(mon|tues?|wed(nes)?|thu(rs)?|fri|sat(ur)?|sun)(day)?\.?,? +(?=[\dA-Za-z])"
 _HALF_DAY = r"(?i)(\d) ?([ap]m)$"
 _HALF_DAY_FORMATS = ("yyyy-M-d h:mm a", "yyyy-M-d h:mm:ss a")
+_OFFSET = r"\d:\d{2}(:\d{2}(\.\d+)?)?\s*([Zz]|[+-]\d{2}:?\d{2})$"
 
+# Fixed value: two digits below this are years of this century, the others of the last.
+_CENTURY_TURN = 69
 
-def parse_timestamp(col: Column) -> Column:
+
+def _full_year(year: Column) -> Column:
+    short = F.when(year.try_cast("int") < _CENTURY_TURN, F.concat(F.lit("20"), year)).otherwise(F.concat(F.lit("19"), year))
+    return F.when(F.length(year) == 2, short).otherwise(year)
+
+
+def parse_timestamp(col: Column, day_first: bool | Column = False) -> Column:
     """Text to a zone-free timestamp, null where it is not a date.
 
-    Read are ISO dates, year/month/day, month/day/year, eight digits, and dates with an
-    English month name before or after the day; a time may follow, also of 12 hours.
+    Read are ISO dates, year and month alone, eight digits, year first with slashes or
+    dots, dates with an English month name, a weekday before it or not, month name and
+    year, and three numbers parted by slashes, dashes or dots, with years of two digits
+    or four. Of three numbers the month comes first, or the day with ``day_first``; where
+    that gives no date the other order is read. A time may follow, also of 12 hours. A time
+    with an offset from UTC, or ``Z``, becomes that moment in UTC.
     """
-    text = F.trim(col.cast("string"))
-    iso = F.when(text.rlike(_ISO_DATE), text)
+    prefer_day = day_first if isinstance(day_first, Column) else F.lit(bool(day_first))
+    text = F.regexp_replace(F.trim(col.cast("string")), _WEEKDAY, "")
+    return _bound(_bound(text, lambda t: _as_iso(t, prefer_day)), _read_iso)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _as_iso(text: Column, prefer_day: Column) -> Column:
+    """A date in any spelling as year, month and day, with what follows it; null if none fits."""
+    iso = F.when(text.rlike(_ISO_DATE), F.when(F.length(text) <= 7, F.concat(text, F.lit("-01"))).otherwise(text))
+    part = lambda pattern, group: F.regexp_extract(text, pattern, group)
+    one, two = part(_THREE, 1), part(_THREE, 3)
+    day_leads = F.when(prefer_day, two.try_cast("int") <= 12).otherwise(one.try_cast("int") > 12)
+    month_day = F.when(day_leads, F.concat(two, F.lit("-"), one)).otherwise(F.concat(one, F.lit("-"), two))
+    iso = iso.when(text.rlike(_THREE), F.concat(_full_year(part(_THREE, 4)), F.lit("-"), month_day, part(_THREE, 5)))
     for pattern, parts in _NUMBERED:
         iso = iso.when(text.rlike(pattern), F.regexp_replace(text, pattern, parts))
     months = F.create_map(*[F.lit(x) for i, m in enumerate(_MONTHS, 1) for name in {m, m[:3], "sept" if i == 9 else m} for x in (name, i)])
-    for pattern, (year, month, day, time) in _NAMED:
-        part = lambda group: F.regexp_extract(text, pattern, group)  # noqa: B023, E731
-        number = F.try_element_at(months, F.lower(part(month))).cast("string")
-        iso = iso.when(text.rlike(pattern), F.concat(part(year), F.lit("-"), number, F.lit("-"), part(day), part(time)))
+    for pattern, (year, named, number, time) in _NAMED:
+        month_number = F.try_element_at(months, F.lower(part(pattern, named))).cast("string")
+        day_number = part(pattern, number) if number else F.lit("1")
+        made = F.concat(_full_year(part(pattern, year)), F.lit("-"), month_number, F.lit("-"), day_number)
+        iso = iso.when(text.rlike(pattern), F.concat(made, part(pattern, time)) if time else made)
+    return iso
+
+
+def _read_iso(iso: Column) -> Column:
     spaced = F.regexp_replace(iso, _HALF_DAY, "$1 $2")
     half = F.coalesce(*[F.try_to_timestamp(spaced, F.lit(f)) for f in _HALF_DAY_FORMATS]).cast("timestamp_ntz")
-    return F.when(iso.rlike(_HALF_DAY), half).otherwise(iso.try_cast("timestamp_ntz"))
+    # A cast wants seconds in front of an offset, and no blank.
+    moment = F.regexp_replace(F.regexp_replace(iso, r"\s+(?=[Zz+-][\d:]*$)", ""), r"([T ]\d{1,2}:\d{2})(?=[Zz+-])", "$1:00")
+    absolute = from_micros(F.unix_micros(moment.try_cast("timestamp")))
+    return F.when(iso.rlike(_HALF_DAY), half).when(iso.rlike(_OFFSET), absolute).otherwise(iso.try_cast("timestamp_ntz"))
+
+
+def order_votes(col: Column) -> tuple[Column, Column]:
+    """Aggregates over a text column: how many dates can only have the day first, and how
+    many only the month. A date whose first two numbers are both at most 12 does not vote."""
+    text = F.trim(col.cast("string"))
+    found = text.rlike(_THREE)
+    one, two = F.regexp_extract(text, _THREE, 1).try_cast("int"), F.regexp_extract(text, _THREE, 3).try_cast("int")
+    return F.count_if(found & (one > 12) & (two <= 12)), F.count_if(found & (one <= 12) & (two > 12))
+
+
+def day_first_columns(df: DataFrame, columns: Sequence[str]) -> dict[str, bool]:
+    """For text columns whether most of their telling dates have the day first, by one scan.
+
+    A single cell such as 01/05/2024 does not tell its order, a column mostly does. Equal
+    votes, and none, mean that the month comes first.
+    """
+    votes = [v.alias(f"{kind}{i}") for i, c in enumerate(columns) for kind, v in zip(("day", "month"), order_votes(q(c)))]
+    if not votes:
+        return {}
+    counted = df.agg(*votes).first()
+    return {c: counted[f"day{i}"] > counted[f"month{i}"] for i, c in enumerate(columns)}
+
+
+def dated(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with text columns read as timestamps, each in the order its dates vote for."""
+    first = day_first_columns(df, columns)
+    return df.withColumns({c: parse_timestamp(q(c), first[c]) for c in columns})
 
 
 def as_timestamp(col: Column, dtype: T.DataType) -> Column:

@@ -220,19 +220,17 @@ def check_definitions(definitions: DataFrame, datasets: DataFrame, sheets: DataF
     row_count) and ``columns`` (dataset_id, sheet_name, column_name, data_type).
     """
     ids = ["definition_id", "dataset_id", "sheet_name"]
+    # One row per sheet with all its columns, so that definitions are joined with it once.
+    column = F.struct("column_name", "data_type")
+    listed = sheets.select("dataset_id", "sheet_name", "row_count", F.lit(True).alias("has_sheet"), F.lit(None).cast("struct<column_name:string,data_type:string>").alias("column"))
+    listed = listed.unionByName(columns.select("dataset_id", "sheet_name", column.alias("column")), allowMissingColumns=True)
+    listed = listed.groupBy("dataset_id", "sheet_name").agg(
+        F.max("row_count").alias("row_count"), F.max("has_sheet").alias("has_sheet"), F.collect_list("column").alias("sheet_columns")
+    )
     known = (
         definitions.select(*ids, F.from_json("definition", _SCHEMA).alias("d"), "definition")
         .join(datasets.select(F.col("id").alias("dataset_id"), F.lit(True).alias("has_dataset")), "dataset_id", "left")
-        .join(
-            sheets.select("dataset_id", "sheet_name", "row_count", F.lit(True).alias("has_sheet"))
-            .join(
-                columns.groupBy("dataset_id", "sheet_name").agg(F.count(F.lit(1)).alias("n_columns")),
-                ["dataset_id", "sheet_name"],
-                "left",
-            ),
-            ["dataset_id", "sheet_name"],
-            "left",
-        )
+        .join(listed.where("has_sheet").withColumn("n_columns", F.size("sheet_columns")), ["dataset_id", "sheet_name"], "left")
     )
     has_dataset, has_sheet = F.col("has_dataset").isNotNull(), F.col("has_sheet").isNotNull()
     readable = F.try_parse_json("definition").isNotNull()
@@ -251,7 +249,6 @@ def check_definitions(definitions: DataFrame, datasets: DataFrame, sheets: DataF
         (has_sheet & (F.col("row_count") > ROWS_WARNED), WARNING, "rows_many", F.col("row_count").cast("string")),
         (has_sheet & (F.col("n_columns") > COLUMNS_WARNED), WARNING, "columns_many", F.col("n_columns").cast("string")),
     ]
-    general = known.select(*ids, F.explode(_findings(whole, F.lit(None).cast("string"))).alias("f"))
 
     options = F.col("d.displayOptions")
     entries = F.concat(
@@ -273,16 +270,21 @@ def check_definitions(definitions: DataFrame, datasets: DataFrame, sheets: DataF
         _names("frozen", options["frozenColumns"]),
         _names("hidden", options["hiddenColumns"]),
     )
-    each = known.where(has_sheet).select(*ids, F.explode(entries).alias("e")).select(*ids, "e.*")
-    typed = each.join(
-        columns.select("dataset_id", "sheet_name", F.col("column_name").alias("field"), "data_type"),
-        ["dataset_id", "sheet_name", "field"],
-        "left",
-    )
-    part, value, data_type = F.col("part"), F.col("value"), F.col("data_type")
+    specific = F.when(has_sheet, F.flatten(F.transform(entries, _entry_findings)))
+    both = F.concat(_findings(whole, F.lit(None).cast("string")), F.coalesce(specific, F.array().cast(_FINDINGS)))
+    return known.select(*ids, F.inline(both))
+
+
+_FINDINGS = "array<struct<severity: string, rule: string, field: string, detail: string>>"
+
+
+def _entry_findings(entry: Column) -> Column:
+    """The broken rules of one entry, as an array; ``sheet_columns`` are those of its sheet."""
+    part, field, value = entry["part"], entry["field"], entry["value"]
+    data_type = F.get(F.filter("sheet_columns", lambda c: c["column_name"] == field), F.lit(0))["data_type"]
     missing = data_type.isNull()
     all_allowed = data_type.isin(*NUMERIC_WORDS, *DATE_WORDS)
-    named = F.coalesce(F.col("field"), F.lit("")) != ""
+    named = F.coalesce(field, F.lit("")) != ""
     is_rule = part == "rule"
     rules = [
         (is_rule & ~named, ERROR, "rule_without_field", value),
@@ -305,10 +307,9 @@ def check_definitions(definitions: DataFrame, datasets: DataFrame, sheets: DataF
         ((part == "number_format") & ~missing & ~value.isin(*NUMBER_FORMATS), ERROR, "format_unknown", value),
         ((part == "date_format") & ~missing & ~value.isin(*DATE_FORMATS), ERROR, "format_unknown", value),
         (is_rule & named & ~value.isin(*RULE_TYPES), ERROR, "rule_unknown", value),
-        (is_rule & named & value.isin(*VALUE_RULES) & ~F.col("has_value"), ERROR, "rule_value_missing", value),
+        (is_rule & named & value.isin(*VALUE_RULES) & ~entry["has_value"], ERROR, "rule_value_missing", value),
     ]
-    specific = typed.select(*ids, F.explode(_findings(rules, F.col("field"))).alias("f"))
-    return general.unionByName(specific).select(*ids, "f.*")
+    return _findings(rules, field)
 
 
 def _findings(rules, field: Column) -> Column:

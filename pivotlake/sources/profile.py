@@ -34,7 +34,7 @@ CASE WHEN v IS NULL THEN NULL
      ELSE {_ALL} END
 """
 # What a text has to look like to be tried as a date at all.
-_DATE_SHAPE = r"^\s*(\d{4}[-/]\d|\d{1,2}/\d|\d{8}\s*$|\d{1,2}[- ][A-Za-z]{3}|[A-Za-z]{3,9}\.? \d)"
+_DATE_SHAPE = r"^\s*(\d{4}[-/.]\d{1,2}([-/.]\d|\s*$)|\d{1,2}([-/.])\d{1,2}\3\d|\d{8}\s*$|\d{1,2}[- ][A-Za-z]{3}|[A-Za-z]{3,9}\.?,?[- ]+(\d|[A-Za-z]{3}))"
 
 
 def _cell(i: int, name: str, dtype: T.DataType) -> str:

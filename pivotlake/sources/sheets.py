@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from pivotlake.errors import PivotError
-from pivotlake.functions.dates import parse_timestamp
+from pivotlake.functions.dates import day_first_columns, parse_timestamp
 from pivotlake.functions.formats import as_number
 from pivotlake.functions.names import is_date, q
 from pivotlake.operators.ordering import sort_key
@@ -108,13 +108,13 @@ def read_csv_text(
     return cells(split.where(~among)).unionByName(cells(whole.where(among)))
 
 
-def cast_text(col: Column, dtype: T.DataType) -> Column:
+def cast_text(col: Column, dtype: T.DataType, day_first: bool = False) -> Column:
     """A text cell as a value of the type; null where it is not one."""
     if isinstance(dtype, T.BooleanType):
         word = F.lower(F.trim(col))
         return F.when(word.isin(*_TRUE), F.lit(True)).when(word.isin(*_FALSE), F.lit(False))
     if is_date(dtype):
-        return parse_timestamp(col).cast(dtype)
+        return parse_timestamp(col, day_first).cast(dtype)
     if isinstance(dtype, (T.IntegralType, T.DecimalType)):
         # Casting text that is no number is slow; the pattern keeps it out.
         text = F.trim(col)
@@ -136,7 +136,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
         types = declared_types(spark, schema, text.columns)
     if text.isEmpty():
         raise PivotError(f"no data rows in {path}")
-    return text.select(*[cast_text(q(c), types.get(c, T.StringType())).alias(c) for c in text.columns if c in types])
+    first = day_first_columns(text, [c for c, t in types.items() if is_date(t)])
+    return text.select(*[cast_text(q(c), types[c], first.get(c, False)).alias(c) for c in text.columns if c in types])
 
 
 @dataclass
@@ -155,8 +156,8 @@ def land_csv(spark: SparkSession, path: str, target: str, schema: T.StructType |
 
     A cell that is no value of its column's type becomes null, as in :func:`read_csv`, but
     its text is kept beside the row. ``rejects`` has one row per file and column: file,
-    column, count and an example, the first of the texts in order. The sheet is scanned
-    once; rejects are counted from the written table, of which only that column is read.
+    column, count and an example, the first of the texts in order. Columns of dates are
+    read once before, for the order of day and month; rejects are counted from the written table, of which only that column is read.
     """
     text = read_csv_text(spark, path, file_column=_FILE)
     sheet = text.drop(_FILE)
@@ -165,7 +166,8 @@ def land_csv(spark: SparkSession, path: str, target: str, schema: T.StructType |
     else:
         types = declared_types(spark, schema, sheet.columns)
     kept = [c for c in sheet.columns if c in types]
-    casts = {c: cast_text(q(c), types[c]) for c in kept}
+    first = day_first_columns(text, [c for c in kept if is_date(types[c])])
+    casts = {c: cast_text(q(c), types[c], first.get(c, False)) for c in kept}
     typed = text.select(*[casts[c].alias(c) for c in kept], *[q(c).alias(f"__text{i}") for i, c in enumerate(kept)], _FILE)
     unfit = [
         F.when(F.col(f"__text{i}").isNotNull() & q(c).isNull(), F.struct(F.lit(c).alias("column"), F.col(f"__text{i}").alias("cell")))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pivotlake import PivotError, PivotSpec, Totals, pivot
-from pivotlake.functions.dates import parse_timestamp
+from pivotlake.functions.dates import dated, day_first_columns, parse_timestamp
 from pivotlake.functions.text import json_list
 from pivotlake.operators.drill import drilldown_many
 from pivotlake.operators.filters import apply_filters
@@ -14,7 +14,7 @@ from pivotlake.operators.tombstones import TOMBSTONE_SCHEMA, exclude_deleted, ke
 from pivotlake.plans.checks import to_json
 from pivotlake.sources.catalog import register_tables
 from pivotlake.sources.files import audit_files, listing
-from pivotlake.sources.sheets import open_sheet
+from pivotlake.sources.sheets import open_sheet, read_csv
 from tests.conftest import rows
 
 NAN = float("nan")
@@ -86,6 +86,31 @@ def test_dates_in_words_and_numbers(spark):
     assert [r[0] for r in rows(df)] == [want for _, want in texts]
 
 
+def test_odd_spellings_of_dates(spark):
+    at = datetime(2024, 1, 5)
+    texts = [(t, at) for t in ("1/5/24", "01-05-2024", "1.5.2024", "Mon, 5 Jan 2024", "friday 5 January 2024", "Wednesday, January 5, 2024", "Sat Jan 5 2024", "5-Jan-24", "2024.1.5")]
+    texts += [(t, at.replace(day=1)) for t in ("Jan 2024", "January, 2024", "2024-01", "2024-1")]
+    texts += [("31/12/2023", datetime(2023, 12, 31)), ("12/31/69", datetime(1969, 12, 31)), ("12-31-68", datetime(2068, 12, 31))]
+    texts += [("2024-01-05T10:00:00+02:00", at.replace(hour=8)), ("2024-01-05 00:30:00-0130", at.replace(hour=2)), ("2024-01-05T10:00:00Z", at.replace(hour=10)), ("5 Jan 2024 10:00 +02:00", at.replace(hour=8))]
+    texts += [(t, None) for t in ("1/5-2024", "1/5/202", "32/13/2024", "13.13.13", "3.14", "1.5", "2024-13", "march", "Monday", "May I", "1-2", "10:30")]
+    df = spark.createDataFrame([(t,) for t, _ in texts], "t string").select("t", parse_timestamp(F.col("t")))
+    assert rows(df) == texts
+    day_first = spark.createDataFrame([(t,) for t in ("5/1/24", "05-01-2024", "1/31/2024", "5.1.2024 10:00")], "t string").select(parse_timestamp(F.col("t"), True))
+    assert [r[0] for r in rows(day_first)] == [at, at, datetime(2024, 1, 31), at.replace(hour=10)]
+
+
+def test_columns_vote_for_the_order_of_day_and_month(spark):
+    data = [("1/2/2024", "1/2/2024", "x", "13/13/2024"), ("13/2/2024", "2/13/2024", None, "1/1/24"), ("25.2.24", "13/2/2024", "", "2024-01-01"), ("2/25/24", "3-14-24", "5 Jan 2024", "31/12/2023")]
+    df = spark.createDataFrame(data, "d string, m string, none string, one string")
+    assert day_first_columns(df, df.columns) == {"d": True, "m": False, "none": False, "one": True}
+    assert [r.d.isoformat()[:10] for r in dated(df, ["d"]).collect()] == ["2024-02-01", "2024-02-13", "2024-02-25", "2024-02-25"]
+
+
+def test_csv_columns_of_days_first(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("k,d\n1,3/4/2024\n2,25/4/2024\n3,\n")
+    assert [r.d for r in read_csv(spark, str(tmp_path / "s.csv")).orderBy("k").collect()] == [datetime(2024, 4, 3), datetime(2024, 4, 25), None]
+
+
 def test_json_words(spark):
     df = spark.createDataFrame([('["0", 0, "false", false, null, "", "a", 1, [], {}]',), ("{}",), ("no",), (None,)], "j string")
     assert [r[0] for r in rows(df.select(json_list(F.col("j"))))] == [["0", "false", "a", "1"], [], [], []]

@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 
 from pivotlake import PivotSpec, Totals, pivot
 from pivotlake.errors import PivotError
+from pivotlake.functions.dates import dated
 from pivotlake.functions.text import json_list
 from pivotlake.operators.drill import drilldown, drilldown_many
 from pivotlake.operators.filters import apply_filters
@@ -227,6 +228,41 @@ def profile_spellings(spark, sf_dir):
     return profile(df)
 
 
+def _months_sql(where="TRUE"):
+    return f"SELECT strftime(o_orderdate, '%Y-%m') AS d_month, count(*) AS count_o_orderkey FROM orders WHERE {where} GROUP BY 1"
+
+
+def _by_month(df):
+    counted = PivotSpec(rows=["d"], values=[{"field": "o_orderkey", "aggregation": "count"}], date_grouping={"d": "month"})
+    return pivot(dated(df, ["d"]), counted).rows
+
+
+@query("date_text_dayfirst", _months_sql())
+def date_text_dayfirst(spark, sf_dir):
+    """Days before months, parted by slashes; most cells alone would not tell."""
+    return _by_month(table(spark, sf_dir, "orders").withColumn("d", F.date_format("o_orderdate", "dd/MM/yyyy")))
+
+
+@query("date_text_short_years", _months_sql())
+def date_text_short_years(spark, sf_dir):
+    """Months first with years of two digits, with dashes or with dots."""
+    short, long = F.date_format("o_orderdate", "M-d-yy"), F.date_format("o_orderdate", "M.d.yyyy")
+    return _by_month(table(spark, sf_dir, "orders").withColumn("d", F.when(F.col("o_orderstatus") == "F", long).otherwise(short)))
+
+
+@query(
+    "date_text_offsets",
+    """SELECT strftime(o_orderdate - INTERVAL 2 HOUR, '%Y-%m-%d') AS d_day, count(*) AS count_o_orderkey FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1""",
+)
+def date_text_offsets(spark, sf_dir):
+    """Moments with their offset from UTC, in two spellings."""
+    iso = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    df = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
+    df = df.withColumn("d", F.concat(iso, F.when(F.col("o_orderstatus") == "F", "+02:00").otherwise("+0200")))
+    counted = PivotSpec(rows=["d"], values=[{"field": "o_orderkey", "aggregation": "count"}], date_grouping={"d": "day"})
+    return pivot(df, counted).rows
+
+
 @query(
     "filter_contains_accents",
     "SELECT c_custkey FROM customer WHERE regexp_matches(CASE WHEN c_custkey % 3 = 0 THEN 'MÜLLER ' ELSE 'MUELLER ' END || c_name, 'müller', 'i')",
