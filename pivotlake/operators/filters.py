@@ -97,9 +97,12 @@ def condition(df: DataFrame, field: str, expected: Any) -> Column:
 
 def apply_filters(df: DataFrame, filters: Mapping[str, Any]) -> DataFrame:
     """Keep the rows that satisfy every entry."""
-    if not filters:
-        return df
-    return df.where(all_of(condition(df, f, v) for f, v in filters.items()))
+    return df.where(filter_condition(df, filters)) if filters else df
+
+
+def filter_condition(df: DataFrame, filters: Mapping[str, Any]) -> Column:
+    """The predicate of all entries together."""
+    return all_of(condition(df, f, v) for f, v in filters.items())
 
 
 def group_column(df: DataFrame, field: str, date_grouping: Mapping[str, str]) -> tuple[Column, T.DataType]:

@@ -19,7 +19,7 @@ from pivotlake.errors import PivotError
 from pivotlake.functions.dates import as_timestamp, code, from_micros, label, micros
 from pivotlake.functions.names import all_of, any_of, is_date, is_numeric, is_text, present, q, quoted
 from pivotlake.operators import measures as ms
-from pivotlake.operators.filters import apply_filters
+from pivotlake.operators.filters import apply_filters, filter_condition
 from pivotlake.operators.ordering import POSITION, forward_fill, sort_key, with_position
 from pivotlake.plans.checks import require_valid
 from pivotlake.session import can_materialise, materialise
@@ -46,6 +46,7 @@ ROW_KIND, LEVEL, PARENT = "row_kind", "level", "parent_key"
 _FUNCTION_ORDER = ("count", "max", "average", "min", "sum")
 
 _ROWS_SEEN = "__rows_seen"
+_INSIDE = "__inside"
 _NUMBER = "__number"
 # The present cells of a row group, by number; and the number of the marker before them.
 _HELD = "__held"
@@ -77,6 +78,7 @@ class PivotResult:
     frame: DataFrame = field(repr=False)
     ordered: bool = True
     markers: bool = False
+    source_rows: DataFrame | None = None
 
     @property
     def row_fields(self) -> list[str]:
@@ -137,7 +139,8 @@ class PivotResult:
         counted = seen.agg(filtered.alias("filtered_rows"), shown.alias("result_rows"))
         source = F.col("filtered_rows")
         if self.spec.filters:
-            source = self.source.agg(F.count(F.lit(1)).alias("n")).scalar()
+            counted_source = self.source_rows if self.source_rows is not None else self.source.agg(F.count(F.lit(1)).alias("n"))
+            source = counted_source.scalar()
         return counted.select(source.alias("source_rows"), "filtered_rows", "result_rows")
 
     @cached_property
@@ -162,33 +165,42 @@ def pivot(
     reuse: bool | None = None,
     max_cells: int | None = None,
     max_columns: int = MAX_PIVOT_COLUMNS,
+    count_source: bool = False,
 ) -> PivotResult:
     """Compile ``spec`` over ``df``.
 
     ``reuse`` checkpoints the grouped states so that the raw rows are scanned once
     for all results; by default that is done when the column keys have to be read
-    first. ``max_cells`` refuses pivots with more estimated cells, ``max_columns`` those
+    first. ``count_source`` lets the rows before filters be counted by the same scan: the
+    others then go along as one marked group, so the filters no longer skip parts of the
+    files; without it ``counts`` of a filtered pivot counts the source in a scan of its own,
+    which reads no column. ``max_cells`` refuses pivots with more estimated cells, ``max_columns`` those
     with more column groups. ``markers`` adds the row kind, level and parent key to the
     rows.
     """
     require_valid(df, spec)
     measures = spec.measures(df.columns[0])
     types = {m.field: df.schema[m.field].dataType for m in measures}
-    base = apply_filters(df, spec.filters)
+    marked = [_INSIDE] if count_source and spec.filters else []
+    base = _marked(df, spec, measures) if marked else apply_filters(df, spec.filters)
 
     row_keys, row_labels, row_types = _group_keys(base, spec, spec.rows, "__row")
     col_keys, col_labels, _ = _group_keys(base, spec, spec.columns, "__col")
-    grouped = base.groupBy(*row_keys, *col_keys).agg(
+    grouped = base.groupBy(*row_keys, *col_keys, *marked).agg(
         F.count(F.lit(1)).alias(_ROWS_SEEN),
         *[c for i, m in enumerate(measures) for c in ms.partial(i, m, types[m.field])],
     )
-    states = grouped.columns[len(row_keys) + len(col_keys):]
-    long = grouped.where(F.col(_ROWS_SEEN) > 0).select(*row_labels, *col_labels, *states)
+    states = grouped.columns[len(row_keys) + len(col_keys) + len(marked):]
+    long = grouped.where(F.col(_ROWS_SEEN) > 0).select(*row_labels, *col_labels, *states, *marked)
 
     if reuse is None:
-        reuse = bool(spec.columns) and can_materialise(df.sparkSession)
+        reuse = bool(spec.columns or marked) and can_materialise(df.sparkSession)
     if reuse:
         long = materialise(long)
+    source_rows = None
+    if marked:
+        source_rows = long.agg(F.coalesce(F.sum(_ROWS_SEEN), F.lit(0)).alias("n"))
+        long = long.where(_INSIDE).drop(_INSIDE)
     if max_cells is not None:
         _check_cells(long, spec, measures, max_cells)
 
@@ -212,7 +224,14 @@ def pivot(
     else:
         leaf, cells = _widen_measures(values, spec, ordered_measures, max_columns)
         frame = _with_row_total(leaf.withColumn(ROW_KIND, F.lit(LEAF)), spec, measures, cells)
-    return PivotResult(spec, df, long, measures, types, cells, row_types, frame, ordered, markers)
+    return PivotResult(spec, df, long, measures, types, cells, row_types, frame, ordered, markers, source_rows)
+
+
+def _marked(df: DataFrame, spec: PivotSpec, measures: list[Measure]) -> DataFrame:
+    """The used columns with whether the filters keep the row; rows they drop are empty."""
+    used = list(dict.fromkeys([*spec.rows, *spec.columns, *(m.field for m in measures)]))
+    inside = df.withColumn(_INSIDE, F.coalesce(filter_condition(df, spec.filters), F.lit(False)))
+    return inside.select(*[F.when(F.col(_INSIDE), q(c)).alias(c) for c in used], _INSIDE)
 
 
 def pivot_cells(result: PivotResult) -> DataFrame:

@@ -25,15 +25,21 @@ HEADER_JOIN = " | "
 LABEL_JOIN = " / "
 PARENT_JOIN = "||"
 
-# Fixed value: the words that switch an option on.
-_ON_WORDS = frozenset(("on", "yes", "true", "1"))
+# The words that switch an option on.
+ON_WORDS = ("1", "true", "yes", "on")
+OFF_WORDS = ("", "0", "false", "no", "off")
+_SWITCH = dict.fromkeys(ON_WORDS, True) | dict.fromkeys(OFF_WORDS, False)
 
 
-def _flag(value: Any) -> bool:
-    """An option given as a truth value, a number or one of the words."""
-    if not isinstance(value, str):
-        return bool(value)
-    return value.strip().casefold() in _ON_WORDS
+def _option(options: Mapping[str, Any], name: str, default: bool) -> bool:
+    """A switch of a definition in JSON: every scalar is looked up by its JSON text, and
+    one that is in neither list is refused rather than taken for off."""
+    given = options.get(name, default)
+    text = given if isinstance(given, str) else "" if given is None else json.dumps(given)
+    try:
+        return _SWITCH[text.strip().lower()]
+    except KeyError:
+        raise PivotError(f"{name} is neither on nor off: {given!r}") from None
 
 
 @dataclass(frozen=True)
@@ -75,11 +81,11 @@ class Totals:
             return item
         item = item or {}
         return cls(
-            _flag(item.get("showGrandTotals", True)),
-            _flag(item.get("showRowTotals", True)),
-            _flag(item.get("showColumnTotals", False)),
-            _flag(item.get("showSubtotals", False)),
-            _flag(item.get("repeatItemLabels", False)),
+            _option(item, "showGrandTotals", True),
+            _option(item, "showRowTotals", True),
+            _option(item, "showColumnTotals", False),
+            _option(item, "showSubtotals", False),
+            _option(item, "repeatItemLabels", False),
         )
 
 
@@ -150,7 +156,7 @@ class PivotSpec:
             totals=Totals.of(item.get("totals")),
             layout=item.get("layout") or "tabular",
             display=Display.of(item.get("displayOptions")),
-            blank_as_text=_flag(item.get("blankAsText", False)),
+            blank_as_text=_option(item, "blankAsText", False),
         )
 
     def measures(self, first_column: str) -> list[Measure]:

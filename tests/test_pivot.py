@@ -311,3 +311,28 @@ def test_totals_over_sparse_cells(spark):
                 assert got["subtotal", g, None][header] == near(fold(again, [x for leaf, x in cell.items() if leaf[0] == g]))
             assert got["column_total", "Column Total", None][header] == near(fold(again, cell.values()))
 
+
+
+def test_counts_ride_along_with_the_one_scan(spark, tmp_path):
+    spark.range(1000).selectExpr("id % 5 AS g", "id % 3 AS k", "id AS v", "CAST(id % 7 AS string) AS f").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for spec in (
+        PivotSpec(rows=["g"], values=["v"], filters={"f": "3"}),
+        PivotSpec(rows=["g"], columns=["k"], values=["v"], filters={"f": ["3", "4"], "v": {"from": 100}}),
+        PivotSpec(values=["v"], filters={"f": "3"}),
+        PivotSpec(rows=["g"], values=[{"field": "v", "aggregation": "max"}], filters={"f": "none"}),
+    ):
+        plain, along = pivot(df, spec), pivot(df, spec, count_source=True)
+        assert rows(along.rows) == rows(plain.rows) and rows(along.grand) == rows(plain.grand)
+        assert rows(along.counts) == rows(plain.counts) and rows(along.counts)[0][0] == 1000
+        for frame in (along.rows, along.grand, along.counts):
+            assert "FileScan" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_switches_of_a_definition():
+    on = lambda value: PivotSpec.from_json({"rows": ["a"], "values": ["b"], "totals": {"showSubtotals": value}}).totals.subtotals
+    assert [on(v) for v in (True, 1, "1", "true", " Yes ", "ON")] == [True] * 6
+    assert [on(v) for v in (False, 0, "0", "false", "no", "off", "", None)] == [False] * 8
+    for odd in ("maybe", 2, [], 1.5):
+        with pytest.raises(PivotError):
+            on(odd)
