@@ -1,15 +1,19 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text is the set of its terms: its words in lower case, and the first four to six
-letters of longer words, each as a 64-bit hash. The score is the logistic function of
+letters of longer words, each hashed to one of 2^18 places. The score is the logistic
+function of
 
-    bias + sum of w_i + sum over pairs of <v_i, v_j>
+    bias + sum of w_i + (sum over pairs of <v_i, v_j>) / number of terms
 
-over the terms present, so a pair may count for more than its terms do.
+over the places present, so a pair may count for more than its terms do. Every place has
+a weight and factors; none is left out. A weight is learnt in steps scaled by what the
+term tells alone (its log odds, discounted where few rows speak for them); the factors are
+learnt alike for all terms, so terms that tell nothing alone can tell much together. The
+division keeps the many pairs of a long text from drowning its few telling terms.
 
 The model is fitted on a bounded sample of labelled rows (``SAMPLE_ROWS``, the first by
-hash of id): documents carry the terms, a term takes part if it is frequent enough and
-tells the classes apart (G statistic). Scoring covers every whole text where it is read.
+hash of id). Scoring covers every whole text where it is read.
 """
 
 from __future__ import annotations
@@ -29,14 +33,16 @@ from pivotlake.llm.tables import remainder, stored, utf8
 SAMPLE_ROWS = 20_000
 FOLDS = 5
 PREFIXES = (4, 5, 6)
-MAX_TERMS = 4096
-MIN_ROWS = 5
-MIN_G = 20.0
+BITS = 18
+PLACES = 1 << BITS
 FACTORS = 4
-EPOCHS = 12
+EPOCHS = 8
 BATCH = 256
-RATE = 0.1
-DECAY = 1e-4
+SLICE = 256
+RATE, FACTOR_RATE = 0.3, 0.05
+START = 0.1
+DECAY = 1e-2
+DOUBT = 20.0
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -44,7 +50,7 @@ _WORD = re.compile(r"[^\W_]+")
 class Terms(dict):
     """Word -> hashes of its terms, remembered up to a bound."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __missing__(self, word: str) -> bytes:
         parts = [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
@@ -60,61 +66,88 @@ class Terms(dict):
 
 @dataclass
 class Model:
-    terms: np.ndarray  # ascending hashes
     bias: float
-    weights: np.ndarray
-    factors: np.ndarray
+    weights: np.ndarray  # by place
+    factors: np.ndarray  # places x factors
 
     def score(self, rows: list[np.ndarray]) -> np.ndarray:
-        """Probability of label 1 for rows of positions in ``terms``."""
+        """Probability of label 1 for rows of places, as from :meth:`known`."""
+        out = [self._scores(rows[i : i + SLICE]) for i in range(0, len(rows), SLICE)]
+        return np.concatenate([*out, np.empty(0)])
+
+    def _scores(self, rows: list[np.ndarray]) -> np.ndarray:
         counts = np.array([len(r) for r in rows])
         index = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
         owner = np.repeat(np.arange(len(rows)), counts)
         linear = np.bincount(owner, self.weights[index], len(rows))
         pairs = np.zeros(len(rows))
         for f in range(self.factors.shape[1]):
-            v = self.factors[index, f]
+            v = self.factors[index, f].astype(np.float64)
             pairs += np.bincount(owner, v, len(rows)) ** 2 - np.bincount(owner, v * v, len(rows))
-        return 1 / (1 + np.exp(-np.clip(self.bias + linear + pairs / 2, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.bias + linear + pairs / 2 / np.maximum(counts, 1), -30, 30)))
+
+    @staticmethod
+    def known(hashes: np.ndarray) -> np.ndarray:
+        """The places of hashes, ascending and once each."""
+        return np.unique(hashes >> np.uint64(64 - BITS)).astype(np.int64)
+
 
-    def known(self, hashes: np.ndarray) -> np.ndarray:
-        """Positions of those hashes that the model knows."""
-        if not len(self.terms):
-            return np.empty(0, np.int64)
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        return at[self.terms[at] == hashes]
+def _told(index: np.ndarray, ones: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """What each place tells alone: its log odds times a trust between 0 and 1 that grows
+    with the G statistic of place and label. ``index`` lists places, ``ones`` their labels."""
+    n, n1 = len(labels), labels.sum()
+    rows, with_one = np.bincount(index, minlength=PLACES), np.bincount(index, ones, PLACES)
+    without = rows - with_one
+    g = np.zeros(PLACES)
+    for seen, size, share in ((with_one, rows, n1), (without, rows, n - n1), (n1 - with_one, n - rows, n1), (n - n1 - without, n - rows, n - n1)):
+        some = seen > 0
+        g[some] += 2 * seen[some] * np.log(seen[some] * n / (size[some] * share))
+    odds = np.log((with_one + 0.5) / (n1 + 1)) - np.log((without + 0.5) / (n - n1 + 1))
+    g = np.maximum(g, 0)
+    return np.where(rows > 0, odds * (g / (g + DOUBT)) ** 2, 0.0)
 
 
-def train(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Model:
-    """A model of ``terms`` from rows of positions in them; without both labels, or without
-    terms, it is the share of label 1."""
-    ones, n = int(labels.sum()), len(labels)
+def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Model:
+    """A model from rows of places; without both labels it is the share of label 1.
+
+    Adagrad on the log loss, in batches of rows; only the places of a batch are touched.
+    """
+    ones, n = labels.sum(), len(labels)
     bias = float(np.log((ones + 0.5) / (n - ones + 0.5))) if n else -5.0
-    model = Model(terms, bias, np.zeros(len(terms)), np.random.default_rng(seed).normal(0, 0.01, (len(terms), FACTORS)))
-    if not 0 < ones < n or not len(terms):
-        return Model(np.empty(0, np.uint64), bias, np.empty(0), np.empty((0, FACTORS)))
+    if not 0 < ones < n:
+        return Model(bias, np.zeros(PLACES, np.float32), np.zeros((PLACES, FACTORS), np.float32))
     random = np.random.default_rng(seed)
-    # Adagrad on the log loss, in batches of rows as dense 0/1 matrices.
-    sums = [np.full(1, 1e-8), np.full(len(terms), 1e-8), np.full((len(terms), FACTORS), 1e-8)]
+    counts = np.array([len(r) for r in rows])
+    told = _told(np.concatenate(rows), np.repeat(labels, counts), labels)
+    weights, factors = np.zeros(PLACES), random.normal(0, START, (FACTORS, PLACES))
+    seen_bias, seen_weights, seen_factors = 1e-8, np.full(PLACES, 1e-8), np.full((FACTORS, PLACES), 1e-8)
     for _ in range(EPOCHS):
         order = random.permutation(n)
         for i in range(0, n, BATCH):
             batch = order[i : i + BATCH]
-            x = np.zeros((len(batch), len(terms)))
-            for k, row in enumerate(batch):
-                x[k, rows[row]] = 1
-            inner = x @ model.factors
-            pairs = ((inner**2).sum(1) - x @ (model.factors**2).sum(1)) / 2
-            error = 1 / (1 + np.exp(-np.clip(model.bias + x @ model.weights + pairs, -30, 30))) - labels[batch]
-            error /= len(batch)
-            back = x.T @ error
-            steps = (error.sum(keepdims=True), back + DECAY * model.weights, x.T @ (error[:, None] * inner) - back[:, None] * model.factors + DECAY * model.factors)
-            for s, step in zip(sums, steps, strict=True):
-                s += step**2
-            model.bias -= float((RATE * steps[0] / np.sqrt(sums[0]))[0])
-            model.weights -= RATE * steps[1] / np.sqrt(sums[1])
-            model.factors -= RATE * steps[2] / np.sqrt(sums[2])
-    return model
+            size = np.maximum(counts[batch], 1)
+            owner = np.repeat(np.arange(len(batch)), counts[batch])
+            index = np.concatenate([rows[k] for k in batch])
+            places, inverse = np.unique(index, return_inverse=True)
+            total = lambda values: np.bincount(owner, values, len(batch))  # noqa: B023, E731
+            at = factors[:, index]
+            inner = np.array([total(v) for v in at])
+            pairs = ((inner**2).sum(axis=0) - total((at**2).sum(axis=0))) / 2 / size
+            z = bias + total((weights * told)[index]) + pairs
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[batch]) / len(batch)
+            back = lambda values: np.bincount(inverse, values, len(places))  # noqa: B023, E731
+            seen_bias += error.sum() ** 2
+            bias -= float(RATE * error.sum() / np.sqrt(seen_bias))
+            step = back(error[owner]) * told[places]
+            seen_weights[places] += step**2
+            weights[places] -= RATE * step / np.sqrt(seen_weights[places])
+            each = (error / size)[owner]
+            plain = back(each)
+            for f in range(FACTORS):
+                step = back(each * inner[f][owner]) - plain * factors[f, places] + DECAY / n * factors[f, places]
+                seen_factors[f, places] += step**2
+                factors[f, places] -= FACTOR_RATE * step / np.sqrt(seen_factors[f, places])
+    return Model(bias, (weights * told).astype(np.float32), factors.T.astype(np.float32))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -124,19 +157,8 @@ def held_out(doc_id: str = "doc_id"):
 def _hash_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = Terms()
     for batch in batches:
-        found = [known.of(text).view(np.int64) for text in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["label", "terms"])
-
-
-def _telling(sample: DataFrame, all_rows: int, all_ones: int) -> DataFrame:
-    """The terms that are frequent enough and tell the labels apart, at most ``MAX_TERMS``."""
-    terms = sample.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("rows"), F.sum("label").alias("ones"))
-    g = F.lit(0.0)
-    for of, share in (("ones", all_ones), ("zeros", all_rows - all_ones)):
-        for seen, size in ((F.col(of), F.col("rows")), (share - F.col(of), all_rows - F.col("rows"))):
-            g = g + F.when(seen > 0, 2 * seen * F.ln(seen * float(all_rows) / (size * float(share)))).otherwise(0.0)
-    terms = terms.where(F.col("rows") >= MIN_ROWS).withColumn("zeros", F.col("rows") - F.col("ones")).withColumn("g", g)
-    return terms.where(F.col("g") >= MIN_G).orderBy(F.desc("g"), "term").limit(MAX_TERMS).select("term")
+        found = [Model.known(known.of(text)).astype("<i4").tobytes() for text in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["label", "places"])
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -144,28 +166,18 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
 
     Label rows with a null id or label are left out; an id with several labels has the
     greatest, and of several documents of an id the least text is the example. Terms are
-    counted and chosen by Spark; the driver gets at most ``MAX_TERMS`` terms and, of each
-    of at most ``sample_rows`` examples, which of them it holds.
+    hashed where the texts are read; the driver gets the places of at most ``sample_rows``
+    examples, four bytes each.
     """
     mine = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     mine = mine.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).withColumnRenamed("doc_id", "label_id")
     # At most sample_rows rows on the broadcast side.
     rows = documents.select("doc_id", "text").join(F.broadcast(mine), F.col("doc_id") == F.col("label_id")).select("label_id", "label", "text")
     rows = rows.groupBy("label_id", "label").agg(F.min("text").alias("text")).select("label", utf8().alias("text"))
-    sample = stored(rows.mapInArrow(_hash_rows, "label int, terms array<bigint>"), "examples")
-    all_rows, all_ones = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    chosen = [r.term for r in _telling(sample, all_rows, all_ones).collect()] if 0 < all_ones < all_rows else []
-    terms = np.sort(np.array(chosen, np.int64).view(np.uint64))
-    index = Model(terms, 0.0, np.empty(0), np.empty(0))
-
-    def positions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [index.known(np.array(t, np.int64).view(np.uint64)).astype(np.int32) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["label", "positions"])
-
     # Ordered, so that training repeats exactly.
-    known = sample.mapInArrow(positions, "label int, positions array<int>").orderBy("label", "positions").collect()
-    return train(terms, [np.array(r.positions, np.int64) for r in known], np.array([r.label for r in known], np.float64))
+    sample = stored(rows.mapInArrow(_hash_rows, "label int, places binary"), "examples").orderBy("label", "places").toArrow()
+    places = [np.frombuffer(p, "<i4").astype(np.int32) for p in sample.column("places").to_pylist()]
+    return train(places, sample.column("label").to_numpy().astype(np.float64))
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
@@ -178,7 +190,8 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = Terms()
         for texts in batches:
-            yield pd.Series(model.score([model.known(known.of(t)) for t in texts]))
+            scores = [model.score([model.known(known.of(t)) for t in texts.iloc[i : i + SLICE]]) for i in range(0, len(texts), SLICE)]
+            yield pd.Series(np.concatenate([*scores, np.empty(0)]))
 
     rows = documents.select(F.struct("*").alias("row"), score(utf8()).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -38,6 +38,31 @@ def test_a_pair_of_terms_counts_for_more(spark, documents):
     assert (model.factors[i] @ model.factors[g].T).max() > 0
 
 
+def test_terms_that_tell_nothing_alone(spark, documents):
+    """The label says whether two words agree; neither word says anything about it."""
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for i in range(6000):
+        a, b = rng.integers(0, 2, 2)
+        rows.append((i, f"{['red', 'blue'][a]} {['sun', 'moon'][b]} " + " ".join(f"x{k}" for k in rng.choice(60, 8, replace=False)), "s"))
+        labels.append((i, int(a == b)))
+    model = toxicity.fit(documents(rows), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    known = toxicity.Terms()
+    p = lambda t: model.score([model.known(known.of(t.encode()))])[0]
+    assert min(p("red sun x1 x2"), p("blue moon x1 x2")) > 0.7 and max(p("red moon x1 x2"), p("blue sun x1 x2")) < 0.3
+
+
+def test_score_is_the_written_out_sum():
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(-0.3, rng.normal(size=toxicity.PLACES), rng.normal(size=(toxicity.PLACES, toxicity.FACTORS)) / 3)
+    rows = [np.unique(rng.integers(0, toxicity.PLACES, n)) for n in (0, 1, 2, 5, 40)] * 120
+    got = model.score(rows)
+    for row, score in zip(rows, got, strict=True):
+        z = model.bias + sum(model.weights[i] for i in row)
+        z += sum(model.factors[i] @ model.factors[j] for x, i in enumerate(row) for j in row[x + 1 :]) / max(1, len(row))
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_toxicity_edges(spark, documents):
     rows = [(i, "vile words here" if i % 2 else "good words here", "s") for i in range(60)]
     rows += [(100, None, "s"), (101, "", "s"), (None, "vile", None), (102, "vile " * 200_000, "s"), (3, "vile words here", "s")]
