@@ -132,18 +132,19 @@ class Segment:
         for row in np.flatnonzero((counts > 0).all(axis=1)):
             rarest = np.argsort(counts[row, : width[row]], kind="stable")
             lists = [(self.lists[grid[row, j]], j) for j in rarest]
-            near = lists[0][0] - lists[0][1]
-            exact = near
+            exact = near = self._within(lists[0][0] - lists[0][1], width[row])
             for postings, offset in lists[1:]:
-                at = near + offset
-                i = np.searchsorted(postings, at - slack)
-                near = near[(i < len(postings)) & (postings[np.minimum(i, len(postings) - 1)] <= at + slack)]
+                # A term may stray, but not into another document.
+                doc = np.searchsorted(self.ends, near, side="right")
+                low = np.maximum(near + offset - slack, self.ends[doc] - self.sizes[doc])
+                high = np.minimum(near + offset + slack, self.ends[doc] - 1)
+                i = np.searchsorted(postings, low)
+                near = near[(i < len(postings)) & (postings[np.minimum(i, len(postings) - 1)] <= high)]
                 at = exact + offset
                 i = np.searchsorted(postings, at)
                 exact = exact[(i < len(postings)) & (postings[np.minimum(i, len(postings) - 1)] == at)]
                 if not len(near):
                     break
-            exact, near = self._within(exact, width[row]), self._within(near, width[row])
             if len(near):
                 yield row, exact, near
 
@@ -210,8 +211,9 @@ def search(index: DataFrame, tests: DataFrame, window: int = WINDOW, slack: int
     and near_items (sorted ids as strings). A phrase is ``window`` consecutive words of
     an item; an item of fewer words, but not none, is one phrase. A null item id is
     listed as the empty string; rows of one item id count as one item. Test items are
-    taken in blocks of about ``block_bytes``; each block is sent to the tasks whole, and
-    several blocks are put together per document.
+    taken in blocks of about ``block_bytes``, one after another: each is sent to the tasks
+    whole, reads the index once, and its finds are written; then they are put together per
+    document.
     """
     total = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
@@ -220,6 +222,9 @@ def search(index: DataFrame, tests: DataFrame, window: int = WINDOW, slack: int
     for block in range(blocks):
         mine = texts.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         part = _search_block(index, [(r.item, bytes(r.text)) for r in mine.collect()], window, slack)
+        if blocks > 1:
+            # One block at a time: what it found is written before the next one is read.
+            part = stored(part, "found")
         found = part if found is None else found.union(part)
     if blocks > 1:
         merge = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
@@ -249,8 +254,9 @@ def contamination(documents: DataFrame, tests: DataFrame, window: int = WINDOW,
 def decontaminated(documents: DataFrame, tests: DataFrame) -> DataFrame:
     """The rows of ``documents`` that are not contaminated, with all their columns.
 
-    Rows that share an id go together if one of them is contaminated; rows without an
-    id are judged by the id null, together.
+    A row is judged by its id and its text together: rows that share an id, or have none,
+    stay or go on their own; only equal texts of an id share their fate.
     """
-    bad = contamination(documents, tests).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    key = F.xxhash64("doc_id", "text")
+    bad = contamination(documents.select(key.alias("doc_id"), "text"), tests).where("contaminated").select(F.col("doc_id").alias("bad_key")).distinct()
+    return documents.join(bad, key == F.col("bad_key"), "left_anti")

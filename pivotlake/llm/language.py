@@ -32,7 +32,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: bytes) -> Counter:
-    return Counter(_WORD.findall(text.decode().lower()))
+    """Words with their counts. Runs without a letter, such as of superscripts, are none."""
+    found = Counter(_WORD.findall(text.decode().lower()))
+    for word in [w for w in found if not w.isalpha() and not any(map(str.isalpha, w))]:
+        del found[word]
+    return found
 
 
 def grams(word: str) -> list[str]:

@@ -4,7 +4,7 @@ Every source gets a share of the total by its weight. A source whose share is mo
 ``max_epochs`` times what it has is clamped there; the excess goes to the others in
 proportion to their weights, until no share is above its cap. A source's target is then
 met by whole repetitions of all its documents and one fractional repetition: documents
-in a seeded order, as long as their sizes stay within what is left.
+in a seeded order, as long as that brings their sizes nearer to what is left.
 
 The order is by md5 of seed and id, cut into slices by its first digits. Slices are
 summed before anything is ordered, so only the slice in which a source runs out is
@@ -13,8 +13,11 @@ sorted; no task sees a whole source, and rows are never shuffled to be taken.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pivotlake.llm.tables import stored
 from pivotlake.session import materialise
 
 WEIGHTS = (5, 2, 1)
@@ -76,14 +79,14 @@ def targets(sized: DataFrame, weights=WEIGHTS, total_share=TOTAL_SHARE, max_epoc
     return per_source.select("source", "source_size", F.when(clamped, F.col("cap")).otherwise(F.col("weight") * F.lit(level)).alias("target"))
 
 
-def cutoffs(documents: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
+def cutoffs(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` with cutoff: up to which place of its order a source is taken once more.
 
-    Null: not at all. The slice in which a source runs out is found from slice sums;
-    only rows of that slice are ordered.
+    ``rows`` has source, size, slice and at, the place in the order. The slice in which a
+    source runs out is found from slice sums; only rows of that slice are ordered. The rows
+    at which it runs out are taken too if that comes nearer to the target.
     """
-    rows = _placed(documents, seed)
-    slices = sizes(rows).groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
+    slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     # At most 16^SLICE_DIGITS rows a source.
     upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     slices = slices.withColumn("upto", F.sum("slice_size").over(upto)).join(wanted, _same("source", "of_source"))
@@ -91,29 +94,38 @@ def cutoffs(documents: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
         F.min(F.struct("slice", (F.col("rest") - F.col("upto") + F.col("slice_size")).alias("left"))).alias("cut")
     )
     last = _few(last.select(F.col("of_source").alias("cut_source"), "cut.slice", "cut.left"))
-    inside = sizes(rows.withColumnRenamed("slice", "of_slice").join(last, _same("source", "cut_source") & (F.col("of_slice") == F.col("slice"))))
-    inside = inside.select("cut_source", "slice", "left", F.struct("place", "size", F.xxhash64("text").alias("code")).alias("at"))
-    along = Window.partitionBy("cut_source").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = inside.select("cut_source", "slice", "at", (F.sum("at.size").over(along) <= F.col("left")).alias("fits"))
-    reached = reached.groupBy("cut_source", "slice").agg(F.max(F.when(F.col("fits"), F.col("at"))).alias("at"))
+    inside = rows.withColumnRenamed("slice", "of_slice").join(last, _same("source", "cut_source") & (F.col("of_slice") == F.col("slice")))
+    # Equal rows share their fate, so they are one step of the order.
+    inside = inside.groupBy("cut_source", "slice", "left", "at").agg(F.sum("size").alias("step"))
+    along = Window.partitionBy("cut_source").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = inside.withColumn("upto", F.sum("step").over(along))
+    nearer = (F.col("upto") - F.col("step") < F.col("left")) & (2 * F.col("upto") - F.col("step") < 2 * F.col("left"))
+    reached = inside.groupBy("cut_source", "slice").agg(F.max(F.when((F.col("upto") <= F.col("left")) | nearer, F.col("at"))).alias("at"))
     # Where the whole source fits there is no last slice; where none of the last slice fits, "at" is null.
     return (
-        wanted.join(reached, _same("of_source", "cut_source"), "left")
+        wanted.join(reached.withColumnRenamed("at", "last_at"), _same("of_source", "cut_source"), "left")
         .withColumn("all", F.col("slice").isNull() & (F.col("rest") >= F.col("source_size")))
         .drop("cut_source")
     )
 
 
-def mixed(documents: DataFrame, seed: int = 7, weights=WEIGHTS, total_share=TOTAL_SHARE, max_epochs=MAX_EPOCHS) -> DataFrame:
-    """Per row of ``documents``: row (the row itself), size, source_size, target and times.
+def mixed(documents: DataFrame, seed: int = 7, weights=WEIGHTS, total_share=TOTAL_SHARE, max_epochs=MAX_EPOCHS, keep: Sequence[str] | None = None) -> DataFrame:
+    """Per row of ``documents``: row, size, source_size, target and times.
+
+    ``row`` is the row itself, or its columns ``keep``. ``times`` is how often the mix takes
+    the row, ``size * times`` how many words. A source without words is not taken. A
+    document without words costs nothing and is taken with its neighbours in the order; a
+    null source is a source. Rows of equal id, size and text share their place and fate.
 
-    ``times`` is how often the mix takes the row, ``size * times`` how many words. A
-    source without words is not taken. A document without words costs nothing and is
-    taken with its neighbours in the order; a null source is a source. Rows of equal id,
-    size and text share their place and fate.
+    Texts are read once to count their words, which is written; whole rows are read once
+    more to be taken, kept columns are written along.
     """
-    given = documents.select("doc_id", "source", "text", F.struct("*").alias("row"))
-    wanted = targets(sizes(given.select("source", "text")), weights, total_share, max_epochs)
+    kept = F.struct("*" if keep is None else F.col(keep[0]), *(keep[1:] if keep else ()))
+    given = documents.select("doc_id", "source", "text", kept.alias("row"))
+    at = F.struct("place", "size", F.xxhash64("text").alias("code")).alias("at")
+    placed = sizes(_placed(given, seed)).select("source", "size", "slice", at, "row")
+    narrow = stored(placed if keep is not None else placed.drop("row"), "sizes")
+    wanted = targets(narrow, weights, total_share, max_epochs)
     wanted = wanted.select(
         F.col("source").alias("of_source"),
         "source_size",
@@ -121,15 +133,14 @@ def mixed(documents: DataFrame, seed: int = 7, weights=WEIGHTS, total_share=TOTA
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint").alias("whole"),
     )
     wanted = materialise(wanted.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
-    plan = _few(cutoffs(given.drop("row"), wanted, seed))
-    at = F.struct("place", "size", F.xxhash64("text").alias("code"))
+    plan = _few(cutoffs(narrow, wanted))
     once_more = (
         F.when((F.col("source_size") == 0) | (F.col("rest") <= 0), False)
         .when(F.col("slice").isNull(), F.col("all"))
         .when(F.col("own_slice") != F.col("slice"), F.col("own_slice") < F.col("slice"))
-        .otherwise(F.coalesce(at <= F.col("at"), F.lit(False)))
+        .otherwise(F.coalesce(F.col("at") <= F.col("last_at"), F.lit(False)))
     )
-    rows = sizes(_placed(given, seed).withColumnRenamed("slice", "own_slice")).join(plan, _same("source", "of_source"))
+    rows = (placed if keep is None else narrow).withColumnRenamed("slice", "own_slice").join(plan, _same("source", "of_source"))
     return rows.select("row", "size", "source_size", "target", (F.col("whole") + once_more.cast("bigint")).alias("times"))
 
 

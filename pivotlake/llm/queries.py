@@ -57,7 +57,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return mixing.mixed(documents).select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    return mixing.mixed(documents, keep=("doc_id",)).select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 @query
@@ -169,10 +169,10 @@ targets AS (SELECT source, source_size, least(weight * level, cap) AS target FRO
 parts AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM targets),
 along AS (
   SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.size) AS upto
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.size) AS upto, sum(d.size) OVER (PARTITION BY d.source, d.place, d.size) AS step
   FROM sized d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(size * (whole + CASE WHEN source_size > 0 AND upto <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (whole + CASE WHEN source_size > 0 AND rest > 0 AND (upto <= rest OR (upto - step < rest AND 2 * upto - step < 2 * rest)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM along
 """
 ORACLES["op12_fill_in_middle"] = r"""

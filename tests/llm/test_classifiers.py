@@ -106,3 +106,9 @@ def test_distance_against_the_definition():
     lang, score = language.Classifier(profiles, 10).predict(b"a")
     # All four n-grams of "a" have the middle rank 1.5.
     assert (lang, score) == ("x", 1 - (1.5 + 0.5 + 0.5 + 1.5) / 40)
+
+
+def test_signs_are_no_letters():
+    for text in ("²", "①", "½ Ⅷ", "12 _ ³", ""):
+        assert not language.words(text.encode())
+    assert set(language.words("x² a1b Straße".encode())) == {"x²", "a", "b", "straße"}

@@ -61,3 +61,18 @@ def test_edges_blocks_and_proximity(spark, documents):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 8]
     assert decontaminate.contamination(docs.limit(0), tests).count() == 0
     assert {r.n_hit for r in decontaminate.contamination(docs, tests.limit(0)).collect()} == {0}
+
+
+def test_proximity_stays_inside_a_document(spark, documents):
+    docs = documents([(1, "a b c x", "s"), (2, "d z y", "s"), (3, "a x b c d", "s"), (4, "a b c x d q", "s")]).coalesce(1)
+    tests = spark.createDataFrame([(1, "a b c d")], "item_id bigint, text string")
+    found = {r.doc_id: r.near_items for r in decontaminate.contamination(docs, tests).collect()}
+    assert found == {1: [], 2: [], 3: ["1"], 4: ["1"]}
+
+
+def test_rows_without_id_are_judged_one_by_one(spark, documents):
+    phrase = " ".join(f"w{i}" for i in range(13))
+    docs = documents([(None, phrase, "s"), (None, "clean words", "s"), (5, phrase, "s"), (5, "clean words", "s"), (None, None, "s")])
+    tests = spark.createDataFrame([(1, phrase)], "item_id bigint, text string")
+    kept = decontaminate.decontaminated(docs, tests).select("doc_id", "text").collect()
+    assert sorted(map(str, kept)) == sorted(map(str, docs.where("text IS NULL OR text = 'clean words'").select("doc_id", "text").collect()))

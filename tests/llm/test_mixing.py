@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 from pivotlake.llm import mixing
@@ -35,3 +37,27 @@ def test_edges(spark, documents):
     assert mix.columns == docs.columns and {r["size"] for r in mix.collect()} == {"x"}
     assert sorted(r.doc_id or 0 for r in mix.collect()) == sorted(r.doc_id or 0 for r in mixing.repeated(docs).collect())
     assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_the_fraction_ends_on_the_nearer_side(spark):
+    """No prefix of a source's seeded order comes nearer to what is left of its target."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.source for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").collect()}
+    by_source = {}
+    for r in QUERIES["op7_source_mixing"](spark, sf).collect():
+        by_source.setdefault(docs[r.doc_id], []).append(r)
+    for mine in by_source.values():
+        order = sorted(mine, key=lambda r: hashlib.md5(f"7:{r.doc_id}".encode()).hexdigest())
+        whole = min(r.taken // r["size"] for r in mine if r["size"])
+        rest = mine[0].target - whole * mine[0].source_size
+        sums = [0]
+        for r in order:
+            sums.append(sums[-1] + r["size"])
+        taken = sum(r.taken for r in mine) - whole * mine[0].source_size
+        assert abs(taken - rest) <= min(abs(x - rest) for x in sums) + 1e-6
+
+
+def test_kept_columns_and_whole_rows_agree(spark, documents):
+    docs = documents([(i, "w " * (i % 23), "abc"[i % 3]) for i in range(300)] + [(None, "x y", None)])
+    narrow = {(r.doc_id, r.times) for r in mixing.mixed(docs, keep=("doc_id", "source")).select("row.doc_id", "times").collect()}
+    assert narrow == {(r.doc_id, r.times) for r in mixing.mixed(docs).select("row.doc_id", "times").collect()}
