@@ -15,7 +15,7 @@ Everything happens where a row is read. Templates are a bounded set, checked by
 
 from __future__ import annotations
 
-from collections import defaultdict
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -107,6 +107,7 @@ for _path in sorted(Path(__file__).with_name("license_texts").glob("*.txt")):
     TEMPLATES[f"{_path.stem}-full"] = _path.read_text()
 
 _MULTIPLIERS = np.random.default_rng(3).integers(0, 1 << 63, BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
+_SALTS = np.random.default_rng(4).integers(0, 1 << 63, BANDS, np.uint64)
 CELLS = 1 << 21
 
 
@@ -115,6 +116,52 @@ def shingles(text: bytes, known: WordCodes) -> np.ndarray:
     return mixed(gram_codes(known.of(folded_words(text)), SHINGLE))
 
 
+class SizeClass:
+    """The templates of one size class: their band values as one sorted list of keys."""
+
+    BITS = 20
+
+    def __init__(self, size: int):
+        self.size, self.step = size, max(1, size // 2)
+        self.reach = -(-2 * size // self.step)
+        self.least = 1 << 62
+        self._keys: list[tuple[int, int]] = []
+
+    def add(self, template: int, codes: np.ndarray) -> None:
+        values = (codes[None] * _MULTIPLIERS[:, None]).min(axis=1) + _SALTS
+        self._keys += [(value, template) for value in values.tolist()]
+        # A text with fewer shingles than this holds no template of the class.
+        self.least = min(self.least, int(np.ceil(CONTAINED * len(codes) - 1e-9)))
+
+    def close(self) -> None:
+        self._keys.sort()
+        self.keys = [k for k, _ in self._keys]
+        self.templates = [t for _, t in self._keys]
+        # Whether any key has these last bits; most windows have none.
+        self.some = np.zeros(1 << self.BITS, bool)
+        self.some[np.array(self.keys, np.uint64) & np.uint64((1 << self.BITS) - 1)] = True
+
+    def met(self, least: np.ndarray) -> set[tuple[int, int]]:
+        """(template, window) pairs that share a band value; ``least`` has the band values of
+        the blocks of ``step`` shingles, of which a window is ``reach``."""
+        window, width = least, 1
+        while width < self.reach:
+            # Windows at the end are shorter.
+            longer = window.copy()
+            if width < window.shape[1]:
+                np.minimum(window[:, :-width], window[:, width:], out=longer[:, :-width])
+            window, width = longer, 2 * width
+        keys = window + _SALTS[:, None]
+        band, at = np.nonzero(self.some[keys & np.uint64((1 << self.BITS) - 1)])
+        found = set()
+        for key, place in zip(keys[band, at].tolist(), at.tolist(), strict=True):
+            i = bisect_left(self.keys, key)
+            while i < len(self.keys) and self.keys[i] == key:
+                found.add((self.templates[i], place))
+                i += 1
+        return found
+
+
 class Library:
     """Templates by size class and band value."""
 
@@ -124,38 +171,41 @@ class Library:
         self.shingles = [np.unique(shingles(templates[n].encode(), known)) for n in self.names]
         # The lengths that a window has to hold, repeated shingles included.
         lengths = [len(shingles(templates[n].encode(), known)) for n in self.names]
-        self.classes: dict[int, list[dict[int, list[int]]]] = {}
+        by_size: dict[int, SizeClass] = {}
         for i, (codes, length) in enumerate(zip(self.shingles, lengths, strict=True)):
             if length:
-                bands = self.classes.setdefault(1 << (length - 1).bit_length(), [defaultdict(list) for _ in range(BANDS)])
-                for band, least in zip(bands, (codes[None] * _MULTIPLIERS[:, None]).min(axis=1).tolist(), strict=True):
-                    band[least].append(i)
-
-    def scan(self, codes: np.ndarray) -> dict[str, tuple[float, int]]:
-        """License -> (containment, first word of the best window) for one text's shingles."""
+                size = 1 << (length - 1).bit_length()
+                by_size.setdefault(size, SizeClass(size)).add(i, codes)
+        self.classes = [by_size[size] for size in sorted(by_size)]
+        for one in self.classes:
+            one.close()
+
+    def matches(self, codes: np.ndarray) -> dict[int, tuple[float, np.ndarray]]:
+        """Template -> (containment, places of its shingles in the best window)."""
         found: dict[int, tuple[float, np.ndarray]] = {}
-        for size, bands in self.classes.items():
-            step = max(1, size // 2)
-            reach = -(-2 * size // step)
-            for first in range(0, len(codes), CELLS // BANDS):
-                # Blocks of ``step`` shingles; a window is ``reach`` blocks.
-                part = codes[first : first + CELLS // BANDS + 2 * size]
-                starts = np.arange(0, len(part), step)
-                least = np.minimum.reduceat(part[None] * _MULTIPLIERS[:, None], starts, axis=1)
-                window = least.copy()
-                for shift in range(1, min(reach, window.shape[1])):
-                    window[:, : window.shape[1] - shift] = np.minimum(window[:, : window.shape[1] - shift], least[:, shift:])
-                met = set()
-                for band, row in zip(bands, window, strict=True):
-                    for at in np.flatnonzero(np.isin(row, np.fromiter(band, np.uint64, len(band)))).tolist():
-                        met |= {(t, at) for t in band[int(row[at])]}
-                for template, at in sorted(met):
-                    inside = part[at * step : at * step + reach * step]
+        overlap = 2 * self.classes[-1].size if self.classes else 0
+        for first in range(0, len(codes), CELLS // BANDS):
+            part = codes[first : first + CELLS // BANDS + overlap]
+            # Least band values of ever longer blocks, each made of two of the last ones.
+            least, step = part[None] * _MULTIPLIERS[:, None], 1
+            for one in self.classes:
+                while step < one.step:
+                    if least.shape[1] % 2:
+                        least = np.concatenate([least, least[:, -1:]], axis=1)
+                    least, step = np.minimum(least[:, ::2], least[:, 1::2]), 2 * step
+                if len(part) < one.least:
+                    continue
+                for template, at in sorted(one.met(least)):
+                    inside = part[at * one.step : (at + one.reach) * one.step]
                     wanted = self.shingles[template]
                     share = float(np.isin(wanted, inside).mean())
                     if share >= CONTAINED and (template not in found or share > found[template][0]):
-                        found[template] = (share, first + at * step + np.flatnonzero(np.isin(inside, wanted)))
-        return self._best(found)
+                        found[template] = (share, first + at * one.step + np.flatnonzero(np.isin(inside, wanted)))
+        return found
+
+    def scan(self, codes: np.ndarray) -> dict[str, tuple[float, int]]:
+        """License -> (containment, first word of the best window) for one text's shingles."""
+        return self._best(self.matches(codes))
 
     def _best(self, found: dict[int, tuple[float, np.ndarray]]) -> dict[str, tuple[float, int]]:
         """Without those of which half the places belong to a match with more shingles."""

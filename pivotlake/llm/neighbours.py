@@ -156,12 +156,12 @@ def _valid(vectors: DataFrame, is_query: Column) -> DataFrame:
     return rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.xxhash64(v).alias("h1"), F.hash(v).alias("h2"), v.alias("v"))
 
 
-_ENTRIES = "t int, bucket bigint, h1 bigint, h2 int, v array<double>"
+_ENTRIES = "t int, bucket bigint, h1 bigint, h2 int, v array<double>, id bigint"
 _BEST = "q1 bigint, q2 int, scores array<double>, h1s array<bigint>, h2s array<int>"
 
 
 def _entries(classes: dict[int, Hashing], probing: bool):
-    schema = pa.schema([("t", pa.int32()), ("bucket", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("v", pa.list_(pa.float64()))])
+    schema = pa.schema([("t", pa.int32()), ("bucket", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("v", pa.list_(pa.float64())), ("id", pa.int64())])
 
     def buckets(part: int, vectors: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Table, bucket and row."""
@@ -186,7 +186,7 @@ def _entries(classes: dict[int, Hashing], probing: bool):
             while some := list(islice(rows, 1 << 14)):
                 t, bucket, i = zip(*some, strict=True)
                 take = pa.array(i)
-                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(bucket, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(bucket, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), batch.column(4).take(take)], schema=schema)
 
     return put
 
@@ -198,11 +198,20 @@ def _best(k: int):
         q, p = np.stack(asking["v"]), np.stack(points["v"])
         scores = q @ p.T
         n = min(k, len(p))
-        top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-        # A product summed the same way for a pair in any block, unlike that of matrices.
-        exact = [np.einsum("d,kd->k", v, p[best]) for v, best in zip(q, top, strict=True)]
-        h1, h2 = points["h1"].to_numpy(), points["h2"].to_numpy()
-        return pd.DataFrame({"q1": asking["h1"], "q2": asking["h2"], "scores": exact, "h1s": list(h1[top]), "h2s": list(h2[top])})
+        # What may be as good as the last of the n best, rounding of matrix products considered.
+        least = np.partition(scores, len(p) - n, axis=1)[:, len(p) - n]
+        least = least - 1e-9 * np.linalg.norm(q, axis=1) * np.linalg.norm(p, axis=1).max()
+        h1, h2, ids = points["h1"].to_numpy(), points["h2"].to_numpy(), points["id"].to_numpy()
+        found = {"scores": [], "h1s": [], "h2s": []}
+        for v, near, bound in zip(q, scores, least, strict=True):
+            some = np.flatnonzero(near >= bound)
+            # A product summed the same way for a pair in any block, unlike that of matrices.
+            exact = np.einsum("d,kd->k", v, p[some])
+            best = np.lexsort((ids[some], -exact))[:n]
+            found["scores"].append(exact[best])
+            found["h1s"].append(h1[some[best]])
+            found["h2s"].append(h2[some[best]])
+        return pd.DataFrame({"q1": asking["h1"], "q2": asking["h2"], **found})
 
     return match
 
@@ -218,8 +227,8 @@ def _compared(entries: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     part = lambda n: F.pmod(F.xxhash64("h1", "h2", F.lit(3)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     key = ["t", "bucket", "part", "asker"]
-    left = entries.join(sizes, ["t", "bucket"]).withColumns({"part": part("parts"), "asker": each("askers")}).select(*key, "h1", "h2", "v")
-    right = probes.join(sizes, ["t", "bucket"]).withColumns({"part": each("parts"), "asker": part("askers")}).select(*key, "h1", "h2", "v")
+    left = entries.join(sizes, ["t", "bucket"]).withColumns({"part": part("parts"), "asker": each("askers")}).select(*key, "h1", "h2", "v", "id")
+    right = probes.join(sizes, ["t", "bucket"]).withColumns({"part": each("parts"), "asker": part("askers")}).select(*key, "h1", "h2", "v", "id")
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_best(k + 1), _BEST)
 
 
@@ -261,15 +270,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     members = stored(rows.select("vec_id", "h1", "h2", "v").withColumn("place", order).where(F.col("place") <= k + 1), "members")
     # Norms within a factor of two are one class; a norm beyond the range of doubles is -1.
     part = F.when((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.floor(F.log2(F.lit(chosen.norm)) - F.log2("norm"))).otherwise(-1)
-    points = members.where("place = 1").select("h1", "h2", "v", _norm().alias("norm"))
-    points = stored(points.select("h1", "h2", "v", "norm", F.greatest(part, F.lit(-1)).cast("int").alias("class")), "points")
-    asking = stored(rows.where("asks").dropDuplicates(["h1", "h2"]).select("h1", "h2", "v", F.lit(0).alias("class")), "asking")
+    # A point goes by the least of its ids, which decides between points of equal score.
+    points = members.where("place = 1").select("h1", "h2", "v", F.col("vec_id").alias("id"), _norm().alias("norm"))
+    points = stored(points.select("h1", "h2", "v", "id", "norm", F.greatest(part, F.lit(-1)).cast("int").alias("class")), "points")
+    asking = stored(rows.where("asks").dropDuplicates(["h1", "h2"]).select("h1", "h2", "v", F.lit(0).alias("class"), F.lit(0).cast("bigint").alias("id")), "asking")
     some = asking.orderBy("h1", "h2").limit(SAMPLE_QUERIES).collect()
     # A class for each power of two, so at most about two thousand rows.
     parts = points.groupBy("class").agg(F.count("*").alias("n"), F.max("norm").alias("norm")).collect()
     classes = {r["class"]: fit(points.where(F.col("class") == r["class"]), some, r.n, chosen.d, r.norm, k) for r in parts}
 
-    placed = points.select("h1", "h2", "v", "class")
+    placed = points.select("h1", "h2", "v", "class", "id")
     found = _compared(placed.mapInArrow(_entries(classes, False), _ENTRIES), asking.mapInArrow(_entries(classes, True), _ENTRIES), k)
     ids = stored(_best_ids(found, members, k), "found")
     # Queries that met too few: every query is itself among the points.
@@ -277,7 +287,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     short = stored(asking.join(met, (F.col("h1") == F.col("q1")) & (F.col("h2") == F.col("q2")), "left_anti"), "short")
     if not short.isEmpty():
         every = {0: Hashing(np.empty(0), np.empty(0), chosen.norm, None)}
-        found = _compared(placed.withColumn("class", F.lit(0)).mapInArrow(_entries(every, False), _ENTRIES), short.mapInArrow(_entries(every, True), _ENTRIES), k)
+        found = _compared(placed.withColumn("class", F.lit(0)).select(placed.columns).mapInArrow(_entries(every, False), _ENTRIES), short.mapInArrow(_entries(every, True), _ENTRIES), k)
         ids = ids.join(met.select("q1", "q2"), ["q1", "q2"], "left_semi").unionByName(_best_ids(found, members, k))
     asked = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.col("h1").alias("q1"), F.col("h2").alias("q2"))
     pairs = asked.join(ids.select("q1", "q2", "vec_id", "score"), ["q1", "q2"]).where("vec_id != query_id")

@@ -32,6 +32,38 @@ def test_query_against_every_window(spark):
     assert {r.licenses for r in rows if r.licenses} >= {"CC-BY-NC-4.0", "GPL-3.0", "Apache-2.0", "MIT"}
 
 
+def test_matches_against_every_window_of_every_wording(spark):
+    """All templates and wordings; only texts that hold enough of a template at all are slid along."""
+    known, library = WordCodes(), licenses.Library(licenses.TEMPLATES | licenses.WORDINGS)
+    every = licenses.TEMPLATES | licenses.WORDINGS
+    lengths = [len(licenses.shingles(every[n].encode(), known)) for n in library.names]
+    holders: dict[int, list[int]] = {}
+    for i, wanted in enumerate(library.shingles):
+        for code in wanted.tolist():
+            holders.setdefault(code, []).append(i)
+    seen = 0
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    texts += [f"{'filler words here ' * 90} {every[n]} and more" for n in list(every)[::7]]
+    for text in texts:
+        codes = licenses.shingles(text.encode(), known)
+        held: dict[int, set[int]] = {}
+        for code in set(codes.tolist()) & holders.keys():
+            for i in holders[code]:
+                held.setdefault(i, set()).add(code)
+        want = {}
+        for i, some in held.items():
+            if len(some) >= licenses.CONTAINED * len(library.shingles[i]) - 1e-9:
+                size = 1 << (lengths[i] - 1).bit_length()
+                step = max(1, size // 2)
+                shares = [np.isin(library.shingles[i], codes[s : s + -(-2 * size // step) * step]).mean() for s in range(0, len(codes), step)]
+                if max(shares) >= licenses.CONTAINED:
+                    want[i] = max(shares)
+        got = library.matches(codes)
+        assert {i: share for i, (share, _) in got.items()} == want
+        seen += len(want)
+    assert seen > 100
+
+
 def test_edges(spark, documents):
     apache, mit = licenses.TEMPLATES["Apache-2.0-header"], licenses.TEMPLATES["MIT-text"]
     filler = " ".join(f"f{i}" for i in range(333))

@@ -100,3 +100,29 @@ def test_probes_go_on_past_one_cell():
     near = every[neighbours._distances(at, every) <= 4.0]
     assert {tuple(c) for c in cells.tolist()} == {tuple(c) for c in near.tolist()} and np.abs(cells - [3, -3]).max() > 1
     assert neighbours._perturbed(at, furthest=4.0, reach=None, most=3) is None
+
+
+def test_ties_between_different_vectors_go_to_the_smaller_ids(spark):
+    random = np.random.default_rng(7)
+    vectors = random.normal(size=(3000, 8))
+    # All have the same product with the query, in as many different vectors.
+    vectors[:, 0] = 0.5
+    vectors[0] = [2.0] + [0.0] * 7
+    order = random.permutation(np.arange(1, 3000))
+    df = spark.createDataFrame([(0, vectors[0].tolist())] + [(int(i), vectors[i].tolist()) for i in order], "vec_id bigint, embedding array<double>").repartition(7)
+    got = neighbours.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(1, 21)) and {r.score for r in got} == {1.0}
+
+
+def test_clustered_vectors_are_found_through_buckets(spark, monkeypatch):
+    random = np.random.default_rng(9)
+    centres = random.normal(size=(200, 32))
+    vectors = centres[random.integers(0, 200, 20_000)] + random.normal(scale=0.1, size=(20_000, 32))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    made, fit = [], neighbours.fit
+    monkeypatch.setattr(neighbours, "fit", lambda *a: made.append(fit(*a)) or made[-1])
+    asks = list(range(0, 20_000, 100))
+    got, want = found(spark, vectors, asks), brute(list(enumerate(vectors)), asks)
+    assert made and all(h.furthest is not None for h in made)
+    assert all(len(got[q]) == 20 for q in asks)
+    assert sum(len(set(got[q]) & {i for i, _ in want[q]}) for q in asks) >= 0.9 * 20 * len(asks)
