@@ -92,19 +92,22 @@ class Model:
         return np.unique(hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _told(index: np.ndarray, ones: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def _told(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """What each place tells alone: its log odds times a trust between 0 and 1 that grows
-    with the G statistic of place and label. ``index`` lists places, ``ones`` their labels."""
+    with the G statistic of place and label."""
     n, n1 = len(labels), labels.sum()
-    rows, with_one = np.bincount(index, minlength=PLACES), np.bincount(index, ones, PLACES)
-    without = rows - with_one
+    with_one, without = np.zeros(PLACES), np.zeros(PLACES)
+    for row, label in zip(rows, labels, strict=True):
+        # A row holds a place once.
+        (with_one if label else without)[row] += 1
+    present = with_one + without
     g = np.zeros(PLACES)
-    for seen, size, share in ((with_one, rows, n1), (without, rows, n - n1), (n1 - with_one, n - rows, n1), (n - n1 - without, n - rows, n - n1)):
+    for seen, size, share in ((with_one, present, n1), (without, present, n - n1), (n1 - with_one, n - present, n1), (n - n1 - without, n - present, n - n1)):
         some = seen > 0
         g[some] += 2 * seen[some] * np.log(seen[some] * n / (size[some] * share))
     odds = np.log((with_one + 0.5) / (n1 + 1)) - np.log((without + 0.5) / (n - n1 + 1))
     g = np.maximum(g, 0)
-    return np.where(rows > 0, odds * (g / (g + DOUBT)) ** 2, 0.0)
+    return np.where(present > 0, odds * (g / (g + DOUBT)) ** 2, 0.0)
 
 
 def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Model:
@@ -118,7 +121,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Model:
         return Model(bias, np.zeros(PLACES, np.float32), np.zeros((PLACES, FACTORS), np.float32))
     random = np.random.default_rng(seed)
     counts = np.array([len(r) for r in rows])
-    told = _told(np.concatenate(rows), np.repeat(labels, counts), labels)
+    told = _told(rows, labels)
     weights, factors = np.zeros(PLACES), random.normal(0, START, (FACTORS, PLACES))
     seen_bias, seen_weights, seen_factors = 1e-8, np.full(PLACES, 1e-8), np.full((FACTORS, PLACES), 1e-8)
     for _ in range(EPOCHS):
@@ -176,8 +179,16 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     rows = rows.groupBy("label_id", "label").agg(F.min("text").alias("text")).select("label", utf8().alias("text"))
     # Ordered, so that training repeats exactly.
     sample = stored(rows.mapInArrow(_hash_rows, "label int, places binary"), "examples").orderBy("label", "places").toArrow()
-    places = [np.frombuffer(p, "<i4").astype(np.int32) for p in sample.column("places").to_pylist()]
-    return train(places, sample.column("label").to_numpy().astype(np.float64))
+    given = sample.column("label").to_numpy().astype(np.float64)
+    return train([p for chunk in sample.column("places").chunks for p in _views(chunk)], given)
+
+
+def _views(chunk: pa.Array) -> list[np.ndarray]:
+    """The places of each row as a view of the chunk, which is not copied."""
+    offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+    data = chunk.buffers()[2]
+    places = np.frombuffer(data, "<i4", len(data) // 4) if data else np.empty(0, "<i4")
+    return [places[a // 4 : b // 4] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
