@@ -10,13 +10,13 @@ with 3 in a million. Texts of up to ``SHORT`` shingles take more samples of two
 shingles, because few shingles make few different samples.
 
 Exact copies are counted together first and take part as one text. In each bucket all
-texts are compared with one leader, the first by a hash of the id. Texts in a bucket
-that are linked neither directly nor through other buckets are left over, if two of
-their buckets are so: at similarity 0.8 two texts of 24 samples share fewer than two
-with probability 6 in 100,000. Those left over are joined exactly, by their rarest
-shingles. Groups of close copies end after the first step, and texts that share a passage
-do not meet in the second. Many texts that lie about the threshold from one another can
-meet there in many pairs.
+texts are compared with one leader, the first by a hash of the id. Where more than one
+component of links is left in a bucket, ``ROUNDS`` rounds compare one text of each with
+one of the bucket's first component, drawn anew each time; a round makes as many pairs as
+there are components. The texts of buckets that are still open are joined exactly, by
+their rarest shingles, across components only. Groups of close copies end after the
+first steps, and texts that share a passage do not meet in the last. Many texts that lie
+about the threshold from one another can meet there in many pairs.
 
 A pair is verified on its whole texts: the two shingle sequences are aligned within the
 band of offsets that a similarity at the threshold leaves open, and the similarity is
@@ -44,6 +44,7 @@ SHORT, SHORT_SAMPLE, SHORT_BANDS = 16, 2, 24
 # So many ids are sent to all tasks at most; beyond, texts are shuffled.
 FEW_IDS = 500_000
 CELLS = 1 << 20
+ROUNDS = 3
 # Ids from here on are made for rows that have none.
 NO_ID = 1 << 62
 
@@ -210,6 +211,23 @@ def _by_prefix(left: DataFrame, rows: DataFrame) -> DataFrame:
     return _pair("node", "n", "node2", "n2", met.join(other, "gram").where("label < label2"))
 
 
+def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets in which more than one component meets, with their labels."""
+    placed = shared.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    open_keys = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    return stored(placed.join(open_keys, "key"), "open")
+
+
+def _between_components(still: DataFrame, turn: int) -> DataFrame:
+    """Pairs of one text of each component in a bucket with a text of the bucket's first
+    component; texts and components are drawn anew each turn. As many pairs as components."""
+    drawn = F.xxhash64(F.lit(turn), "node")
+    one = still.groupBy("key", "label").agg(F.min(F.struct(drawn.alias("turn"), "node", "n")).alias("one"))
+    one = one.select("key", F.xxhash64(F.lit(turn), "label").alias("draw"), "label", "one.node", "one.n")
+    first = one.groupBy("key").agg(F.min(F.struct("draw", "label", F.col("node").alias("leader"), F.col("n").alias("leader_n"))).alias("lead"))
+    return _pair("node", "n", "leader", "leader_n", one.join(first.select("key", "lead.leader", "lead.leader_n"), "key"))
+
+
 def _classes(documents: DataFrame) -> DataFrame:
     """Per row: id, made, class_of (the least id of the class), text_id and n_links."""
     rows = _rows(documents)
@@ -227,10 +245,19 @@ def _classes(documents: DataFrame) -> DataFrame:
     labels = components(links)
 
     # Buckets of two are settled; so are those within one component.
-    shared = shared.where("size > 2").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    open_keys = shared.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    left = shared.join(open_keys, "key").groupBy("node", "n", "label").agg(F.count("*").alias("keys")).where("keys > 1")
-    more = stored(_by_prefix(stored(left.drop("keys"), "open"), rows).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    shared = shared.where("size > 2").select("key", "node", "n")
+    for turn in range(1, ROUNDS + 1):
+        still = _open(shared, labels)
+        met = stored(_between_components(still, turn).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if met.isEmpty():
+            break
+        found = verified(met, rows)
+        pairs = stored(pairs.union(met), "pairs")
+        if not found.isEmpty():
+            links = stored(links.union(found), "links")
+            labels = components(links)
+    left = _open(shared, labels).select("node", "n", "label").distinct()
+    more = stored(_by_prefix(stored(left, "open"), rows).join(pairs, ["a", "b"], "left_anti"), "pairs")
     links = links.union(verified(more, rows)).select("a", "b").distinct()
 
     labels = components(links)
