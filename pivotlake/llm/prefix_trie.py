@@ -18,8 +18,8 @@ it owns from the depth in question on. No round per depth is needed.
 The sketch has four rows of cells, as many as needed for a quarter of load but at most
 ``MOST_CELLS``: beyond that more prefixes are suspected and shuffled, and results stay the
 same. Tasks send the cells they hit; merged, one bit a cell tells "exactly one", at most 16 MB
-for all tasks. Hot prefixes are counts, combined before the shuffle; the joins on them have
-one row per prefix on the other side, so that their rows can be split. Ids of conversations
+for all tasks. Hot prefixes are counted before the shuffle, and their rows get the counts
+without one. Ids of conversations
 that end in one node are joined in slices of bounded size and hashed along them.
 """
 
@@ -40,6 +40,7 @@ SKETCH_ROWS = 4
 MOST_CELLS = 1 << 25
 BLOCK_BITS = 16
 SLICE = 4096
+HOT = 1024
 _OUT_ROWS = 8192
 
 _PREFIXES = "conv_id bigint, depth bigint, code binary, parent binary, words bigint, last boolean"
@@ -240,6 +241,17 @@ def ends(rows: DataFrame) -> DataFrame:
     return along.mapInArrow(hashed, "code binary, ends_sha256 string")
 
 
+def _with_counts(suspects: DataFrame, counted: DataFrame) -> DataFrame:
+    """Every row with the counts of its prefix. Rows of prefixes that hold more than
+    1/``HOT`` of all rows, which are fewer than ``HOT`` prefixes, stay where they are; the
+    others are shuffled, and no prefix among them is a large part of the shuffle."""
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") * HOT > F.lit(total)
+    hot = F.broadcast(counted.where(is_hot))
+    cold = suspects.join(hot, "code", "left_anti").join(counted.where(~is_hot), "code")
+    return suspects.join(hot, "code").unionByName(cold)
+
+
 def nodes(prefix_rows: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame:
     """One row per trie node: code, conv_id, depth, parent_conv_id, n_convs, n_children,
     n_leaves, saved_tokens, ends_sha256.
@@ -262,7 +274,7 @@ def nodes(prefix_rows: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame:
 
     suspects = rows.where("NOT parent_alone AND NOT alone").select("conv_id", "depth", "code", "words", "last")
     counted = suspects.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("least"), F.count_if("last").alias("ending"))
-    shared = suspects.join(counted, "code").withColumn("suspect", F.lit(True))
+    shared = _with_counts(suspects, stored(counted, "counted")).withColumn("suspect", F.lit(True))
     tops = rows.where("NOT parent_alone AND alone").select("code", "conv_id", "depth", "words", "last", one.alias("n"), F.col("conv_id").alias("least"), F.col("last").cast("bigint").alias("ending"), F.lit(False).alias("suspect"))
     both = shared.select(*tops.columns).unionByName(tops).withColumn("own", F.col("conv_id").eqNullSafe(F.col("least")))
 
