@@ -79,6 +79,7 @@ class PivotResult:
     ordered: bool = True
     markers: bool = False
     source_rows: DataFrame | None = None
+    exact: dict[int, ms.ExactSum] = field(default_factory=dict)
 
     @property
     def row_fields(self) -> list[str]:
@@ -110,11 +111,11 @@ class PivotResult:
     @cached_property
     def grand(self) -> DataFrame:
         """One row: every measure over all filtered raw rows, null when switched off."""
-        totals = self.long.agg(*[c for i, m in enumerate(self.measures) for c in ms.merged(i, m)])
+        totals = self.long.agg(*[c for i, m in enumerate(self.measures) for c in ms.merged(i, m, self.exact.get(i))])
         return totals.select(
             *[
                 (
-                    ms.finished(i, m, self.types[m.field])
+                    ms.finished(i, m, self.types[m.field], self.exact.get(i))
                     if self.spec.totals.grand
                     else F.lit(None).cast(_finished_type(m, self.types[m.field]))
                 ).alias(m.name)
@@ -166,6 +167,7 @@ def pivot(
     max_cells: int | None = None,
     max_columns: int = MAX_PIVOT_COLUMNS,
     count_source: bool = False,
+    exact_sums: bool = False,
 ) -> PivotResult:
     """Compile ``spec`` over ``df``.
 
@@ -174,7 +176,10 @@ def pivot(
     first. ``count_source`` lets the rows before filters be counted by the same scan: the
     others then go along as one marked group, so the filters no longer skip parts of the
     files; without it ``counts`` of a filtered pivot counts the source in a scan of its own,
-    which reads no column. ``max_cells`` refuses pivots with more estimated cells, ``max_columns`` those
+    which reads no column. With ``exact_sums`` cells and grand totals that add doubles are
+    the exact sum, rounded once, whatever the order of the rows, and sums of whole numbers are
+    decimals of 38 digits; the columns are read once before, for the range of their values.
+    Totals over cells add the cells as shown. ``max_cells`` refuses pivots with more estimated cells, ``max_columns`` those
     with more column groups. ``markers`` adds the row kind, level and parent key to the
     rows.
     """
@@ -184,11 +189,12 @@ def pivot(
     marked = [_INSIDE] if count_source and spec.filters else []
     base = _marked(df, spec, measures) if marked else apply_filters(df, spec.filters)
 
+    exact = ms.exact_plan(base, measures, types) if exact_sums else {}
     row_keys, row_labels, row_types = _group_keys(base, spec, spec.rows, "__row")
     col_keys, col_labels, _ = _group_keys(base, spec, spec.columns, "__col")
     grouped = base.groupBy(*row_keys, *col_keys, *marked).agg(
         F.count(F.lit(1)).alias(_ROWS_SEEN),
-        *[c for i, m in enumerate(measures) for c in ms.partial(i, m, types[m.field])],
+        *[c for i, m in enumerate(measures) for c in ms.partial(i, m, types[m.field], exact.get(i))],
     )
     states = grouped.columns[len(row_keys) + len(col_keys) + len(marked):]
     long = grouped.where(F.col(_ROWS_SEEN) > 0).select(*row_labels, *col_labels, *states, *marked)
@@ -212,7 +218,7 @@ def pivot(
         *[f"__row{i}" for i in range(len(spec.rows))],
         *[f"__col{i}" for i in range(len(spec.columns))],
         *[
-            ms.finished(measures.index(m), m, types[m.field]).alias(f"__value{j}")
+            ms.finished(measures.index(m), m, types[m.field], exact.get(measures.index(m))).alias(f"__value{j}")
             for j, m in enumerate(ordered_measures)
         ],
     )
@@ -224,7 +230,7 @@ def pivot(
     else:
         leaf, cells = _widen_measures(values, spec, ordered_measures, max_columns)
         frame = _with_row_total(leaf.withColumn(ROW_KIND, F.lit(LEAF)), spec, measures, cells)
-    return PivotResult(spec, df, long, measures, types, cells, row_types, frame, ordered, markers, source_rows)
+    return PivotResult(spec, df, long, measures, types, cells, row_types, frame, ordered, markers, source_rows, exact)
 
 
 def _marked(df: DataFrame, spec: PivotSpec, measures: list[Measure]) -> DataFrame:

@@ -1,9 +1,13 @@
+import math
 import random
 from datetime import datetime, timedelta
+from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from pivotlake import DefinitionError, Measure, PivotError, PivotSpec, Totals, pivot
+from pivotlake.operators.exact import exact_sum
 from pivotlake.plans.compile import pivot_cells
 from tests.conftest import rows
 
@@ -336,3 +340,38 @@ def test_switches_of_a_definition():
     for odd in ("maybe", 2, [], 1.5):
         with pytest.raises(PivotError):
             on(odd)
+
+
+def _exact(values):
+    values = [x for x in values if x is not None and x == x]
+    return math.inf if math.inf in values else float(sum(map(Fraction, values)))
+
+
+def test_exact_sums_of_any_doubles(spark):
+    draw = random.Random(1)
+    cases = [[0.1] * 10, [1e16, 1.0, -1e16], [1e308, 1e308, -1e308], [5e-324] * 3, [1e300, 1e-300, -1e300], [0.0, -0.0, None], [2.0**53, 1.0]]
+    cases += [[2.0**53, 1.0, 2.0**-60], [-(2.0**53), -1.0, -(2.0**-60)], [-(2.0**53), -1.0], [math.inf, 1.0], [1.5, None, math.nan]]
+    cases += [[draw.uniform(-1, 1) * 10 ** draw.randrange(-20, 20) for _ in range(500)], [math.ldexp(draw.uniform(-1, 1), draw.randrange(-1074, 1000)) for _ in range(300)]]
+    for case in cases:
+        df = spark.createDataFrame([(x,) for x in case], "x double")
+        assert exact_sum(df, F.col("x")).first()[0] == _exact(case), case[:5]
+    # Each case as a group of one column, with the ranges of all.
+    df = spark.createDataFrame([(i, i % 2, x) for i, case in enumerate(cases) for x in case], "g int, k int, x double")
+    spec = PivotSpec(rows=["g"], values=["x", {"field": "x", "aggregation": "average"}])
+    for n in (1, 8, 61):
+        result = pivot(df.repartition(n), spec, exact_sums=True)
+        assert {r.g: r.sum_x for r in result.rows.collect()} == {i: _exact(case) for i, case in enumerate(cases)}
+        assert result.grand.first()["sum_x"] == math.inf
+    wide = pivot(df.where("g < 9"), PivotSpec(rows=["g"], columns=["k"], values=["x"], totals=Totals(row=False)), exact_sums=True)
+    got = {r[0]: r[1 + r[0] % 2] for r in wide.rows.collect()}
+    assert got == {i: _exact(case) for i, case in enumerate(cases[:9])}
+    mean = {r.g: r.average_x for r in pivot(df.where("g = 0"), spec, exact_sums=True).rows.collect()}
+    assert mean == {0: _exact([0.1] * 10) / 10}
+
+
+def test_sums_of_whole_numbers_do_not_overflow(spark):
+    df = spark.createDataFrame([("a", 2**63 - 1, 1), ("a", 2**63 - 1, 2), ("b", -(2**63), 3), ("b", None, None)], "g string, v bigint, n int")
+    spec = PivotSpec(rows=["g"], values=["v", "n"])
+    result = pivot(df, spec, exact_sums=True)
+    assert [(r.g, int(r.sum_v), int(r.sum_n)) for r in result.rows.collect()] == [("a", 2**64 - 2, 3), ("b", -(2**63), 3)]
+    assert int(result.grand.first()["sum_v"]) == 2**63 - 2

@@ -65,6 +65,23 @@ def pivot_avg_big(spark, sf_dir):
 # Wide and fine keys ----------------------------------------------------------------------------
 
 
+@query("pivot_sum_double", "SELECT o_orderstatus, sum(o_custkey % 1000) / 1024.0::DOUBLE AS sum_v FROM orders GROUP BY 1")
+def pivot_sum_double(spark, sf_dir):
+    """A small value between a large one and its negative: any rounding on the way shows."""
+    large = F.floor("o_totalprice") * F.lit(2.0**45)
+    values = F.array(large, (F.col("o_custkey") % 1000) / F.lit(1024.0), -large)
+    df = table(spark, sf_dir, "orders").select("o_orderstatus", F.explode(values).alias("v"))
+    return pivot(df, PivotSpec(rows=["o_orderstatus"], values=["v"]), exact_sums=True).rows
+
+
+@query("pivot_sum_big", "SELECT o_orderstatus, CAST(sum(4000000000000000000 + o_orderkey) AS VARCHAR) AS sum_v FROM orders GROUP BY 1")
+def pivot_sum_big(spark, sf_dir):
+    """Sums beyond eight bytes."""
+    df = table(spark, sf_dir, "orders").withColumn("v", F.lit(4_000_000_000_000_000_000) + F.col("o_orderkey"))
+    rows = pivot(df, PivotSpec(rows=["o_orderstatus"], values=["v"]), exact_sums=True).rows
+    return rows.withColumn("sum_v", F.col("sum_v").cast("string"))
+
+
 @query(
     "pivot_wide",
     """WITH cells AS (SELECT o_orderstatus AS s, strftime(o_orderdate, '%Y-%m-%d') AS d, o_custkey % 1000 AS k,
