@@ -15,48 +15,21 @@ from pivotlake.sources.sheets import land_csv, preview, read_csv
 from workload.registry import query
 from workload.tables import plain, table
 
-# What the catalog must say about the given tables.
+# The columns of the given tables, in order.
 _COLUMNS = {
-    "orders": {
-        "o_orderkey": "integer",
-        "o_custkey": "integer",
-        "o_orderstatus": "string",
-        "o_totalprice": "float",
-        "o_orderdate": "datetime",
-        "o_orderpriority": "string",
-    },
-    "customer": {
-        "c_custkey": "integer",
-        "c_name": "string",
-        "c_nationkey": "integer",
-        "c_acctbal": "float",
-        "c_mktsegment": "string",
-    },
-    "nation": {"n_nationkey": "integer", "n_name": "string", "n_regionkey": "integer"},
-    "region": {"r_regionkey": "integer", "r_name": "string"},
-    "supplier": {"s_suppkey": "integer", "s_name": "string", "s_nationkey": "integer", "s_acctbal": "float"},
-    "part": {
-        "p_partkey": "integer",
-        "p_name": "string",
-        "p_brand": "string",
-        "p_type": "string",
-        "p_size": "integer",
-        "p_retailprice": "float",
-    },
-    "documents": {"doc_id": "integer", "text": "string", "lang": "string", "source": "string", "n_chars": "integer"},
-    "embeddings": {"vec_id": "integer", "embedding": "string", "label": "integer"},
-    "pages": {"page_id": "integer", "url": "string", "html": "string"},
-    "benchmark": {"item_id": "integer", "text": "string"},
-    "labels": {"doc_id": "integer", "quality": "integer", "toxic": "integer"},
-    "conversations": {"conv_id": "integer", "turn": "integer", "role": "string", "text": "string"},
-    "events": {
-        "event_id": "integer",
-        "ts": "datetime",
-        "user_id": "integer",
-        "event_type": "string",
-        "value": "float",
-        "props": "string",
-    },
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
+    "nation": ("n_nationkey", "n_name", "n_regionkey"),
+    "region": ("r_regionkey", "r_name"),
+    "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
+    "documents": ("doc_id", "text", "lang", "source", "n_chars"),
+    "embeddings": ("vec_id", "embedding", "label"),
+    "pages": ("page_id", "url", "html"),
+    "benchmark": ("item_id", "text"),
+    "labels": ("doc_id", "quality", "toxic"),
+    "conversations": ("conv_id", "turn", "role", "text"),
+    "events": ("event_id", "ts", "user_id", "event_type", "value", "props"),
 }
 _NAMES = tuple(_COLUMNS)
 
@@ -65,14 +38,21 @@ def catalog(spark, sf_dir, names=_NAMES):
     return register_tables({n: table(spark, sf_dir, n) for n in names})
 
 
+# The catalog's word for a type of the SQL engine.
+_KIND_SQL = """CASE WHEN column_type IN ('BIGINT', 'INTEGER', 'SMALLINT', 'TINYINT') THEN 'integer' WHEN column_type IN ('DOUBLE', 'FLOAT') THEN 'float'
+  WHEN starts_with(column_type, 'TIMESTAMP') OR column_type = 'DATE' THEN 'datetime' WHEN column_type = 'BOOLEAN' THEN 'boolean' ELSE 'string' END"""
+
+
 def _columns_sql():
+    """The columns of all tables as the SQL engine itself describes them."""
     parts = []
     for i, (name, columns) in enumerate(_COLUMNS.items(), 1):
-        for n, (column, kind) in enumerate(columns.items()):
-            parts.append(
-                f"SELECT {i} AS dataset_id, '{name}' AS tab, {n} AS position, '{column}' AS column_name, "
-                f"'{kind}' AS data_type, (SELECT count(*) <> count({column}) FROM {name}) AS is_nullable"
-            )
+        nulls = ", ".join(f"count(*) <> count({c}) AS {c}" for c in columns)
+        parts.append(
+            f"SELECT {i} AS dataset_id, '{name}' AS tab, list_position({list(columns)}, column_name) - 1 AS position, column_name, "
+            f"{_KIND_SQL} AS data_type, is_nullable FROM (DESCRIBE {name}) JOIN (UNPIVOT (SELECT {nulls} FROM {name}) "
+            f"ON {', '.join(columns)} INTO NAME column_name VALUE is_nullable) USING (column_name)"
+        )
     return " UNION ALL ".join(parts)
 
 
