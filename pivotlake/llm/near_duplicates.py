@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pivotlake.llm.components import components
-from pivotlake.llm.tables import rows_of, stored, utf8
+from pivotlake.llm.tables import give_back, rows_of, stored, utf8
 from pivotlake.llm.words import WordCodes, folded_words, gram_codes, mixed
 
 SHINGLE = 5
@@ -45,6 +45,7 @@ SHORT, SHORT_SAMPLE, SHORT_BANDS = 16, 2, 24
 FEW_IDS = 500_000
 CELLS = 1 << 20
 ROUNDS = 3
+KNOWN_WORDS = 150_000
 # Ids from here on are made for rows that have none.
 NO_ID = 1 << 62
 
@@ -134,7 +135,7 @@ _SKETCHED = pa.schema([("id", pa.int64()), ("made", pa.bool_()), ("h1", pa.int64
 
 
 def _sketch_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordCodes()
+    known = WordCodes(KNOWN_WORDS)
     for batch in batches:
         sizes, keys = [], []
         for *_, text in rows_of(batch):
@@ -143,13 +144,15 @@ def _sketch_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(sketch(grams))
         given = [batch.column(i) for i in range(4)]
         yield pa.RecordBatch.from_arrays([*given, pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], schema=_SKETCHED)
+    known.clear()
+    give_back()
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
 
 def _align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordCodes()
+    known = WordCodes(KNOWN_WORDS)
     last, x = None, None
     for batch in batches:
         out = []
@@ -160,6 +163,8 @@ def _align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [row for row in out if row[2] >= THRESHOLD]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=_LINKS)
+    known.clear()
+    give_back()
 
 
 def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -183,7 +188,7 @@ def _pair(x: str, nx: str, y: str, ny: str, rows: DataFrame) -> DataFrame:
 
 
 def _gram_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordCodes()
+    known = WordCodes(KNOWN_WORDS)
     for batch in batches:
         for node, text in rows_of(batch):
             grams = shingles(text, known).view(np.int64)

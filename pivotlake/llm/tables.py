@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pivotlake.session import new_folder
@@ -32,3 +35,9 @@ def rows_of(batch, step: int = 256):
     """The rows of an Arrow batch as tuples, a few at a time: texts are long, batches are not."""
     for first in range(0, batch.num_rows, step):
         yield from zip(*(c.to_pylist() for c in batch.slice(first, step).columns), strict=True)
+
+
+def give_back() -> None:
+    """Hand memory that Arrow keeps for later back to the system: workers outlive a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()

@@ -23,12 +23,11 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pivotlake.llm.tables import remainder, stored, utf8
+from pivotlake.llm.tables import give_back, remainder, stored, utf8
 
 SAMPLE_ROWS = 20_000
 FOLDS = 5
@@ -50,7 +49,7 @@ _WORD = re.compile(r"[^\W_]+")
 class Terms(dict):
     """Word -> hashes of its terms, remembered up to a bound."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __missing__(self, word: str) -> bytes:
         parts = [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
@@ -197,12 +196,16 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
     A null or empty text is scored by the bias alone. Only the text is read.
     """
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Terms()
         for texts in batches:
-            scores = [model.score([model.known(known.of(t)) for t in texts.iloc[i : i + SLICE]]) for i in range(0, len(texts), SLICE)]
-            yield pd.Series(np.concatenate([*scores, np.empty(0)]))
+            scores = [np.empty(0)]
+            for i in range(0, len(texts), SLICE):
+                scores.append(model.score([model.known(known.of(t)) for t in texts.slice(i, SLICE).to_pylist()]))
+            yield pa.array(np.concatenate(scores))
+        known.clear()
+        give_back()
 
     rows = documents.select(F.struct("*").alias("row"), score(utf8()).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

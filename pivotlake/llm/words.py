@@ -20,11 +20,13 @@ def folded_words(text: bytes) -> list[bytes]:
 class WordCodes(dict):
     """64-bit codes of words, remembered up to a bound; beyond it they are computed again."""
 
-    LIMIT = 300_000
+    def __init__(self, limit: int = 300_000):
+        super().__init__()
+        self.limit = limit
 
     def __missing__(self, word: bytes) -> int:
         code = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.LIMIT:
+        if len(self) < self.limit:
             self[word] = code
         return code
 
