@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pivotlake.llm.components import components
-from pivotlake.llm.tables import give_back, rows_of, stored, utf8
+from pivotlake.llm.tables import give_back, rows_of, stored, stored_by_few, utf8
 from pivotlake.llm.words import WordCodes, folded_words, gram_codes, mixed
 
 SHINGLE = 5
@@ -178,7 +178,7 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     texts = _texts(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     with_b = pairs.join(texts, F.col("b") == F.col("id")).select("a", "b", F.col("text").alias("text_b"))
     both = with_b.join(texts, F.col("a") == F.col("id")).select("a", "b", F.col("text").alias("text_a"), "text_b")
-    return stored(both.mapInArrow(_align, "a bigint, b bigint, similarity double"), "links")
+    return stored_by_few(both.mapInArrow(_align, "a bigint, b bigint, similarity double"), "links")
 
 
 def _pair(x: str, nx: str, y: str, ny: str, rows: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def _by_prefix(left: DataFrame, rows: DataFrame) -> DataFrame:
     only share the passage do not meet.
     """
     grams = _texts(rows, left.select(F.col("node").alias("id"))).mapInArrow(_gram_rows, "node bigint, gram bigint")
-    grams = stored(grams.distinct(), "grams")
+    grams = stored_by_few(grams.distinct(), "grams")
     often = grams.groupBy("gram").agg(F.count("*").alias("often")).where("often > 1")
     in_text = Window.partitionBy("node")
     met = grams.join(often, "gram").join(left, "node")
@@ -236,7 +236,7 @@ def _between_components(still: DataFrame, turn: int) -> DataFrame:
 def _classes(documents: DataFrame) -> DataFrame:
     """Per row: id, made, class_of (the least id of the class), text_id and n_links."""
     rows = _rows(documents)
-    sketched = stored(rows.mapInArrow(_sketch_rows, "id bigint, made boolean, h1 bigint, h2 int, n int, keys array<bigint>"), "sketches")
+    sketched = stored_by_few(rows.mapInArrow(_sketch_rows, "id bigint, made boolean, h1 bigint, h2 int, n int, keys array<bigint>"), "sketches")
     worded = sketched.where("n > 0")
     nodes = worded.groupBy("h1", "h2").agg(F.min("id").alias("node"))
     own = stored(worded.select("id", "made", "h1", "h2").join(nodes, ["h1", "h2"]), "texts")

@@ -21,6 +21,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored_by_few(df: DataFrame, name: str, rows: int = 500) -> DataFrame:
+    """:func:`stored`, with at most ``rows`` rows in a batch between the JVM and Python: rows
+    that hold whole texts make batches of the default size large on both sides."""
+    conf = df.sparkSession.conf
+    before = conf.get(BATCH_CONF)
+    conf.set(BATCH_CONF, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        return stored(df, name)
+    finally:
+        conf.set(BATCH_CONF, before)
+
+
 def utf8(text: str = "text"):
     """A text column as bytes, null as empty."""
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
