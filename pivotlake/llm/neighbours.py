@@ -241,8 +241,10 @@ def _best_ids(found: DataFrame, members: DataFrame, k: int) -> DataFrame:
     # A point is met once a table at most, so this many hold k + 1 different ones.
     first = F.array_distinct(F.slice("c", 1, TABLES * (k + 1)))
     last = F.element_at(first, F.least(F.size(first), F.lit(k + 1)))["score"]
-    best = best.select("q1", "q2", F.array_distinct(F.filter("c", lambda x: x["score"] >= last)).alias("c"))
-    best = best.select("q1", "q2", F.explode("c").alias("c")).select("q1", "q2", "c.score", "c.h1", "c.h2")
+    # Held beside the candidates, the last is found once; inside the filter it would be for each of them.
+    held = F.array(F.struct("c", last.alias("last")))
+    good = F.transform(held, lambda b: F.array_distinct(F.filter(b["c"], lambda x: x["score"] >= b["last"])))
+    best = best.select("q1", "q2", F.explode(good[0]).alias("c")).select("q1", "q2", "c.score", "c.h1", "c.h2")
     by_query = Window.partitionBy("q1", "q2")
     ids = best.join(members.select("h1", "h2", "vec_id"), ["h1", "h2"])
     ids = ids.withColumn("place", F.row_number().over(by_query.orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -126,3 +128,17 @@ def test_clustered_vectors_are_found_through_buckets(spark, monkeypatch):
     assert made and all(h.furthest is not None for h in made)
     assert all(len(got[q]) == 20 for q in asks)
     assert sum(len(set(got[q]) & {i for i, _ in want[q]}) for q in asks) >= 0.9 * 20 * len(asks)
+
+
+def test_many_blocks_of_candidates_are_merged_in_time(spark):
+    """Queries met in many blocks: the bound on what is kept is found once a query."""
+    random = np.random.default_rng(4)
+    queries, blocks, k = 40, 40, 20
+    rows = [(q, 0, random.normal(size=k + 1).tolist(), random.integers(0, 1 << 40, k + 1).tolist(), [0] * (k + 1)) for q in range(queries) for _ in range(blocks)]
+    best = {q: sorted((s, h) for r in rows if r[0] == q for s, h in zip(r[2], r[3]))[-k - 1 :] for q in range(queries)}
+    members = spark.createDataFrame([(h, 0, i) for i, h in enumerate(sorted({h for r in rows for h in r[3]}))], "h1 bigint, h2 int, vec_id bigint")
+    found = neighbours._best_ids(spark.createDataFrame(rows, neighbours._BEST), members, k)
+    started = time.monotonic()
+    got = found.groupBy("q1").agg(F.sort_array(F.collect_list("score")).alias("scores")).collect()
+    assert time.monotonic() - started < 20
+    assert {r.q1: r.scores for r in got} == {q: [s for s, _ in c] for q, c in best.items()}
