@@ -13,6 +13,7 @@ turn distinct words into n-grams, and an aggregate adds up. Only the profiles, a
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -31,17 +32,29 @@ UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+# In lower-case text: white space for all of ASCII but its letters.
+_LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def runs(text: bytes) -> list[str]:
+    """What stands between ASCII signs and white space, in lower case. Nearly always a word."""
+    return text.decode().lower().encode().translate(_LETTERS).decode().split()
+
+
+def words_of(run: str) -> list[str]:
+    """The words of a run. Those without a letter, such as of superscripts, are none."""
+    return [run] if run.isalpha() else [w for w in _WORD.findall(run) if any(map(str.isalpha, w))]
+
+
 def words(text: bytes) -> Counter:
-    """Words with their counts. Runs without a letter, such as of superscripts, are none."""
-    found = Counter(_WORD.findall(text.decode().lower()))
-    for word in [w for w in found if not w.isalpha() and not any(map(str.isalpha, w))]:
-        del found[word]
-    return found
+    """Words with their counts."""
+    return Counter(w for run in runs(text) for w in words_of(run))
 
 
 def grams(word: str) -> list[str]:
     padded = f" {word} "
-    return [padded[i : i + n] for n in LENGTHS for i in range(len(padded) - n + 1) if n > 1 or padded[i] != " "]
+    # A single space is none.
+    return [*word] + [padded[i : i + n] for n in LENGTHS[1:] for i in range(len(padded) - n + 1)]
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -52,12 +65,13 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         by_lang: dict[str, Counter] = defaultdict(Counter)
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            by_lang[lang].update(words(text))
+            by_lang[lang].update(runs(text))
         for lang, found in by_lang.items():
             counts: Counter = Counter()
-            for word, n in found.items():
-                for gram in grams(word):
-                    counts[gram] += n
+            for run, n in found.items():
+                for word in words_of(run):
+                    for gram in grams(word):
+                        counts[gram] += n
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(counts), "gram": list(counts), "n": list(counts.values())})
 
 
@@ -76,8 +90,22 @@ def fit(documents: DataFrame, profile: int = PROFILE) -> dict[str, dict[str, int
     return dict(profiles)
 
 
+class _Numbers(dict):
+    """Run -> numbers of the n-grams of its words as 32-bit integers, remembered up to a bound."""
+
+    def __init__(self, number: dict[str, int], limit: int):
+        super().__init__()
+        self.number, self.limit = number, limit
+
+    def __missing__(self, run: str) -> bytes:
+        found = array("i", [self.number[g] for w in words_of(run) for g in grams(w)]).tobytes()
+        if len(self) < self.limit:
+            self[run] = found
+        return found
+
+
 class Classifier:
-    """Compares documents to profiles; words are turned into n-gram numbers once."""
+    """Compares documents to profiles; runs are turned into n-gram numbers once."""
 
     LIMIT = 500_000
 
@@ -94,27 +122,21 @@ class Classifier:
             for gram, rank in profiles[lang].items():
                 row[self.number[gram]] = rank
         self.learned = len(self.number)
-        self.known: dict[str, np.ndarray] = {}
-
-    def _numbers(self, word: str) -> np.ndarray:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= self.LIMIT:
-                return np.array([self.number[g] for g in grams(word)], np.int64)
-            found = self.known[word] = np.array([self.number[g] for g in grams(word)], np.int64)
-        return found
+        self.known = _Numbers(self.number, self.LIMIT)
 
     def predict(self, text: bytes) -> tuple[str, float]:
         """Language and score: how much nearer the best profile is than the worst possible."""
-        found = words(text)
-        if not found or not self.langs:
+        if not self.langs:
             return UNDETERMINED, 0.0
         if max(len(self.known), len(self.number)) >= self.LIMIT:
             self.known.clear()
             for gram in [g for g, i in self.number.items() if i >= self.learned]:
                 del self.number[gram]
-        parts = [self._numbers(w) for w in found]
-        counts = np.bincount(np.concatenate(parts), np.repeat(np.fromiter(found.values(), float, len(found)), [len(p) for p in parts]))
+        found = np.frombuffer(b"".join(map(self.known.__getitem__, runs(text))), np.int32)
+        # Every word has n-grams.
+        if not len(found):
+            return UNDETERMINED, 0.0
+        counts = np.bincount(found)
         seen = np.flatnonzero(counts)
         if len(seen) > self.profile:
             least = np.partition(counts[seen], len(seen) - self.profile)[len(seen) - self.profile]

@@ -1,4 +1,6 @@
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -112,3 +114,13 @@ def test_signs_are_no_letters():
     for text in ("²", "①", "½ Ⅷ", "12 _ ³", ""):
         assert not language.words(text.encode())
     assert set(language.words("x² a1b Straße".encode())) == {"x²", "a", "b", "straße"}
+
+
+def test_runs_give_the_words_of_the_text():
+    """Runs between ASCII signs, cut further only where they are no plain word."""
+    for text in ("Don't STOP_me, x²y 3rd ½ ΑΣ'Α ΟΔΟΣ. İstanbul naïve—word a1b", "漢字かな １２ ² _", "", " \x1c\x85 ", "K Å ªº"):
+        plain = [w for w in re.findall(r"[^\W\d_]+", text.lower()) if any(map(str.isalpha, w))]
+        found = [w for run in language.runs(text.encode()) for w in language.words_of(run)]
+        assert found == plain and language.words(text.encode()) == Counter(plain)
+    numbers = language.Classifier({"en": {"a": 0}}, 10).known
+    assert numbers["a1b"] == numbers["a"] + numbers["b"] and numbers["²"] == b""
