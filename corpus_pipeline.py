@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pivotlake.llm import decontaminate, mixing, near_duplicates, token_ids, toxicity
-from pivotlake.llm.tables import stored, table
+from pivotlake.llm.tables import stored_by_few, table
 
 # The tokenizer is a program of its own, which SQL cannot express.
 ORACLE_SQL = None
@@ -54,5 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents; every stage is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored_by_few(stage(spark, docs, sf_dir), name)
     return docs

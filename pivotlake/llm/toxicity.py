@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pivotlake.llm.tables import give_back, remainder, stored, utf8
+from pivotlake.llm.tables import give_back, remainder, stored_by_few, utf8
 
 SAMPLE_ROWS = 20_000
 FOLDS = 5
@@ -177,7 +177,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     rows = documents.select("doc_id", "text").join(F.broadcast(mine), F.col("doc_id") == F.col("label_id")).select("label_id", "label", "text")
     rows = rows.groupBy("label_id", "label").agg(F.min("text").alias("text")).select("label", utf8().alias("text"))
     # Ordered, so that training repeats exactly.
-    sample = stored(rows.mapInArrow(_hash_rows, "label int, places binary"), "examples").orderBy("label", "places").toArrow()
+    sample = stored_by_few(rows.mapInArrow(_hash_rows, "label int, places binary"), "examples").orderBy("label", "places").toArrow()
     given = sample.column("label").to_numpy().astype(np.float64)
     return train([p for chunk in sample.column("places").chunks for p in _views(chunk)], given)
 

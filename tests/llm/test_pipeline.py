@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from pivotlake.llm import decontaminate, mixing, near_duplicates, toxicity
@@ -54,3 +55,16 @@ def test_stages_on_odd_tables(spark, documents):
             out = stage(spark, docs, SF)
             assert name == "token_ids" or out.columns == docs.columns
             out.collect()
+
+
+def test_stages_are_written_in_small_batches(spark, monkeypatch):
+    """Rows of whole texts cross between the JVM and Python a few at a time in every stage."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    stage = lambda spark, docs, sf_dir: spark.range(0, 3000, 1, 1).mapInArrow(sizes, "n bigint")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", stage)])
+    got = [r.n for r in corpus_pipeline.run(spark, SF).collect()]
+    assert sum(got) == 3000 and max(got) <= 500
