@@ -25,3 +25,15 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("node", "label")
         if jumped.where("label != before").isEmpty():
             return labels
+
+
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` of :func:`components` after more ``edges`` (a, b): only components that these
+    join are gone through again."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    new = ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    known = stored(labels.select("node", "label").union(new), "labels")
+    of = lambda end: known.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+    between = edges.join(of("a"), "a").join(of("b"), "b").where("a_label != b_label").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+    above = components(between).select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return stored(known.join(above, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels")

@@ -12,11 +12,16 @@ shingles, because few shingles make few different samples.
 Exact copies are counted together first and take part as one text. In each bucket all
 texts are compared with one leader, the first by a hash of the id. Where more than one
 component of links is left in a bucket, ``ROUNDS`` rounds compare one text of each with
-one of the bucket's first component, drawn anew each time; a round makes as many pairs as
-there are components. The texts of buckets that are still open are joined exactly, by
-their rarest shingles, across components only. Groups of close copies end after the
-first steps, and texts that share a passage do not meet in the last. Many texts that lie
-about the threshold from one another can meet there in many pairs.
+one of the bucket's largest component, drawn anew each time; a round makes as many pairs
+as there are components. The texts of buckets that are still open are joined exactly, by
+their rarest shingles and the places of these, across components only. Groups of close
+copies end after the first steps, and texts that share a passage do not meet in the last.
+
+Each text has ``MARKS`` bits: the parity of the number of its shingles that fall on each.
+Two texts differ in no more bits than shingles, so pairs whose bits differ too often are
+not verified; no similar pair is lost by that. Among texts of some hundreds of shingles
+hardly any but similar pairs are left; those of thousands differ in more shingles than
+there are bits, and pass.
 
 A pair is verified on its whole texts: the two shingle sequences are aligned within the
 band of offsets that a similarity at the threshold leaves open, and the similarity is
@@ -33,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pivotlake.llm.components import components
+from pivotlake.llm.components import components, joined
 from pivotlake.llm.tables import give_back, rows_of, stored, stored_by_few, utf8
 from pivotlake.llm.words import WordCodes, folded_words, gram_codes, mixed
 
@@ -45,6 +50,7 @@ SHORT, SHORT_SAMPLE, SHORT_BANDS = 16, 2, 24
 FEW_IDS = 500_000
 CELLS = 1 << 20
 ROUNDS = 3
+MARKS = 1024
 KNOWN_WORDS = 150_000
 # Ids from here on are made for rows that have none.
 NO_ID = 1 << 62
@@ -96,6 +102,12 @@ def sketch(grams: np.ndarray, long=_multipliers(BANDS, 1), short=_multipliers(SH
     return np.concatenate(keys).view(np.int64)
 
 
+def marks(grams: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of shingles on each of ``MARKS`` bits, as 64-bit numbers."""
+    odd = np.bincount((grams % np.uint64(MARKS)).astype(np.int64), minlength=MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def similarity(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> float:
     """Shingles aligned in order over shingles in either; 0 where it cannot reach the threshold."""
     total = len(x) + len(y)
@@ -131,19 +143,21 @@ def _rows(documents: DataFrame) -> DataFrame:
     )
 
 
-_SKETCHED = pa.schema([("id", pa.int64()), ("made", pa.bool_()), ("h1", pa.int64()), ("h2", pa.int32()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
+_SKETCHED = pa.schema([("id", pa.int64()), ("made", pa.bool_()), ("h1", pa.int64()), ("h2", pa.int32()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
 
 
 def _sketch_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordCodes(KNOWN_WORDS)
     for batch in batches:
-        sizes, keys = [], []
+        sizes, keys, marked = [], [], []
         for *_, text in rows_of(batch):
             grams = shingles(text, known)
             sizes.append(len(grams))
             keys.append(sketch(grams))
+            marked.append(marks(grams))
         given = [batch.column(i) for i in range(4)]
-        yield pa.RecordBatch.from_arrays([*given, pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], schema=_SKETCHED)
+        made = [pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(marked, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*given, *made], schema=_SKETCHED)
     known.clear()
     give_back()
 
@@ -173,6 +187,23 @@ def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", "left_semi").select("id", "text")
 
 
+def _marks_allow(n: str, x: str, n2: str, y: str):
+    """True where the marks ``x`` and ``y`` of texts of ``n`` and ``n2`` shingles allow the threshold.
+
+    Texts at similarity t differ in (n + n2) (1 - t) / (1 + t) shingles at most.
+    """
+    differ = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(MARKS // 64)), F.lit(0))
+    return differ <= (F.col(n) + F.col(n2)) * ((1 - THRESHOLD) / (1 + THRESHOLD)) + 1e-6
+
+
+def _possible(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose marks (node, n, marks) allow the threshold."""
+    of = lambda end: marked.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("marks").alias(f"marks_{end}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    # An id with several texts has several marks.
+    return stored(both.where(_marks_allow("n_a", "marks_a", "n_b", "marks_b")).select("a", "b").distinct(), "possible")
+
+
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar, with their similarity."""
     texts = _texts(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")))
@@ -195,12 +226,14 @@ def _gram_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), node, np.int64)), pa.array(grams)], names=["node", "gram"])
 
 
-def _by_prefix(left: DataFrame, rows: DataFrame) -> DataFrame:
+def _by_prefix(left: DataFrame, rows: DataFrame, marked: DataFrame) -> DataFrame:
     """All pairs of texts in ``left`` (node, n, label) of unequal labels that may be similar.
 
-    At similarity t two texts share one of the n - t n + 1 rarest shingles of either. A
+    At similarity t two texts share one of the n - t n + 1 rarest shingles of either, and
+    behind the rarest of all that they share enough others must follow in both. A
     shingle of a passage that many texts hold is none of the rarest ones, so texts that
-    only share the passage do not meet.
+    only share the passage do not meet. Pairs are judged by places and marks where they
+    meet; those that pass both are mostly similar.
     """
     grams = _texts(rows, left.select(F.col("node").alias("id"))).mapInArrow(_gram_rows, "node bigint, gram bigint")
     grams = stored_by_few(grams.distinct(), "grams")
@@ -211,9 +244,12 @@ def _by_prefix(left: DataFrame, rows: DataFrame) -> DataFrame:
     place = F.col("n") - F.count("*").over(in_text) + F.row_number().over(in_text.orderBy("often", "gram"))
     prefix = F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9) + 1
     met = met.withColumn("place", place).where(F.col("place") <= prefix)
-    met = stored(met.select("gram", "node", "n", "label"), "prefixes")
-    other = met.select("gram", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-    return _pair("node", "n", "node2", "n2", met.join(other, "gram").where("label < label2"))
+    met = stored(met.select("gram", "node", "n", "label", "place").join(marked, ["node", "n"]), "prefixes")
+    other = met.select("gram", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "place", "marks")))
+    behind = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    enough = behind + 1 >= (F.col("n") + F.col("n2")) * (THRESHOLD / (1 + THRESHOLD)) - 1e-6
+    found = met.join(other, "gram").where(F.expr("label < label2") & enough & _marks_allow("n", "marks", "n2", "marks2"))
+    return _pair("node", "n", "node2", "n2", found)
 
 
 def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -224,29 +260,31 @@ def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _between_components(still: DataFrame, turn: int) -> DataFrame:
-    """Pairs of one text of each component in a bucket with a text of the bucket's first
-    component; texts and components are drawn anew each turn. As many pairs as components."""
+    """Pairs of one text of each component in a bucket with a text of the bucket's largest
+    component; texts are drawn anew each turn. As many pairs as components."""
     drawn = F.xxhash64(F.lit(turn), "node")
-    one = still.groupBy("key", "label").agg(F.min(F.struct(drawn.alias("turn"), "node", "n")).alias("one"))
-    one = one.select("key", F.xxhash64(F.lit(turn), "label").alias("draw"), "label", "one.node", "one.n")
-    first = one.groupBy("key").agg(F.min(F.struct("draw", "label", F.col("node").alias("leader"), F.col("n").alias("leader_n"))).alias("lead"))
+    one = still.groupBy("key", "label").agg(F.min(F.struct(drawn.alias("turn"), "node", "n")).alias("one"), F.count("*").alias("size"))
+    one = one.select("key", "size", F.xxhash64(F.lit(turn), "label").alias("draw"), "label", "one.node", "one.n")
+    first = one.groupBy("key").agg(F.max(F.struct("size", "draw", "label", F.col("node").alias("leader"), F.col("n").alias("leader_n"))).alias("lead"))
     return _pair("node", "n", "leader", "leader_n", one.join(first.select("key", "lead.leader", "lead.leader_n"), "key"))
 
 
 def _classes(documents: DataFrame) -> DataFrame:
     """Per row: id, made, class_of (the least id of the class), text_id and n_links."""
     rows = _rows(documents)
-    sketched = stored_by_few(rows.mapInArrow(_sketch_rows, "id bigint, made boolean, h1 bigint, h2 int, n int, keys array<bigint>"), "sketches")
+    sketched = stored_by_few(rows.mapInArrow(_sketch_rows, "id bigint, made boolean, h1 bigint, h2 int, n int, keys array<bigint>, marks array<bigint>"), "sketches")
     worded = sketched.where("n > 0")
     nodes = worded.groupBy("h1", "h2").agg(F.min("id").alias("node"))
     own = stored(worded.select("id", "made", "h1", "h2").join(nodes, ["h1", "h2"]), "texts")
     first = own.where("id = node").select("node", "h1", "h2").distinct()
-    buckets = worded.join(first, ["h1", "h2"]).where("id = node").select("node", "n", F.explode(F.array_distinct("keys")).alias("key")).distinct()
+    texts = worded.join(first, ["h1", "h2"]).where("id = node")
+    marked = stored(texts.select("node", "n", "marks").distinct(), "marks")
+    buckets = texts.select("node", "n", F.explode(F.array_distinct("keys")).alias("key")).distinct()
     leader = F.min(F.struct(F.xxhash64("node").alias("turn"), F.col("node").alias("leader"), F.col("n").alias("leader_n"))).alias("lead")
     leaders = buckets.groupBy("key").agg(leader, F.count("*").alias("size")).where("size > 1").select("key", "lead.leader", "lead.leader_n", "size")
     shared = stored(buckets.join(leaders, "key"), "buckets")
     pairs = stored(_pair("node", "n", "leader", "leader_n", shared), "pairs")
-    links = verified(pairs, rows)
+    links = verified(_possible(pairs, marked), rows)
     labels = components(links)
 
     # Buckets of two are settled; so are those within one component.
@@ -256,16 +294,17 @@ def _classes(documents: DataFrame) -> DataFrame:
         met = stored(_between_components(still, turn).join(pairs, ["a", "b"], "left_anti"), "pairs")
         if met.isEmpty():
             break
-        found = verified(met, rows)
+        found = verified(_possible(met, marked), rows)
         pairs = stored(pairs.union(met), "pairs")
         if not found.isEmpty():
             links = stored(links.union(found), "links")
-            labels = components(links)
+            labels = joined(labels, found)
     left = _open(shared, labels).select("node", "n", "label").distinct()
-    more = stored(_by_prefix(stored(left, "open"), rows).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(verified(more, rows)).select("a", "b").distinct()
+    more = stored(_by_prefix(stored(left, "open"), rows, marked).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    found = verified(more, rows)
+    links = links.union(found).select("a", "b").distinct()
 
-    labels = components(links)
+    labels = joined(labels, found)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     classes = labels.join(degree, "node").withColumnRenamed("node", "text_node")
     grouped = own.join(classes, F.col("node") == F.col("text_node"), "left").select(

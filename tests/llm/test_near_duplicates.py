@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 from pivotlake.llm import near_duplicates as nd
-from pivotlake.llm.components import components
+from pivotlake.llm.components import components, joined
 from pivotlake.llm.queries import QUERIES
 from pivotlake.llm.words import WordCodes
 
@@ -88,3 +90,48 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == classes_of({x for e in chain for x in e}, chain)
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_marks_lose_no_similar_pair(spark):
+    random.seed(7)
+    known, words = WordCodes(), [f"w{i}" for i in range(300)]
+    texts = []
+    for length in [1, 3, 8, 30, 150, 700, 9000]:
+        base = random.choices(words, k=length)
+        for edits in range(6):
+            text = list(base)
+            for _ in range(1 + edits * length // 250):
+                text[random.randrange(len(text))] = random.choice(words)
+            texts.append(" ".join(text))
+    grams = [nd.shingles(t.encode(), known) for t in texts]
+    marked = spark.createDataFrame([(i, len(g), nd.marks(g).tolist()) for i, g in enumerate(grams)], "node bigint, n int, marks array<bigint>")
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
+    kept = {tuple(r) for r in nd._possible(spark.createDataFrame(pairs, "a bigint, b bigint"), marked).collect()}
+    similar = {(a, b) for a, b in pairs if nd.similarity(grams[a], grams[b]) >= 0.8}
+    assert similar <= kept and len(similar) >= 12 and len(kept) < len(pairs) / 2
+    assert int(np.bitwise_count(nd.marks(grams[-1]).view(np.uint64)).sum()) <= nd.MARKS
+
+
+def test_texts_about_the_threshold_do_not_meet_in_all_pairs(spark, documents, monkeypatch):
+    random.seed(11)
+    base = [f"b{i}" for i in range(150)]
+    docs = []
+    for i in range(150):
+        text = list(base)
+        for k in random.sample(range(150), random.choice([4, 5, 6])):
+            text[k] = f"x{i}_{k}"
+        docs.append((i, " ".join(text)))
+    real, verified = nd.verified, []
+    monkeypatch.setattr(nd, "verified", lambda pairs, rows: (verified.append(pairs.count()), real(pairs, rows))[1])
+    got = {r.doc_id: r.class_id for r in nd.near_duplicates(documents([(i, t, "s") for i, t in docs])).collect()}
+    assert got == brute(docs)
+    assert sum(verified) < 4 * len(docs)
+
+
+def test_components_with_more_edges(spark):
+    random.seed(3)
+    edges = [(random.randrange(200), 200 + random.randrange(200)) for _ in range(260)]
+    frame = lambda e: spark.createDataFrame(e, "a bigint, b bigint")
+    for cut in (0, 90, 260):
+        got = {r.node: r.label for r in joined(components(frame(edges[:cut])), frame(edges[cut:])).collect()}
+        assert got == classes_of({x for e in edges for x in e}, edges)
